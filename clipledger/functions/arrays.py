@@ -25,12 +25,12 @@ def norm(a) -> Column:
 def normalised(a) -> Column:
     a = _c(a)
     n = norm(a)
-    return F.transform(a, lambda x: x / n)
+    return F.transform(a, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)))
 
 
 def mean_abs_diff(a, b) -> Column:
     a = _c(a)
-    return total(F.zip_with(a, _c(b), lambda x, y: F.abs(x.cast("double") - y.cast("double")))) / F.size(a)
+    return F.try_divide(total(F.zip_with(a, _c(b), lambda x, y: F.abs(x.cast("double") - y.cast("double")))), F.size(a))
 
 
 def squared_distance(a, b) -> Column:

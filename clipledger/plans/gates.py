@@ -190,7 +190,7 @@ def cand_score(t):
 
 
 @query("to_depth", f"""
-WITH d AS (SELECT l_suppkey, l_quantity * 0.02 - 0.1 AS inv, l_quantity * 0.5 - 1 AS sc, least(greatest(1 - l_discount / 0.08, 0), 1) AS conf FROM lineitem)
+WITH d AS (SELECT l_suppkey, l_quantity * 0.02 - 0.1 AS inv, l_quantity * 0.5 AS sc, least(greatest(1 - l_discount / 0.08, 0), 1) AS conf FROM lineitem)
 SELECT l_suppkey, {q6("avg(CASE WHEN inv > 1e-9 THEN 1 / inv END)")} AS inverse_depth, count(*) FILTER (WHERE inv > 1e-9) AS inverse_valid,
   {q6("avg(CASE WHEN sc > 1e-9 THEN sc END)")} AS scaled_depth, {q6("avg(coalesce(conf, 0))")} AS confidence FROM d GROUP BY 1""")
 def to_depth(t):
