@@ -84,12 +84,12 @@ def pair_quantile(df: DataFrame, by: Sequence[str], vector: str, order: Sequence
         return (p >= F.col("hi") - F.col("n")) & (p < F.col("hi"))
 
     hist = pairs.mapInPandas(_per_pair(by, bins), f"{keys}bin long, n long").groupBy(*by, "bin").agg(F.sum("n").alias("n"))
-    hist = by_group(hist, by, lambda d, g: g.attach(g.running(d, ["bin"], hi=F.col("n")), total=F.sum("n")))
+    hist = by_group(settle(hist), by, lambda d, g: g.attach(g.running(d, ["bin"], hi=F.col("n")), total=F.sum("n")))
     span = hist.where(holds(F.floor(at)) | holds(F.ceil(at))).groupBy(*by).agg(
         F.min("bin").alias("lo_bin"), F.max("bin").alias("hi_bin"), F.min(F.col("hi") - F.col("n")).alias("skipped"), F.max("total").alias("total"))
     near = join_same(pairs, settle(span), by).mapInPandas(_per_pair(by, picked), f"{keys}v double, n long, skipped long, total long")
     near = near.groupBy(*by, "v").agg(F.sum("n").alias("n"), F.max("skipped").alias("skipped"), F.max("total").alias("total"))
-    cum = by_group(near, by, lambda d, g: g.running(d, ["v"], _up=F.col("n"))).withColumn("hi", F.col("_up") + F.col("skipped"))
+    cum = by_group(settle(near), by, lambda d, g: g.running(d, ["v"], _up=F.col("n"))).withColumn("hi", F.col("_up") + F.col("skipped"))
     out = cum.groupBy(*by).agg(
         F.max(F.when(holds(F.floor(at)), F.col("v"))).alias("_a"), F.max(F.when(holds(F.ceil(at)), F.col("v"))).alias("_b"), F.max(at - F.floor(at)).alias("_f"))
     return out.select(*by, (F.col("_a") * (1 - F.col("_f")) + F.col("_b") * F.col("_f")).alias(name))

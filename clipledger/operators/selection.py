@@ -168,7 +168,7 @@ def balanced_pairs(pairs: DataFrame, by: Sequence[str], bin_col: str, angle: str
                 d = g.fix(d)
         return d.where("pick IS NOT NULL").drop("_off", "_last", "_ua", "_ub")
 
-    return by_group(pairs, by, step)
+    return by_group(settle(pairs), by, step)
 
 
 def select_candidate(candidates: DataFrame, by: Sequence[str], name: str, priority: Column, usable: Column, reason: Column) -> DataFrame:

@@ -76,7 +76,7 @@ _HIST = "\n".join(f"count(*) FILTER (WHERE event_type = '{x}') AS h{i}," for i,
 
 
 @query("scene_cuts", f"""
-WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, avg(value) / 100 AS c0, avg({K_SQL}) / 100 AS c1 FROM events GROUP BY 1, 2),
+WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, sqrt(greatest(avg(value), 0) / 300) AS c0, sqrt(avg({K_SQL}) / 150) AS c1 FROM events GROUP BY 1, 2),
 f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS i, count(*) OVER (PARTITION BY user_id) AS n, epoch(day) - epoch(min(day) OVER (PARTITION BY user_id)) AS t,
   epoch(max(day) OVER (PARTITION BY user_id)) - epoch(min(day) OVER (PARTITION BY user_id)) AS dur FROM d),
 h0 AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, count(*) AS c FROM events GROUP BY 1, 2, 3),
@@ -96,7 +96,7 @@ def scene_cuts(t):
     e = frames(t).withColumn("day", F.to_date(F.timestamp_micros("us")))
     d = e.groupBy("user_id", F.expr("CAST(us div 86400000000 AS INT)").alias("dn")).agg(
         F.array(*[F.count(F.when(col("event_type") == x, 1)).cast("double") for x in TYPES]).alias("hist"),
-        F.array(F.avg("value") / 100, F.avg("k") / 100).alias("colour"))
+        F.array(F.sqrt(F.greatest(F.avg("value"), F.lit(0.0)) / 300), F.sqrt(F.avg("k") / 150)).alias("colour"))
     ends = d.groupBy("user_id").agg(F.min("dn").alias("d0"), F.max("dn").alias("d1"))
     d = d.join(ends, "user_id").withColumn("t", (col("dn") - col("d0")) * 86400.0).withColumn("dur", (col("d1") - col("d0")) * 86400.0)
     c = win.scene_cuts(d, ["user_id"], ["dn"], "t", col("dur"), "hist", "colour", colour_change=0.15, context=0.4)
