@@ -63,7 +63,8 @@ class Whole:
         return self.attach(df, **{n: F.percentile(c, q) for n, (c, q) in cols.items()})
 
     def fix(self, df: DataFrame) -> DataFrame:
-        return df
+        """Cut the plan of a long loop."""
+        return settle(df)
 
 
 class Split:

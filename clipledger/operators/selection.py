@@ -41,7 +41,7 @@ def _greedy(d: DataFrame, g, rounds: int, target: Column, key, payload: list[Col
         d = g.attach(d, _pick=pick)
         d = d.withColumn(rank, F.when(F.col("_pick._i") == F.col("_i"), F.lit(r)).otherwise(F.col(rank)))
         d = d.withColumns(update(F.col("_pick"))).drop("_pick")
-        if (r + 1) % ROUNDS_PER_CUT == 0:
+        if (r + 1) % ROUNDS_PER_CUT == 0 and r + 1 < rounds:
             d = g.fix(d)
     return d.where(F.col(rank).isNotNull())
 
@@ -164,7 +164,7 @@ def balanced_pairs(pairs: DataFrame, by: Sequence[str], bin_col: str, angle: str
                 "_ua": F.when((F.col(a) == p["a"]) | (F.col(a) == p["b"]), 1).otherwise(F.col("_ua")),
                 "_ub": F.when((F.col(b) == p["a"]) | (F.col(b) == p["b"]), 1).otherwise(F.col("_ub")),
             }).drop("_p")
-            if (r + 1) % ROUNDS_PER_CUT == 0:
+            if (r + 1) % ROUNDS_PER_CUT == 0 and r + 1 < cap:
                 d = g.fix(d)
         return d.where("pick IS NOT NULL").drop("_off", "_last", "_ua", "_ub")
 
