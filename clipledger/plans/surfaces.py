@@ -1 +1,206 @@
-"""Queries."""
+"""Queries for points, voxels, pixels and faces."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from clipledger.operators import surfaces as sf
+from clipledger.plans.aggregates import LINE_ORDER, LINE_SQL
+from clipledger.plans.gates import _ROT, _arr
+from clipledger.plans.registry import big, q6, query, r6
+
+col = F.col
+W = H = 16
+
+
+def nation_views(t, clip):
+    """Nations as views: a pose from the key, a 16x16 image, a mask of the pixels their customers fall on."""
+    px = t.customer.select(col("c_nationkey").alias("view"), F.floor((col("c_acctbal") + 1000) / 11001 * W).cast("int").alias("x"), ((col("c_custkey") * 7) % H).cast("int").alias("y"), F.lit(W).alias("width"), F.lit(H).alias("height"))
+    masks = sf.mask_bitmaps(px, [], "view")
+    n = t.nation.select(col("n_nationkey").alias("view"), clip.alias("clip"))
+    k = col("view").cast("double")
+    cam = n.select("clip", "view", _arr([1, 0, 0, 0, 1, 0, 0, 0, 1]).alias("rotation"), F.array(k / 50 - 0.25, k / -60 + 0.2, F.lit(4.0)).alias("translation"), F.lit(20.0).alias("focal"), F.lit(8.0).alias("cx"), F.lit(8.0).alias("cy"), F.lit(0.05).alias("k1"), F.lit(W).alias("width"), F.lit(H).alias("height"))
+    return cam.join(masks, "view")
+
+
+VIEWS_SQL = """mk AS (SELECT DISTINCT c_nationkey AS view, CAST(floor((c_acctbal + 1000) / 11001 * 16) AS INT) AS x, CAST((c_custkey * 7) % 16 AS INT) AS y FROM customer)"""
+
+
+def proj_sql(clip_join: str) -> str:
+    """Pixels u, v, depth z and inside flag of points pt(clip, id, x, y, z) in the nation views."""
+    return f"""pj AS (SELECT pt.*, n_nationkey AS view, pt.x + n_nationkey / 50 - 0.25 AS xc, pt.y + n_nationkey / -60 + 0.2 AS yc, pt.z + 4.0 AS zc FROM pt JOIN nation ON {clip_join}),
+pn AS (SELECT *, xc / CASE WHEN zc > 1e-9 THEN zc ELSE 1 END AS xn, yc / CASE WHEN zc > 1e-9 THEN zc ELSE 1 END AS yn FROM pj),
+pu AS (SELECT *, round_even(20 * xn * (1 + 0.05 * (xn*xn + yn*yn)) + 8, 0) AS u, round_even(20 * yn * (1 + 0.05 * (xn*xn + yn*yn)) + 8, 0) AS v FROM pn),
+pz AS (SELECT pu.*, zc > 1e-9 AND u BETWEEN 0 AND 15 AND v BETWEEN 0 AND 15 AS inside, mk.view IS NOT NULL AS hit FROM pu LEFT JOIN mk ON mk.view = pu.view AND mk.x = u AND mk.y = v)"""
+
+
+@query("point_support", f"""
+WITH {VIEWS_SQL}, pt AS (SELECT n_regionkey AS clip, s_suppkey AS id, s_acctbal / 10000 - 0.5 AS x, s_nationkey / 25 - 0.5 AS y, s_acctbal / 5000 - 1 AS z FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+{proj_sql("n_regionkey = clip")} SELECT id AS s_suppkey, count(*) FILTER (WHERE inside AND hit) AS support FROM pz GROUP BY 1""")
+def point_support(t):
+    p = t.supplier.join(t.nation, col("s_nationkey") == col("n_nationkey")).select(col("n_regionkey").alias("clip"), "s_suppkey", (col("s_acctbal") / 10000 - 0.5).alias("x"), (col("s_nationkey") / 25 - 0.5).alias("y"), (col("s_acctbal") / 5000 - 1).alias("z"))
+    views = nation_views(t, F.lit(None).cast("int")).drop("clip").join(t.nation.select(col("n_nationkey").alias("view"), col("n_regionkey").alias("clip")), "view")
+    return sf.point_support(p, views, ["clip"], "s_suppkey", "view").select("s_suppkey", "support")
+
+
+_PARTS = "pt AS (SELECT 0 AS clip, p_partkey AS id, p_size / 50 - 0.5 AS x, (p_retailprice - 900) / 1000 - 0.5 AS y, p_size / 100 - 0.25 AS z FROM part)"
+
+
+def part_voxels(t):
+    return t.part.select(F.lit(0).alias("clip"), "p_partkey", (col("p_size") / 50 - 0.5).alias("x"), ((col("p_retailprice") - 900) / 1000 - 0.5).alias("y"), (col("p_size") / 100 - 0.25).alias("z"))
+
+
+@query("vote_carve", f"""
+WITH {VIEWS_SQL}, {_PARTS}, {proj_sql("clip = 0")}, s AS (SELECT id, count(*) FILTER (WHERE inside AND NOT hit) AS abstain, count(*) FILTER (WHERE NOT inside OR NOT hit) AS reject FROM pz GROUP BY 1)
+SELECT 'abstain' AS policy, id AS p_partkey, abstain AS rejections FROM s WHERE abstain <= 14 UNION ALL SELECT 'reject', id, reject FROM s WHERE reject <= 14""")
+def vote_carve(t):
+    views = nation_views(t, F.lit(0))
+    one = lambda p: sf.carve(part_voxels(t), views, ["clip"], ["p_partkey"], "view", 14, p).select(F.lit(p).alias("policy"), "p_partkey", "rejections")
+    return one("abstain").unionByName(one("reject"))
+
+
+@query("weighted_fuse", f"""
+WITH s AS (SELECT l_partkey, (l_extendedprice / 10000 - l_quantity / 10) / 4.0 AS sdf, l_extendedprice / 10000 AS m, l_quantity / 10 AS z, 1 - l_discount AS c FROM lineitem),
+u AS (SELECT l_partkey, least(sdf, 1) AS s, CASE WHEN m > 1e-6 AND z > 1e-9 AND sdf >= -1 THEN c / z END AS w FROM s)
+SELECT l_partkey, {q6("sum(w * s) / sum(w)")} AS tsdf, {q6("coalesce(sum(w), 0)")} AS weight FROM u GROUP BY 1""")
+def weighted_fuse(t):
+    d = sf.fuse_samples(t.lineitem, ["l_partkey"], col("l_extendedprice") / 10000, col("l_quantity") / 10, 1 - col("l_discount"), 4.0)
+    return d.select("l_partkey", r6("tsdf").alias("tsdf"), r6("weight").alias("weight"))
+
+
+_E = "embedding[{}]::DOUBLE"
+_TRI = "tr AS (SELECT label, vec_id, " + ", ".join(f"{_E.format(2 * i + 1)} * 24 + 12 AS u{i}, {_E.format(2 * i + 2)} * 24 + 12 AS v{i}, {_E.format(7 + i)} + 2 AS z{i}" for i in range(3)) + " FROM embeddings)"
+
+
+def triangles(t):
+    e = [col("embedding")[i].cast("double") for i in range(9)]
+    cols = []
+    for i in range(3):
+        cols += [(e[2 * i] * 24 + 12).alias(f"u{i}"), (e[2 * i + 1] * 24 + 12).alias(f"v{i}"), (e[6 + i] + 2).alias(f"z{i}")]
+    return t.embeddings.select("label", "vec_id", *cols, F.lit(24).alias("width"), F.lit(24).alias("height"))
+
+
+def _edge(i, j):
+    return f"((u{j}-u{i})*(y-v{i}) - (v{j}-v{i})*(x-u{i})) / ar"
+
+
+@query("nearest_per_cell", f"""
+WITH {_TRI}, a AS (SELECT *, (u1-u0)*(v2-v0) - (u2-u0)*(v1-v0) AS ar FROM tr), g AS (SELECT * FROM a, range(24) p(x), range(24) q(y) WHERE abs(ar) > 1e-12 AND x BETWEEN least(u0,u1,u2) AND greatest(u0,u1,u2) AND y BETWEEN least(v0,v1,v2) AND greatest(v0,v1,v2)),
+b AS (SELECT *, {_edge(1, 2)} AS ba, {_edge(2, 0)} AS bb, {_edge(0, 1)} AS bg FROM g),
+d AS (SELECT label, vec_id, x, y, round(1 / (ba / z0 + bb / z1 + bg / z2), 9) AS depth FROM b WHERE ba >= -1e-9 AND bb >= -1e-9 AND bg >= -1e-9),
+r AS (SELECT *, row_number() OVER (PARTITION BY label, x, y ORDER BY depth, vec_id) AS rn FROM d)
+SELECT label, y, x, vec_id, {q6("depth")} AS depth FROM r WHERE rn = 1""")
+def nearest_per_cell(t):
+    d = sf.zbuffer(triangles(t), ["label"], "vec_id")
+    return d.select("label", big("y").alias("y"), big("x").alias("x"), "vec_id", r6("depth").alias("depth"))
+
+
+@query("face_view_score", f"""
+WITH c AS (SELECT l_returnflag AS g, l_partkey AS f, l_suppkey AS s, l_orderkey AS o, l_linenumber AS n, l_linestatus = 'O' AS vis, l_extendedprice / 1000 AS area, l_discount * 10 AS fr, l_linenumber <= 5 AS ins, l_quantity AS bd FROM lineitem),
+r AS (SELECT *, area * least(1, bd / (3 * 8.0)) * fr AS q, row_number() OVER (PARTITION BY g, f ORDER BY area * least(1, bd / (3 * 8.0)) * fr DESC, s, o, n) AS slot FROM c WHERE vis AND fr > 0.2 AND ins AND bd > 8),
+k AS (SELECT g, count(*) AS kept, sum(q) AS total FROM r WHERE slot <= 8 GROUP BY 1),
+t AS (SELECT g, count(*) AS candidates, count(*) FILTER (WHERE vis) AS visible, count(*) FILTER (WHERE vis AND fr > 0.2) AS frontal, count(*) FILTER (WHERE vis AND fr > 0.2 AND ins) AS inside FROM c GROUP BY 1)
+SELECT g AS l_returnflag, candidates, visible, frontal, inside, kept, round(total, 4) + 0.0 AS quality FROM t JOIN k USING (g)""")
+def face_view_score(t):
+    c = t.lineitem.withColumn("view", F.struct("l_suppkey", "l_orderkey", "l_linenumber"))
+    best, stats = sf.score_face_views(c, ["l_returnflag"], "l_partkey", "view", visible=col("l_linestatus") == "O", area=col("l_extendedprice") / 1000, frontality=col("l_discount") * 10, inside=col("l_linenumber") <= 5, boundary=col("l_quantity"), min_frontality=0.2, min_boundary=8.0)
+    kept = best.groupBy("l_returnflag").agg(F.count("*").alias("kept"), (F.round(F.sum("quality"), 4) + 0.0).alias("quality"))
+    return stats.join(kept, "l_returnflag").select("l_returnflag", "candidates", "visible", "frontal", "inside", "kept", "quality")
+
+
+@query("best_source", f"""
+WITH s AS (SELECT l_partkey, l_suppkey, l_extendedprice AS colour, round(0.45 * least(greatest(l_quantity / 50, 0), 1) + 0.22 * least(greatest(l_linenumber * 6 / 32.0, 0), 1) + 0.16 * (1 - l_discount) + 0.17 * l_tax * 10 + CASE WHEN l_returnflag = 'R' THEN 0.22 ELSE 0 END, 9) AS sc FROM lineitem WHERE l_quantity / 50 >= 0.12),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY sc DESC, l_suppkey, colour) AS rn FROM s)
+SELECT l_suppkey, count(*) AS texels, {q6("sum(sc)")} AS total_score, {q6("avg(colour)")} AS mean_colour FROM r WHERE rn = 1 GROUP BY 1""")
+def best_source(t):
+    d = sf.best_source(t.lineitem.withColumn("colour", col("l_extendedprice")), ["l_partkey"], "l_suppkey", facing=col("l_quantity") / 50, boundary=col("l_linenumber") * 6, confidence=1 - col("l_discount"), sharpness=col("l_tax") * 10, preferred=col("l_returnflag") == "R", keep=["colour"])
+    return d.groupBy("l_suppkey").agg(F.count("*").alias("texels"), r6(F.sum("score")).alias("total_score"), r6(F.avg("colour")).alias("mean_colour"))
+
+
+@query("edge_multiplicity", """
+WITH f AS (SELECT l_returnflag AS m, l_suppkey AS v0, 10000000 + l_partkey AS v1, 100000000 + l_linenumber * 100 + CAST(l_quantity AS BIGINT) AS v2 FROM lineitem),
+e AS (SELECT m, least(a, b) AS a, greatest(a, b) AS b, count(*) AS n FROM (SELECT m, v0 AS a, v1 AS b FROM f UNION ALL SELECT m, v1, v2 FROM f UNION ALL SELECT m, v2, v0 FROM f) GROUP BY 1, 2, 3),
+s AS (SELECT m, count(*) AS edges, count(*) FILTER (WHERE n = 1) AS boundary_edges, count(*) FILTER (WHERE n > 2) AS non_manifold_edges FROM e GROUP BY 1),
+v AS (SELECT m, count(*) AS vertices FROM (SELECT m, v0 FROM f UNION SELECT m, v1 FROM f UNION SELECT m, v2 FROM f) GROUP BY 1), c AS (SELECT m, count(*) AS faces FROM f GROUP BY 1)
+SELECT m AS l_returnflag, edges, boundary_edges, non_manifold_edges, faces, vertices, vertices - edges + faces AS euler FROM s JOIN v USING (m) JOIN c USING (m)""")
+def edge_multiplicity(t):
+    f = t.lineitem.select("l_returnflag", col("l_suppkey").alias("v0"), (10000000 + col("l_partkey")).alias("v1"), (100000000 + col("l_linenumber") * 100 + big("l_quantity")).alias("v2"))
+    return sf.topology(f, ["l_returnflag"]).select("l_returnflag", "edges", "boundary_edges", "non_manifold_edges", "faces", "vertices", "euler")
+
+
+_N = ["(qy-py)*(rz-pz) - (qz-pz)*(ry-py)", "(qz-pz)*(rx-px) - (qx-px)*(rz-pz)", "(qx-px)*(ry-py) - (qy-py)*(rx-px)"]
+
+
+@query("face_geometry", f"""
+WITH f AS (SELECT l_suppkey, l_quantity / 10 AS px, l_discount * 10 AS py, l_tax * 10 AS pz, l_linenumber / 3.0::DOUBLE AS qx, l_quantity / 20 AS qy, l_discount * 20 AS qz, l_tax * 30 AS rx, l_linenumber / 2.0::DOUBLE AS ry, l_quantity / 30 AS rz FROM lineitem),
+n AS (SELECT *, {_N[0]} AS nx, {_N[1]} AS ny, {_N[2]} AS nz FROM f)
+SELECT l_suppkey, {q6("sum(sqrt(nx*nx + ny*ny + nz*nz) / 2)")} AS area, {q6("avg((px + qx + rx) / 3)")} AS mean_cx, {q6("avg(coalesce(nz / nullif(sqrt(nx*nx + ny*ny + nz*nz), 0), 0))")} AS mean_nz,
+  {q6("sum((px * (qy*rz - qz*ry) + py * (qz*rx - qx*rz) + pz * (qx*ry - qy*rx)) / 6)")} AS volume FROM n GROUP BY 1""")
+def face_geometry(t):
+    q, d, x, n = col("l_quantity"), col("l_discount"), col("l_tax"), col("l_linenumber")
+    f = t.lineitem.select("l_suppkey", F.array(q / 10, d * 10, x * 10).alias("p"), F.array(n / 3.0, q / 20, d * 20).alias("q"), F.array(x * 30, n / 2.0, q / 30).alias("r"))
+    g = sf.face_geometry(f)
+    return g.groupBy("l_suppkey").agg(r6(F.sum("area")).alias("area"), r6(F.avg(col("centroid")[0])).alias("mean_cx"), r6(F.avg(col("normal")[2])).alias("mean_nz"), r6(F.sum("volume")).alias("volume"))
+
+
+@query("profile_stats", f"""
+WITH px AS (SELECT vec_id, i // 8 AS y, i % 8 AS x FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding) AS v FROM embeddings) WHERE v > 0),
+b AS (SELECT vec_id, count(*) AS n, sum((x=0)::INT + (x=7)::INT + (y=0)::INT + (y=7)::INT) AS ed, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, avg(x) AS mx, avg(y) AS my FROM px GROUP BY 1),
+rim AS (SELECT p.vec_id, sqrt((x-mx)*(x-mx) + (y-my)*(y-my)) AS r FROM px p JOIN b USING (vec_id) WHERE (SELECT count(*) FROM px q WHERE q.vec_id = p.vec_id AND abs(q.x - p.x) + abs(q.y - p.y) = 1) < 4),
+rd AS (SELECT vec_id, stddev_pop(r) / greatest(avg(r), 1e-9) AS rcv FROM rim GROUP BY 1),
+s1 AS (SELECT p.vec_id, count(*) AS i FROM px p JOIN b USING (vec_id) JOIN px q ON q.vec_id = p.vec_id AND q.x = x0 + x1 - p.x AND q.y = p.y GROUP BY 1),
+s3 AS (SELECT p.vec_id, count(*) AS i FROM px p JOIN b USING (vec_id) JOIN px q ON q.vec_id = p.vec_id AND q.x = x0 + x1 - p.x AND q.y = y0 + y1 - p.y GROUP BY 1),
+w AS (SELECT b.vec_id, yy - y0 AS p, y1 - y0 + 1 AS k, (SELECT count(*) FROM px WHERE px.vec_id = b.vec_id AND px.y = yy)::DOUBLE AS c FROM b, range(8) r(yy) WHERE yy BETWEEN y0 AND y1),
+pf AS (SELECT vec_id, avg(c) FILTER (WHERE p < greatest(1, round_even(k * 0.2, 0))) AS tp, avg(c) FILTER (WHERE p >= k - greatest(1, round_even(k * 0.2, 0))) AS bt,
+  avg(c) FILTER (WHERE p >= round_even(k * 0.4, 0) AND p < greatest(round_even(k * 0.4, 0) + 1, round_even(k * 0.6, 0))) AS md, stddev_pop(c) / greatest(avg(c), 1) AS pcv FROM w GROUP BY 1)
+SELECT vec_id, {q6("n / 64")} AS area_fraction, {q6("ed / 32")} AS border_touch, {q6("least(least(tp, bt) / greatest(md, 1), 1.5)")} AS end_ratio, {q6("least(abs(tp - bt) / greatest(tp, bt, 1), 1)")} AS end_asymmetry,
+  {q6("least(pcv, 2)")} AS profile_cv, {q6("least(rcv, 2)")} AS radial_cv, {q6("coalesce(s1.i, 0) / (2 * n - coalesce(s1.i, 0))")} AS symmetry_lr, {q6("coalesce(s3.i, 0) / (2 * n - coalesce(s3.i, 0))")} AS symmetry_180
+FROM b JOIN rd USING (vec_id) JOIN pf USING (vec_id) LEFT JOIN s1 USING (vec_id) LEFT JOIN s3 USING (vec_id)""")
+def profile_stats(t):
+    px = t.embeddings.select("vec_id", F.posexplode("embedding").alias("i", "v")).where("v > 0").select("vec_id", F.expr("i div 8").alias("y"), (col("i") % 8).alias("x"))
+    d = sf.silhouette_stats(px, ["vec_id"], F.lit(8), F.lit(8))
+    return d.select("vec_id", *[r6(c).alias(c) for c in ("area_fraction", "border_touch", "end_ratio", "end_asymmetry", "profile_cv", "radial_cv", "symmetry_lr", "symmetry_180")])
+
+
+@query("reproject_classify", f"""
+WITH px AS (SELECT c_nationkey AS view, CAST(floor((c_acctbal + 1000) / 11001 * 16) AS INT) AS x, CAST((c_custkey * 7) % 16 AS INT) AS y, 3 + avg(c_acctbal) / 30000 AS depth, count(*) > 1 OR max(c_acctbal) > 3000 AS stable FROM customer GROUP BY 1, 2, 3),
+pr AS (SELECT n_nationkey AS va, lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS vb FROM nation),
+wy AS (SELECT va, vb, va AS src, vb AS dst, 'forward' AS way FROM pr WHERE vb IS NOT NULL UNION ALL SELECT va, vb, vb, va, 'backward' FROM pr WHERE vb IS NOT NULL),
+j AS (SELECT wy.*, x AS px, y AS py, depth AS z, (x - 8.0) / 20 AS xn, (y - 8.0) / 20 AS yn FROM px JOIN wy ON view = src WHERE depth > 1e-9 AND stable),
+c AS (SELECT *, xn * z - (src / 50 - 0.25) + (dst / 50 - 0.25) AS xc, yn * z - (src / -60 + 0.2) + (dst / -60 + 0.2) AS yc FROM j),
+q AS (SELECT *, CAST(round_even(20 * (xc / z) + 8, 0) AS INT) AS qu, CAST(round_even(20 * (yc / z) + 8, 0) AS INT) AS qv FROM c),
+k AS (SELECT q.*, CASE WHEN NOT (qu BETWEEN 0 AND 15 AND qv BETWEEN 0 AND 15) THEN 'outside' WHEN t.view IS NULL THEN 'contradiction' WHEN NOT t.stable OR t.depth <= 1e-9 THEN 'unavailable'
+  WHEN z < t.depth - 0.09 THEN 'contradiction' WHEN z > t.depth + 0.09 THEN 'occluded' ELSE 'match' END AS kind FROM q LEFT JOIN px t ON t.view = dst AND t.x = qu AND t.y = qv)
+SELECT va AS view_a, vb AS view_b, count(*) FILTER (WHERE kind = 'match') AS matches, count(*) FILTER (WHERE kind = 'contradiction') AS contradictions, count(*) FILTER (WHERE kind = 'occluded') AS occluded,
+  count(*) FILTER (WHERE kind = 'unavailable') AS unavailable, count(*) FILTER (WHERE kind = 'outside') AS outside, count(*) FILTER (WHERE way = 'forward' AND kind IN ('match', 'contradiction')) AS forward,
+  {q6("count(*) FILTER (WHERE kind = 'match') / nullif(count(*) FILTER (WHERE kind IN ('match', 'contradiction')), 0)")} AS consistency, {q6("count(*) FILTER (WHERE kind IN ('match', 'contradiction')) / count(*)")} AS coverage FROM k GROUP BY 1, 2""")
+def reproject_classify(t):
+    px = t.customer.groupBy(F.lit(0).alias("clip"), col("c_nationkey").alias("view"), F.floor((col("c_acctbal") + 1000) / 11001 * W).cast("int").alias("x"), ((col("c_custkey") * 7) % H).cast("int").alias("y"))
+    px = px.agg((3 + F.avg("c_acctbal") / 30000).alias("depth"), ((F.count("*") > 1) | (F.max("c_acctbal") > 3000)).alias("stable")).withColumn("in_mask", F.lit(True))
+    from pyspark.sql import Window
+
+    pairs = t.nation.select(F.lit(0).alias("clip"), col("n_nationkey").alias("view_a"), F.lead("n_nationkey").over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).alias("view_b")).where("view_b IS NOT NULL")
+    views = nation_views(t, F.lit(0)).drop("mask").withColumn("k1", F.lit(0.0))
+    d = sf.reproject_pairs(pairs, px, views, ["clip"], F.lit(0.09))
+    return d.select("view_a", "view_b", "matches", "contradictions", "occluded", "unavailable", "outside", "forward", r6("consistency").alias("consistency"), r6("coverage").alias("coverage"))
+
+
+_M = {(i, j): f"sum({1 if i == j else 0} - d{i}*d{j})" for i in range(3) for j in range(i, 3)}
+
+
+def _m(i, j):
+    return f"m{min(i, j)}{max(i, j)}"
+
+
+def _det(cell):
+    return f"({cell(0, 0)}*({cell(1, 1)}*{cell(2, 2)} - {cell(1, 2)}*{cell(2, 1)}) - {cell(0, 1)}*({cell(1, 0)}*{cell(2, 2)} - {cell(1, 2)}*{cell(2, 0)}) + {cell(0, 2)}*({cell(1, 0)}*{cell(2, 1)} - {cell(1, 1)}*{cell(2, 0)}))"
+
+
+@query("look_at", f"""
+WITH e AS (SELECT label, {", ".join(f"embedding[{i + 1}]::DOUBLE AS c{i}" for i in range(3))}, {", ".join(f"embedding[{i + 4}]::DOUBLE AS g{i}" for i in range(3))} FROM embeddings),
+n AS (SELECT label, c0, c1, c2, {", ".join(f"g{i} / sqrt(g0*g0 + g1*g1 + g2*g2) AS d{i}" for i in range(3))} FROM e),
+s AS (SELECT label, {", ".join(f"{v} AS m{i}{j}" for (i, j), v in _M.items())}, {", ".join("sum(" + " + ".join(f"({1 if i == j else 0} - d{i}*d{j})*c{j}" for j in range(3)) + f") AS b{i}" for i in range(3))} FROM n GROUP BY 1)
+SELECT label, {", ".join(q6(_det(lambda i, j, k=k: f"b{i}" if j == k else _m(i, j)) + " / " + _det(_m)) + f" AS {a}" for k, a in enumerate("xyz"))} FROM s""")
+def look_at(t):
+    e = t.embeddings.select("label", F.slice("embedding", 1, 3).cast("array<double>").alias("c"), F.slice("embedding", 4, 3).cast("array<double>").alias("d"))
+    return sf.look_at(e, ["label"], "c", "d").select("label", *[r6(c).alias(c) for c in "xyz"])
