@@ -118,7 +118,7 @@ def taubin(values: DataFrame, neighbours: DataFrame, coords: Sequence[str], lam:
     return v
 
 
-def level_offsets(edges: DataFrame, ridge: float = 0.1, rounds: int = 50, tolerance: float = 1e-10) -> DataFrame:
+def level_offsets(edges: DataFrame, ridge: float = 0.1, rounds: int = 50, tolerance: float = 1e-14) -> DataFrame:
     """Offsets g that minimise Σ w·(g_a − g_b − diff)² + ridge·Σ g² over edges (a, b, diff, w), by conjugate gradients.
 
     Every round is one join of the edges with the direction and two sums; only three numbers reach the driver.
@@ -127,19 +127,20 @@ def level_offsets(edges: DataFrame, ridge: float = 0.1, rounds: int = 50, tolera
     rhs = e.select(F.col("a").alias("node"), (F.col("w") * F.col("diff")).alias("r")).unionByName(e.select(F.col("b").alias("node"), (-F.col("w") * F.col("diff")).alias("r")))
     s = settle(rhs.groupBy("node").agg(F.sum("r").alias("r")).select("node", F.lit(0.0).alias("g"), "r", F.col("r").alias("p")))
     rr = s.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
+    start = rr
     for _ in range(rounds):
-        if rr <= tolerance:
+        if rr <= tolerance * start:
             break
         p = s.select("node", "p")
         j = e.join(p.select(F.col("node").alias("a"), F.col("p").alias("pa")), "a").join(p.select(F.col("node").alias("b"), F.col("p").alias("pb")), "b")
         j = j.withColumn("t", F.col("w") * (F.col("pa") - F.col("pb")))
         ap = j.select(F.col("a").alias("node"), "t").unionByName(j.select(F.col("b").alias("node"), (-F.col("t")).alias("t"))).groupBy("node").agg(F.sum("t").alias("ap"))
         s = settle(s.join(ap, "node", "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)) + ridge * F.col("p")))
-        pap = s.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
+        pap, rap, apap = s.agg(F.sum(F.col("p") * F.col("ap")), F.sum(F.col("r") * F.col("ap")), F.sum(F.col("ap") * F.col("ap"))).first()
         alpha = rr / pap
-        s = s.select("node", (F.col("g") + alpha * F.col("p")).alias("g"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p")
-        new = s.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
-        s = s.select("node", "g", "r", (F.col("r") + new / rr * F.col("p")).alias("p"))
+        new = max(rr - 2 * alpha * rap + alpha * alpha * apap, 0.0)
+        r = F.col("r") - alpha * F.col("ap")
+        s = s.select("node", (F.col("g") + alpha * F.col("p")).alias("g"), r.alias("r"), (r + new / rr * F.col("p")).alias("p"))
         rr = new
     return s.select("node", F.col("g").alias("offset"))
 

@@ -1 +1,180 @@
-"""Queries."""
+"""Queries for graph and iterative operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from clipledger.functions import arrays
+from clipledger.operators import graph as gr
+from clipledger.operators.groups import by_group
+from clipledger.operators.selection import best_by
+from clipledger.plans.registry import big, codes_sql, joined, q6, query, r6
+from clipledger.plans.windows import FRAMES, HOURS, frames
+from clipledger.session import join_same, settle
+
+col = F.col
+
+
+def customer_part(t):
+    """Edges between customers (c…) and the parts (p…) they ordered in large, undiscounted lines."""
+    li = t.lineitem.where("l_quantity >= 46 AND l_discount <= 0.01").select("l_orderkey", "l_partkey")
+    o = t.orders.select(col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return li.join(o, "l_orderkey").select(F.concat(F.lit("c"), F.lpad(col("o_custkey").cast("string"), 9, "0")).alias("src"), F.concat(F.lit("p"), F.lpad(col("l_partkey").cast("string"), 9, "0")).alias("dst")).distinct()
+
+
+_GRAPH = """ed AS MATERIALIZED (SELECT DISTINCT 'c' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS src, 'p' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 46 AND l_discount <= 0.01),
+bi AS MATERIALIZED (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed)"""
+
+
+@query("components", f"""
+WITH RECURSIVE {_GRAPH},
+cc(node, comp) USING KEY (node) AS (SELECT src, min(least(src, dst)) FROM bi GROUP BY 1 UNION SELECT * FROM (SELECT bi.dst AS node, min(cc.comp) AS comp FROM cc JOIN bi ON bi.src = cc.node JOIN recurring.cc r ON r.node = bi.dst WHERE cc.comp < r.comp GROUP BY 1))
+SELECT comp AS component, count(*) AS size, {q6("count(*) / (SELECT count(*) FROM cc)")} AS dominance, comp = (SELECT comp FROM cc GROUP BY 1 ORDER BY count(*) DESC, comp LIMIT 1) AS largest FROM cc GROUP BY 1""")
+def components(t):
+    d = gr.component_stats(gr.components(customer_part(t)))
+    return d.select("component", "size", r6("dominance").alias("dominance"), "largest")
+
+
+_LAB = """lb AS MATERIALIZED (SELECT 'c' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS node, CAST(c_nationkey % 5 AS INT) AS label FROM customer UNION ALL SELECT 'p' || lpad(CAST(p_partkey AS VARCHAR), 9, '0'), CAST(p_size % 5 AS INT) FROM part)"""
+
+
+def node_labels(t):
+    c = t.customer.select(F.concat(F.lit("c"), F.lpad(col("c_custkey").cast("string"), 9, "0")).alias("node"), (col("c_nationkey") % 5).cast("int").alias("label"))
+    return c.unionByName(t.part.select(F.concat(F.lit("p"), F.lpad(col("p_partkey").cast("string"), 9, "0")).alias("node"), (col("p_size") % 5).cast("int").alias("label")))
+
+
+@query("charts", f"""
+WITH RECURSIVE {_GRAPH}, {_LAB},
+se AS MATERIALIZED (SELECT bi.* FROM bi JOIN lb x ON x.node = src JOIN lb y ON y.node = dst WHERE x.label = y.label),
+cc(node, comp) USING KEY (node) AS (SELECT src, min(least(src, dst)) FROM se GROUP BY 1 UNION SELECT * FROM (SELECT se.dst AS node, min(cc.comp) AS comp FROM cc JOIN se ON se.src = cc.node JOIN recurring.cc r ON r.node = se.dst WHERE cc.comp < r.comp GROUP BY 1)),
+a AS (SELECT label, coalesce(comp, lb.node) AS chart FROM lb LEFT JOIN cc ON cc.node = lb.node)
+SELECT label, count(DISTINCT chart) AS charts, (SELECT max(n) FROM (SELECT count(*) AS n FROM a b WHERE b.label = a.label GROUP BY chart)) AS largest FROM a GROUP BY 1""")
+def charts(t):
+    d = gr.charts(node_labels(t), customer_part(t)).groupBy("label", "chart").agg(F.count("*").alias("n"))
+    return d.groupBy("label").agg(F.count("*").alias("charts"), F.max("n").alias("largest"))
+
+
+@query("bfs", f"""
+WITH RECURSIVE {_GRAPH}, {_LAB},
+w(node, level) USING KEY (node) AS (SELECT src, 0 FROM (SELECT DISTINCT src FROM ed) JOIN customer ON src = 'c' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') WHERE c_acctbal > 9800
+  UNION SELECT bi.dst, min(w.level) + 1 FROM w JOIN bi ON bi.src = w.node WHERE bi.dst NOT IN (SELECT node FROM recurring.w) GROUP BY 1)
+SELECT w.node, CAST(level AS INT) AS level FROM w JOIN lb ON lb.node = w.node WHERE lb.label = 2 AND level > 0 AND level = (SELECT min(level) FROM w JOIN lb ON lb.node = w.node WHERE lb.label = 2 AND level > 0)""")
+def bfs(t):
+    e = customer_part(t)
+    rich = t.customer.where("c_acctbal > 9800").select(F.concat(F.lit("c"), F.lpad(col("c_custkey").cast("string"), 9, "0")).alias("node"))
+    seeds = e.select(col("src").alias("node")).distinct().join(rich, "node", "left_semi")
+    return gr.nearest_labelled(e, seeds, node_labels(t).where("label = 2")).select("node", "level")
+
+
+@query("adjacency", """
+WITH f AS (SELECT DISTINCT o_custkey AS e, l_partkey AS f FROM lineitem JOIN orders ON l_orderkey = o_orderkey), w AS (SELECT e, min(f) AS o FROM f GROUP BY 1),
+l AS (SELECT DISTINCT o AS src, f AS dst FROM f JOIN w USING (e) WHERE o <> f)
+SELECT src, dst FROM l UNION SELECT dst, src FROM l""")
+def adjacency(t):
+    return part_neighbours(t).select("src", "dst")
+
+
+def part_neighbours(t):
+    """Parts as faces that meet in the customers who ordered them."""
+    f = t.lineitem.select("l_orderkey", "l_partkey").join(t.orders.select(col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    return gr.face_neighbours(f, [], "l_partkey", ["o_custkey"])
+
+
+_ADJ = """f AS (SELECT DISTINCT o_custkey AS e, l_partkey AS f FROM lineitem JOIN orders ON l_orderkey = o_orderkey), w AS (SELECT e, min(f) AS o FROM f GROUP BY 1),
+l AS (SELECT DISTINCT o AS src, f AS dst FROM f JOIN w USING (e) WHERE o <> f), nb AS MATERIALIZED (SELECT src, dst FROM l UNION SELECT dst, src FROM l)"""
+
+
+def _smooth_round(i):
+    return f"""v{i} AS (SELECT nb.src AS node, label, count(*) AS k FROM nb JOIN l{i} ON l{i}.node = nb.dst GROUP BY 1, 2),
+l{i + 1} AS MATERIALIZED (SELECT node, label FROM (SELECT sc.node, sc.label, row_number() OVER (PARTITION BY sc.node ORDER BY round(score + coalesce(0.12 * k / deg, 0), 9) DESC, sc.label) AS rn FROM sc LEFT JOIN dg USING (node) LEFT JOIN v{i} v ON v.node = sc.node AND v.label = sc.label) WHERE rn = 1)"""
+
+
+@query("smooth_labels", f"""
+WITH {_ADJ}, sc AS MATERIALIZED (SELECT l_partkey AS node, l_returnflag AS label, round(avg(l_quantity) / 500, 9) AS score FROM lineitem GROUP BY 1, 2), dg AS (SELECT src AS node, count(*) AS deg FROM nb GROUP BY 1),
+l0 AS MATERIALIZED (SELECT node, label FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, label) AS rn FROM sc) WHERE rn = 1), {_smooth_round(0)}, {_smooth_round(1)}
+SELECT node, label FROM l2""")
+def smooth_labels(t):
+    s = t.lineitem.groupBy(col("l_partkey").alias("node"), col("l_returnflag").alias("label")).agg(F.round(F.avg("l_quantity") / 500, 9).alias("score"))
+    return gr.smooth_labels(s, settle(part_neighbours(t))).select("node", "label")
+
+
+def _taubin_step(i, k):
+    return f"s{i + 1} AS MATERIALIZED (SELECT s{i}.node, v + ({k}) * coalesce(m - v, 0) AS v FROM s{i} LEFT JOIN (SELECT src AS node, avg(v) AS m FROM nb JOIN s{i} ON s{i}.node = dst GROUP BY 1) a ON a.node = s{i}.node)"
+
+
+@query("taubin", f"""
+WITH {_ADJ}, s0 AS (SELECT p_partkey AS node, p_retailprice AS v FROM part), {", ".join(_taubin_step(i, 0.5 if i % 2 == 0 else -0.53) for i in range(4))}
+SELECT node, {q6("v")} AS price FROM s4""")
+def taubin(t):
+    d = gr.taubin(t.part.select(col("p_partkey").alias("node"), col("p_retailprice").alias("v")), part_neighbours(t), ["v"], rounds=2)
+    return d.select("node", r6("v").alias("price"))
+
+
+@query("level_offsets")
+def level_offsets(t):
+    """Brand offsets that reconcile price differences seen by the same customer order."""
+    b = t.part.select(col("p_partkey").alias("l_partkey"), F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int").alias("brand"), "p_retailprice")
+    li = t.lineitem.select("l_orderkey", "l_partkey").join(b, "l_partkey").groupBy("l_orderkey").agg(F.min(F.struct("brand", "p_retailprice")).alias("x"), F.max(F.struct("brand", "p_retailprice")).alias("y"))
+    e = li.where("x.brand < y.brand").groupBy(col("x.brand").alias("a"), col("y.brand").alias("b")).agg(F.avg(col("x.p_retailprice") - col("y.p_retailprice")).alias("diff"), F.count("*").cast("double").alias("w"))
+    return gr.level_offsets(e).select("node", F.round("offset", 4).alias("offset"))
+
+
+def _prune_round(i):
+    return f"""m{i} AS MATERIALIZED (SELECT k, quantile_cont(v, 0.5) AS med, quantile_cont(v, 0.9) - quantile_cont(v, 0.1) AS sp FROM p{i} WHERE op GROUP BY 1),
+a{i} AS MATERIALIZED (SELECT p.*, 1 - abs(v - med) / greatest(sp, 1e-9) < 0.45 AS dr FROM p{i} p JOIN m{i} USING (k) WHERE op),
+n{i} AS MATERIALIZED (SELECT k, count(*) FILTER (WHERE NOT dr) AS lf, count(*) FILTER (WHERE dr) AS gn FROM a{i} GROUP BY 1),
+p{i + 1} AS MATERIALIZED (SELECT a.k, a.v, a.x, gn > 0 AND lf >= 10 AS op FROM a{i} a JOIN n{i} USING (k) WHERE NOT dr UNION ALL SELECT k, v, x, op FROM p{i} WHERE NOT op)"""
+
+
+@query("prune", f"""
+WITH p0 AS MATERIALIZED (SELECT l_suppkey AS k, l_extendedprice AS v, l_quantity AS x, true AS op FROM lineitem), {_prune_round(0)}, {_prune_round(1)}, {_prune_round(2)}
+SELECT k AS l_suppkey, count(*) AS kept, {q6("min(v)")} AS low, {q6("max(v)")} AS high, count(*) >= 10 AS accepted FROM p3 GROUP BY 1""")
+def prune(t):
+    def agree(d):
+        def step(d, g):
+            return g.attach_quantiles(d, _m=(col("v"), 0.5), _a=(col("v"), 0.1), _b=(col("v"), 0.9))
+
+        d = by_group(d, ["l_suppkey"], step)
+        return d.withColumn("agreement", 1 - F.abs(col("v") - col("_m")) / F.greatest(col("_b") - col("_a"), F.lit(1e-9))).drop("_m", "_a", "_b")
+
+    d = gr.prune(t.lineitem.select("l_suppkey", col("l_extendedprice").alias("v")), ["l_suppkey"], agree)
+    return d.groupBy("l_suppkey").agg(F.count("*").alias("kept"), r6(F.min("v")).alias("low"), r6(F.max("v")).alias("high"), F.bool_and("accepted").alias("accepted"))
+
+
+@query("orbit_fit")
+def orbit_fit(t):
+    from clipledger.plans.aggregates import LINE_ORDER
+
+    v = t.lineitem.select(*LINE_ORDER, (col("l_quantity") / 10).alias("x"), (col("l_discount") * 20).alias("y"), (col("l_extendedprice") / 40000).alias("z"))
+    d = gr.orbit_fit(v, ["l_suppkey"], LINE_ORDER, "x", "y", "z")
+    return d.groupBy("l_suppkey").agg(F.round(F.avg("radius"), 5).alias("radius"), F.round(F.stddev_pop("elevation"), 5).alias("elevation_spread"), F.count("*").alias("views"))
+
+
+def _family(name, test, score, extra):
+    """CTEs for one family: its best run, member spread and pick."""
+    p = name[0]
+    return f"""{p}f AS MATERIALIZED (SELECT * FROM fv WHERE {test}), {p}st AS (SELECT user_id, count(*) AS n, quantile_cont(mk, 0.5) AS m FROM {p}f GROUP BY 1),
+{p}g AS (SELECT *, CASE WHEN us - lag(us) OVER w > {30 * HOURS} THEN 1 ELSE 0 END AS nw FROM {p}f WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+{p}r AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS run FROM {p}g),
+{p}m AS (SELECT *, quantile_cont(ap, 0.5) OVER (PARTITION BY user_id, run) AS med FROM {p}r), {p}k AS MATERIALIZED (SELECT * FROM {p}m WHERE abs(ln(ap / med)) <= 0.6),
+{p}s AS (SELECT user_id, run, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, count(*) FILTER (WHERE st) DESC, quantile_cont(sc, 0.5) DESC, max(us) - min(us) DESC, min(us)) AS rn FROM {p}k GROUP BY 1, 2 HAVING count(*) >= 3 AND count(*) FILTER (WHERE st) > 0),
+{p}b AS MATERIALIZED (SELECT k.* FROM {p}k k JOIN {p}s s ON s.user_id = k.user_id AND s.run = k.run AND s.rn = 1),
+{p}n AS (SELECT user_id, count(*) AS sup FROM {p}b GROUP BY 1), {p}c AS (SELECT x.user_id, quantile_cont((abs(x.s1 - y.s1) + abs(x.s2 - y.s2)) / 2, 0.5) AS con FROM {p}b x JOIN {p}b y ON x.user_id = y.user_id AND x.event_id < y.event_id GROUP BY 1),
+{p}p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round({score} - 0.05 * least(abs(ln(ap / med)) / 0.6, 1), 12) DESC, sc DESC, us) AS rn FROM {p}b WHERE st {extra})"""
+
+
+@query("families", f"""
+WITH {FRAMES}, fv AS MATERIALIZED (SELECT user_id, event_id, us, k / 100.0 AS mk, greatest(greatest(k / 50.0, 1e-6), 1 / greatest(k / 50.0, 1e-6)) AS ap, value > 5 AS st, value / 100 AS sc, value / 10 AS dt, 0.3 + k / 200.0 AS s2c, value / 300 AS s1, kind / 5 AS s2 FROM fr),
+{_family("primary", "mk >= 0.6", "sc", "AND dt >= 1")}, {_family("secondary", "mk <= 0.4", "s2c", "")},
+u AS (SELECT DISTINCT user_id FROM fv),
+z AS (SELECT u.user_id, coalesce(pst.n, 0) AS pf, coalesce(sst.n, 0) AS sf, pst.m - sst.m AS sep, coalesce(pn.sup, 0) AS ps, coalesce(sn.sup, 0) AS ss, coalesce(pc.con, 1) AS pcon, coalesce(scn.con, 1) AS scon, pp.event_id AS pe, sp.event_id AS se,
+  (abs(pp.s1 - sp.s1) + abs(pp.s2 - sp.s2)) / 2 AS dis FROM u LEFT JOIN pst USING (user_id) LEFT JOIN sst USING (user_id) LEFT JOIN pn USING (user_id) LEFT JOIN sn USING (user_id) LEFT JOIN pc USING (user_id) LEFT JOIN sc scn USING (user_id)
+  LEFT JOIN (SELECT * FROM pp WHERE rn = 1) pp USING (user_id) LEFT JOIN (SELECT * FROM sp WHERE rn = 1) sp USING (user_id))
+SELECT user_id, pe AS "primary", se AS secondary, ps AS primary_support, {q6("pcon")} AS primary_consensus, {q6("dis")} AS dissimilarity,
+  {codes_sql(("unsupported_families", "pf < 3 OR sf < 3"), ("families_not_separated", "sep < 0.3"), ("no_stable_family_run", "ps = 0 OR ss = 0"), ("primary_consensus_too_low", "pcon > 0.25"), ("secondary_consensus_too_low", "scon > 0.25"), ("no_primary_view", "pe IS NULL"), ("no_secondary_view", "se IS NULL"), ("views_not_distinct", "dis < 0.1"))} AS reasons FROM z""")
+def families(t):
+    f = frames(t).select("user_id", "event_id", "us", (col("k") / 100.0).alias("mk"), (col("k") / 50.0).alias("asp"), "value", (col("value") / 100).alias("sc"), (col("value") / 10).alias("dt"), (0.3 + col("k") / 200.0).alias("s2c"), F.array(col("value") / 300, col("kind") / 5).alias("sil"))
+    f = f.withColumn("app", col("sil"))
+    d = gr.select_families(f, ["user_id"], "us", ["event_id"], marking="mk", aspect=col("asp"), strict=col("value") > 5, score="sc", detail="dt", secondary="s2c", silhouette="sil", appearance="app", gap=30 * HOURS,
+                           limits={"marked": 0.6, "plain": 0.4, "consensus": 0.25, "detail": 1.0, "aspect": 0.6})
+    return d.select("user_id", "primary", "secondary", "primary_support", r6("primary_consensus").alias("primary_consensus"), r6("dissimilarity").alias("dissimilarity"), joined("reasons").alias("reasons"))
