@@ -22,10 +22,14 @@ def norm(a) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and use it inside ``fn``; a plain reference inside a lambda is evaluated per element."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def normalised(a) -> Column:
     a = _c(a)
-    n = norm(a)
-    return F.transform(a, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)))
+    return let(norm(a), lambda n: F.transform(a, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0))))
 
 
 def mean_abs_diff(a, b) -> Column:
@@ -41,9 +45,9 @@ def squared_distance(a, b) -> Column:
 
 def softmax(a) -> Column:
     a = _c(a)
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / total(e))
+    raised = lambda top: F.transform(a, lambda x: F.exp(x - top))
+    shared = lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s))
+    return let(let(F.array_max(a), raised), shared)
 
 
 def argmax(a) -> Column:

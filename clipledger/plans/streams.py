@@ -1 +1,91 @@
-"""Queries."""
+"""Streaming queries over the events, run to completion and read back."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from clipledger.functions.rules import Rule, apply_gates
+from clipledger.functions.times import micros
+from clipledger.plans.registry import big, codes_sql, joined, q6, query, r6
+from clipledger.plans.windows import FRAMES
+from clipledger.streaming import streams as st
+
+col = F.col
+K_SQL = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
+HOUR = 3_600_000_000
+
+
+def folders(spark) -> tuple[str, str]:
+    """Fresh output and checkpoint folders below the shared checkpoint folder of the session."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clipledger-")
+    run = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{run}/out", f"{run}/state"
+
+
+def event_stream(t):
+    """The events table as a file stream with an instant column."""
+    d = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.path)
+    k = F.get_json_object("props", "$.k").cast("int")
+    return d.select("event_id", "user_id", "event_type", "value", k.alias("k"), micros(col("ts")).alias("us")).withColumn("at", F.timestamp_micros("us"))
+
+
+_MARK = "(SELECT epoch_ms(max(ts)) FROM events) * 1000"
+
+
+@query("stream_runs", f"""
+WITH {FRAMES}, g AS (SELECT *, CASE WHEN us - lag(us) OVER w >= {8 * HOUR} THEN 1 ELSE 0 END AS nw FROM fr WINDOW w AS (PARTITION BY user_id ORDER BY us)), r AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT user_id, min(us) AS start_us, max(us) AS last_us, count(*) AS "rows", {q6("max(value)")} AS best FROM r GROUP BY user_id, run HAVING max(us) + {8 * HOUR} <= {_MARK} - {HOUR}""")
+def stream_runs(t):
+    out, state = folders(t.spark)
+    d = st.run_once(st.stream_runs(event_stream(t), ["user_id"], "at", "8 hours", "1 hour", best=F.max("value")), out, state)
+    return d.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("last").alias("last_us"), "rows", r6("best").alias("best"))
+
+
+@query("stream_hints", f"""
+WITH {FRAMES}, e AS (SELECT user_id, event_type, us, k / 100.0 AS c FROM fr WHERE k / 100.0 >= 0.2), w AS (SELECT *, us // {24 * HOUR} * {24 * HOUR} - s * {12 * HOUR} + CASE WHEN us % {24 * HOUR} >= {12 * HOUR} THEN {12 * HOUR} ELSE 0 END AS b FROM e, (VALUES (0), (1)) v(s))
+SELECT user_id, b AS start_us, event_type, count(*) AS "rows", {q6("avg(c)")} AS mean_confidence, {q6("max(c)")} AS best_confidence FROM w GROUP BY 1, 2, 3 HAVING b + {24 * HOUR} <= {_MARK} - {HOUR}""")
+def stream_hints(t):
+    out, state = folders(t.spark)
+    d = st.stream_hints(event_stream(t).withColumn("c", col("k") / 100.0), ["user_id"], "at", "event_type", "c", "24 hours", "1 hour", "12 hours")
+    d = st.run_once(d, out, state)
+    return d.select("user_id", F.unix_micros("start").alias("start_us"), "event_type", "rows", r6("mean_confidence").alias("mean_confidence"), r6("best_confidence").alias("best_confidence"))
+
+
+@query("stream_jobs", """
+WITH s AS (SELECT user_id, event_id, epoch_us(ts) AS us, CASE event_type WHEN 'signup' THEN 'started' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS st FROM events)
+SELECT user_id, max_by(st, row(us, st)) AS status, max(us) AS updated_us, count(DISTINCT event_id) AS events, count(DISTINCT event_id) FILTER (WHERE st = 'started') AS attempts FROM s GROUP BY 1""")
+def stream_jobs(t):
+    out, state = folders(t.spark)
+    s = F.when(col("event_type") == "signup", "started").when(col("event_type") == "purchase", "completed").when(col("event_type") == "error", "failed").otherwise("running")
+    # every event is delivered twice, as an at-least-once source may do
+    d = event_stream(t).withColumn("st", s).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    d = st.latest_per_key(st.run_once(st.stream_jobs(d, "user_id", "event_id", "at", "st", "1 hour"), out, state, "update"), ["user_id"])
+    return d.select("user_id", "status", F.unix_micros("updated").alias("updated_us"), "events", "attempts")
+
+
+@query("stream_cadence", f"""
+WITH RECURSIVE {FRAMES}, f AS (SELECT user_id, event_id, us / 1e6 - 1704067200 AS d, row_number() OVER (PARTITION BY user_id ORDER BY us / 1e6 - 1704067200, event_id) AS i FROM fr),
+x AS (SELECT user_id, event_id, i, CASE WHEN d >= (i - 1) / {1 / 40000!r} * 0.5 THEN d ELSE (i - 1) / {1 / 40000!r} END AS t FROM f),
+s AS (SELECT user_id, 0 AS i, 0::BIGINT AS nxt, 0 AS n, NULL::BIGINT AS event_id FROM f GROUP BY 1
+  UNION ALL SELECT z.user_id, CAST(z.xi AS INTEGER), CASE WHEN hit THEN greatest(z.nxt + 1, CAST(floor(z.t / 43200.0) AS BIGINT) + 1) ELSE z.nxt END, z.n + hit::INT, CASE WHEN hit THEN z.ev END
+  FROM (SELECT s.user_id, x.i AS xi, s.nxt, s.n, x.t, x.event_id AS ev, x.t + 20000.0 >= s.nxt * 43200.0 AND s.n < 50 AS hit FROM s JOIN x ON x.user_id = s.user_id AND x.i = s.i + 1) z)
+SELECT user_id, event_id AS frame, n - 1 AS candidate_index FROM s WHERE event_id IS NOT NULL""")
+def stream_cadence(t):
+    out, state = folders(t.spark)
+    d = event_stream(t).withColumn("device", col("us") / 1e6 - 1704067200)
+    d = st.run_once(st.stream_cadence(d, "user_id", "at", "event_id", "device", 1 / 43200.0, 1 / 40000, 50, "1 hour"), out, state)
+    return d.select("user_id", "frame", "candidate_index")
+
+
+@query("stream_publish", f"""
+SELECT event_id, {codes_sql(("value_too_low", "value < 2"), ("k_too_low", f"{K_SQL} < 10"))} AS reasons FROM events""")
+def stream_publish(t):
+    out, state = folders(t.spark)
+
+    def build(batch):
+        return apply_gates(batch, [Rule("value_too_low", col("value") < 2), Rule("k_too_low", col("k") < 10)]).select("event_id", "reasons")
+
+    return st.run_once(event_stream(t), out, state, build=build).select("event_id", joined("reasons").alias("reasons"))
