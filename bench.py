@@ -37,12 +37,12 @@ def carve_fixture(spark, clips: int, size: int = 96):
             a = ((rays / axes) ** 2).sum(-1)
             b = 2 * (rays / axes * (c / axes)).sum(-1)
             disc = b * b - 4 * a * (((c / axes) ** 2).sum() - 1)
-            rows.append((ring * 8 + k, rot.ravel().tolist(), (-rot @ c).tolist(), focal, w / 2, h / 2, 0.0, w, h, (disc >= 0).astype(np.uint8).tobytes()))
-    schema = "view int, rotation array<double>, translation array<double>, focal double, cx double, cy double, k1 double, width int, height int, mask binary"
+            rows.append((ring * 8 + k, rot.ravel().tolist(), (-rot @ c).tolist(), focal, w / 2, h / 2, 0.0, w, h, np.packbits((disc >= 0).ravel(), bitorder="little").view(np.int64).tolist()))
+    schema = "view int, rotation array<double>, translation array<double>, focal double, cx double, cy double, k1 double, width int, height int, mask array<bigint>"
     from pyspark.sql import functions as F
 
     ids = spark.range(clips).withColumnRenamed("id", "clip")
-    views = spark.createDataFrame(rows, schema).withColumn("clip", F.explode(F.sequence(F.lit(0), F.lit(clips - 1))).cast("long"))
+    views = spark.createDataFrame(rows, schema).withColumn("clip", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(clips - 1).cast("long"))))
     return ids, views, size
 
 

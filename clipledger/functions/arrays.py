@@ -59,3 +59,10 @@ def argmax(a) -> Column:
 def ordered_unit_angle(a, b) -> Column:
     """Angle in degrees between unit vectors, safe at the ends."""
     return F.degrees(F.acos(F.least(F.greatest(dot(a, b), F.lit(-1.0)), F.lit(1.0))))
+
+
+def unit_angle3(a, b) -> Column:
+    """Angle in degrees between unit vectors of three, written out so that it stays in generated code."""
+    a, b = _c(a), _c(b)
+    cosine = sum((a[i] * b[i] for i in range(1, 3)), a[0] * b[0])
+    return F.degrees(F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0))))

@@ -14,6 +14,7 @@ from clipledger.session import join_same, settle
 
 # Edges of the view-pair angle bins in degrees.
 ANGLE_EDGES = [0.0, 15.0, 35.0, 65.0, 100.0, 140.0, 180.000001]
+MAX_PACKED_TOKENS = 256
 
 
 def angle_bin(angle: Column) -> Column:
@@ -40,12 +41,21 @@ def view_pairs(views: DataFrame, tokens: DataFrame, by: Sequence[str], view: str
     rare = by_group(tf, by + ["_v"], lambda d, g: g.rank(d, [F.col("_f").desc(), F.col("_t")], "_i")).where(F.col("_i") >= min_shared)
     left, right = rare.select(*by, "_t", F.col("_v").alias("view_a")), rare.select(*by, "_t", F.col("_v").alias("view_b"))
     cand = join_same(left, right, by + ["_t"]).where("view_a < view_b").select(*by, "view_a", "view_b").distinct()
-    dirs = views.select(*by, F.col(view).alias("_v"), F.col(direction).alias("_d"))
-    cand = join_same(cand, dirs.withColumnRenamed("_v", "view_a").withColumnRenamed("_d", "_da"), by + ["view_a"])
-    cand = join_same(cand, dirs.withColumnRenamed("_v", "view_b").withColumnRenamed("_d", "_db"), by + ["view_b"])
-    cand = cand.withColumn("angle", arrays.ordered_unit_angle("_da", "_db")).where(F.col("angle") >= min_angle).drop("_da", "_db")
-    both = join_same(join_same(cand, tk.withColumnRenamed("_v", "view_a"), by + ["view_a"]), tk.withColumnRenamed("_v", "view_b"), by + ["view_b", "_t"], "left_semi")
-    out = both.groupBy(*by, "view_a", "view_b").agg(F.count("*").alias("shared"), F.max("angle").alias("angle")).where(F.col("shared") >= min_shared)
+    info = views.select(*by, F.col(view).alias("_v"), F.col(direction).alias("_d"))
+    longest = tk.groupBy(*by, "_v").agg(F.count("*").alias("_k")).agg(F.max("_k")).first()[0] or 0
+    packed = longest <= MAX_PACKED_TOKENS
+    if packed:  # token lists are short: they travel with the direction and are compared in place
+        info = join_same(info, tk.groupBy(*by, "_v").agg(F.collect_list("_t").alias("_ts")), by + ["_v"])
+    ends = {"a": {"_v": "view_a", "_d": "_da", "_ts": "_ta"}, "b": {"_v": "view_b", "_d": "_db", "_ts": "_tb"}}
+    for names in ends.values():
+        cand = join_same(cand, info.withColumnsRenamed(names), by + [names["_v"]])
+    cand = cand.withColumn("angle", arrays.unit_angle3("_da", "_db")).where(F.col("angle") >= min_angle).drop("_da", "_db")
+    if packed:
+        out = cand.withColumn("shared", F.size(F.array_intersect("_ta", "_tb")).cast("long")).drop("_ta", "_tb")
+    else:
+        both = join_same(join_same(cand, tk.withColumnRenamed("_v", "view_a"), by + ["view_a"]), tk.withColumnRenamed("_v", "view_b"), by + ["view_b", "_t"], "left_semi")
+        out = both.groupBy(*by, "view_a", "view_b").agg(F.count("*").alias("shared"), F.max("angle").alias("angle"))
+    out = out.where(F.col("shared") >= min_shared)
     return out.withColumn("angle_bin", angle_bin(F.col("angle")))
 
 

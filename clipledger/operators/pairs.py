@@ -30,7 +30,9 @@ def _block_pairs(df: DataFrame, by: list[str], vector: str, order: Sequence) ->
     left = join_same(packed, last, by).select(
         *by, F.col("bj").alias("bi"), F.explode(F.sequence("bj", "_last")).alias("bj"), F.col("b").alias("a"), F.col("kb").alias("ka")
     )
-    return join_same(left, packed, by + ["bj"])
+    # explicit partitions: the rows are few but each is worth a block of distances
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return join_same(left.repartition(n, *by, "bi", "bj"), packed, by + ["bj"])
 
 
 def _distances(row) -> np.ndarray:

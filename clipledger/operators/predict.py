@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipledger.functions.rules import Rule, apply_gates
+from clipledger.operators.groups import Whole, by_group
 from clipledger.operators.lineage import audit_sets
-from clipledger.session import join_same
+from clipledger.session import join_same, spread_groups
 
 MERGE_SALTS = 64
 
@@ -84,8 +85,9 @@ def predict_missing(df: DataFrame, cache: DataFrame, predictor: Predictor, ids:
 def merge_aggregate(df: DataFrame, by: Sequence[str], partial: Callable, merge: Callable, finish: Callable, state: str, result: str) -> DataFrame:
     """User-defined aggregate with partial states.
 
-    ``partial(group_pdf) -> dict`` runs on each Arrow batch, ``merge(states_pdf) -> dict`` on salted and then on all
-    states of a group, ``finish(state_row) -> dict`` gives the result. A hot group ships only states.
+    ``partial(group_pdf) -> dict`` gives a state, ``merge(states_pdf) -> dict`` joins states, ``finish(state_row) ->
+    dict`` gives the result. Groups that fit a task are handed over whole; hot groups are reduced per Arrow batch,
+    merged under salts and then merged once more, so that they ship only states.
     """
     by = list(by)
     keys = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
@@ -98,13 +100,22 @@ def merge_aggregate(df: DataFrame, by: Sequence[str], partial: Callable, merge:
 
     def join(salted):
         def run(pdf):
-            return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by + (["_salt"] if salted else [])}, **merge(pdf)}])
+            head = [*by, "_salt"] if salted else by
+            return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in head}, **merge(pdf)}])
 
         return run
 
-    states = df.mapInPandas(start, f"{keys}, {state}").withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(MERGE_SALTS)))
-    states = states.groupBy(*by, "_salt").applyInPandas(join(True), f"{keys}, `_salt` int, {state}")
-    states = states.drop("_salt").groupBy(*by).applyInPandas(join(False), f"{keys}, {state}")
+    def whole(pdf):
+        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by}, **partial(pdf)}])
+
+    def step(d, g):
+        if isinstance(g, Whole):
+            return spread_groups(d, g.by).groupBy(*g.by).applyInPandas(whole, f"{keys}, {state}")
+        parts = d.mapInPandas(start, f"{keys}, {state}").withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(MERGE_SALTS)))
+        parts = parts.groupBy(*g.by, "_salt").applyInPandas(join(True), f"{keys}, `_salt` int, {state}")
+        return parts.drop("_salt").groupBy(*g.by).applyInPandas(join(False), f"{keys}, {state}")
+
+    states = by_group(df, by, step)
 
     def end(batches):
         for pdf in batches:

@@ -1,22 +1,20 @@
 """Points, voxels, pixels and faces seen from views.
 
-A point is never paired with every view as rows. Views of a clip are packed into bounded batches (pose, camera and
-mask in one struct); a point meets each batch once and folds over its views inside the expression.
+Views of a clip are packed into bounded batches (pose, camera and mask in one struct). A point meets each batch once;
+the views of a batch are unrolled, tested and counted inside one generated stage, so no pair is shuffled or stored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipledger.functions import geometry as geo
 from clipledger.functions.rules import Rule, apply_gates
 from clipledger.operators.groups import by_group, top_k
-from clipledger.session import join_same, settle
+from clipledger.session import join_same, settle, spread_groups
 
 VIEW_BATCH = 16
 BROADCAST_BYTES = 64 << 20
@@ -25,58 +23,59 @@ CAMERA = ["rotation", "translation", "focal", "cx", "cy", "k1", "width", "height
 
 
 def mask_bitmaps(pixels: DataFrame, by: Sequence[str], view: str) -> DataFrame:
-    """One byte per pixel for each view's mask. ``pixels`` holds y, x and the view's width and height; a group is
-    bounded by its image size once equal pixels are merged."""
-    by = list(by)
-    px = pixels.select(*by, view, "y", "x", "width", "height").distinct()
-    keys = ", ".join(f"`{c}` {px.schema[c].dataType.simpleString()}" for c in [*by, view])
-
-    def pack(pdf):
-        w, h = int(pdf["width"].iloc[0]), int(pdf["height"].iloc[0])
-        bits = np.zeros(w * h, np.uint8)
-        bits[pdf["y"].to_numpy(np.int64) * w + pdf["x"].to_numpy(np.int64)] = 1
-        return pd.DataFrame([[pdf[c].iloc[0] for c in [*by, view]] + [bits.tobytes()]], columns=[*by, view, "mask"])
+    """Each view's mask as an array of 64-bit words, one bit per pixel. ``pixels`` holds y, x and the view's width.
 
-    return px.groupBy(*by, view).applyInPandas(pack, f"{keys}, mask binary")
+    Words are formed by partial bit-ors, so a view gathers one value per 64 pixels of its image.
+    """
+    by = list(by)
+    at = (F.col("y") * F.col("width") + F.col("x")).cast("long")
+    words = pixels.select(*by, view, F.expr("width * height").alias("_n"), F.shiftright(at, 6).alias("_w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("_bit"))
+    words = words.groupBy(*by, view, "_w").agg(F.bit_or("_bit").alias("_bits"), F.max("_n").alias("_n"))
+    packed = words.groupBy(*by, view).agg(F.map_from_entries(F.collect_list(F.struct("_w", "_bits"))).alias("_m"), F.max("_n").alias("_n"))
+    every = F.sequence(F.lit(0).cast("long"), F.shiftright(F.col("_n").cast("long") - 1, 6))
+    return packed.select(*by, view, F.transform(every, lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0).cast("long"))).alias("mask"))
 
 
 def _meet(points: DataFrame, views: DataFrame, by: list[str], view: str, fields: Sequence[str]) -> DataFrame:
-    """Points with each batch of their clip's views as ``_vs``. Small batches are broadcast; larger ones are joined
-    with points salted, so that a hot clip is spread over tasks."""
+    """Points with each view of their clip as ``_v``, unrolled inside the stage that consumes it.
+
+    Views travel in batches, so points meet a batch once. Small batches are broadcast after their size is measured;
+    larger ones are joined with points salted, so that a hot clip is spread over tasks.
+    """
     v = by_group(views, by, lambda d, g: g.rank(d, [view], "_i")).withColumn("_b", F.expr(f"(_i - 1) div {VIEW_BATCH}"))
-    batches = settle(v.groupBy(*by, "_b").agg(F.collect_list(F.struct(view, *fields)).alias("_vs"), F.sum(F.lit(256) + (F.length("mask") if "mask" in fields else F.lit(0)) + (4 * F.size("depth_map") if "depth_map" in fields else F.lit(0))).alias("_bytes")))
+    wide = [F.lit(256)] + [8 * F.size(c) for c in ("mask", "depth_map", "conf_map") if c in fields]
+    batches = settle(v.groupBy(*by, "_b").agg(F.collect_list(F.struct(view, *fields)).alias("_vs"), F.sum(sum(wide[1:], wide[0])).alias("_bytes")))
     size = batches.agg(F.coalesce(F.sum("_bytes"), F.lit(0))).first()[0]
     batches = batches.drop("_b", "_bytes")
     if size <= BROADCAST_BYTES:
-        return join_same(points, F.broadcast(batches), by)
-    salted = points.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(SALTS)).cast("int"))
-    copies = batches.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return join_same(salted, copies, by + ["_salt"]).drop("_salt")
+        met = join_same(points, F.broadcast(batches), by)
+    else:
+        salted = points.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(SALTS)).cast("int"))
+        copies = batches.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = join_same(salted, copies, by + ["_salt"]).drop("_salt")
+    return met.withColumn("_v", F.explode("_vs")).drop("_vs")
 
 
-def _pixel(v: Column, x, y, z):
-    """Projection of a point into a view: rounded pixel, depth, whether it lies in front and in the image."""
-    p = geo.project(x, y, z, v["rotation"], v["translation"], v["focal"], v["cx"], v["cy"], v["k1"])
-    u, w = F.rint(p["u"]), F.rint(p["v"])
-    inside = (p["z"] > 1e-9) & (u >= 0) & (w >= 0) & (u <= v["width"] - 1) & (w <= v["height"] - 1)
-    return u, w, p["z"], inside
+def _seen(d: DataFrame) -> DataFrame:
+    """Add rounded pixel ``_u``, ``_w``, depth ``_z`` and whether the point (x, y, z) lies in front and in the image."""
+    v = F.col("_v")
+    p = geo.project(F.col("x"), F.col("y"), F.col("z"), v["rotation"], v["translation"], v["focal"], v["cx"], v["cy"], v["k1"])
+    d = d.withColumn("_p", p).withColumns({"_u": F.rint("_p.u"), "_w": F.rint("_p.v"), "_z": F.col("_p.z")}).drop("_p")
+    inside = (F.col("_z") > 1e-9) & (F.col("_u") >= 0) & (F.col("_w") >= 0) & (F.col("_u") <= v["width"] - 1) & (F.col("_w") <= v["height"] - 1)
+    return d.withColumn("_in", inside).withColumn("_at", F.when(F.col("_in"), F.col("_w") * v["width"] + F.col("_u")).otherwise(0).cast("int"))
 
 
-def _masked(v: Column, u, w) -> Column:
-    """Mask bit at a pixel that lies in the image."""
-    return F.substring(v["mask"], (w * v["width"] + u + 1).cast("int"), F.lit(1)) == F.unhex(F.lit("01"))
+def _masked() -> Column:
+    """Mask bit of the pixel ``_at``."""
+    word = F.get(F.col("_v.mask"), F.shiftright("_at", 6))
+    return F.call_function("shiftright", word, (F.col("_at") % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
 
 
 def point_support(points: DataFrame, views: DataFrame, by: Sequence[str], point: str, view: str) -> DataFrame:
     """Number of views whose mask contains the projection of each point (x, y, z)."""
     by = list(by)
-    d = _meet(points.select(*by, point, "x", "y", "z"), views, by, view, [*CAMERA, "mask"])
-
-    def hit(v):
-        u, w, _, inside = _pixel(v, F.col("x"), F.col("y"), F.col("z"))
-        return F.when(inside, _masked(v, u, w)).otherwise(F.lit(False))
-
-    return d.groupBy(*by, point).agg(F.sum(F.size(F.filter("_vs", hit))).cast("long").alias("support"))
+    d = _seen(_meet(points.select(*by, point, "x", "y", "z"), views, by, view, [*CAMERA, "mask"]))
+    return d.groupBy(*by, point).agg(F.count(F.when(F.col("_in") & _masked(), 1)).alias("support"))
 
 
 def carve(voxels: DataFrame, views: DataFrame, by: Sequence[str], voxel: Sequence[str], view: str, limit: int | Column = 0, outside: str = "abstain") -> DataFrame:
@@ -85,13 +84,9 @@ def carve(voxels: DataFrame, views: DataFrame, by: Sequence[str], voxel: Sequenc
     if outside not in ("abstain", "reject"):
         raise ValueError("outside must be abstain or reject")
     by, voxel = list(by), list(voxel)
-    d = _meet(voxels, views, by, view, [*CAMERA, "mask"])
-
-    def rejects(v):
-        u, w, _, inside = _pixel(v, F.col("x"), F.col("y"), F.col("z"))
-        return F.when(inside, ~_masked(v, u, w)).otherwise(F.lit(outside == "reject"))
-
-    votes = d.groupBy(*by, *voxel, "x", "y", "z").agg(F.sum(F.size(F.filter("_vs", rejects))).cast("long").alias("rejections"))
+    d = _seen(_meet(voxels, views, by, view, [*CAMERA, "mask"]))
+    miss = F.when(F.col("_in"), ~_masked()).otherwise(F.lit(outside == "reject"))
+    votes = d.groupBy(*by, *voxel).agg(F.count(F.when(miss, 1)).alias("rejections"), *[F.first(c).alias(c) for c in "xyz"])
     return votes.where(F.col("rejections") <= limit)
 
 
@@ -99,7 +94,7 @@ def voxel_grid(clips: DataFrame, resolution: int, low: float = -1.0, high: float
     """Cell centres iz, iy, ix, x, y, z of a cubic grid for every clip row; planes are spread before cells are made."""
     step = (high - low) / (resolution - 1)
     axis = F.sequence(F.lit(0), F.lit(resolution - 1))
-    d = clips.withColumn("iz", F.explode(axis)).repartition("iz").withColumn("iy", F.explode(axis)).withColumn("ix", F.explode(axis))
+    d = spread_groups(clips.withColumn("iz", F.explode(axis)), [*clips.columns, "iz"]).withColumn("iy", F.explode(axis)).withColumn("ix", F.explode(axis))
     return d.withColumns({c: low + F.col(f"i{c}") * step for c in "xyz"})
 
 
@@ -116,20 +111,10 @@ def fuse_samples(samples: DataFrame, by: Sequence[str], measured: Column, depth:
 def fuse(voxels: DataFrame, views: DataFrame, by: Sequence[str], voxel: Sequence[str], view: str, mu: float) -> DataFrame:
     """Truncated signed distance per voxel from depth views (flat ``depth_map`` and ``conf_map`` arrays, 0 = none)."""
     by, voxel = list(by), list(voxel)
-    d = _meet(voxels, views, by, view, [*CAMERA, "depth_map", "conf_map"])
-
-    def add(acc, v):
-        u, w, z, inside = _pixel(v, F.col("x"), F.col("y"), F.col("z"))
-        at = F.when(inside, (w * v["width"] + u).cast("int")).otherwise(F.lit(0))
-        measured, conf = F.get(v["depth_map"], at).cast("double"), F.get(v["conf_map"], at).cast("double")
-        sdf = (measured - z) / mu
-        use = inside & (measured > 1e-6) & (sdf >= -1)
-        weight = F.when(use, conf / F.when(z > 1e-9, z).otherwise(1.0)).otherwise(0.0)
-        return F.struct((acc["s"] + weight * F.least(sdf, F.lit(1.0))).alias("s"), (acc["w"] + weight).alias("w"))
-
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
-    d = d.withColumn("_a", F.aggregate("_vs", start, add))
-    return d.groupBy(*by, *voxel).agg(F.try_divide(F.sum("_a.s"), F.sum("_a.w")).alias("tsdf"), F.sum("_a.w").alias("weight"))
+    d = _seen(_meet(voxels, views, by, view, [*CAMERA, "depth_map", "conf_map"]))
+    measured, conf = F.get(F.col("_v.depth_map"), F.col("_at")).cast("double"), F.get(F.col("_v.conf_map"), F.col("_at")).cast("double")
+    d = d.select(*by, *voxel, F.when(F.col("_in"), measured).otherwise(0.0).alias("_m"), "_z", conf.alias("_c"))
+    return fuse_samples(d, [*by, *voxel], F.col("_m"), F.col("_z"), F.col("_c"), mu)
 
 
 def blend_fields(fused: DataFrame, hull: Column) -> DataFrame:
@@ -143,16 +128,11 @@ def project_faces(faces: DataFrame, views: DataFrame, by: Sequence[str], view: s
     off-screen faces dropped before anything is exploded."""
     by = list(by)
     d = _meet(faces, views, by, view, CAMERA)
-
-    def corners(v):
-        out = []
-        for n, c in enumerate("pqr"):
-            p = geo.project(F.col(c)[0], F.col(c)[1], F.col(c)[2], v["rotation"], v["translation"], v["focal"], v["cx"], v["cy"], v["k1"])
-            out += [p["u"].alias(f"u{n}"), p["v"].alias(f"v{n}"), p["z"].alias(f"z{n}")]
-        return F.struct(v[view].alias(view), v["width"].alias("width"), v["height"].alias("height"), *out)
-
-    d = d.withColumn("_c", F.explode(F.transform("_vs", corners))).drop("_vs")
-    d = d.select("*", "_c.*").drop("_c")
+    v = F.col("_v")
+    for n, c in enumerate("pqr"):
+        p = geo.project(F.col(c)[0], F.col(c)[1], F.col(c)[2], v["rotation"], v["translation"], v["focal"], v["cx"], v["cy"], v["k1"])
+        d = d.withColumn("_c", p).withColumns({f"u{n}": F.col("_c.u"), f"v{n}": F.col("_c.v"), f"z{n}": F.col("_c.z")}).drop("_c")
+    d = d.withColumns({view: v[view], "width": v["width"], "height": v["height"]}).drop("_v")
     return d.where("z0 > 1e-9 AND z1 > 1e-9 AND z2 > 1e-9 AND greatest(u0, u1, u2) >= 0 AND greatest(v0, v1, v2) >= 0 AND least(u0, u1, u2) <= width - 1 AND least(v0, v1, v2) <= height - 1")
 
 

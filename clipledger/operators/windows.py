@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clipledger.functions import arrays
 from clipledger.functions.scoring import clip
 from clipledger.operators.groups import by_group
-from clipledger.session import join_same
+from clipledger.session import join_same, settle
 
 
 def lag_change(df: DataFrame, by: Sequence[str], order: Sequence, vector: str, name: str = "change") -> DataFrame:
@@ -55,7 +55,7 @@ def stable_run(df: DataFrame, by: Sequence[str], time: str, order: Sequence, gap
     """
     by = list(by)
     a = F.greatest(F.greatest(aspect, F.lit(1e-6)), 1 / F.greatest(aspect, F.lit(1e-6)))
-    d = temporal_runs(df.withColumn("_aspect", a).withColumn("_strict", strict.cast("int")), by, time, order, gap)
+    d = settle(temporal_runs(df.withColumn("_aspect", a).withColumn("_strict", strict.cast("int")), by, time, order, gap))
     d = by_group(d, by + ["run"], lambda d, g: g.attach_quantiles(d, median_aspect=(F.col("_aspect"), 0.5)))
     kept = d.where(F.abs(F.log(F.col("_aspect") / F.col("median_aspect"))) <= max_deviation)
     stats = kept.groupBy(*by, "run").agg(

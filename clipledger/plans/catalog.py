@@ -85,9 +85,8 @@ SELECT doc_id, CAST(coalesce(sum(greatest(len(a) - 2, 0)), 0) AS BIGINT) AS tria
 def fan_triples(t):
     lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("s"))
     ids = F.transform(F.filter(F.split("s", " "), lambda x: x != ""), lambda x: F.length(x))
-    corner = F.aggregate("tri", F.lit(0).cast("long"), lambda a, x: a + x["v0"] + x["v1"] + x["v2"])
-    tri = lines.select("doc_id", ids.alias("ids")).select("doc_id", rd.fan(col("ids")).alias("tri"))
-    return tri.select("doc_id", F.size("tri").alias("n"), corner.alias("c")).groupBy("doc_id").agg(F.sum("n").alias("triangles"), F.sum("c").alias("corner_sum"))
+    tri = rd.fan(lines.select("doc_id", ids.alias("ids")), "ids").groupBy("doc_id").agg(F.count("*").alias("triangles"), F.sum(col("v0") + col("v1") + col("v2")).alias("corner_sum"))
+    return t.documents.select("doc_id").join(tri, "doc_id", "left").select("doc_id", F.coalesce("triangles", F.lit(0)).alias("triangles"), F.coalesce("corner_sum", F.lit(0)).alias("corner_sum"))
 
 
 class LengthPredictor:

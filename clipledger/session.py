@@ -63,3 +63,9 @@ def join_same(left: DataFrame, right: DataFrame, by: list[str], how: str = "inne
         cond = one if cond is None else cond & one
     out = left.join(renamed, cond, how)
     return out.drop(*[f"_r_{c}" for c in by])
+
+
+def spread_groups(df: DataFrame, by: list[str]) -> DataFrame:
+    """Hash-partition by key into the session's shuffle partitions, which adaptive execution then leaves alone: for
+    work whose cost is in the rows' content rather than in their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *[F.col(b) for b in by])

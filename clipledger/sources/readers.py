@@ -97,12 +97,12 @@ def read_sfm(spark: SparkSession, path: str, clip: str = "clip_id") -> tuple[Dat
     return sparse_views(m, clip), sparse_points(m, clip), sparse_observations(m, clip)
 
 
-def fan(ids: Column) -> Column:
-    """Triangles (first, k, k+1) of a polygon's corner ids; fewer than three corners give none."""
-    ids = ids.cast("array<bigint>")
-    corner = lambda k: F.get(ids, k.cast("int"))
-    tri = F.transform(F.sequence(F.lit(1), F.size(ids) - 2), lambda k: F.struct(corner(F.lit(0)).alias("v0"), corner(k).alias("v1"), corner(k + 1).alias("v2")))
-    return F.when(F.size(ids) >= 3, tri).otherwise(F.array().cast("array<struct<v0:bigint,v1:bigint,v2:bigint>>"))
+def fan(polygons: DataFrame, ids: str) -> DataFrame:
+    """Triangles (first, k, k+1) of each row's polygon as rows with their ``part`` number; fewer than three corners
+    give none."""
+    d = polygons.where(F.size(ids) >= 3).withColumn("_k", F.explode(F.sequence(F.lit(1), F.size(ids) - 2)))
+    corner = lambda k: F.get(F.col(ids), k).cast("long")
+    return d.withColumns({"part": F.col("_k") - 1, "v0": corner(F.lit(0)), "v1": corner(F.col("_k")), "v2": corner(F.col("_k") + 1)}).drop("_k")
 
 
 def parse_mesh_text(texts: DataFrame, by: Sequence[str], text: str) -> tuple[DataFrame, DataFrame]:
@@ -119,8 +119,8 @@ def parse_mesh_text(texts: DataFrame, by: Sequence[str], text: str) -> tuple[Dat
     vertices = d.where("_k = 'v'").select(*by, (F.col("_seen") - 1).alias("vid"), at(1).alias("x"), at(2).alias("y"), at(3).alias("z"))
     raw = F.transform(F.slice("_t", F.lit(2), F.size("_t") - 1), lambda c: F.get(F.split(c, "/"), F.lit(0)).try_cast("long"))
     ids = F.transform(raw, lambda i: F.when(i < 0, F.col("_seen") + i).otherwise(i - 1))
-    faces = d.where("_k = 'f'").withColumn("_ids", ids).select(*by, "line", F.posexplode(fan(F.col("_ids"))).alias("part", "t"))
-    return vertices, faces.select(*by, "line", "part", "t.*")
+    faces = fan(d.where("_k = 'f'").select(*by, "line", ids.alias("_ids")), "_ids")
+    return vertices, faces.select(*by, "line", "part", "v0", "v1", "v2")
 
 
 def read_mesh_text(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
