@@ -20,8 +20,8 @@ def carve_fixture(spark, clips: int, size: int = 96):
     """Clips of an ellipsoid seen by 24 views in three rings; masks are drawn from the same ellipsoid."""
     import numpy as np
 
-    w = h = 64
-    focal, radius = 60.0, 3.7
+    w = h = 192
+    focal, radius = 180.0, 3.7
     axes = np.array([0.8, 0.6, 0.5])
     rows = []
     for ring, elev in enumerate((-20.0, 10.0, 40.0)):
