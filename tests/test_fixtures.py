@@ -2,16 +2,19 @@
 
 import json
 import math
+import sys
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from clipledger.functions import geometry as geo
 from clipledger.operators import aggregates as agg, graph, lineage, models, predict as pr, quality, selection, splits, surfaces as sf, windows
 from clipledger.sources import readers, sinks
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CAM = "rotation array<double>, translation array<double>, focal double, cx double, cy double, k1 double, width int, height int"
 
 
@@ -80,16 +83,16 @@ def test_mask_bitmaps_keep_every_pixel(spark):
 
 
 def test_fused_depth_is_signed(spark):
-    eye = [1.0, 0, 0, 0, 1, 0, 0, 0, 1]
-    views = spark.createDataFrame([(0, 0, eye, [0.0, 0, 0], 10.0, 2.0, 2.0, 0.0, 5, 5, [2.0] * 25, [1.0] * 25)], f"clip int, view int, {CAM}, depth_map array<float>, conf_map array<float>")
+    eye = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    views = spark.createDataFrame([(0, 0, eye, [0.0, 0.0, 0.0], 10.0, 2.0, 2.0, 0.0, 5, 5, [2.0] * 25, [1.0] * 25)], f"clip int, view int, {CAM}, depth_map array<float>, conf_map array<float>")
     pts = spark.createDataFrame([(0, 1, 0.0, 0.0, 1.9), (0, 2, 0.0, 0.0, 2.1), (0, 3, 0.0, 0.0, 9.0)], "clip int, id int, x double, y double, z double")
     got = {r.id: r.tsdf for r in sf.fuse(pts, views, ["clip"], ["id"], "view", 0.4).collect()}
     assert got[1] == pytest.approx(0.25) and got[2] == pytest.approx(-0.25) and got[3] is None
 
 
 def test_nearer_face_hides_the_other(spark):
-    eye = [1.0, 0, 0, 0, 1, 0, 0, 0, 1]
-    views = spark.createDataFrame([(0, 0, eye, [0.0, 0, 0], 10.0, 10.0, 10.0, 0.0, 20, 20)], f"clip int, view int, {CAM}")
+    eye = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    views = spark.createDataFrame([(0, 0, eye, [0.0, 0.0, 0.0], 10.0, 10.0, 10.0, 0.0, 20, 20)], f"clip int, view int, {CAM}")
     tri = lambda z: ([-z / 2, -z / 2, z], [z / 2, -z / 2, z], [0.0, z / 2, z])
     faces = spark.createDataFrame([(0, 1, *tri(2.0)), (0, 2, *tri(4.0)), (0, 3, *tri(-1.0))], "clip int, fid int, p array<double>, q array<double>, r array<double>")
     pf = sf.project_faces(faces, views, ["clip"], "view")
@@ -218,7 +221,7 @@ def test_predictions_reader_finds_a_tampered_array(spark, tmp_path):
 def test_publish_once_and_never_nan(spark, tmp_path):
     d = spark.createDataFrame([(1, 2.0)], "b int, a double")
     sinks.publish(d, str(tmp_path / "r"))
-    assert json.loads(next((tmp_path / "r").glob("*.json")).read_text()) == {"a": 2.0, "b": 1}
+    assert json.loads("".join(p.read_text() for p in (tmp_path / "r").glob("*.json"))) == {"a": 2.0, "b": 1}
     with pytest.raises(Exception, match="already exists"):
         sinks.publish(d, str(tmp_path / "r"))
     with pytest.raises(Exception, match="not finite"):
