@@ -38,24 +38,27 @@ def view_pairs(views: DataFrame, tokens: DataFrame, by: Sequence[str], view: str
     tk = settle(tokens.select(*by, F.col(view).alias("_v"), F.col(token).alias("_t")).distinct())
     freq = tk.groupBy(*by, "_t").agg(F.count("*").alias("_f"))
     tf = join_same(tk, freq, by + ["_t"])
-    rare = by_group(tf, by + ["_v"], lambda d, g: g.rank(d, [F.col("_f").desc(), F.col("_t")], "_i")).where(F.col("_i") >= min_shared)
-    left, right = rare.select(*by, "_t", F.col("_v").alias("view_a")), rare.select(*by, "_t", F.col("_v").alias("view_b"))
-    cand = join_same(left, right, by + ["_t"]).where("view_a < view_b").select(*by, "view_a", "view_b").distinct()
+    rare = by_group(settle(tf), by + ["_v"], lambda d, g: g.rank(d, [F.col("_f").desc(), F.col("_t")], "_i")).where(F.col("_i") >= min_shared)
     info = views.select(*by, F.col(view).alias("_v"), F.col(direction).alias("_d"))
+    ends = {"a": {"_v": "view_a", "_d": "_da", "_ts": "_ta"}, "b": {"_v": "view_b", "_d": "_db", "_ts": "_tb"}}
+    angle = arrays.unit_angle3("_da", "_db")
     longest = tk.groupBy(*by, "_v").agg(F.count("*").alias("_k")).agg(F.max("_k")).first()[0] or 0
-    packed = longest <= MAX_PACKED_TOKENS
-    if packed:  # token lists are short: they travel with the direction and are compared in place
+    if longest <= MAX_PACKED_TOKENS:
+        # short token lists travel with the direction, so both tests run where the pair arises and only pairs that
+        # pass are shuffled again
         info = join_same(info, tk.groupBy(*by, "_v").agg(F.collect_list("_t").alias("_ts")), by + ["_v"])
-    ends = {"a": {"_v": "view_a", "_d": "_da", "_ts": "_ta"}, "b": {"_v": "view_b", "_d": "_db", "_ts": "_tb"}}
-    for names in ends.values():
-        cand = join_same(cand, info.withColumnsRenamed(names), by + [names["_v"]])
-    cand = cand.withColumn("angle", arrays.unit_angle3("_da", "_db")).where(F.col("angle") >= min_angle).drop("_da", "_db")
-    if packed:
-        out = cand.withColumn("shared", F.size(F.array_intersect("_ta", "_tb")).cast("long")).drop("_ta", "_tb")
+        full = join_same(rare.select(*by, "_t", "_v"), info, by + ["_v"])
+        cand = join_same(full.withColumnsRenamed(ends["a"]), full.withColumnsRenamed(ends["b"]), by + ["_t"]).where("view_a < view_b")
+        cand = cand.withColumn("angle", angle).withColumn("shared", F.size(F.array_intersect("_ta", "_tb")).cast("long"))
+        out = cand.where((F.col("angle") >= min_angle) & (F.col("shared") >= min_shared)).select(*by, "view_a", "view_b", "shared", "angle").dropDuplicates([*by, "view_a", "view_b"])
     else:
+        slim = rare.select(*by, "_t", "_v")
+        cand = join_same(slim.withColumnRenamed("_v", "view_a"), slim.withColumnRenamed("_v", "view_b"), by + ["_t"]).where("view_a < view_b").select(*by, "view_a", "view_b").distinct()
+        for names in ends.values():
+            cand = join_same(cand, info.withColumnsRenamed(names), by + [names["_v"]])
+        cand = cand.withColumn("angle", angle).where(F.col("angle") >= min_angle).drop("_da", "_db")
         both = join_same(join_same(cand, tk.withColumnRenamed("_v", "view_a"), by + ["view_a"]), tk.withColumnRenamed("_v", "view_b"), by + ["view_b", "_t"], "left_semi")
-        out = both.groupBy(*by, "view_a", "view_b").agg(F.count("*").alias("shared"), F.max("angle").alias("angle"))
-    out = out.where(F.col("shared") >= min_shared)
+        out = both.groupBy(*by, "view_a", "view_b").agg(F.count("*").alias("shared"), F.max("angle").alias("angle")).where(F.col("shared") >= min_shared)
     return out.withColumn("angle_bin", angle_bin(F.col("angle")))
 
 

@@ -20,19 +20,21 @@ BLOCK = 256
 BIN_SHIFT = 44  # keeps exponent and 8 mantissa bits: an order-preserving bin of non-negative doubles
 
 
-def _block_pairs(df: DataFrame, by: list[str], vector: str, order: Sequence) -> DataFrame:
-    """One row per block pair (bi <= bj) with both blocks' vectors as flat arrays."""
+def _block_pairs(df: DataFrame, by: list[str], vector: str, order: Sequence) -> tuple[DataFrame, bool]:
+    """One row per block pair (bi <= bj <= last) with both blocks' vectors as flat arrays, and whether any group has
+    more than one block."""
     v = F.transform(vector, lambda x: x.cast("double"))
     d = df.select(*by, *[c for c in order if c not in by], v.alias("_v"))
     d = by_group(d, by, lambda d, g: g.rank(d, order, "_i")).withColumn("bj", F.expr(f"(_i - 1) div {BLOCK}"))
     packed = settle(d.groupBy(*by, "bj").agg(F.flatten(F.collect_list("_v")).alias("b"), F.count("*").alias("kb")))
     last = packed.groupBy(*by).agg(F.max("bj").alias("_last"))
     left = join_same(packed, last, by).select(
-        *by, F.col("bj").alias("bi"), F.explode(F.sequence("bj", "_last")).alias("bj"), F.col("b").alias("a"), F.col("kb").alias("ka")
+        *by, F.col("bj").alias("bi"), F.explode(F.sequence("bj", "_last")).alias("bj"), F.col("b").alias("a"), F.col("kb").alias("ka"), F.col("_last").alias("last")
     )
     # explicit partitions: the rows are few but each is worth a block of distances
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return join_same(left.repartition(n, *by, "bi", "bj"), packed, by + ["bj"])
+    many = not packed.where("bj > 0").isEmpty()
+    return join_same(left.repartition(n, *by, "bi", "bj"), packed, by + ["bj"]), many
 
 
 def _distances(row) -> np.ndarray:
@@ -63,13 +65,22 @@ def _per_pair(by: list[str], fn: Callable):
 def pair_quantile(df: DataFrame, by: Sequence[str], vector: str, order: Sequence, q: float, name: str) -> DataFrame:
     """Exact linear quantile of the mean absolute difference over all pairs of a group.
 
-    Pass one counts distances per coarse bin; pass two returns only the merged distances of the one or two bins
+    A group of one block is finished by the task that holds it. For larger groups, pass one counts distances per bin; pass two returns only the merged distances of the one or two bins
     that hold the wanted ranks. Groups with fewer than two rows are absent.
     """
     by = list(by)
-    pairs = _block_pairs(df, by, vector, order)
+    pairs, many = _block_pairs(df, by, vector, order)
     keys = "".join(f"`{b}` {df.schema[b].dataType.simpleString()}, " for b in by)
 
+    def direct(row):
+        d = _distances(row)
+        return {name: np.quantile(d, [q])} if len(d) else {name: np.empty(0)}
+
+    lone = pairs.where("last = 0").mapInPandas(_per_pair(by, direct), f"{keys}`{name}` double")
+    if not many:
+        return lone
+    pairs = pairs.where("last > 0").drop("last")
+
     def bins(row):
         b, n = np.unique(_distances(row).view(np.int64) >> BIN_SHIFT, return_counts=True)
         return {"bin": b, "n": n}
@@ -94,4 +105,4 @@ def pair_quantile(df: DataFrame, by: Sequence[str], vector: str, order: Sequence
     cum = by_group(settle(near), by, lambda d, g: g.running(d, ["v"], _up=F.col("n"))).withColumn("hi", F.col("_up") + F.col("skipped"))
     out = cum.groupBy(*by).agg(
         F.max(F.when(holds(F.floor(at)), F.col("v"))).alias("_a"), F.max(F.when(holds(F.ceil(at)), F.col("v"))).alias("_b"), F.max(at - F.floor(at)).alias("_f"))
-    return out.select(*by, (F.col("_a") * (1 - F.col("_f")) + F.col("_b") * F.col("_f")).alias(name))
+    return lone.unionByName(out.select(*by, (F.col("_a") * (1 - F.col("_f")) + F.col("_b") * F.col("_f")).alias(name)))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from clipledger.functions import text
 from clipledger.functions.text import id_token
+from clipledger.functions.times import micros
 from clipledger.operators import splits as sp
 from clipledger.plans.aggregates import LINE_ORDER
 from clipledger.plans.registry import big, joined, q6, query, r6
@@ -85,3 +87,15 @@ def ordered_distinct(t):
 SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT doc_id FROM labels)""")
 def missing(t):
     return sp.missing(t.customer.select("c_custkey", "c_name"), t.labels.select(col("doc_id").alias("c_custkey")), ["c_custkey"])
+
+
+@query("scalars", f"""
+SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS stamp, epoch_us(ts) AS us, {q6("CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) = 0 THEN 0 ELSE user_id / CAST(json_extract_string(props, '$.k') AS INTEGER) END")} AS ratio,
+  {q6("round_even(value / 5, 0)")} AS half_even, {q6("((value - 50) % 7 + 7) % 7")} AS modulo, {q6("sqrt(value * value + user_id * user_id)")} AS hypot, event_type || '_' || lpad(CAST(event_id AS VARCHAR), 8, '0') AS name,
+  isfinite(value) AS finite FROM events""")
+def scalars(t):
+    """Scalar functions: stamps, rational numbers, half-even rounding, positive modulo, padded names."""
+    ratio = text.rational(F.concat(col("user_id").cast("string"), F.lit("/"), F.get_json_object("props", "$.k")))
+    return t.events.select(
+        "event_id", text.utc_stamp(col("ts")).alias("stamp"), micros(col("ts")).alias("us"), r6(ratio).alias("ratio"), r6(F.rint(col("value") / 5)).alias("half_even"),
+        r6(F.pmod(col("value") - 50, F.lit(7.0))).alias("modulo"), r6(F.hypot("value", "user_id")).alias("hypot"), F.concat("event_type", F.lit("_"), text.padded_name("", col("event_id"), 8)).alias("name"), text.finite(col("value")).alias("finite"))

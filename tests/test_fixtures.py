@@ -284,3 +284,16 @@ def test_loop_ranges_cover_the_pairs(spark):
     assert got == want
     with pytest.raises(ValueError):
         loop_ranges(d, ["c"], ["n"], "n", -1, 3)
+
+
+def test_pair_quantile_of_small_and_large_groups(spark, monkeypatch):
+    from clipledger.operators import pairs
+
+    monkeypatch.setattr(pairs, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    data = {"one": rng.random((1, 3)), "small": rng.random((7, 3)), "large": np.round(rng.random((45, 3)), 1)}
+    rows = [(k, i, v.tolist()) for k, m in data.items() for i, v in enumerate(m)]
+    got = {r.k: r.q for r in pairs.pair_quantile(spark.createDataFrame(rows, "k string, i int, v array<double>"), ["k"], "v", ["i"], 0.9, "q").collect()}
+    for k, m in data.items():
+        d = np.abs(m[:, None] - m[None]).mean(-1)[np.triu_indices(len(m), 1)]
+        assert (k not in got) if not len(d) else got[k] == pytest.approx(np.quantile(d, 0.9))
