@@ -68,7 +68,8 @@ class Whole:
 
 
 class Split:
-    """Groups too large for one task: global ranks and block-wise windows."""
+    """Groups too large for one task: global ranks and block-wise windows. Helper columns start with two underscores,
+    so that they cannot meet an operator's own."""
 
     def __init__(self, by: Sequence[str], block: int):
         self.by, self.block = list(by), max(int(block), 1)
@@ -80,15 +81,15 @@ class Split:
         placed = settle(
             df.repartitionByRange(parts, *[F.col(b) for b in self.by], *keys)
             .sortWithinPartitions(*[F.col(b) for b in self.by], *keys)
-            .withColumn("_at", F.monotonically_increasing_id())
-            .withColumn("_part", F.shiftright("_at", PART_BITS))
+            .withColumn("__at", F.monotonically_increasing_id())
+            .withColumn("__part", F.shiftright("__at", PART_BITS))
         )
-        starts = placed.groupBy(*self.by, "_part").agg(F.min("_at").alias("_start"), F.count("*").alias("_n"))
-        upto = Window.partitionBy(*self.by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-        starts = starts.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
-        out = join_same(placed, starts, self.by + ["_part"])
-        return out.withColumn(name, F.col("_at") - F.col("_start") + F.col("_before") + 1).drop(
-            "_at", "_part", "_start", "_n", "_before"
+        starts = placed.groupBy(*self.by, "__part").agg(F.min("__at").alias("__start"), F.count("*").alias("__n"))
+        upto = Window.partitionBy(*self.by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = starts.withColumn("__before", F.coalesce(F.sum("__n").over(upto), F.lit(0)))
+        out = join_same(placed, starts, self.by + ["__part"])
+        return out.withColumn(name, F.col("__at") - F.col("__start") + F.col("__before") + 1).drop(
+            "__at", "__part", "__start", "__n", "__before"
         )
 
     def attach(self, df: DataFrame, **aggs: Column) -> DataFrame:
@@ -97,52 +98,52 @@ class Split:
 
     def slide(self, df: DataFrame, order: Sequence, before: int, after: int, **cols: Callable) -> DataFrame:
         size = max(self.block, before + after + 1)
-        ranked = self.rank(df, order, "_rn").withColumn("_own", F.expr(f"(_rn - 1) div {size}"))
+        ranked = self.rank(df, order, "__rn").withColumn("__own", F.expr(f"(__rn - 1) div {size}"))
         # a row is copied into the next block if that block looks back to it, and likewise forward
-        off = (F.col("_rn") - 1) % size
+        off = (F.col("__rn") - 1) % size
         homes = F.filter(
             F.array(
-                F.col("_own"),
-                F.when(off >= size - before, F.col("_own") + 1),
-                F.when((off < after) & (F.col("_own") > 0), F.col("_own") - 1),
+                F.col("__own"),
+                F.when(off >= size - before, F.col("__own") + 1),
+                F.when((off < after) & (F.col("__own") > 0), F.col("__own") - 1),
             ),
             lambda x: x.isNotNull(),
         )
-        spread = ranked.withColumn("_blk", F.explode(homes))
-        w = Window.partitionBy(*self.by, "_blk").orderBy("_rn")
+        spread = ranked.withColumn("__blk", F.explode(homes))
+        w = Window.partitionBy(*self.by, "__blk").orderBy("__rn")
         out = spread.select("*", *[f(w).alias(n) for n, f in cols.items()])
-        return out.where(F.col("_blk") == F.col("_own")).drop("_rn", "_own", "_blk")
+        return out.where(F.col("__blk") == F.col("__own")).drop("__rn", "__own", "__blk")
 
     def _blocks(self, df: DataFrame, order: Sequence) -> DataFrame:
-        return self.rank(df, order, "_rn").withColumn("_blk", F.expr(f"(_rn - 1) div {self.block}"))
+        return self.rank(df, order, "__rn").withColumn("__blk", F.expr(f"(__rn - 1) div {self.block}"))
 
     def running(self, df: DataFrame, order: Sequence, **cols: Column) -> DataFrame:
         d = settle(self._blocks(df, order))
-        inside = Window.partitionBy(*self.by, "_blk").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
-        earlier = Window.partitionBy(*self.by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-        sums = d.groupBy(*self.by, "_blk").agg(*[F.sum(c).alias(f"_s_{n}") for n, c in cols.items()])
+        inside = Window.partitionBy(*self.by, "__blk").orderBy("__rn").rowsBetween(Window.unboundedPreceding, 0)
+        earlier = Window.partitionBy(*self.by).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+        sums = d.groupBy(*self.by, "__blk").agg(*[F.sum(c).alias(f"__s_{n}") for n, c in cols.items()])
         sums = sums.select(
-            *self.by, "_blk", *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_p_{n}") for n in cols]
+            *self.by, "__blk", *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(f"__p_{n}") for n in cols]
         )
-        d = d.select("*", *[F.sum(c).over(inside).alias(f"_i_{n}") for n, c in cols.items()])
-        d = join_same(d, sums, self.by + ["_blk"])
-        d = d.select("*", *[(F.coalesce(f"_i_{n}", F.lit(0)) + F.col(f"_p_{n}")).alias(n) for n in cols])
-        return d.drop("_rn", "_blk", *[f"_i_{n}" for n in cols], *[f"_p_{n}" for n in cols])
+        d = d.select("*", *[F.sum(c).over(inside).alias(f"__i_{n}") for n, c in cols.items()])
+        d = join_same(d, sums, self.by + ["__blk"])
+        d = d.select("*", *[(F.coalesce(f"__i_{n}", F.lit(0)) + F.col(f"__p_{n}")).alias(n) for n in cols])
+        return d.drop("__rn", "__blk", *[f"__i_{n}" for n in cols], *[f"__p_{n}" for n in cols])
 
     def carry(self, df: DataFrame, order: Sequence, **cols: Column) -> DataFrame:
         d = settle(self._blocks(df, order))
-        inside = Window.partitionBy(*self.by, "_blk").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
-        earlier = Window.partitionBy(*self.by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-        tails = d.groupBy(*self.by, "_blk").agg(
-            *[F.max_by(c, F.when(c.isNotNull(), F.col("_rn"))).alias(f"_s_{n}") for n, c in cols.items()]
+        inside = Window.partitionBy(*self.by, "__blk").orderBy("__rn").rowsBetween(Window.unboundedPreceding, 0)
+        earlier = Window.partitionBy(*self.by).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+        tails = d.groupBy(*self.by, "__blk").agg(
+            *[F.max_by(c, F.when(c.isNotNull(), F.col("__rn"))).alias(f"__s_{n}") for n, c in cols.items()]
         )
         tails = tails.select(
-            *self.by, "_blk", *[F.last(f"_s_{n}", ignorenulls=True).over(earlier).alias(f"_p_{n}") for n in cols]
+            *self.by, "__blk", *[F.last(f"__s_{n}", ignorenulls=True).over(earlier).alias(f"__p_{n}") for n in cols]
         )
-        d = d.select("*", *[F.last(c, ignorenulls=True).over(inside).alias(f"_i_{n}") for n, c in cols.items()])
-        d = join_same(d, tails, self.by + ["_blk"])
-        d = d.select("*", *[F.coalesce(f"_i_{n}", f"_p_{n}").alias(n) for n in cols])
-        return d.drop("_rn", "_blk", *[f"_i_{n}" for n in cols], *[f"_p_{n}" for n in cols])
+        d = d.select("*", *[F.last(c, ignorenulls=True).over(inside).alias(f"__i_{n}") for n, c in cols.items()])
+        d = join_same(d, tails, self.by + ["__blk"])
+        d = d.select("*", *[F.coalesce(f"__i_{n}", f"__p_{n}").alias(n) for n in cols])
+        return d.drop("__rn", "__blk", *[f"__i_{n}" for n in cols], *[f"__p_{n}" for n in cols])
 
     def quantiles(self, df: DataFrame, **cols: tuple[Column, float]) -> DataFrame:
         out = df.select(*self.by).distinct()
