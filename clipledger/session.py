@@ -40,13 +40,21 @@ class Tables:
 
 def settle(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so that the rows (and ids drawn for them) stay fixed
-    when executors are lost. The shared folder comes from the session; a temporary one is set only
-    where the session names none."""
-    spark = df.sparkSession
+    when executors are lost."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of this application, below the one the session names in ``spark.checkpoint.dir``. A session
+    that names none gets a temporary folder in local mode, where all tasks share one machine, and an error elsewhere."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clipledger-"))
-    return df.checkpoint(eager=True)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="clipledger-"))
+    return sc.getCheckpointDir()
 
 
 def hot_limit(spark: SparkSession) -> int:
