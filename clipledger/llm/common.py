@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipledger.session import checkpoint_folder
+from clipledger.session import checkpoint_folder, settle
 
 LEAST = -(2**63)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +36,13 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, row_bytes: int, limit: int = 48 << 20) -> DataFrame:
+    """One side of a join, computed once and counted: marked for broadcast if its rows of about ``row_bytes`` stay
+    below ``limit`` bytes, else left to a shuffled join. Both give the same rows."""
+    df = settle(df)
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
 def per_worker(key: tuple, make: Callable):
     """``make()`` once per Python worker process; later tasks of the process find it again."""
     kept = sys.modules.setdefault("_clipledger_worker", types.ModuleType("_clipledger_worker")).__dict__

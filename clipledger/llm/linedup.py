@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipledger.llm.common import pick
+from clipledger.llm.common import pick, small_side, staged
 from clipledger.session import settle
 
 BREAK = "\n"
@@ -13,7 +13,10 @@ BREAK = "\n"
 
 def normal(line: Column) -> Column:
     """What is compared: lower-cased, white space at the ends and repeats of it dropped."""
-    return F.lower(F.trim(F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", " ")))
+    odd = line.contains("  ")
+    for c in "\t\r\v\f":
+        odd = odd | line.contains(c)
+    return F.lower(F.trim(F.when(odd, F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", " ")).otherwise(line)))
 
 
 def _digest(text: Column) -> list[Column]:
@@ -58,17 +61,16 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a single row after partial aggregation.
     """
     lines = _lines(pick(docs, id=id_col, text=text_col)).where(F.length("line") >= min_chars)
-    n = F.length("line")
-    # distinct lines with their earliest place
-    some = lines.select(*_digest(F.col("line")), _rank().alias("rank"), n.alias("n"), _halves(F.col("line"), n).alias("halves"))
-    distinct = settle(some.groupBy("a", "b").agg(F.min("rank").alias("rank"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("halves").alias("halves")))
-    keys = distinct.select("a", "b", F.explode("halves").alias("half"))
-    shared = keys.groupBy("half").agg(F.count("*").alias("k")).where("k > 1").select("half")
-    mates = keys.join(shared, "half").select("a", "b").distinct()
-    firsts = distinct.join(mates, ["a", "b"]).select("a", "b", "rank")
+    # all lines, without their texts
+    slim = staged(lines.select("id", "h", "pos", *_digest(F.col("line")), _halves(F.col("line"), F.length("line")).alias("halves")))
+    distinct = slim.groupBy("a", "b").agg(F.min(_rank()).alias("rank"), F.count("*").alias("copies"), F.first("halves").alias("halves"))
+    distinct = staged(distinct.select("a", "b", "rank", "copies", "halves"))
+    halves = distinct.select("a", "b", "rank", F.explode("halves").alias("half"))
+    shared = small_side(halves.groupBy("half").agg(F.count("*").alias("k")).where("k > 1").select("half"), 16)
+    firsts = small_side(halves.join(shared, "half").select("a", "b", "rank").distinct(), 64)
     # texts of those lines, from their earliest place
-    text = lines.select("line", _rank().alias("at")).join(firsts, F.col("at") == F.col("rank")).select("a", "b", "rank", "line")
-    text = settle(text)
+    text = lines.select("line", *_digest(F.col("line")), _rank().alias("at")).join(firsts, ["a", "b"]).where("at = rank")
+    text = settle(text.select("a", "b", "rank", "line"))
     # every variant as a key
     size = F.length("line")
     gone = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(F.xxhash64(F.concat(F.substr("line", F.lit(1), i - 1), F.substr("line", i + 1))).alias("v"), i.cast("int").alias("place")))
@@ -88,7 +90,8 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = pairs.join(one, ["a", "b"]).join(two, ["c", "d"]).where(F.levenshtein("line", "earlier", 1) >= 0).select("a", "b").distinct()
     # decisions: what is not the earliest copy, and all copies of near lines
     judged = distinct.select("a", "b", "rank", "copies").join(near.withColumn("near", F.lit(True)), ["a", "b"], "left").where("copies > 1 OR near")
-    places = lines.select(*_digest(F.col("line")), "id", "h", "pos", _rank().alias("at")).join(judged, ["a", "b"]).where("near OR at != rank")
+    judged = small_side(judged.select("a", "b", "rank", "near"), 72)
+    places = slim.select("a", "b", "id", "h", "pos", _rank().alias("at")).join(judged, ["a", "b"]).where("near OR at != rank")
     return places.select("id", "h", "pos", F.coalesce("near", F.lit(False)).alias("near"))
 
 
@@ -100,7 +103,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     called n_removed or removed is replaced.
     """
     gone = line_decisions(docs, id_col, text_col, min_chars).groupBy("id", "h").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
-    gone = gone.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("removed").alias("__gone"))
+    gone = small_side(gone.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("removed").alias("__gone")), 96)
     docs = docs.drop("n_removed", "removed")
     text = docs[f"`{text_col}`"]
     out = docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__h")), "left")
