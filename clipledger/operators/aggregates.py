@@ -79,21 +79,19 @@ def mask_coverage(pixels: DataFrame, by: Sequence[str], width: Column, height: C
     return region_coverage(pixels, by, F.col("hit") > 0, central, border)
 
 
-def temporal_change(df: DataFrame, clip: Sequence[str], frame: str, cell: Sequence[str], value: str, samples: int = 64) -> DataFrame:
-    """Cells that differ from the temporal background: the background is the per-cell median over evenly
-    strided frames, the threshold per frame is median + 2.25·MAD, at least 10."""
+def temporal_change(df: DataFrame, clip: Sequence[str], frame: str, cell: Sequence[str], value: str | Sequence[str], weights: Sequence[float] = (1.0,)) -> DataFrame:
+    """Cells that differ from the temporal background, the per-cell median over all frames of the clip. The distance is
+    Euclidean over the channels of ``value`` (one or several), each squared and weighted; for colours in Lab, weights of
+    0.5, 1, 1 keep changes of light from dominating. The threshold per frame is median + 2.25·MAD, at least 10."""
     clip, cell = list(clip), list(cell)
-    frames = df.select(*clip, frame).distinct()
-
-    def stride(d, g):
-        d = g.attach(g.rank(d, [frame], "_i"), _n=F.count("*"))
-        step = F.greatest(F.lit(1), F.ceil(F.col("_n") / samples))
-        return d.where(((F.col("_i") - 1) % step == 0) & ((F.col("_i") - 1) / step < samples)).select(*clip, frame)
-
-    kept = by_group(frames, clip, stride)
-    base = join_same(df, kept, clip + [frame], "left_semi")
-    ground = quantiles(base, clip + cell, background=(F.col(value).cast("double"), 0.5))
-    d = join_same(df, ground, clip + cell).withColumn("distance", F.abs(F.col(value) - F.col("background")))
+    channels = [value] if isinstance(value, str) else list(value)
+    if len(channels) != len(weights):
+        raise ValueError("one weight for each channel")
+    names = {c: "background" if len(channels) == 1 else f"background_{c}" for c in channels}
+    ground = quantiles(df, clip + cell, **{names[c]: (F.col(c).cast("double"), 0.5) for c in channels})
+    away = [F.lit(float(w)) * (F.col(c) - F.col(names[c])) ** 2 for c, w in zip(channels, weights)]
+    distance = F.sqrt(sum(away[1:], away[0]))
+    d = join_same(df, ground, clip + cell).withColumn("distance", distance)
 
     def threshold(d, g):
         d = g.attach_quantiles(d, _med=(F.col("distance"), 0.5))

@@ -106,7 +106,7 @@ def smooth_labels(scores: DataFrame, neighbours: DataFrame, weight: float = 0.12
     return lab
 
 
-def taubin(values: DataFrame, neighbours: DataFrame, coords: Sequence[str], lam: float = 0.5, mu: float = -0.53, rounds: int = 8) -> DataFrame:
+def taubin(values: DataFrame, neighbours: DataFrame, coords: Sequence[str], lam: float = 0.45, mu: float = -0.47, rounds: int = 8) -> DataFrame:
     """Shrink-free smoothing: each round moves nodes towards their neighbours' mean by ``lam``, then by ``mu``."""
     coords = list(coords)
     nb = settle(neighbours.select("src", "dst"))
@@ -118,24 +118,27 @@ def taubin(values: DataFrame, neighbours: DataFrame, coords: Sequence[str], lam:
     return v
 
 
-def level_offsets(edges: DataFrame, ridge: float = 0.1, rounds: int = 50, tolerance: float = 1e-14) -> DataFrame:
-    """Offsets g that minimise Σ w·(g_a − g_b − diff)² + ridge·Σ g² over edges (a, b, diff, w), by conjugate gradients.
+def level_offsets(edges: DataFrame, ridge: float = 0.1, tolerance: float = 1e-14) -> DataFrame:
+    """Offsets g that minimise Σ w·(g_a − g_b − diff)² + Σ (ridge·g)² over edges (a, b, diff, w), by conjugate gradients.
 
-    Every round is one join of the edges with the direction and two sums; only three numbers reach the driver.
+    Every round is one join of the edges with the direction and two sums; only three numbers reach the driver. Rounds
+    go on until the residual is small enough. Exact arithmetic needs one per node at most; rounding may add some, and
+    after twice as many and 50 more the fit is given up with an error.
     """
     e = settle(edges.select("a", "b", F.col("diff").cast("double"), F.col("w").cast("double")))
     rhs = e.select(F.col("a").alias("node"), (F.col("w") * F.col("diff")).alias("r")).unionByName(e.select(F.col("b").alias("node"), (-F.col("w") * F.col("diff")).alias("r")))
     s = settle(rhs.groupBy("node").agg(F.sum("r").alias("r")).select("node", F.lit(0.0).alias("g"), "r", F.col("r").alias("p")))
     rr = s.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
-    start = rr
-    for _ in range(rounds):
-        if rr <= tolerance * start:
-            break
+    start, rounds, most = rr, 0, 2 * s.count() + 50
+    while rr > tolerance * start:
+        rounds += 1
+        if rounds > most:
+            raise ArithmeticError(f"offsets did not settle in {most} rounds")
         p = s.select("node", "p")
         j = e.join(p.select(F.col("node").alias("a"), F.col("p").alias("pa")), "a").join(p.select(F.col("node").alias("b"), F.col("p").alias("pb")), "b")
         j = j.withColumn("t", F.col("w") * (F.col("pa") - F.col("pb")))
         ap = j.select(F.col("a").alias("node"), "t").unionByName(j.select(F.col("b").alias("node"), (-F.col("t")).alias("t"))).groupBy("node").agg(F.sum("t").alias("ap"))
-        s = settle(s.join(ap, "node", "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)) + ridge * F.col("p")))
+        s = settle(s.join(ap, "node", "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)) + ridge * ridge * F.col("p")))
         pap, rap, apap = s.agg(F.sum(F.col("p") * F.col("ap")), F.sum(F.col("r") * F.col("ap")), F.sum(F.col("ap") * F.col("ap"))).first()
         alpha = rr / pap
         new = max(rr - 2 * alpha * rap + alpha * alpha * apap, 0.0)
@@ -149,11 +152,12 @@ def prune(rows: DataFrame, by: Sequence[str], agree, minimum: float = 0.45, roun
     """Drop rows that disagree with their group's consensus, recompute it, and repeat.
 
     ``agree(df)`` returns the rows with an ``agreement`` column measured against the current members. A group stops
-    when nothing is dropped, when fewer than ``needed`` rows remain, or after ``rounds``; ``accepted`` tells whether
-    enough are left.
+    when nothing is dropped, when fewer than ``needed`` rows remain, or after ``rounds``; a group that starts with fewer
+    is left as it is. ``accepted`` tells whether enough are left.
     """
     by = list(by)
-    d = settle(rows.withColumn("_open", F.lit(True)))
+    many = rows.groupBy(*by).agg((F.count("*") >= needed).alias("_open"))
+    d = settle(join_same(rows, many, by))
     for _ in range(rounds):
         s = agree(d.where("_open")).withColumn("_drop", F.col("agreement") < minimum).drop("agreement")
         n = s.groupBy(*by).agg(F.count(F.when(~F.col("_drop"), 1)).alias("_left"), F.count(F.when(F.col("_drop"), 1)).alias("_gone"))

@@ -14,7 +14,7 @@ from clipledger.session import join_same, settle
 
 # Edges of the view-pair angle bins in degrees.
 ANGLE_EDGES = [0.0, 15.0, 35.0, 65.0, 100.0, 140.0, 180.000001]
-MAX_PACKED_TOKENS = 256
+SPREAD = 4  # parts of one side of the token join
 
 
 def angle_bin(angle: Column) -> Column:
@@ -30,35 +30,29 @@ def bin_middle(bin_col: Column) -> Column:
 def view_pairs(views: DataFrame, tokens: DataFrame, by: Sequence[str], view: str, direction: str, token: str, min_angle: float = 8.0, min_shared: int = 3) -> DataFrame:
     """View pairs at least ``min_angle`` apart that share ``min_shared`` tokens, with their angle bin.
 
-    Two views that share t tokens also share one outside the t-1 most frequent tokens of each, so candidates come
-    from an equi-join on the remaining, rarer tokens. The commonest tokens never generate pairs and no pair without a
-    shared token is formed; shared counts are then exact.
+    Tokens of a group stand in one order, rarest first. A view with n tokens that shares ``min_shared`` with another
+    shares one of its first n - min_shared + 1, so only those are joined (prefix filter), and from a common token on
+    both sides must have enough left (positional filter); the commonest tokens never meet. Candidates travel as view
+    ids alone; directions and token lists join them once per pair, not once per token. A token that many views hold
+    among their rare ones is spread by splitting one side of the join into ``SPREAD`` parts and copying the other.
     """
     by = list(by)
     tk = settle(tokens.select(*by, F.col(view).alias("_v"), F.col(token).alias("_t")).distinct())
     freq = tk.groupBy(*by, "_t").agg(F.count("*").alias("_f"))
-    tf = join_same(tk, freq, by + ["_t"])
-    rare = by_group(settle(tf), by + ["_v"], lambda d, g: g.rank(d, [F.col("_f").desc(), F.col("_t")], "_i")).where(F.col("_i") >= min_shared)
-    info = views.select(*by, F.col(view).alias("_v"), F.col(direction).alias("_d"))
-    ends = {"a": {"_v": "view_a", "_d": "_da", "_ts": "_ta"}, "b": {"_v": "view_b", "_d": "_db", "_ts": "_tb"}}
-    angle = arrays.unit_angle3("_da", "_db")
-    longest = tk.groupBy(*by, "_v").agg(F.count("*").alias("_k")).agg(F.max("_k")).first()[0] or 0
-    if longest <= MAX_PACKED_TOKENS:
-        # short token lists travel with the direction, so both tests run where the pair arises and only pairs that
-        # pass are shuffled again
-        info = join_same(info, tk.groupBy(*by, "_v").agg(F.collect_list("_t").alias("_ts")), by + ["_v"])
-        full = join_same(rare.select(*by, "_t", "_v"), info, by + ["_v"])
-        cand = join_same(full.withColumnsRenamed(ends["a"]), full.withColumnsRenamed(ends["b"]), by + ["_t"]).where("view_a < view_b")
-        cand = cand.withColumn("angle", angle).withColumn("shared", F.size(F.array_intersect("_ta", "_tb")).cast("long"))
-        out = cand.where((F.col("angle") >= min_angle) & (F.col("shared") >= min_shared)).select(*by, "view_a", "view_b", "shared", "angle").dropDuplicates([*by, "view_a", "view_b"])
-    else:
-        slim = rare.select(*by, "_t", "_v")
-        cand = join_same(slim.withColumnRenamed("_v", "view_a"), slim.withColumnRenamed("_v", "view_b"), by + ["_t"]).where("view_a < view_b").select(*by, "view_a", "view_b").distinct()
-        for names in ends.values():
-            cand = join_same(cand, info.withColumnsRenamed(names), by + [names["_v"]])
-        cand = cand.withColumn("angle", angle).where(F.col("angle") >= min_angle).drop("_da", "_db")
-        both = join_same(join_same(cand, tk.withColumnRenamed("_v", "view_a"), by + ["view_a"]), tk.withColumnRenamed("_v", "view_b"), by + ["view_b", "_t"], "left_semi")
-        out = both.groupBy(*by, "view_a", "view_b").agg(F.count("*").alias("shared"), F.max("angle").alias("angle")).where(F.col("shared") >= min_shared)
+    lists = join_same(tk, freq, by + ["_t"]).groupBy(*by, "_v").agg(F.array_sort(F.collect_list(F.struct("_f", "_t"))).alias("_l"))
+    lists = settle(lists.select(*by, "_v", F.transform("_l", lambda s: s["_t"]).alias("_ts")).where(F.size("_ts") >= min_shared))
+    head = lists.select(*by, "_v", F.size("_ts").alias("_n"), F.posexplode(F.slice("_ts", 1, F.size("_ts") - min_shared + 1)).alias("_i", "_t"))
+    one = head.withColumn("_s", F.pmod(F.xxhash64("_v"), F.lit(SPREAD)))
+    two = head.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    one = one.select(*by, "_t", "_s", F.col("_v").alias("view_a"), (F.col("_n") - F.col("_i")).alias("_ra"))
+    two = two.select(*by, "_t", "_s", F.col("_v").alias("view_b"), (F.col("_n") - F.col("_i")).alias("_rb"))
+    near = (F.col("view_a") < F.col("view_b")) & (F.least("_ra", "_rb") >= min_shared)
+    cand = join_same(one, two, by + ["_t", "_s"]).where(near).select(*by, "view_a", "view_b").distinct()
+    info = join_same(views.select(*by, F.col(view).alias("_v"), F.col(direction).alias("_d")), lists, by + ["_v"])
+    for v, d, ts in (("view_a", "_da", "_ta"), ("view_b", "_db", "_tb")):
+        cand = join_same(cand, info.withColumnsRenamed({"_v": v, "_d": d, "_ts": ts}), by + [v])
+    out = cand.withColumn("angle", arrays.unit_angle3("_da", "_db")).withColumn("shared", F.size(F.array_intersect("_ta", "_tb")).cast("long"))
+    out = out.where((F.col("angle") >= min_angle) & (F.col("shared") >= min_shared)).select(*by, "view_a", "view_b", "shared", "angle")
     return out.withColumn("angle_bin", angle_bin(F.col("angle")))
 
 

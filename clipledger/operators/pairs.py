@@ -6,50 +6,82 @@ the block number, and the task that holds two blocks returns only counts of merg
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipledger.operators.groups import by_group
 from clipledger.session import join_same, settle
 
-BLOCK = 256
-BIN_SHIFT = 44  # keeps exponent and 8 mantissa bits: an order-preserving bin of non-negative doubles
+BLOCK = 256  # rows whose distances to another such block a task holds at once
+WIDEST = 32_768  # rows of a packed range at most
+BIN_SHIFT = 44  # keeps sign, exponent and 8 mantissa bits: an order-preserving bin of doubles
 
 
-def _block_pairs(df: DataFrame, by: list[str], vector: str, order: Sequence) -> tuple[DataFrame, bool]:
-    """One row per block pair (bi <= bj <= last) with both blocks' vectors as flat arrays, and whether any group has
-    more than one block."""
-    v = F.transform(vector, lambda x: x.cast("double"))
-    d = df.select(*by, *[c for c in order if c not in by], v.alias("_v"))
-    d = by_group(d, by, lambda d, g: g.rank(d, order, "_i")).withColumn("bj", F.expr(f"(_i - 1) div {BLOCK}"))
+def _grid(df: DataFrame, by: list[str], vector: Column, order: Sequence) -> DataFrame:
+    """One row per pair of row ranges (bi <= bj) of a group, with both ranges' vectors as flat arrays.
+
+    A group is cut into about sqrt(2 * tasks) ranges, so its range pairs fill all tasks and a row is copied that often,
+    however many rows there are; small groups are one range, and ranges stay within ``BLOCK`` and ``WIDEST`` rows.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = max(1, math.ceil(math.sqrt(2 * n)))
+    d = df.select(*by, *[c for c in order if c not in by], vector.alias("_v"))
+    size = F.greatest(F.lit(BLOCK), F.least(F.lit(WIDEST), F.ceil(F.col("_all") / side)))
+    d = by_group(d, by, lambda d, g: g.attach(g.rank(d, order, "_i"), _all=F.count("*"))).withColumn("bj", F.floor((F.col("_i") - 1) / size))
     packed = settle(d.groupBy(*by, "bj").agg(F.flatten(F.collect_list("_v")).alias("b"), F.count("*").alias("kb")))
     last = packed.groupBy(*by).agg(F.max("bj").alias("_last"))
-    left = join_same(packed, last, by).select(
-        *by, F.col("bj").alias("bi"), F.explode(F.sequence("bj", "_last")).alias("bj"), F.col("b").alias("a"), F.col("kb").alias("ka"), F.col("_last").alias("last")
-    )
-    # explicit partitions: the rows are few but each is worth a block of distances
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    many = not packed.where("bj > 0").isEmpty()
-    return join_same(left.repartition(n, *by, "bi", "bj"), packed, by + ["bj"]), many
+    left = join_same(packed, last, by).select(*by, F.col("bj").alias("bi"), F.explode(F.sequence("bj", "_last")).alias("bj"), F.col("b").alias("a"), F.col("kb").alias("ka"))
+    # explicit partitions: the rows are few but each is worth a range of distances
+    return join_same(left.repartition(n, *by, "bi", "bj"), packed, by + ["bj"])
 
 
-def _distances(row) -> np.ndarray:
-    """Mean absolute differences of all row pairs of two blocks, or of one block with itself."""
-    a = np.asarray(row.a, dtype=np.float64).reshape(int(row.ka), -1)
-    b = np.asarray(row.b, dtype=np.float64).reshape(int(row.kb), -1)
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Mean absolute differences of all rows of a and b."""
     total = np.zeros((len(a), len(b)))
     for k in range(a.shape[1]):  # one dimension at a time keeps memory at block x block
         total += np.abs(a[:, k : k + 1] - b[:, k])
-    total /= max(a.shape[1], 1)
-    return total[np.triu_indices(len(a), k=1)] if row.bi == row.bj else total.ravel()
+    return total / max(a.shape[1], 1)
+
+
+def _slopes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Slopes between all points (x, y) of a and b; NaN where x does not differ."""
+    run = b[:, 0] - a[:, :1]
+    flat = np.abs(run) <= 1e-12
+    return np.where(flat, np.nan, (b[:, 1] - a[:, 1:]) / np.where(flat, 1.0, run))
+
+
+def _of_pairs(row, measure: Callable) -> Iterator[np.ndarray]:
+    """Measures of all row pairs of two ranges, or of one range with itself, a block of each at a time; no NaN."""
+    a = np.asarray(row.a, dtype=np.float64).reshape(int(row.ka), -1)
+    b = np.asarray(row.b, dtype=np.float64).reshape(int(row.kb), -1)
+    for i in range(0, len(a), BLOCK):
+        for j in range(i if row.bi == row.bj else 0, len(b), BLOCK):
+            m = measure(a[i : i + BLOCK], b[j : j + BLOCK])
+            m = m[np.triu_indices(len(m), k=1)] if row.bi == row.bj and i == j else m.ravel()
+            yield m[~np.isnan(m)] + 0.0
+
+
+def _bin(values: np.ndarray) -> np.ndarray:
+    bits = values.view(np.int64)
+    return (bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))) >> BIN_SHIFT
+
+
+def _merged(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sum counts of equal keys."""
+    keys, counts = np.empty(0), np.empty(0, dtype=np.int64)
+    for k, n in parts:
+        keys, at = np.unique(np.concatenate([keys.astype(k.dtype), k]), return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
+    return keys, counts
 
 
 def _per_pair(by: list[str], fn: Callable):
-    """Apply ``fn(row) -> dict of arrays`` to each block pair and repeat its group keys."""
+    """Apply ``fn(row) -> dict of arrays`` to each range pair and repeat its group keys."""
 
     def run(batches):
         for pdf in batches:
@@ -62,34 +94,24 @@ def _per_pair(by: list[str], fn: Callable):
     return run
 
 
-def pair_quantile(df: DataFrame, by: Sequence[str], vector: str, order: Sequence, q: float, name: str) -> DataFrame:
-    """Exact linear quantile of the mean absolute difference over all pairs of a group.
-
-    A group of one block is finished by the task that holds it. For larger groups, pass one counts distances per bin; pass two returns only the merged distances of the one or two bins
-    that hold the wanted ranks. Groups with fewer than two rows are absent.
-    """
+def _pair_quantile(df: DataFrame, by: Sequence[str], vector: Column, order: Sequence, q: float, name: str, measure: Callable) -> DataFrame:
+    """Exact linear quantile of a measure over all pairs of a group. Pass one counts measures per bin; pass two returns
+    only the merged measures of the one or two bins that hold the wanted ranks. Groups without a pair are absent."""
     by = list(by)
-    pairs, many = _block_pairs(df, by, vector, order)
+    pairs = _grid(df, by, vector, order)
     keys = "".join(f"`{b}` {df.schema[b].dataType.simpleString()}, " for b in by)
 
-    def direct(row):
-        d = _distances(row)
-        return {name: np.quantile(d, [q])} if len(d) else {name: np.empty(0)}
-
-    lone = pairs.where("last = 0").mapInPandas(_per_pair(by, direct), f"{keys}`{name}` double")
-    if not many:
-        return lone
-    pairs = pairs.where("last > 0").drop("last")
-
     def bins(row):
-        b, n = np.unique(_distances(row).view(np.int64) >> BIN_SHIFT, return_counts=True)
-        return {"bin": b, "n": n}
+        b, n = _merged(np.unique(_bin(m), return_counts=True) for m in _of_pairs(row, measure))
+        return {"bin": b.astype(np.int64), "n": n}
 
     def picked(row):
-        d = _distances(row)
-        b = d.view(np.int64) >> BIN_SHIFT
-        v, n = np.unique(d[(b == row.lo_bin) | (b == row.hi_bin)], return_counts=True)
-        return {"v": v, "n": n, "skipped": np.full(len(v), row.skipped), "total": np.full(len(v), row.total)}
+        def near(m):
+            b = _bin(m)
+            return np.unique(m[(b == row.lo_bin) | (b == row.hi_bin)], return_counts=True)
+
+        v, n = _merged(near(m) for m in _of_pairs(row, measure))
+        return {"v": v.astype(np.float64), "n": n, "skipped": np.full(len(v), row.skipped), "total": np.full(len(v), row.total)}
 
     at = F.lit(float(q)) * (F.col("total") - 1)
 
@@ -97,7 +119,9 @@ def pair_quantile(df: DataFrame, by: Sequence[str], vector: str, order: Sequence
         return (p >= F.col("hi") - F.col("n")) & (p < F.col("hi"))
 
     hist = pairs.mapInPandas(_per_pair(by, bins), f"{keys}bin long, n long").groupBy(*by, "bin").agg(F.sum("n").alias("n"))
-    hist = by_group(settle(hist), by, lambda d, g: g.attach(g.running(d, ["bin"], hi=F.col("n")), total=F.sum("n")))
+    every = Window.partitionBy(*by)  # at most a few hundred thousand bins in a group, whatever its size
+    upto = every.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    hist = hist.select(*by, "bin", "n", F.sum("n").over(upto).alias("hi"), F.sum("n").over(every).alias("total"))
     span = hist.where(holds(F.floor(at)) | holds(F.ceil(at))).groupBy(*by).agg(
         F.min("bin").alias("lo_bin"), F.max("bin").alias("hi_bin"), F.min(F.col("hi") - F.col("n")).alias("skipped"), F.max("total").alias("total"))
     near = join_same(pairs, settle(span), by).mapInPandas(_per_pair(by, picked), f"{keys}v double, n long, skipped long, total long")
@@ -105,4 +129,15 @@ def pair_quantile(df: DataFrame, by: Sequence[str], vector: str, order: Sequence
     cum = by_group(settle(near), by, lambda d, g: g.running(d, ["v"], _up=F.col("n"))).withColumn("hi", F.col("_up") + F.col("skipped"))
     out = cum.groupBy(*by).agg(
         F.max(F.when(holds(F.floor(at)), F.col("v"))).alias("_a"), F.max(F.when(holds(F.ceil(at)), F.col("v"))).alias("_b"), F.max(at - F.floor(at)).alias("_f"))
-    return lone.unionByName(out.select(*by, (F.col("_a") * (1 - F.col("_f")) + F.col("_b") * F.col("_f")).alias(name)))
+    return out.select(*by, (F.col("_a") * (1 - F.col("_f")) + F.col("_b") * F.col("_f")).alias(name))
+
+
+def pair_quantile(df: DataFrame, by: Sequence[str], vector: str, order: Sequence, q: float, name: str) -> DataFrame:
+    """Exact linear quantile of the mean absolute difference over all pairs of a group. Groups with fewer than two
+    rows are absent."""
+    return _pair_quantile(df, by, F.transform(vector, lambda x: x.cast("double")), order, q, name, _distances)
+
+
+def pair_slope_median(df: DataFrame, by: Sequence[str], x: str, y: str, order: Sequence, name: str) -> DataFrame:
+    """Exact median slope over all pairs of a group's points that differ in x. Groups without such a pair are absent."""
+    return _pair_quantile(df, by, F.array(F.col(x), F.col(y)), order, 0.5, name, _slopes)

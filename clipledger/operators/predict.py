@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipledger.functions.rules import Rule, apply_gates
-from clipledger.operators.groups import Whole, by_group
 from clipledger.operators.lineage import audit_sets
-from clipledger.session import join_same, spread_groups
+from clipledger.session import join_same
 
 MERGE_SALTS = 64
 
@@ -86,8 +85,8 @@ def merge_aggregate(df: DataFrame, by: Sequence[str], partial: Callable, merge:
     """User-defined aggregate with partial states.
 
     ``partial(group_pdf) -> dict`` gives a state, ``merge(states_pdf) -> dict`` joins states, ``finish(state_row) ->
-    dict`` gives the result. Groups that fit a task are handed over whole; hot groups are reduced per Arrow batch,
-    merged under salts and then merged once more, so that they ship only states.
+    dict`` gives the result. Rows are reduced per Arrow batch, states are merged under salts and then once more, so
+    that groups of any size take the same way and ship only states.
     """
     by = list(by)
     keys = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
@@ -105,17 +104,9 @@ def merge_aggregate(df: DataFrame, by: Sequence[str], partial: Callable, merge:
 
         return run
 
-    def whole(pdf):
-        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by}, **partial(pdf)}])
-
-    def step(d, g):
-        if isinstance(g, Whole):
-            return spread_groups(d, g.by).groupBy(*g.by).applyInPandas(whole, f"{keys}, {state}")
-        parts = d.mapInPandas(start, f"{keys}, {state}").withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(MERGE_SALTS)))
-        parts = parts.groupBy(*g.by, "_salt").applyInPandas(join(True), f"{keys}, `_salt` int, {state}")
-        return parts.drop("_salt").groupBy(*g.by).applyInPandas(join(False), f"{keys}, {state}")
-
-    states = by_group(df, by, step)
+    parts = df.mapInPandas(start, f"{keys}, {state}").withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(MERGE_SALTS)))
+    parts = parts.groupBy(*by, "_salt").applyInPandas(join(True), f"{keys}, `_salt` int, {state}")
+    states = parts.drop("_salt").groupBy(*by).applyInPandas(join(False), f"{keys}, {state}")
 
     def end(batches):
         for pdf in batches:

@@ -192,23 +192,24 @@ def device_time(index: Column, device: Column, fps: Column) -> Column:
     return F.when(device >= steady * 0.5, device).otherwise(steady)
 
 
-def sample_cadence(frames: DataFrame, by: Sequence[str], time: str, order: Sequence[str], sample_fps: float, source_fps: float, max_n: int, duration: Column) -> DataFrame:
+def sample_cadence(frames: DataFrame, by: Sequence[str], time: str, order: Sequence[str], sample_fps: float, source_fps: float | Column, max_n: int, duration: Column) -> DataFrame:
     """Frames emitted at a fixed cadence: a frame is taken when its time plus half a source frame reaches the next
-    grid point, which then moves past it. At most ``max_n`` frames per clip. Adds ``candidate_index``.
+    grid point, which then moves past it. At most ``max_n`` frames per clip. ``source_fps`` is one rate or the clip's
+    own. Where half a source frame spans a grid interval or more, every frame is taken. Adds ``candidate_index``.
 
     On a grid of one interval per cell, a cell emits its first frame, unless an early frame of the cell before used
     up its slot, and the first other frame close enough to the next grid point. So a cell needs only to know whether
     its slot is used, and each cell either decides that for the next one or hands it on: one carried value replaces
     the frame-by-frame state.
     """
-    if sample_fps >= 2 * source_fps:
-        raise ValueError("sample_fps must be below twice the source rate")
     by = list(by)
-    half = 0.5 / source_fps
+    half = 0.5 / (F.lit(float(source_fps)) if isinstance(source_fps, (int, float)) else source_fps)
     rate = F.least(F.lit(float(sample_fps)), max_n / F.greatest(F.col("_dur"), F.lit(1e-6)))
-    d = frames.withColumn("_dur", duration).withColumn("_step", 1 / rate).withColumn("_cell", F.floor(F.col(time) / F.col("_step")))
-    late = F.col(time) + half >= (F.col("_cell") + 1) * F.col("_step")
+    d = frames.withColumn("_half", half).withColumn("_dur", duration).withColumn("_step", 1 / rate).withColumn("_cell", F.floor(F.col(time) / F.col("_step")))
+    late = F.col(time) + F.col("_half") >= (F.col("_cell") + 1) * F.col("_step")
     d = d.withColumn("_me", F.struct(time, *order)).withColumn("_late", late)
+    every = d.where("_half >= _step").select(*by, time, *order)
+    d = d.where("_half < _step")
     cells = d.groupBy(*by, "_cell").agg(F.min("_me").alias("_first"), F.min(F.when(F.col("_late"), F.col("_me"))).alias("_early"))
     rest = join_same(d.where("_late").select(*by, "_cell", "_me"), cells.select(*by, "_cell", "_first"), by + ["_cell"])
     other = rest.where("_me != _first").groupBy(*by, "_cell").agg(F.min("_me").alias("_other"))
@@ -223,4 +224,5 @@ def sample_cadence(frames: DataFrame, by: Sequence[str], time: str, order: Seque
     cells = by_group(cells, by, step)
     taken = F.when(F.col("_used"), F.array("_early")).otherwise(F.array("_first", "_other"))
     emitted = cells.select(*by, F.explode(F.filter(taken, lambda x: x.isNotNull())).alias("_e")).select(*by, "_e.*")
+    emitted = emitted.unionByName(every)
     return top_k(emitted, by, [time, *order], max_n, "_rn").withColumn("candidate_index", F.col("_rn") - 1).drop("_rn")

@@ -31,9 +31,10 @@ def hash_split(df: DataFrame, by: Sequence[str], token: Column, fraction: float
 
 
 def split_digest(split: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Order-free fingerprint of a split: counts and the sum of 32-bit parts of the row hashes per role."""
-    part = F.conv(F.substring(F.sha2(F.concat_ws(":", "role", "token"), 256), 1, 8), 16, 10).cast("long")
-    return split.groupBy(*by, "role").agg(F.count("*").alias("tokens"), F.sum(part).alias("fingerprint"))
+    """SHA-256 digest of each role's tokens, whatever the order of the rows: tokens and digest per role."""
+    from clipledger.operators.lineage import freeze
+
+    return freeze(split, [*by, "role"], "token", F.lit("")).withColumnRenamed("rows", "tokens")
 
 
 def _on_grid(rank: Column, n: Column, count: Column, interior: bool) -> Column:
@@ -77,7 +78,7 @@ def assign_holdout(df: DataFrame, by: Sequence[str], order: Sequence) -> DataFra
 def dedup_observations(obs: DataFrame, by: Sequence[str], token: str, keep: Sequence[str], *, z: Column, track: Column, error: Column,
                        u: Column, v: Column, width: Column, height: Column, on_mask: Column) -> DataFrame:
     """Usable observations, one per (group, token): lowest error, longest track, then u, v, z. Adds ``weight``."""
-    inside = (u >= 0) & (v >= 0) & (u <= width - 1) & (v <= height - 1)
+    inside = (u >= 0) & (v >= 0) & (u < width - 1) & (v < height - 1)
     good = obs.where((z > 1e-9) & (track >= 2) & (error <= 4.0) & inside & on_mask)
     row = F.struct(error.alias("error"), (-track).alias("_t"), u.alias("u"), v.alias("v"), z.alias("z"), *keep)
     d = good.groupBy(*by, token).agg(F.min(row).alias("_r")).select(*by, token, "_r.*").withColumn("track_length", -F.col("_t"))

@@ -184,7 +184,7 @@ def reproject_pairs(pairs: DataFrame, pixels: DataFrame, views: DataFrame, by: S
     j = j.withColumn("_p", world)
     at = geo.project(F.col("_p.x"), F.col("_p.y"), F.col("_p.z"), t["rotation"], t["translation"], t["focal"], t["cx"], t["cy"], t["k1"])
     j = j.withColumn("_q", at).withColumn("x", F.rint("_q.u").cast("int")).withColumn("y", F.rint("_q.v").cast("int"))
-    inside = (F.col("_q.z") > 1e-9) & (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") <= t["width"] - 1) & (F.col("y") <= t["height"] - 1)
+    inside = (F.col("_q.z") > 1e-9) & (F.col("_q.u") >= 0) & (F.col("_q.v") >= 0) & (F.col("_q.u") < t["width"] - 1) & (F.col("_q.v") < t["height"] - 1)
     j = j.withColumn("_in", inside).select(*by, "view_a", "view_b", "way", F.col("dst").alias("view"), "y", "x", "_in", F.col("_q.z").alias("_pz"))
     j = join_same(j, pixels.select(*by, "view", "y", "x", F.col("depth").alias("_t"), "stable", "in_mask"), by + ["view", "y", "x"], "left")
     free = F.col("_pz") < F.col("_t") - tolerance
@@ -268,20 +268,22 @@ def face_geometry(faces: DataFrame) -> DataFrame:
 
 
 def score_face_views(candidates: DataFrame, by: Sequence[str], face: str, view: str, *, visible: Column, area: Column, frontality: Column, inside: Column, boundary: Column,
-                     min_frontality: float, min_boundary: float, k: int = 8) -> tuple[DataFrame, DataFrame]:
+                     in_mask: Column | None = None, min_frontality: float, min_boundary: float, k: int = 8) -> tuple[DataFrame, DataFrame]:
     """Gate candidate (face, view) rows and keep the best ``k`` views per face by area·boundary·frontality.
 
-    Returns the kept rows and, per group, how many rows passed each gate in turn.
+    ``inside`` and ``in_mask`` tell whether all corners lie in the image and in its mask (no mask: everywhere).
+    Returns the kept rows and, per group, how many rows pass each gate by itself and all of them (``passed``).
     """
     by = list(by)
-    gates = {"visible": visible, "frontal": frontality > min_frontality, "inside": inside, "clear_of_boundary": boundary > min_boundary}
+    gates = {"visible": visible, "frontal": frontality > min_frontality, "inside": inside, "in_mask": F.lit(True) if in_mask is None else in_mask, "clear_of_boundary": boundary > min_boundary}
     d, passed = candidates, F.lit(True)
     for n, c in gates.items():
         passed = passed & F.coalesce(c, F.lit(False))
-        d = d.withColumn(f"_{n}", passed)
+        d = d.withColumn(f"_{n}", F.coalesce(c, F.lit(False)))
+    d, gates = d.withColumn("_passed", passed), [*gates, "passed"]
     stats = d.groupBy(*by).agg(F.count("*").alias("candidates"), *[F.count(F.when(F.col(f"_{n}"), 1)).alias(n) for n in gates])
     quality = area * F.least(F.lit(1.0), boundary / (3 * min_boundary)) * frontality
-    kept = d.where("_clear_of_boundary").withColumn("quality", quality).drop(*[f"_{n}" for n in gates])
+    kept = d.where("_passed").withColumn("quality", quality).drop(*[f"_{n}" for n in gates])
     return top_k(kept, [*by, face], [F.col("quality").desc(), view], k, "slot"), stats
 
 

@@ -45,10 +45,7 @@ def roi_coverage(t):
 
 @query("temporal_change", f"""
 WITH v AS (SELECT event_type, CAST(ts AS DATE) AS day, CAST(hour(ts) AS BIGINT) AS hour, sum(value) AS v FROM events GROUP BY 1, 2, 3),
-f AS (SELECT event_type, day, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n
-      FROM (SELECT DISTINCT event_type, day FROM v)),
-k AS (SELECT event_type, day FROM f WHERE i % greatest(1, CAST(ceil(n / 64.0) AS BIGINT)) = 0 AND i / greatest(1, ceil(n / 64.0)) < 64),
-g AS (SELECT event_type, hour, quantile_cont(v, 0.5) AS background FROM v JOIN k USING (event_type, day) GROUP BY 1, 2),
+g AS (SELECT event_type, hour, quantile_cont(v, 0.5) AS background FROM v GROUP BY 1, 2),
 d AS (SELECT v.*, background, abs(v - background) AS distance FROM v JOIN g USING (event_type, hour)),
 m AS (SELECT event_type, day, quantile_cont(distance, 0.5) AS med FROM d GROUP BY 1, 2),
 a AS (SELECT d.event_type, d.day, med, quantile_cont(abs(distance - med), 0.5) AS mad FROM d JOIN m USING (event_type, day) GROUP BY 1, 2, 3)

@@ -178,10 +178,8 @@ def huber_fit(t):
     return _hfit(t, 12)
 
 
-_TSRC = f"""src AS (SELECT l_suppkey AS k, l_quantity AS x, 50000 / l_extendedprice AS z, 1 / (50000 / l_extendedprice) AS y, row_number() OVER (PARTITION BY l_suppkey ORDER BY {LINE_SQL}) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem),
-gr AS (SELECT DISTINCT k, CAST(floor(j * ((n - 1) / 399.0::DOUBLE)) AS BIGINT) AS i FROM (SELECT DISTINCT k, n FROM src), (SELECT unnest(range(400)) AS j)),
-sm AS (SELECT k, i, x, y FROM src WHERE n <= 400 UNION ALL SELECT k, i, x, y FROM src JOIN gr USING (k, i) WHERE n > 400),
-sl AS MATERIALIZED (SELECT a.k, quantile_cont((b.y - a.y) / (b.x - a.x), 0.5) AS slope FROM sm a JOIN sm b ON a.k = b.k AND a.i < b.i AND abs(b.x - a.x) > 1e-12 GROUP BY 1),
+_TSRC = f"""src AS (SELECT l_suppkey AS k, l_quantity AS x, 50000 / l_extendedprice AS z, 1 / (50000 / l_extendedprice) AS y, row_number() OVER (PARTITION BY l_suppkey ORDER BY {LINE_SQL}) - 1 AS i FROM lineitem),
+sl AS MATERIALIZED (SELECT a.k, quantile_cont((b.y - a.y) / (b.x - a.x), 0.5) AS slope FROM src a JOIN src b ON a.k = b.k AND a.i < b.i AND abs(b.x - a.x) > 1e-12 GROUP BY 1),
 ts AS MATERIALIZED (SELECT k, slope, quantile_cont(y - slope * x, 0.5) AS off FROM src JOIN sl USING (k) GROUP BY 1, 2)"""
 
 
@@ -254,7 +252,7 @@ WITH p AS (SELECT l_linestatus AS be, 's' || l_suppkey AS va, 'p' || l_partkey A
 e AS (SELECT *, m / nullif(m + c, 0) AS con FROM p WHERE fw >= 20 AND bw >= 20 AND fw + bw >= 40),
 a AS (SELECT l_linestatus AS be, 's' || l_suppkey AS v, avg(l_discount) AS err, avg(l_discount) < 0.0525 AS ok FROM lineitem GROUP BY 1, 2),
 pv AS (SELECT be, v, quantile_cont(con, 0.5) AS c FROM (SELECT be, va AS v, con FROM e UNION ALL SELECT be, vb, con FROM e) GROUP BY 1, 2),
-b AS (SELECT a.be, count(*) AS av, avg((coalesce(c, -1) < 0.65)::INT) AS bv FROM a LEFT JOIN pv USING (be, v) WHERE ok GROUP BY 1),
+b AS (SELECT a.be, count(*) AS av, avg((coalesce(c, -1) < 0.72)::INT) AS bv FROM a LEFT JOIN pv USING (be, v) WHERE ok GROUP BY 1),
 s AS (SELECT be, avg(ok::INT) AS af, quantile_cont(err, 0.5) AS me FROM a GROUP BY 1),
 g AS (SELECT be, count(*) AS ep, count(DISTINCT bin) AS ab, max(angle) AS ma, sum(c) / greatest(sum(m) + sum(c), 1) AS cr, quantile_cont(con, 0.5) AS mc, quantile_cont(con, 0.1) AS c10, quantile_cont(cov, 0.5) AS mcov FROM e GROUP BY 1),
 z AS (SELECT * FROM s LEFT JOIN b USING (be) LEFT JOIN g USING (be))

@@ -25,7 +25,7 @@ def hash_split(t):
 
 @query("dedup_obs", f"""
 WITH g AS (SELECT l_suppkey, l_partkey, l_discount * 60 AS e, l_linenumber AS t, l_quantity * 30 AS u, l_tax * 9000 AS v, l_extendedprice / 1000 AS z, l_orderkey FROM lineitem
-  WHERE l_extendedprice / 1000 > 1e-9 AND l_linenumber >= 2 AND l_discount * 60 <= 4 AND l_quantity * 30 BETWEEN 0 AND 1279 AND l_tax * 9000 BETWEEN 0 AND 719 AND l_returnflag <> 'N'),
+  WHERE l_extendedprice / 1000 > 1e-9 AND l_linenumber >= 2 AND l_discount * 60 <= 4 AND l_quantity * 30 >= 0 AND l_quantity * 30 < 1279 AND l_tax * 9000 >= 0 AND l_tax * 9000 < 719 AND l_returnflag <> 'N'),
 r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY e, -t, u, v, z, l_orderkey) AS rn FROM g)
 SELECT l_suppkey, l_partkey, l_orderkey, CAST(t AS BIGINT) AS track_length, {q6("e")} AS error, {q6("least(t, 10) / 10 / (1 + (e / 2) * (e / 2))")} AS weight FROM r WHERE rn = 1""")
 def dedup_obs(t):

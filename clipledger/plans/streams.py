@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from clipledger.functions.rules import Rule, apply_gates
 from clipledger.functions.times import micros
 from clipledger.plans.registry import big, codes_sql, joined, q6, query, r6
 from clipledger.plans.windows import FRAMES
+from clipledger.session import checkpoint_folder
 from clipledger.streaming import streams as st
 
 col = F.col
@@ -20,8 +20,7 @@ HOUR = 3_600_000_000
 
 def folders(spark) -> tuple[str, str]:
     """Fresh output and checkpoint folders below the shared checkpoint folder of the session."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clipledger-")
-    run = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    run = f"{checkpoint_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     return f"{run}/out", f"{run}/state"
 
 

@@ -96,16 +96,16 @@ def nearest_per_cell(t):
 
 
 @query("face_view_score", f"""
-WITH c AS (SELECT l_returnflag AS g, l_partkey AS f, l_suppkey AS s, l_orderkey AS o, l_linenumber AS n, l_linestatus = 'O' AS vis, l_extendedprice / 1000 AS area, l_discount * 10 AS fr, l_linenumber <= 5 AS ins, l_quantity AS bd FROM lineitem),
-r AS (SELECT *, area * least(1, bd / (3 * 8.0)) * fr AS q, row_number() OVER (PARTITION BY g, f ORDER BY area * least(1, bd / (3 * 8.0)) * fr DESC, s, o, n) AS slot FROM c WHERE vis AND fr > 0.2 AND ins AND bd > 8),
+WITH c AS (SELECT l_returnflag AS g, l_partkey AS f, l_suppkey AS s, l_orderkey AS o, l_linenumber AS n, l_linestatus = 'O' AS vis, l_extendedprice / 1000 AS area, l_discount * 10 AS fr, l_linenumber <= 5 AS ins, l_tax < 0.07 AS im, l_quantity AS bd FROM lineitem),
+r AS (SELECT *, area * least(1, bd / (3 * 8.0)) * fr AS q, row_number() OVER (PARTITION BY g, f ORDER BY area * least(1, bd / (3 * 8.0)) * fr DESC, s, o, n) AS slot FROM c WHERE vis AND fr > 0.2 AND ins AND im AND bd > 8),
 k AS (SELECT g, count(*) AS kept, sum(q) AS total FROM r WHERE slot <= 8 GROUP BY 1),
-t AS (SELECT g, count(*) AS candidates, count(*) FILTER (WHERE vis) AS visible, count(*) FILTER (WHERE vis AND fr > 0.2) AS frontal, count(*) FILTER (WHERE vis AND fr > 0.2 AND ins) AS inside FROM c GROUP BY 1)
-SELECT g AS l_returnflag, candidates, visible, frontal, inside, kept, round(total, 4) + 0.0 AS quality FROM t JOIN k USING (g)""")
+t AS (SELECT g, count(*) AS candidates, count(*) FILTER (WHERE vis) AS visible, count(*) FILTER (WHERE fr > 0.2) AS frontal, count(*) FILTER (WHERE ins) AS inside, count(*) FILTER (WHERE im) AS in_mask, count(*) FILTER (WHERE bd > 8) AS clear_of_boundary, count(*) FILTER (WHERE vis AND fr > 0.2 AND ins AND im AND bd > 8) AS passed FROM c GROUP BY 1)
+SELECT g AS l_returnflag, candidates, visible, frontal, inside, in_mask, clear_of_boundary, passed, kept, round(total, 4) + 0.0 AS quality FROM t JOIN k USING (g)""")
 def face_view_score(t):
     c = t.lineitem.withColumn("view", F.struct("l_suppkey", "l_orderkey", "l_linenumber"))
-    best, stats = sf.score_face_views(c, ["l_returnflag"], "l_partkey", "view", visible=col("l_linestatus") == "O", area=col("l_extendedprice") / 1000, frontality=col("l_discount") * 10, inside=col("l_linenumber") <= 5, boundary=col("l_quantity"), min_frontality=0.2, min_boundary=8.0)
+    best, stats = sf.score_face_views(c, ["l_returnflag"], "l_partkey", "view", visible=col("l_linestatus") == "O", area=col("l_extendedprice") / 1000, frontality=col("l_discount") * 10, inside=col("l_linenumber") <= 5, boundary=col("l_quantity"), in_mask=col("l_tax") < 0.07, min_frontality=0.2, min_boundary=8.0)
     kept = best.groupBy("l_returnflag").agg(F.count("*").alias("kept"), (F.round(F.sum("quality"), 4) + 0.0).alias("quality"))
-    return stats.join(kept, "l_returnflag").select("l_returnflag", "candidates", "visible", "frontal", "inside", "kept", "quality")
+    return stats.join(kept, "l_returnflag").select("l_returnflag", "candidates", "visible", "frontal", "inside", "in_mask", "clear_of_boundary", "passed", "kept", "quality")
 
 
 @query("best_source", f"""

@@ -64,6 +64,8 @@ def hot_limit(spark: SparkSession) -> int:
 
 def join_same(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on equally named keys where null matches null; right keys are dropped."""
+    if not by:
+        raise ValueError("a join needs keys")
     renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in by else F.col(c) for c in right.columns])
     cond = None
     for c in by:

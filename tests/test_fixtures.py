@@ -140,7 +140,7 @@ def test_orbit_fit_finds_a_tilted_circle(spark):
 def test_level_offsets_solve_the_normal_equations(spark):
     e = [(0, 1, 2.0, 1.0), (1, 2, -1.0, 2.0), (0, 2, 0.5, 1.0)]
     got = {r.node: r.offset for r in graph.level_offsets(spark.createDataFrame(e, "a int, b int, diff double, w double")).collect()}
-    m, b = np.eye(3) * 0.1, np.zeros(3)
+    m, b = np.eye(3) * 0.1**2, np.zeros(3)
     for i, j, d, w in e:
         row = np.zeros(3)
         row[i], row[j] = 1, -1
