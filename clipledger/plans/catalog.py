@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from clipledger.operators import predict as pr
+from clipledger.operators.lineage import array_hash
 from clipledger.operators.surfaces import voxel_grid
 from clipledger.plans.registry import big, codes_sql, joined, q6, query, r6
+from clipledger.session import checkpoint_folder
 from clipledger.sources import readers as rd
+from clipledger.sources import sinks
 
 col = F.col
 K_SQL = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
@@ -99,7 +105,8 @@ class LengthPredictor:
 
     def predict(self, batch: pd.DataFrame) -> pd.DataFrame:
         v = batch["embedding"]
-        return pd.DataFrame({"vec_id": batch["vec_id"], "norm": [float((x.astype("float64") ** 2).sum() ** 0.5) for x in v], "top": [float(x.max()) for x in v]})
+        m = np.stack(v.to_numpy()).astype("float64") if len(v) else np.zeros((0, 1))
+        return pd.DataFrame({"vec_id": batch["vec_id"], "norm": np.sqrt((m * m).sum(axis=1)), "top": m.max(axis=1)})
 
 
 @query("predict", f"SELECT vec_id, {q6('sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))')} AS norm, {q6('list_max(embedding)')} AS top FROM embeddings")
@@ -154,3 +161,45 @@ def grid(t):
     g = voxel_grid(t.part.select("p_partkey", (col("p_size") / 50).alias("r")), 3)
     inside = col("x") ** 2 + col("y") ** 2 + col("z") ** 2 <= 4 * col("r") * col("r")
     return g.groupBy("p_partkey").agg(F.count("*").alias("cells"), F.count(F.when(inside, 1)).alias("inside"), r6(F.sum(col("x") + col("y") * 2 + col("z") * 3)).alias("checksum"))
+
+
+def sparse_models(t):
+    """Suppliers as clips: a part is a point seen in the lines that order it."""
+    track = F.collect_list(F.struct(big("l_orderkey").alias("view"), (col("l_quantity") + col("l_linenumber") / 10).alias("u"), col("l_tax").alias("v")))
+    xyz = F.array(F.min("l_quantity"), F.max("l_discount"), F.min("l_extendedprice"))
+    p = t.lineitem.groupBy("l_suppkey", "l_partkey").agg(track.alias("track"), xyz.alias("xyz"), F.max("l_tax").alias("error"))
+    return p.groupBy("l_suppkey").agg(F.collect_list(F.struct(col("l_partkey").alias("id"), "xyz", "track", "error")).alias("points"))
+
+
+@query("sparse_points", """
+SELECT l_suppkey, l_partkey AS point_id, min(l_quantity) AS x, max(l_discount) AS y, min(l_extendedprice) AS z, count(*) AS track_length, max(l_tax) AS error FROM lineitem GROUP BY 1, 2""")
+def sparse_points(t):
+    return rd.sparse_points(sparse_models(t), "l_suppkey").withColumn("track_length", big("track_length"))
+
+
+@query("sparse_observations", f"SELECT l_suppkey, l_partkey AS point_id, CAST(l_orderkey AS BIGINT) AS view, {q6('l_quantity + l_linenumber / 10')} AS u, l_tax AS v FROM lineitem")
+def sparse_observations(t):
+    return rd.sparse_observations(sparse_models(t), "l_suppkey").withColumn("u", r6("u"))
+
+
+@query("read_predictions", f"""
+WITH d AS (SELECT vec_id, label, CASE WHEN embedding[1] > 0.3 THEN 9 ELSE 8 END AS w, list_min(embedding) AS mn, CASE WHEN label = 3 AND embedding[2] > 0 THEN 'metric' WHEN label = 4 THEN 'depth' ELSE 'relative_inverse' END AS rep FROM embeddings),
+k AS (SELECT label, count(DISTINCT rep) AS n FROM d GROUP BY 1)
+SELECT vec_id, {codes_sql(("empty_prediction", "false"), ("shape_mismatch", "w <> 8"), ("not_finite", "false"), ("not_positive", "rep = 'metric' AND mn <= 0"), ("unknown_representation", "rep = 'depth'"), ("mixed_representation", "n > 1"))} AS reasons, vec_id % 7 <> 0 AS hash_matches FROM d JOIN k USING (label)""")
+def read_predictions(t):
+    """Predictions written to the shared folder, some with another content hash, and read back."""
+    d = dense(t).withColumn("output_sha256", F.when(col("vec_id") % 7 == 0, "0").otherwise(array_hash(col("values"), "float32", F.array("h", "w"))))
+    path = f"{checkpoint_folder(t.spark)}/predictions-{uuid.uuid4().hex}"
+    d.write.parquet(path)
+    return rd.read_predictions(t.spark, path).select("vec_id", joined("reasons").alias("reasons"), "hash_matches")
+
+
+@query("publish", f"""
+SELECT l_suppkey, count(*) AS "rows", {q6("max(l_extendedprice)")} AS highest, {q6("max(l_discount) FILTER (WHERE l_returnflag = 'R')")} AS returned FROM lineitem GROUP BY 1""")
+def publish(t):
+    """A report with a map of numbers, published once as JSON and read back."""
+    d = t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("rows"), F.create_map(F.lit("highest"), F.max("l_extendedprice"), F.lit("returned"), F.max(F.when(col("l_returnflag") == "R", col("l_discount")))).alias("metrics"))
+    path = f"{checkpoint_folder(t.spark)}/report-{uuid.uuid4().hex}"
+    sinks.publish(d, path)
+    back = t.spark.read.schema("l_suppkey long, rows long, metrics map<string,double>").json(path)
+    return back.select("l_suppkey", "rows", r6(col("metrics")["highest"]).alias("highest"), r6(col("metrics")["returned"]).alias("returned"))

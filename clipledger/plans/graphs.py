@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clipledger.functions import arrays
@@ -110,13 +111,34 @@ def taubin(t):
     return d.select("node", r6("v").alias("price"))
 
 
-@query("level_offsets")
+def _offset_round(i):
+    """One round of conjugate gradients as CTEs: s{i}(node, g, r, p) → s{i + 1}."""
+    return f"""ap{i} AS MATERIALIZED (SELECT node, coalesce(sum(t), 0) AS ap FROM (SELECT a.node, w * (a.p - b.p) AS t FROM oe JOIN s{i} a ON a.node = oe.a JOIN s{i} b ON b.node = oe.b UNION ALL SELECT b.node, w * (b.p - a.p) FROM oe JOIN s{i} a ON a.node = oe.a JOIN s{i} b ON b.node = oe.b) GROUP BY 1),
+x{i} AS MATERIALIZED (SELECT s.*, ap + 0.01 * p AS ap FROM s{i} s JOIN ap{i} USING (node)),
+al{i} AS MATERIALIZED (SELECT coalesce(sum(r * r) / nullif(sum(p * ap), 0), 0) AS al, sum(r * r) AS rr FROM x{i}),
+y{i} AS MATERIALIZED (SELECT node, g + al * p AS g, r - al * ap AS r, p, rr FROM x{i}, al{i}),
+s{i + 1} AS MATERIALIZED (SELECT node, g, r, r + coalesce((SELECT sum(r * r) FROM y{i}) / nullif(rr, 0), 0) * p AS p FROM y{i})"""
+
+
+OFFSET_ROUNDS = 40
+
+
+@query("level_offsets", f"""
+WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INT) AS brand, p_retailprice AS price FROM lineitem JOIN part ON p_partkey = l_partkey),
+n AS (SELECT brand, price, lead(brand) OVER w AS nb, lead(price) OVER w AS np FROM l WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
+oe AS MATERIALIZED (SELECT least(brand, nb) AS a, greatest(brand, nb) AS b, avg(CASE WHEN brand < nb THEN price - np ELSE np - price END) AS diff, count(*)::DOUBLE AS w FROM n WHERE nb <> brand GROUP BY 1, 2),
+s0 AS MATERIALIZED (SELECT node, 0.0::DOUBLE AS g, sum(r) AS r, sum(r) AS p FROM (SELECT a AS node, w * diff AS r FROM oe UNION ALL SELECT b, -w * diff FROM oe) GROUP BY 1),
+{", ".join(_offset_round(i) for i in range(OFFSET_ROUNDS))}
+SELECT node, round(g, 4) + 0.0 AS "offset" FROM s{OFFSET_ROUNDS}""")
 def level_offsets(t):
-    """Brand offsets that reconcile price differences seen by the same customer order."""
-    b = t.part.select(col("p_partkey").alias("l_partkey"), F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int").alias("brand"), "p_retailprice")
-    li = t.lineitem.select("l_orderkey", "l_partkey").join(b, "l_partkey").groupBy("l_orderkey").agg(F.min(F.struct("brand", "p_retailprice")).alias("x"), F.max(F.struct("brand", "p_retailprice")).alias("y"))
-    e = li.where("x.brand < y.brand").groupBy(col("x.brand").alias("a"), col("y.brand").alias("b")).agg(F.avg(col("x.p_retailprice") - col("y.p_retailprice")).alias("diff"), F.count("*").cast("double").alias("w"))
-    return gr.level_offsets(e).select("node", F.round("offset", 4).alias("offset"))
+    """Brand offsets that reconcile price differences between neighbouring lines of an order."""
+    b = t.part.select(col("p_partkey").alias("l_partkey"), F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int").alias("brand"), col("p_retailprice").alias("price"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    li = t.lineitem.join(b, "l_partkey").select("brand", "price", F.lead("brand").over(w).alias("nb"), F.lead("price").over(w).alias("np")).where("nb != brand")
+    up = col("brand") < col("nb")
+    diff = F.when(up, col("price") - col("np")).otherwise(col("np") - col("price"))
+    e = li.groupBy(F.least("brand", "nb").alias("a"), F.greatest("brand", "nb").alias("b")).agg(F.avg(diff).alias("diff"), F.count("*").cast("double").alias("w"))
+    return gr.level_offsets(e).select("node", (F.round("offset", 4) + 0.0).alias("offset"))
 
 
 def _prune_round(i):
@@ -141,7 +163,16 @@ def prune(t):
     return d.groupBy("l_suppkey").agg(F.count("*").alias("kept"), r6(F.min("v")).alias("low"), r6(F.max("v")).alias("high"), F.bool_and("accepted").alias("accepted"))
 
 
-@query("orbit_fit")
+@query("orbit_fit", """
+WITH v AS (SELECT l_suppkey AS k, l_quantity / 10 AS x, l_discount * 20 AS y, l_extendedprice / 40000 AS z FROM lineitem),
+m AS (SELECT k, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, var_pop(x) AS a, var_pop(y) AS b, var_pop(z) AS c, covar_pop(x, y) AS d, covar_pop(x, z) AS e, covar_pop(y, z) AS f FROM v GROUP BY 1),
+n AS (SELECT *, (a + b + c) / 3 AS q FROM m), p AS (SELECT *, sqrt(((a-q)*(a-q) + (b-q)*(b-q) + (c-q)*(c-q) + 2*(d*d + e*e + f*f)) / 6) AS p FROM n),
+r AS (SELECT *, q + 2*p*cos(acos(least(greatest((((a-q)/p) * (((b-q)/p) * ((c-q)/p) - (f/p)*(f/p)) - (d/p) * ((d/p) * ((c-q)/p) - (f/p)*(e/p)) + (e/p) * ((d/p)*(f/p) - ((b-q)/p)*(e/p))) / 2, -1), 1)) / 3 + 2*pi()/3) AS l FROM p),
+o AS (SELECT *, [d*f - e*(b-l), e*d - (a-l)*f, (a-l)*(b-l) - d*d] AS n1, [d*(c-l) - e*f, e*e - (a-l)*(c-l), (a-l)*f - d*e] AS n2, [(b-l)*(c-l) - f*f, f*e - d*(c-l), d*f - (b-l)*e] AS n3 FROM r),
+g AS (SELECT *, list_inner_product(n1, n1) AS w1, list_inner_product(n2, n2) AS w2, list_inner_product(n3, n3) AS w3 FROM o),
+h AS (SELECT k, cx, cy, cz, CASE WHEN w1 >= w2 AND w1 >= w3 THEN n1 WHEN w2 >= w3 THEN n2 ELSE n3 END AS n, sqrt(greatest(w1, w2, w3)) AS w FROM g),
+u AS (SELECT v.k, sqrt((x-cx)*(x-cx) + (y-cy)*(y-cy) + (z-cz)*(z-cz)) AS r, ((x-cx)*n[1] + (y-cy)*n[2] + (z-cz)*n[3]) / w AS pn FROM v JOIN h USING (k))
+SELECT k AS l_suppkey, round(avg(r), 5) AS radius, round(stddev_pop(degrees(atan2(pn, sqrt(greatest(r*r - pn*pn, 0))))), 5) AS elevation_spread, count(*) AS views FROM u GROUP BY 1""")
 def orbit_fit(t):
     from clipledger.plans.aggregates import LINE_ORDER
 

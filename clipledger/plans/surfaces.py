@@ -95,6 +95,30 @@ def nearest_per_cell(t):
     return d.select("label", big("y").alias("y"), big("x").alias("x"), "vec_id", r6("depth").alias("depth"))
 
 
+@query("visible_faces", f"""
+WITH {_TRI}, a AS (SELECT *, (u1-u0)*(v2-v0) - (u2-u0)*(v1-v0) AS ar FROM tr), g AS (SELECT * FROM a, range(24) p(x), range(24) q(y) WHERE abs(ar) > 1e-12 AND x BETWEEN least(u0,u1,u2) AND greatest(u0,u1,u2) AND y BETWEEN least(v0,v1,v2) AND greatest(v0,v1,v2)),
+b AS (SELECT *, {_edge(1, 2)} AS ba, {_edge(2, 0)} AS bb, {_edge(0, 1)} AS bg FROM g),
+d AS (SELECT label, x, y, min(round(1 / (ba / z0 + bb / z1 + bg / z2), 9)) AS near FROM b WHERE ba >= -1e-9 AND bb >= -1e-9 AND bg >= -1e-9 GROUP BY 1, 2, 3)
+SELECT a.label, vec_id FROM a JOIN d ON a.label = d.label AND d.x = round_even((u0+u1+u2) / 3, 0) AND d.y = round_even((v0+v1+v2) / 3, 0) WHERE abs(ar) > 20 AND (z0+z1+z2) / 3 <= near + 0.02""")
+def visible_faces(t):
+    tri = triangles(t)
+    area = F.abs((col("u1") - col("u0")) * (col("v2") - col("v0")) - (col("u2") - col("u0")) * (col("v1") - col("v0")))
+    return sf.visible_faces(tri, sf.zbuffer(tri, ["label"], "vec_id"), ["label"], "vec_id", 0.02, area, 20.0).select("label", "vec_id")
+
+
+@query("bilinear", f"""
+WITH p AS (SELECT e.vec_id, e.embedding::DOUBLE[] AS embedding, i AS point, least(greatest(e.embedding[i + 1]::DOUBLE * 8 + 3.5, 0), 8 - 1.000001::DOUBLE) AS u, least(greatest(e.embedding[i + 2]::DOUBLE * 8 + 3.5, 0), 8 - 1.000001::DOUBLE) AS v FROM embeddings e, range(0, 63) r(i)),
+c AS (SELECT *, CAST(floor(u) AS INT) AS x, CAST(floor(v) AS INT) AS y, u - floor(u) AS fu, v - floor(v) AS fv FROM p)
+SELECT vec_id, point, {q6("(1-fu)*(1-fv)*embedding[y*8 + x + 1] + fu*(1-fv)*embedding[y*8 + least(x+1, 7) + 1] + (1-fu)*fv*embedding[least(y+1, 7)*8 + x + 1] + fu*fv*embedding[least(y+1, 7)*8 + least(x+1, 7) + 1]")} AS value FROM c""")
+def bilinear(t):
+    """Each embedding as an image of 8 by 8, sampled at positions that neighbouring components name."""
+    cells = t.embeddings.select("vec_id", F.posexplode("embedding").alias("i", "value"))
+    image = cells.select("vec_id", F.expr("i div 8").alias("y"), (col("i") % 8).alias("x"), col("value").cast("double").alias("value"))
+    at = t.embeddings.select("vec_id", F.posexplode(F.arrays_zip(F.slice("embedding", 1, 63).alias("a"), F.slice("embedding", 2, 63).alias("b"))).alias("point", "z"))
+    points = at.select("vec_id", big("point").alias("point"), (col("z.a").cast("double") * 8 + 3.5).alias("u"), (col("z.b").cast("double") * 8 + 3.5).alias("v"))
+    return sf.bilinear(points, image, ["vec_id"], "point", 8, 8).select("vec_id", "point", r6("value").alias("value"))
+
+
 @query("face_view_score", f"""
 WITH c AS (SELECT l_returnflag AS g, l_partkey AS f, l_suppkey AS s, l_orderkey AS o, l_linenumber AS n, l_linestatus = 'O' AS vis, l_extendedprice / 1000 AS area, l_discount * 10 AS fr, l_linenumber <= 5 AS ins, l_tax < 0.07 AS im, l_quantity AS bd FROM lineitem),
 r AS (SELECT *, area * least(1, bd / (3 * 8.0)) * fr AS q, row_number() OVER (PARTITION BY g, f ORDER BY area * least(1, bd / (3 * 8.0)) * fr DESC, s, o, n) AS slot FROM c WHERE vis AND fr > 0.2 AND ins AND im AND bd > 8),

@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 def no_nan(df: DataFrame) -> DataFrame:
     """Fail the write if a floating-point value, also inside structs, arrays and maps, is NaN or infinite."""
 
+    def each(t):
+        return lambda x: good(x, t)
+
     def good(c, t):
         if isinstance(t, (T.DoubleType, T.FloatType)):
             return c.isNull() | (~F.isnan(c) & (F.abs(c) != float("inf")))
@@ -25,7 +28,7 @@ def no_nan(df: DataFrame) -> DataFrame:
             return None if probe is None else c.isNull() | F.forall(c, lambda x: good(x, t.elementType))
         if isinstance(t, T.MapType):
             held = [good(F.lit(None).cast(k), k) is not None for k in (t.keyType, t.valueType)]
-            parts = [F.forall(part(c), lambda x, k=k: good(x, k)) for part, k, h in ((F.map_keys, t.keyType, held[0]), (F.map_values, t.valueType, held[1])) if h]
+            parts = [F.forall(part(c), each(k)) for part, k, h in ((F.map_keys, t.keyType, held[0]), (F.map_values, t.valueType, held[1])) if h]
             return None if not parts else c.isNull() | (parts[0] & parts[-1])
         return None
 
