@@ -276,6 +276,12 @@ def aggregate_hints(evidence: DataFrame, by: Sequence[str], frame: str, kind: st
     """
     by = list(by)
     per = evidence.groupBy(*by, kind).agg(F.count("*").alias("support_frames"), F.avg(confidence).alias("_mean"))
+    return decide(per, by, kind, frames, min_score, min_frames, min_fraction, min_margin)
+
+
+def decide(per: DataFrame, by: Sequence[str], kind: str, frames: DataFrame, min_score=0.30, min_frames=2, min_fraction=0.15, min_margin=0.08) -> DataFrame:
+    """Winner per group from rows per kind (``support_frames``, ``_mean`` confidence); ``frames`` has ``n_frames``."""
+    by = list(by)
     per = join_same(per, frames, by).withColumn("support_fraction", F.col("support_frames") / F.col("n_frames"))
     per = per.withColumn("score", F.col("_mean") * F.sqrt("support_fraction"))
     best = top_k(per, by, [F.col("score").desc(), F.col(kind)], 2, "_rn")

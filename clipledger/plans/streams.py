@@ -31,28 +31,54 @@ def event_stream(t):
     return d.select("event_id", "user_id", "event_type", "value", k.alias("k"), micros(col("ts")).alias("us")).withColumn("at", F.timestamp_micros("us"))
 
 
-_MARK = "(SELECT epoch_ms(max(ts)) FROM events) * 1000"
+#: A time after all events, to close what is still open at the end of a finished stream.
+END = "2200-01-01 00:00:00"
+
+
+def ending(t):
+    """The event stream in a form that can be closed, and where its end is announced."""
+    end = f"{folders(t.spark)[0]}-end"
+    return st.closable(event_stream(t), end), end
 
 
 @query("stream_runs", f"""
 WITH {FRAMES}, g AS (SELECT *, CASE WHEN us - lag(us) OVER w >= {8 * HOUR} THEN 1 ELSE 0 END AS nw FROM fr WINDOW w AS (PARTITION BY user_id ORDER BY us)), r AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS run FROM g)
-SELECT user_id, min(us) AS start_us, max(us) AS last_us, count(*) AS "rows", {q6("max(value)")} AS best FROM r GROUP BY user_id, run HAVING max(us) + {8 * HOUR} <= {_MARK} - {HOUR}""")
+SELECT user_id, min(us) AS start_us, max(us) AS last_us, count(*) AS "rows", {q6("max(value)")} AS best FROM r GROUP BY user_id, run""")
 def stream_runs(t):
     out, state = folders(t.spark)
-    d = st.run_once(st.stream_runs(event_stream(t), ["user_id"], "at", "8 hours", "1 hour", best=F.max("value")), out, state)
+    source, end = ending(t)
+    d = st.run_to_end(st.stream_runs(source, ["user_id"], "at", "8 hours", "1 hour", best=F.max("value")), "at", END, end, source, out, state)
     return d.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("last").alias("last_us"), "rows", r6("best").alias("best"))
 
 
 @query("stream_hints", f"""
 WITH {FRAMES}, e AS (SELECT user_id, event_type, us, k / 100.0 AS c FROM fr WHERE k / 100.0 >= 0.2), w AS (SELECT *, us // {24 * HOUR} * {24 * HOUR} - s * {12 * HOUR} + CASE WHEN us % {24 * HOUR} >= {12 * HOUR} THEN {12 * HOUR} ELSE 0 END AS b FROM e, (VALUES (0), (1)) v(s))
-SELECT user_id, b AS start_us, event_type, count(*) AS "rows", {q6("avg(c)")} AS mean_confidence, {q6("max(c)")} AS best_confidence FROM w GROUP BY 1, 2, 3 HAVING b + {24 * HOUR} <= {_MARK} - {HOUR}""")
+SELECT user_id, b AS start_us, event_type, count(*) AS "rows", {q6("avg(c)")} AS mean_confidence, {q6("max(c)")} AS best_confidence FROM w GROUP BY 1, 2, 3""")
 def stream_hints(t):
     out, state = folders(t.spark)
-    d = st.stream_hints(event_stream(t).withColumn("c", col("k") / 100.0), ["user_id"], "at", "event_type", "c", "24 hours", "1 hour", "12 hours")
-    d = st.run_once(d, out, state)
+    source, end = ending(t)
+    d = st.stream_hints(source.withColumn("c", F.coalesce(col("k") / 100.0, F.lit(1.0))), ["user_id"], "at", "event_type", "c", "24 hours", "1 hour", "12 hours")
+    d = st.run_to_end(d, "at", END, end, source, out, state)
     return d.select("user_id", F.unix_micros("start").alias("start_us"), "event_type", "rows", r6("mean_confidence").alias("mean_confidence"), r6("best_confidence").alias("best_confidence"))
 
 
+@query("stream_hint_winner", f"""
+WITH {FRAMES}, e AS (SELECT user_id, event_type, us, k / 100.0 AS c FROM fr WHERE k / 100.0 >= 0.2), w AS (SELECT *, us // {24 * HOUR} * {24 * HOUR} AS b FROM e),
+g AS (SELECT user_id, b, event_type, count(*) AS sf, avg(c) AS m FROM w GROUP BY 1, 2, 3), n AS (SELECT user_id, b, max(sf) AS nf FROM g GROUP BY 1, 2),
+s AS (SELECT g.*, sf / nf AS frac, m * sqrt(sf / nf) AS score, row_number() OVER (PARTITION BY user_id, b ORDER BY m * sqrt(sf / nf) DESC, event_type) AS rn FROM g JOIN n USING (user_id, b)),
+d AS (SELECT user_id, b, max(event_type) FILTER (WHERE rn = 1) AS hint, max(score) FILTER (WHERE rn = 1) AS score, max(sf) FILTER (WHERE rn = 1) AS sf, max(frac) FILTER (WHERE rn = 1) AS frac, coalesce(max(score) FILTER (WHERE rn = 2), 0) AS s2 FROM s GROUP BY 1, 2)
+SELECT user_id, b AS start_us, hint, {q6("score")} AS score, {q6("score - s2")} AS margin,
+  {codes_sql(("no_mapped_evidence", "hint IS NULL"), ("score_too_low", "score < 0.3"), ("too_few_support_frames", "sf < 2"), ("support_fraction_too_low", "frac < 0.15"), ("margin_too_small", "score - s2 < 0.08"))} AS reasons FROM d""")
+def stream_hint_winner(t):
+    """The hint of each day, decided when the day's window closes; the busiest kind's rows stand for the frames."""
+    out, state = folders(t.spark)
+    source, end = ending(t)
+    d = st.stream_hints(source.withColumn("c", F.coalesce(col("k") / 100.0, F.lit(1.0))), ["user_id"], "at", "event_type", "c", "24 hours", "1 hour")
+    build = lambda rows: st.decide_hints(rows.withColumn("frames", col("rows")), ["user_id"], "event_type")
+    d = st.run_to_end(d, "at", END, end, source, out, state, build=build)
+    return d.select("user_id", F.unix_micros("start").alias("start_us"), "hint", r6("score").alias("score"), r6("margin").alias("margin"), joined("reasons").alias("reasons"))
+
+
 @query("stream_jobs", """
 WITH s AS (SELECT user_id, event_id, epoch_us(ts) AS us, CASE event_type WHEN 'signup' THEN 'started' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS st FROM events)
 SELECT user_id, max_by(st, row(us, st)) AS status, max(us) AS updated_us, count(DISTINCT event_id) AS events, count(DISTINCT event_id) FILTER (WHERE st = 'started') AS attempts FROM s GROUP BY 1""")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from clipledger.operators.aggregates import decide
+
 
 def stream_runs(sdf: DataFrame, by: Sequence[str], ts: str, gap: str, delay: str, **aggs: Column) -> DataFrame:
     """Runs separated by more than ``gap``: start, end (of the last row), rows and further aggregates. Rows later than
@@ -19,7 +22,8 @@ def stream_runs(sdf: DataFrame, by: Sequence[str], ts: str, gap: str, delay: str
 
 
 def stream_hints(sdf: DataFrame, by: Sequence[str], ts: str, kind: str, confidence: str, size: str, delay: str, slide: str | None = None, minimum: float = 0.20) -> DataFrame:
-    """Evidence per (group, window, kind) above a confidence floor: rows, mean and highest confidence."""
+    """Evidence per (group, window, kind) above a confidence floor: rows, mean and highest confidence. See
+    :func:`decide_hints` for the winner."""
     win = F.window(ts, size, slide) if slide else F.window(ts, size)
     d = sdf.withWatermark(ts, delay).where(F.col(confidence) >= minimum)
     d = d.groupBy(*by, win.alias("w"), kind).agg(F.count("*").alias("rows"), F.avg(confidence).alias("mean_confidence"), F.max(confidence).alias("best_confidence"))
@@ -33,8 +37,18 @@ def stream_jobs(sdf: DataFrame, job: str, event: str, ts: str, status: str, dela
     return d.groupBy(job).agg(latest.alias("_l"), F.count("*").alias("events"), F.count(F.when(F.col(status) == "started", 1)).alias("attempts")).select(job, F.col("_l.status").alias("status"), F.col("_l.ts").alias("updated"), "events", "attempts")
 
 
-def _cadence(by: str, interval: float, half: float, max_n: int, index_fps: float):
-    """State per clip: next grid number, frames emitted and frames seen."""
+def decide_hints(rows: DataFrame, by: Sequence[str], kind: str, frames: str = "frames", **limits) -> DataFrame:
+    """Winner per group and window of closed hint rows (see :func:`stream_hints`): score, runner-up, margin and the
+    reasons to abstain, as in the batch decision. All kinds of a window close in the same micro-batch, so this may be
+    the ``build`` step of a publishing stream."""
+    keys = [*by, "start", "end"]
+    n = rows.groupBy(*keys).agg(F.max(frames).alias("n_frames"))
+    return decide(rows.withColumnsRenamed({"rows": "support_frames", "mean_confidence": "_mean"}).drop("best_confidence", frames), keys, kind, n, **limits)
+
+
+def _cadence(by: str, interval: float, max_n: int, patience_ms: int | None):
+    """State per clip: next grid number, frames emitted and frames seen. Times are computed for the whole batch; the
+    walk goes from one emitted frame to the next, at most ``max_n`` steps, by search."""
 
     def step(key, batches, state: GroupState):
         if state.hasTimedOut:
@@ -42,32 +56,40 @@ def _cadence(by: str, interval: float, half: float, max_n: int, index_fps: float
             return
         nxt, sent, seen = state.get if state.exists else (0, 0, 0)
         pdf = pd.concat(list(batches)).sort_values(["device_s", "frame"])
-        out = []
-        for frame, device in zip(pdf["frame"], pdf["device_s"]):
-            steady = seen / index_fps
-            t = device if device >= steady * 0.5 else steady  # a stale device clock is replaced
-            seen += 1
-            if sent < max_n and t + half >= nxt * interval:
-                out.append((key[0], frame, t, sent))
-                sent += 1
-                nxt = max(nxt + 1, int(t // interval) + 1)
-        state.update((nxt, sent, seen))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 3_600_000 * 24)
+        steady = (seen + np.arange(len(pdf))) / pdf["rate"].to_numpy()
+        device = pdf["device_s"].to_numpy()
+        t = np.where(device >= steady * 0.5, device, steady)  # a stale device clock is replaced
+        reach = np.maximum.accumulate(t + 0.5 / pdf["rate"].to_numpy())
+        at, out = 0, []
+        while sent < max_n and at < len(t):
+            at += int(np.searchsorted(reach[at:], nxt * interval, side="left"))
+            while at < len(t) and t[at] + 0.5 / pdf["rate"].iloc[at] < nxt * interval:
+                at += 1  # a frame behind an earlier, later one
+            if at == len(t):
+                break
+            out.append((key[0], int(pdf["frame"].iloc[at]), float(t[at]), sent))
+            sent, nxt, at = sent + 1, max(nxt + 1, int(t[at] // interval) + 1), at + 1
+        state.update((nxt, sent, seen + len(pdf)))
+        if patience_ms is not None:
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + patience_ms)
         yield pd.DataFrame(out, columns=[by, "frame", "timestamp_s", "candidate_index"])
 
     return step
 
 
-def stream_cadence(sdf: DataFrame, by: str, ts: str, frame: str, device: str, sample_fps: float, source_fps: float, max_n: int, delay: str) -> DataFrame:
-    """Cadence sampler with state per clip; state of clips that stay silent for a day expires.
+def stream_cadence(sdf: DataFrame, by: str, ts: str, frame: str, device: str, sample_fps: float, source_fps: float | Column, max_n: int, delay: str, patience_ms: int | None = None) -> DataFrame:
+    """Cadence sampler with state per clip. ``source_fps`` is one rate or the clip's own. A clip's state is three numbers
+    and is kept for good, unless ``patience_ms`` names the event time after which a silent clip is forgotten; one that
+    resumes later then starts anew.
 
     Each micro-batch holds a bounded part of a clip, which is sorted by time inside the batch.
     """
     kind = sdf.schema[by].dataType.simpleString()
-    d = sdf.withWatermark(ts, delay).select(by, ts, F.col(frame).cast("long").alias("frame"), F.col(device).cast("double").alias("device_s"))
+    rate = F.lit(float(source_fps)) if isinstance(source_fps, (int, float)) else source_fps
+    d = sdf.withWatermark(ts, delay).select(by, ts, F.col(frame).cast("long").alias("frame"), F.col(device).cast("double").alias("device_s"), rate.cast("double").alias("rate"))
     return d.groupBy(by).applyInPandasWithState(
-        _cadence(by, 1 / sample_fps, 0.5 / source_fps, max_n, source_fps), f"`{by}` {kind}, frame long, timestamp_s double, candidate_index int",
-        "nxt long, sent long, seen long", "append", GroupStateTimeout.EventTimeTimeout)
+        _cadence(by, 1 / sample_fps, max_n, patience_ms), f"`{by}` {kind}, frame long, timestamp_s double, candidate_index int",
+        "nxt long, sent long, seen long", "append", GroupStateTimeout.NoTimeout if patience_ms is None else GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_publish(sdf: DataFrame, path: str, checkpoint: str, build: Callable[[DataFrame], DataFrame] | None = None, mode: str = "append"):
@@ -88,6 +110,24 @@ def run_once(sdf: DataFrame, path: str, checkpoint: str, mode: str = "append", b
     return spark.read.option("basePath", path).parquet(f"{path}/batch_id=*")
 
 
+def closable(sdf: DataFrame, folder: str) -> DataFrame:
+    """The stream joined with an empty one from ``folder``, by which :func:`run_to_end` can close it."""
+    spark: SparkSession = sdf.sparkSession
+    spark.createDataFrame([], sdf.schema).write.parquet(folder)
+    return sdf.unionByName(spark.readStream.schema(sdf.schema).parquet(folder))
+
+
+def run_to_end(sdf: DataFrame, ts: str, end, folder: str, source: DataFrame, path: str, checkpoint: str, build: Callable | None = None) -> DataFrame:
+    """Like :func:`run_once`, and then close what the watermark holds open: when all rows have been read, a row with
+    nothing but the time ``end`` arrives in ``folder`` (see :func:`closable`, whose result is ``source``) and moves the
+    watermark past every window. Its own window stays open and is never published."""
+    run_once(sdf, path, checkpoint, build=build)
+    spark: SparkSession = sdf.sparkSession
+    blank = [F.lit(end).cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in source.schema.fields]
+    spark.range(1).select(*blank).write.mode("append").parquet(folder)
+    return run_once(sdf, path, checkpoint, build=build)
+
+
 def latest_per_key(published: DataFrame, key: Sequence[str]) -> DataFrame:
     """Last published row per key of an update-mode stream."""
     cols = [c for c in published.columns if c not in (*key, "batch_id")]
