@@ -9,7 +9,7 @@ from clipledger.functions.rules import Rule, apply_gates, bounds, one_of
 from clipledger.operators import aggregates as agg
 from clipledger.operators.quality import capture_warnings, coverage_preflight, frame_flags, score_frames, source_guard
 from clipledger.operators.selection import best_evidence
-from clipledger.plans.registry import big, codes_sql, joined, q6, query, r6
+from clipledger.plans.registry import big, codes_sql, joined, parts_sql, q6, query, r6, vector_parts
 
 col = F.col
 K_SQL = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
@@ -131,16 +131,15 @@ def undistort(t):
 
 
 @query("camera_angles", f"""
-WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings),
-c AS (SELECT vec_id, -(0.36*x - 0.8*y + 0.48*z) AS cx, -(0.48*x + 0.6*y + 0.64*z) AS cy, -(-0.8*x + 0.6*z) AS cz FROM e)
-SELECT vec_id, {q6("degrees(atan2(cy, cx))")} AS azimuth, {q6("degrees(atan2(cz, greatest(sqrt(cx*cx + cy*cy), 1e-9)))")} AS elevation,
+WITH e AS (SELECT vec_id, part, v1 AS x, v2 AS y, v3 AS z FROM {parts_sql(3)}),
+c AS (SELECT vec_id, part, -(0.36*x - 0.8*y + 0.48*z) AS cx, -(0.48*x + 0.6*y + 0.64*z) AS cy, -(-0.8*x + 0.6*z) AS cz FROM e)
+SELECT vec_id, part, {q6("degrees(atan2(cy, cx))")} AS azimuth, {q6("degrees(atan2(cz, greatest(sqrt(cx*cx + cy*cy), 1e-9)))")} AS elevation,
   {q6("((0-cx)*0.48 + (0-cy)*0.64 + (0-cz)*0.6) / (sqrt(cx*cx + cy*cy + cz*cz) * sqrt(0.48*0.48 + 0.64*0.64 + 0.6*0.6))")} AS look_at FROM c""")
 def camera_angles(t):
-    e = F.transform("embedding", lambda x: x.cast("double"))
-    d = t.embeddings.select("vec_id", geo.centre(_arr(_ROT), F.slice(e, 1, 3)).alias("c"), geo.optical_axis(_arr(_ROT)).alias("a"))
+    d = vector_parts(t, 3).select("vec_id", "part", geo.centre(_arr(_ROT), col("values")).alias("c"), geo.optical_axis(_arr(_ROT)).alias("a"))
     c = [col("c")[i] for i in range(3)]
     look = geo.look_at_cosine(*c, *[col("a")[i] for i in range(3)], F.lit(0.0), F.lit(0.0), F.lit(0.0))
-    return d.select("vec_id", r6(geo.azimuth(c[0], c[1])).alias("azimuth"), r6(geo.elevation(*c)).alias("elevation"), r6(look).alias("look_at"))
+    return d.select("vec_id", "part", r6(geo.azimuth(c[0], c[1])).alias("azimuth"), r6(geo.elevation(*c)).alias("elevation"), r6(look).alias("look_at"))
 
 
 def _unit_sql(x, lo, hi, neutral):

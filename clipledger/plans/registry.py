@@ -39,6 +39,21 @@ def big(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("long")
 
 
+def vector_parts(t, n: int):
+    """All embeddings cut into parts of ``n`` values, each a row: vec_id, label, part (from 0) and values (doubles)."""
+    from pyspark.sql import functions as F
+
+    values = F.transform("embedding", lambda x: x.cast("double"))
+    at = F.explode(F.sequence(F.lit(0), F.expr(f"size(embedding) div {n} - 1")))
+    return t.embeddings.select("vec_id", "label", values.alias("_v"), at.alias("part")).select("vec_id", "label", F.col("part").cast("long").alias("part"), F.slice("_v", F.col("part") * n + 1, n).alias("values"))
+
+
+def parts_sql(n: int) -> str:
+    """The same rows, with values v1 to v<n>."""
+    cols = ", ".join(f"CAST(embedding[part * {n} + {i + 1}] AS DOUBLE) AS v{i + 1}" for i in range(n))
+    return f"(SELECT vec_id, label, part, {cols} FROM embeddings, range(0, 64 // {n}) AS r(part))"
+
+
 def joined(c: Column | str) -> Column:
     """Array of strings as one text."""
     return F.array_join(c, ",")

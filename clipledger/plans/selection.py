@@ -8,7 +8,7 @@ from clipledger.operators import selection as sel
 from clipledger.operators.groups import top_k
 from clipledger.plans.aggregates import LINE_ORDER, LINE_SQL
 from clipledger.plans.gates import QUALITY_SQL, event_quality
-from clipledger.plans.registry import big, joined, q6, query, r6
+from clipledger.plans.registry import big, joined, parts_sql, q6, query, r6, vector_parts
 from clipledger.plans.windows import FRAMES, frames
 
 col = F.col
@@ -91,14 +91,14 @@ def farthest_point(t):
 
 
 def directions(t):
-    """First three embedding values as unit directions."""
-    x = [col("embedding")[i].cast("double") for i in range(3)]
+    """Unit directions from each three values of all embeddings."""
+    x = [col("values")[i] for i in range(3)]
     n = F.sqrt(x[0] * x[0] + x[1] * x[1] + x[2] * x[2])
-    return t.embeddings.select("label", "vec_id", F.array(*[v / n for v in x]).alias("dir"))
+    return vector_parts(t, 3).select("label", "vec_id", "part", F.array(*[v / n for v in x]).alias("dir"))
 
 
-DIRS = """dr AS (SELECT label, vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c, sqrt(embedding[1]::DOUBLE * embedding[1]::DOUBLE + embedding[2]::DOUBLE * embedding[2]::DOUBLE + embedding[3]::DOUBLE * embedding[3]::DOUBLE) AS n FROM embeddings),
-du AS (SELECT label, vec_id, a / n AS x, b / n AS y, c / n AS z, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i, count(*) OVER (PARTITION BY label) AS cnt FROM dr)"""
+DIRS = f"""dr AS (SELECT label, vec_id, part, v1 AS a, v2 AS b, v3 AS c, sqrt(v1 * v1 + v2 * v2 + v3 * v3) AS n FROM {parts_sql(3)}),
+du AS (SELECT label, vec_id, a / n AS x, b / n AS y, c / n AS z, row_number() OVER (PARTITION BY label ORDER BY vec_id, part) AS i, count(*) OVER (PARTITION BY label) AS cnt FROM dr)"""
 
 
 @query("separated_count", f"""
@@ -109,7 +109,7 @@ s AS (SELECT label, 1 AS i, max(cnt) AS n, [row(x, y, z)] AS kept FROM du WHERE
   FROM s JOIN du d ON d.label = s.label AND d.i = s.i + 1)
 SELECT label, CAST(len(kept) AS BIGINT) AS separated FROM s WHERE i = n""")
 def separated_count(t):
-    d = sel.separated_rows(directions(t), ["label"], ["vec_id"], "dir", 40.0)
+    d = sel.separated_rows(directions(t), ["label"], ["vec_id", "part"], "dir", 40.0)
     return d.groupBy("label").agg(F.count("*").alias("separated"))
 
 

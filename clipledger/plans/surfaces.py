@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clipledger.operators import surfaces as sf
 from clipledger.plans.aggregates import LINE_ORDER, LINE_SQL
 from clipledger.plans.gates import _ROT, _arr
-from clipledger.plans.registry import big, q6, query, r6
+from clipledger.plans.registry import big, parts_sql, q6, query, r6, vector_parts
 
 col = F.col
 W = H = 16
@@ -68,16 +68,15 @@ def weighted_fuse(t):
     return d.select("l_partkey", r6("tsdf").alias("tsdf"), r6("weight").alias("weight"))
 
 
-_E = "embedding[{}]::DOUBLE"
-_TRI = "tr AS (SELECT label, vec_id, " + ", ".join(f"{_E.format(2 * i + 1)} * 24 + 12 AS u{i}, {_E.format(2 * i + 2)} * 24 + 12 AS v{i}, {_E.format(7 + i)} + 2 AS z{i}" for i in range(3)) + " FROM embeddings)"
+_TRI = "tr AS (SELECT label, vec_id * 10 + part AS face, " + ", ".join(f"v{2 * i + 1} * 24 + 12 AS u{i}, v{2 * i + 2} * 24 + 12 AS v{i}, v{7 + i} + 2 AS z{i}" for i in range(3)) + f" FROM {parts_sql(9)})"
 
 
 def triangles(t):
-    e = [col("embedding")[i].cast("double") for i in range(9)]
+    e = [col("values")[i] for i in range(9)]
     cols = []
     for i in range(3):
         cols += [(e[2 * i] * 24 + 12).alias(f"u{i}"), (e[2 * i + 1] * 24 + 12).alias(f"v{i}"), (e[6 + i] + 2).alias(f"z{i}")]
-    return t.embeddings.select("label", "vec_id", *cols, F.lit(24).alias("width"), F.lit(24).alias("height"))
+    return vector_parts(t, 9).select("label", (col("vec_id") * 10 + col("part")).alias("face"), *cols, F.lit(24).alias("width"), F.lit(24).alias("height"))
 
 
 def _edge(i, j):
@@ -87,23 +86,23 @@ def _edge(i, j):
 @query("nearest_per_cell", f"""
 WITH {_TRI}, a AS (SELECT *, (u1-u0)*(v2-v0) - (u2-u0)*(v1-v0) AS ar FROM tr), g AS (SELECT * FROM a, range(24) p(x), range(24) q(y) WHERE abs(ar) > 1e-12 AND x BETWEEN least(u0,u1,u2) AND greatest(u0,u1,u2) AND y BETWEEN least(v0,v1,v2) AND greatest(v0,v1,v2)),
 b AS (SELECT *, {_edge(1, 2)} AS ba, {_edge(2, 0)} AS bb, {_edge(0, 1)} AS bg FROM g),
-d AS (SELECT label, vec_id, x, y, round(1 / (ba / z0 + bb / z1 + bg / z2), 9) AS depth FROM b WHERE ba >= -1e-9 AND bb >= -1e-9 AND bg >= -1e-9),
-r AS (SELECT *, row_number() OVER (PARTITION BY label, x, y ORDER BY depth, vec_id) AS rn FROM d)
-SELECT label, y, x, vec_id, {q6("depth")} AS depth FROM r WHERE rn = 1""")
+d AS (SELECT label, face, x, y, round(1 / (ba / z0 + bb / z1 + bg / z2), 9) AS depth FROM b WHERE ba >= -1e-9 AND bb >= -1e-9 AND bg >= -1e-9),
+r AS (SELECT *, row_number() OVER (PARTITION BY label, x, y ORDER BY depth, face) AS rn FROM d)
+SELECT label, y, x, face, {q6("depth")} AS depth FROM r WHERE rn = 1""")
 def nearest_per_cell(t):
-    d = sf.zbuffer(triangles(t), ["label"], "vec_id")
-    return d.select("label", big("y").alias("y"), big("x").alias("x"), "vec_id", r6("depth").alias("depth"))
+    d = sf.zbuffer(triangles(t), ["label"], "face")
+    return d.select("label", big("y").alias("y"), big("x").alias("x"), "face", r6("depth").alias("depth"))
 
 
 @query("visible_faces", f"""
 WITH {_TRI}, a AS (SELECT *, (u1-u0)*(v2-v0) - (u2-u0)*(v1-v0) AS ar FROM tr), g AS (SELECT * FROM a, range(24) p(x), range(24) q(y) WHERE abs(ar) > 1e-12 AND x BETWEEN least(u0,u1,u2) AND greatest(u0,u1,u2) AND y BETWEEN least(v0,v1,v2) AND greatest(v0,v1,v2)),
 b AS (SELECT *, {_edge(1, 2)} AS ba, {_edge(2, 0)} AS bb, {_edge(0, 1)} AS bg FROM g),
 d AS (SELECT label, x, y, min(round(1 / (ba / z0 + bb / z1 + bg / z2), 9)) AS near FROM b WHERE ba >= -1e-9 AND bb >= -1e-9 AND bg >= -1e-9 GROUP BY 1, 2, 3)
-SELECT a.label, vec_id FROM a JOIN d ON a.label = d.label AND d.x = round_even((u0+u1+u2) / 3, 0) AND d.y = round_even((v0+v1+v2) / 3, 0) WHERE abs(ar) > 20 AND (z0+z1+z2) / 3 <= near + 0.02""")
+SELECT a.label, face FROM a JOIN d ON a.label = d.label AND d.x = round_even((u0+u1+u2) / 3, 0) AND d.y = round_even((v0+v1+v2) / 3, 0) WHERE abs(ar) > 20 AND (z0+z1+z2) / 3 <= near + 0.02""")
 def visible_faces(t):
     tri = triangles(t)
     area = F.abs((col("u1") - col("u0")) * (col("v2") - col("v0")) - (col("u2") - col("u0")) * (col("v1") - col("v0")))
-    return sf.visible_faces(tri, sf.zbuffer(tri, ["label"], "vec_id"), ["label"], "vec_id", 0.02, area, 20.0).select("label", "vec_id")
+    return sf.visible_faces(tri, sf.zbuffer(tri, ["label"], "face"), ["label"], "face", 0.02, area, 20.0).select("label", "face")
 
 
 @query("bilinear", f"""
@@ -221,10 +220,10 @@ def _det(cell):
 
 
 @query("look_at", f"""
-WITH e AS (SELECT label, {", ".join(f"embedding[{i + 1}]::DOUBLE AS c{i}" for i in range(3))}, {", ".join(f"embedding[{i + 4}]::DOUBLE AS g{i}" for i in range(3))} FROM embeddings),
+WITH e AS (SELECT label, {", ".join(f"v{i + 1} AS c{i}" for i in range(3))}, {", ".join(f"v{i + 4} AS g{i}" for i in range(3))} FROM {parts_sql(6)}),
 n AS (SELECT label, c0, c1, c2, {", ".join(f"g{i} / sqrt(g0*g0 + g1*g1 + g2*g2) AS d{i}" for i in range(3))} FROM e),
 s AS (SELECT label, {", ".join(f"{v} AS m{i}{j}" for (i, j), v in _M.items())}, {", ".join("sum(" + " + ".join(f"({1 if i == j else 0} - d{i}*d{j})*c{j}" for j in range(3)) + f") AS b{i}" for i in range(3))} FROM n GROUP BY 1)
 SELECT label, {", ".join(q6(_det(lambda i, j, k=k: f"b{i}" if j == k else _m(i, j)) + " / " + _det(_m)) + f" AS {a}" for k, a in enumerate("xyz"))} FROM s""")
 def look_at(t):
-    e = t.embeddings.select("label", F.slice("embedding", 1, 3).cast("array<double>").alias("c"), F.slice("embedding", 4, 3).cast("array<double>").alias("d"))
+    e = vector_parts(t, 6).select("label", F.slice("values", 1, 3).alias("c"), F.slice("values", 4, 3).alias("d"))
     return sf.look_at(e, ["label"], "c", "d").select("label", *[r6(c).alias(c) for c in "xyz"])
