@@ -65,7 +65,7 @@ def mask_sequence(t):
 
 @query("mesh_text", f"""
 WITH l AS (SELECT l_orderkey AS m, l_quantity AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_extendedprice, l_discount) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
-t AS (SELECT l.m, k, n, way FROM (SELECT DISTINCT m, n FROM l) l, range(1, 100) g(k), (VALUES (0), (1)) w(way) WHERE k <= n - 2),
+t AS (SELECT l.m, k, n, way FROM (SELECT DISTINCT m, n FROM l) l, (SELECT unnest(range(1, (SELECT max(n) FROM l))) AS k) g, (VALUES (0), (1)) w(way) WHERE k <= n - 2),
 v AS (SELECT t.m AS mesh, way, CAST(k - 1 AS INT) AS part, a.x + b.x + c.x AS s, CAST(0 AS BIGINT) AS v0, CAST(k AS BIGINT) AS v1, CAST(k + 1 AS BIGINT) AS v2 FROM t JOIN l a ON a.m = t.m AND a.i = 1 JOIN l b ON b.m = t.m AND b.i = k + 1 JOIN l c ON c.m = t.m AND c.i = k + 2)
 SELECT mesh, way AS relative, part, v0, v1, v2, {q6("s")} AS x_sum FROM v""")
 def mesh_text(t):
