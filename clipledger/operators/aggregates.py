@@ -365,6 +365,14 @@ def clip_features(frames: DataFrame, by: Sequence[str], features: Sequence[str],
     return out.withColumn("aspect_view_range", spread).drop("_a10", "_a90")
 
 
+def clip_evidence(frames: DataFrame, by: Sequence[str], quality: str, border: Column, holes: Column, dominance: Column) -> DataFrame:
+    """What the route gate asks about a clip's masks beyond its features: how many there are and are usable, the share
+    that touches the border, the largest hole fraction and the smallest share of the main component."""
+    return frames.groupBy(*by).agg(
+        F.count("*").alias("input_masks"), F.count(F.when(F.col(quality) >= 0.20, 1)).alias("valid_masks"), F.round(F.avg((border > 0.01).cast("double")), 4).alias("clipped_fraction"),
+        F.round(F.max(holes), 4).alias("maximum_hole_fraction"), F.round(F.min(dominance), 4).alias("minimum_dominance"))
+
+
 def best_per_bin(df: DataFrame, by: Sequence[str], bin_expr: Column, order: Sequence) -> DataFrame:
     """Best row per value bin; the group limit is planned before the shuffle."""
     return top_k(df.withColumn("view_bin", bin_expr.cast("long")), [*by, "view_bin"], order, 1, "_rn").drop("_rn")

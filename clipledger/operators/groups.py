@@ -196,8 +196,11 @@ def by_group(df: DataFrame, by: Sequence[str], step: Callable, limit: int | None
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence, k: int, name: str = "rn") -> DataFrame:
-    """First ``k`` rows per group. The filter on row_number plans a group limit before the shuffle, so a
-    hot group sends at most ``k`` rows per map task."""
+    """First ``k`` rows per group. For k up to the session's group-limit threshold, the filter on row_number plans a
+    limit before the shuffle, so a hot group sends at most ``k`` rows per map task; beyond it, hot groups are ranked
+    across tasks."""
+    if k > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        return by_group(df, by, lambda d, g: g.rank(d, order, name)).where(F.col(name) <= k)
     w = Window.partitionBy(*by).orderBy(*_columns(order))
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 

@@ -132,8 +132,16 @@ def subset_agreement(frames: DataFrame, by: Sequence[str], frame: str, quality:
     return join_same(whole, match, by, "left").select(*by, F.col("_whole").alias("predicted"), F.coalesce("agreement", F.lit(0.0)).alias("agreement"))
 
 
-def route_gate(df: DataFrame) -> DataFrame:
-    """Decide whether a classified clip may be routed: reasons, warnings and the family, ``unknown`` when it may not.
+# The builder of each family.
+BUILDERS = {
+    "planar": "planar_extrusion", "rounded_slab": "rounded_slab", "rectangular_prism": "box", "cylinder": "cylinder", "bottle": "lathed_profile", "revolved": "lathed_profile",
+    "free_form": "free_form_reconstruction",
+}
+
+
+def route_gate(df: DataFrame, provenance: Column | None = None) -> DataFrame:
+    """Decide whether a classified clip may be routed: reasons, warnings, the family, ``unknown`` when it may not, and
+    the family's builder, null when it may not. ``provenance`` tells where masks came from (default: unknown).
 
     Columns: valid_masks, view_clusters, clipped_fraction, confidence, margin, agreement, training_distance,
     p99_distance, reject_distance, face_views, edge_views, aspect_view_range, thickness, maximum_hole_fraction,
@@ -143,6 +151,7 @@ def route_gate(df: DataFrame) -> DataFrame:
     turn, prism = c("predicted").isin(*ROTATIONAL), c("predicted").isin(*PRISMATIC)
     few = c("view_clusters") < 4
     t = c("thickness")
+    masks = F.lit("unknown") if provenance is None else F.coalesce(provenance, F.lit("unknown"))
     rules = [
         Rule("too_few_valid_masks", c("valid_masks") < 8),
         Rule("too_few_view_clusters", few & ~turn),
@@ -161,9 +170,14 @@ def route_gate(df: DataFrame) -> DataFrame:
         Rule("temporal_jumps", c("jump_fraction") > 0.35),
         Rule("beyond_training_p99", (c("training_distance") <= c("reject_distance")) & (c("training_distance") > c("p99_distance")), warning=True),
         Rule("confirm_orbit_coverage", few & turn, warning=True),
+        Rule("object_specific_masks", masks.isin("legacy_directory", "object_specific"), warning=True),
+        Rule("unknown_mask_provenance", masks == "unknown", warning=True),
+        Rule("no_independent_calibration", F.lit(True), warning=True),
     ]
     out = apply_gates(df, rules)
-    return out.withColumn("family", F.when(c("accepted"), c("predicted")).otherwise("unknown")).withColumn("decision", F.lit("review"))
+    builder = F.create_map(*[F.lit(x) for pair in BUILDERS.items() for x in pair])
+    out = out.withColumn("family", F.when(c("accepted"), c("predicted")).otherwise("unknown")).withColumn("decision", F.lit("review"))
+    return out.withColumn("builder", F.when(c("accepted"), F.try_element_at(builder, c("predicted"))))
 
 
 def train_softmax(rows: DataFrame, label: str, vector: str, families: Sequence[str], validation: DataFrame, l2: float = 2e-3, iterations: int = 100) -> DataFrame:

@@ -246,6 +246,14 @@ def clip_features(t):
     return d.select(*[c if c == "l_suppkey" or kind == "bigint" else r6(c).alias(c) for c, kind in d.dtypes])
 
 
+@query("clip_evidence", """
+SELECT l_suppkey, count(*) AS input_masks, count(*) FILTER (WHERE l_extendedprice / 100000 >= 0.2) AS valid_masks, round(avg((l_tax / 4 > 0.01)::INT), 4) AS clipped_fraction,
+  round(max(l_discount), 4) AS maximum_hole_fraction, round(min(l_quantity / 50), 4) AS minimum_dominance FROM lineitem GROUP BY 1""")
+def clip_evidence(t):
+    d = t.lineitem.withColumn("q", col("l_extendedprice") / 100000)
+    return agg.clip_evidence(d, ["l_suppkey"], "q", col("l_tax") / 4, col("l_discount"), col("l_quantity") / 50)
+
+
 @query("dense_band", f"""
 WITH v AS (SELECT l_suppkey, l_quantity / 50 AS r, l_tax * greatest(0, 1 - l_discount) AS w FROM lineitem),
 n AS (SELECT l_suppkey, count(*) AS n, quantile_cont(r, 0.7) AS p70 FROM v GROUP BY 1),

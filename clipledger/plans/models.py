@@ -88,14 +88,16 @@ _GATE = codes_sql(
 @query("route_gate", f"""
 WITH {CLASS_SQL}, ev AS (SELECT vec_id, {", ".join(f"abs(embedding[{i}]::DOUBLE) AS e{i}" for i in range(2, 11))} FROM embeddings),
 g AS (SELECT cl.*, ev.* EXCLUDE (vec_id), floor(4 + e2 * 100) AS vm, floor(2 + e3 * 50) AS vc, floor(e6 * 20) AS fv, floor(e7 * 20) AS ev, cls IN (3, 4, 5) AS turn, cls IN (0, 1, 2) AS prism, embedding[11] > 0 AS rot FROM cl JOIN ev USING (vec_id) JOIN embeddings USING (vec_id))
-SELECT vec_id, {_GATE} AS reasons, {codes_sql(("beyond_training_p99", "dist <= reject AND dist > p99", True), ("confirm_orbit_coverage", "vc < 4 AND turn", True))} AS warnings,
-  CASE WHEN {_GATE} = '' THEN list_extract({_FAM}, cls + 1) ELSE 'unknown' END AS family, 'review' AS decision FROM g""")
+SELECT vec_id, {_GATE} AS reasons, {codes_sql(("beyond_training_p99", "dist <= reject AND dist > p99", True), ("confirm_orbit_coverage", "vc < 4 AND turn", True), ("object_specific_masks", "vec_id % 3 = 1", True), ("unknown_mask_provenance", "vec_id % 3 = 0", True), ("no_independent_calibration", "true", True))} AS warnings,
+  CASE WHEN {_GATE} = '' THEN list_extract({_FAM}, cls + 1) ELSE 'unknown' END AS family, 'review' AS decision,
+  CASE WHEN {_GATE} = '' THEN map {{{", ".join(f"'{k}': '{v}'" for k, v in md.BUILDERS.items())}}}[list_extract({_FAM}, cls + 1)] END AS builder FROM g""")
 def route_gate(t):
     e = {i: F.abs(col("embedding")[i - 1].cast("double")) for i in range(2, 11)}
     d = classified(t).withColumns({
         "valid_masks": F.floor(4 + e[2] * 100), "view_clusters": F.floor(2 + e[3] * 50), "clipped_fraction": e[4], "agreement": 0.5 + e[5], "face_views": F.floor(e[6] * 20), "edge_views": F.floor(e[7] * 20), "aspect_view_range": e[7],
         "maximum_hole_fraction": e[8], "minimum_dominance": 1 - e[9], "jump_fraction": e[10], "rotation_confirmed": col("embedding")[10] > 0, "thickness": F.abs(col("embedding")[0].cast("double"))})
-    return md.route_gate(d).select("vec_id", joined("reasons").alias("reasons"), joined("warnings").alias("warnings"), "family", "decision")
+    masks = F.when(col("vec_id") % 3 == 1, "object_specific").when(col("vec_id") % 3 == 2, "automatic")
+    return md.route_gate(d, masks).select("vec_id", joined("reasons").alias("reasons"), joined("warnings").alias("warnings"), "family", "decision", "builder")
 
 
 _PRED = "CASE WHEN quantile_cont(d, 0.5) > 0.051 THEN 'high' WHEN quantile_cont(x, 0.5) > 0.041 THEN 'taxed' WHEN quantile_cont(d, 0.1) < 0.012 THEN 'wide' ELSE 'low' END"
