@@ -38,7 +38,7 @@ def fill(sources: DataFrame, epochs: int) -> DataFrame:
             return now.withColumn("target", goal).drop("clamped")
         goal = F.lit(left).cast("double") * F.col("weight") / F.lit(rest)
         over = ~F.col("clamped") & (goal > F.col("source_size") * epochs)
-        nxt = settle(now.withColumn("clamped", F.col("clamped") | over).withColumn("over", over))
+        nxt = settle(now.withColumn("over", over).withColumn("clamped", F.col("clamped") | F.col("over")))
         if nxt.where("over").isEmpty():
             return now.withColumn("target", F.when(F.col("clamped"), (F.col("source_size") * epochs).cast("double")).otherwise(goal)).drop("clamped")
         now = nxt.drop("over")
