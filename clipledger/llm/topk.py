@@ -78,7 +78,7 @@ class _Part:
         self.rows = sorted(rows, key=lambda r: r["first"])
         self.dims = max((r["dims"] for r in self.rows), default=0)
         self.high, self.low = self._fit([r["high"] for r in self.rows]), self._fit([r["low"] for r in self.rows])
-        self.blocks = [np.frombuffer(r["matrix"], f"<i{r['width']}").reshape(-1, r["dims"]) for r in self.rows]
+        self.blocks = [np.frombuffer(r["matrix"], f"<i{r['width']}").reshape(len(r["ids"]), r["dims"]) for r in self.rows]
         self.ids = [np.array(r["ids"], dtype=np.int64) for r in self.rows]
         self.most = max((float(np.abs(b.astype(np.float64)).max()) for b in self.blocks if b.size), default=0.0)
 
@@ -108,7 +108,8 @@ class _Part:
                 break
             for b in np.unique(at[go]):
                 who = np.flatnonzero(go & (at == b))
-                s = q[who].astype(kind) @ self.blocks[b].T.astype(kind)
+                m = self.blocks[b]  # may lack the last components: zeros
+                s = q[who][:, : m.shape[1]].astype(kind) @ m.T.astype(kind)
                 s = np.rint(s).astype(np.int64) if exact else s.astype(np.int64)
                 own = uid[who] - ((part << 33) + self.rows[b]["first"])
                 hit = (own >= 0) & (own < s.shape[1])
