@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clipledger.llm.common import per_worker, pick
+from clipledger.llm.common import per_worker, pick, small_side
 
 UNKNOWN = "und"
 BUCKET_BITS = 15
@@ -61,9 +62,12 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     read, those first in a hash order of their ids (an id alone decides, so the choice does not depend on file order);
     that bound is this parameter. Counts are summed in Spark; what comes to the driver is a count for each language
     and bucket. Rows with a null language or text teach nothing."""
-    slim = pick(docs, id=id_col, lang=lang_col).where("lang IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = slim.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("id", "lang").distinct()
+    slim = pick(docs, id=id_col, lang=lang_col).where("lang IS NOT NULL").withColumn("at", F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
+    # the share of the hash's range that surely holds enough goes to the ranking, not all rows of a language
+    share = F.lit(float((1 << 40) * (per_language + 6 * math.sqrt(per_language) + 20))) / F.col("count")
+    near = slim.join(small_side(slim.groupBy("lang").count(), 64), "lang").where(F.col("at") < share)
+    order = Window.partitionBy("lang").orderBy("at", "id")
+    chosen = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("id", "lang").distinct()
     rows = pick(docs, id=id_col, text=text_col, lang=lang_col).where("text IS NOT NULL").join(chosen, ["id", "lang"], "left_semi").select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,12 +80,12 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    counted = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c"))
-    found = sorted(counted.collect(), key=lambda r: r["lang"])
-    counts = np.full((1 << BUCKET_BITS, len(found)), smooth)
-    for k, r in enumerate(found):
-        np.add.at(counts[:, k], [x["bucket"] for x in r["c"]], [x["n"] for x in r["c"]])
-    return LanguageModel([r["lang"] for r in found], np.log(counts / counts.sum(axis=0)).astype(np.float32))
+    counted = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(counted.column("lang").unique().to_pylist())
+    counts = np.full((1 << BUCKET_BITS, len(langs)), smooth)
+    at = np.searchsorted(langs, counted.column("lang").to_pylist()) if langs else np.zeros(0, np.int64)
+    counts[counted.column("bucket").to_numpy(), at] += counted.column("n").to_numpy()
+    return LanguageModel(langs, np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
 
 def _expect(p: np.ndarray, starts: np.ndarray, n: np.ndarray, mix: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
