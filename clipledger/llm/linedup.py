@@ -35,13 +35,15 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _halves(line: Column, n: Column) -> Column:
-    """Keys of which two lines within one edit share one: of the two halves of the shorter, the one without the edit
-    stands unchanged at the same end of the longer. A line may be either, hence lengths n and n - 1."""
-    half, other = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    key = lambda side, size, part: F.xxhash64(F.lit(side), size, part)
-    head = lambda size: key("head", size, F.substr(line, F.lit(1), size))
-    tail = lambda size: key("tail", size, F.substr(line, n - size + 1, size))
-    return F.array_distinct(F.array(head(half), head(other), tail(n - half), tail(n - 1 - other)))
+    """Keys of which two lines within one edit share one. Of the two halves of the shorter, m characters long, the one
+    without the edit stands unchanged at the same end of the longer; a key is a half together with m. A line may be
+    either, hence m is its length or one less."""
+    keys = []
+    for m in (n, n - 1):
+        half = F.floor(m / 2).cast("int")
+        keys.append(F.xxhash64(F.lit("head"), m, F.substr(line, F.lit(1), half)))
+        keys.append(F.xxhash64(F.lit("tail"), m, F.substr(line, n - (m - half) + 1, m - half)))
+    return F.array(*keys)
 
 
 def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
@@ -71,21 +73,21 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # texts of those lines, from their earliest place
     text = lines.select("line", *_digest(F.col("line")), _rank().alias("at")).join(firsts, ["a", "b"]).where("at = rank")
     text = settle(text.select("a", "b", "rank", "line"))
-    # every variant as a key
+    # every line and every variant as a key; keys that a single line has lead nowhere
     size = F.length("line")
     gone = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(F.xxhash64(F.concat(F.substr("line", F.lit(1), i - 1), F.substr("line", i + 1))).alias("v"), i.cast("int").alias("place")))
-    variants = text.select("a", "b", "rank", F.explode(gone).alias("g")).select("a", "b", "rank", "g.v", "g.place")
-    whole = text.select(F.xxhash64("line").alias("v"), "rank", "a", "b")
-    who = F.struct("rank", "a", "b").alias("who")
+    whole = F.array(F.struct(F.xxhash64("line").alias("v"), F.lit(0).alias("place")))
+    keyed = text.select("a", "b", "rank", F.explode(F.concat(whole, gone)).alias("g")).select("a", "b", "rank", "g.v", "g.place")
+    busy = keyed.groupBy("v").agg(F.min("a").alias("x"), F.max("a").alias("y")).where("x != y").select("v")
+    keyed = settle(keyed.join(small_side(busy, 16), "v"))
+    who, lines_of, variants = F.struct("rank", "a", "b").alias("who"), keyed.where("place = 0"), keyed.where("place > 0")
+    earlier = lambda df: df.where(F.col("low.rank") < F.col("rank")).select("a", "b", F.col("low.a").alias("c"), F.col("low.b").alias("d"))
     # the same place: one replaced character
-    first = variants.groupBy("v", "place").agg(F.min(who).alias("low"), F.count("*").alias("k")).where("k > 1").select("v", "place", "low")
-    replaced = variants.join(first, ["v", "place"]).where(F.col("low.rank") < F.col("rank")).select("a", "b", F.col("low.a").alias("c"), F.col("low.b").alias("d"))
+    replaced = variants.join(variants.groupBy("v", "place").agg(F.min(who).alias("low")), ["v", "place"])
     # a variant that is itself a line: one character more or less
-    longer = variants.select("v", who).groupBy("v").agg(F.min("who").alias("low"))
-    shorter = whole.groupBy("v").agg(F.min(who).alias("low"))
-    less = whole.join(longer, "v").where(F.col("low.rank") < F.col("rank")).select("a", "b", F.col("low.a").alias("c"), F.col("low.b").alias("d"))
-    more = variants.join(shorter, "v").where(F.col("low.rank") < F.col("rank")).select("a", "b", F.col("low.a").alias("c"), F.col("low.b").alias("d"))
-    pairs = replaced.unionByName(less).unionByName(more).distinct()
+    less = lines_of.join(variants.groupBy("v").agg(F.min(who).alias("low")), "v")
+    more = variants.join(lines_of.groupBy("v").agg(F.min(who).alias("low")), "v")
+    pairs = earlier(replaced).unionByName(earlier(less)).unionByName(earlier(more)).distinct()
     one, two = text.select("a", "b", F.col("line").alias("line")), text.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("line").alias("earlier"))
     near = pairs.join(one, ["a", "b"]).join(two, ["c", "d"]).where(F.levenshtein("line", "earlier", 1) >= 0).select("a", "b").distinct()
     # decisions: what is not the earliest copy, and all copies of near lines
