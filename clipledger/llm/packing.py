@@ -96,15 +96,17 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, end = encoder(tokenizer), int(end_id).to_bytes(4, "little")
+        enc = encoder(tokenizer)
         part = TaskContext.get().partitionId()
         w = Windows(size, windows, part)
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = enc.ids(text.as_py()) + end
-                w.add(doc, 0, ids, len(ids) // 4)
-                if len(w.out) >= 4096:
-                    yield from w.rows()
+            names = b.column(0).to_pylist()
+            for at, ids, cuts in enc.encode(b.column(1), end_id):
+                ids, cuts = ids.astype("<u4").tobytes(), cuts.tolist()
+                for i, (s, e) in enumerate(zip(cuts, cuts[1:])):
+                    w.add(names[at + i], 0, ids[4 * s : 4 * e], e - s)
+                    if len(w.out) >= 4096:
+                        yield from w.rows()
         for filled, pieces in w.open:  # left to merge: no sequence yet, the partition in its place
             w.out += [(doc, start, len(ids) // 4, ids, total, -1 - part, 0) for doc, start, ids, total in pieces]
         yield from w.rows()

@@ -28,7 +28,7 @@ from clipledger.session import checkpoint_folder, settle
 
 MAGIC, SAMPLE = 0x315344494B4F54, 512
 SHARD = "shard int, file string, n_docs long, n_ids long"
-#: Ids that a reader or writer holds at once, about; a longer document is held whole.
+#: Ids that a reader holds at once, about; a longer document is held whole.
 CHUNK = 1 << 21
 
 
@@ -116,16 +116,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, end = encoder(tokenizer), int(end_id).to_bytes(4, "little")
+        enc = encoder(tokenizer)
         width = 2 if max(enc.whole.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        ids, sizes, held, sink, size = [], [], [], None, 0
+        names, sizes, sink = [], [], None
         name = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
 
-        def flush() -> None:
-            nonlocal held, size
-            sink.write(np.frombuffer(b"".join(held), "<u4").astype(f"<u{width}").tobytes())
-            held, size = [], 0
-
         for b in batches:
             if not b.num_rows:
                 continue
@@ -133,17 +128,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
                 store, path = _open(folder)
                 store.create_dir(path, recursive=True)
                 sink = store.open_output_stream(f"{path}/{name}")
-            ids.append(b.column(0).to_numpy())
-            for text in b.column(1):
-                held.append(enc.ids(text.as_py()) + end)
-                sizes.append(len(held[-1]) // 4)
-                size += sizes[-1]
-                if size >= CHUNK:
-                    flush()
+            names.append(b.column(0).to_numpy())
+            for _, ids, cuts in enc.encode(b.column(1), end_id):
+                sink.write(ids.astype(f"<u{width}").tobytes())
+                sizes.append(np.diff(cuts))
         if sink is None:
             return
-        flush()
-        keys, bounds = np.concatenate(ids), np.concatenate([[0], np.cumsum(sizes)])
+        keys, bounds = np.concatenate(names), np.append(0, np.cumsum(np.concatenate(sizes)))
         n = int(bounds[-1])
         coded = elias_fano(bounds, n)
         base = int(keys[0])

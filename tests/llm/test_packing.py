@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
@@ -13,10 +14,15 @@ from clipledger.llm.tokens import Encoder
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
-def plain(name, text):
+@cache
+def tokenizer(name):
     t = Tokenizer.from_file(tokenizer_path(name))
     t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return t
+
+
+def plain(name, text):
+    return tokenizer(name).encode(text or "", add_special_tokens=False).ids
 
 
 TRICKY = ["It's  a 'test'.\n\n  x,y. z...", "a.b, c.", " lead", "trail \n", "é́. à,x ÀÉ. ß", "don't. 'S 'll x  y\x1cz", "<|endoftext|> <|startoftext|>", "1.5, 2. ½² x_y", "\t\ttab\r\nwin ", "naïve...end. \n\n\nN", "İK ΑΣ. ﬁ"]
