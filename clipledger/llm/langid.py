@@ -68,6 +68,7 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = slim.join(small_side(slim.groupBy("lang").count(), 64), "lang").where(F.col("at") < share)
     order = Window.partitionBy("lang").orderBy("at", "id")
     chosen = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("id", "lang").distinct()
+    chosen = small_side(chosen, 64)  # at most per_language rows of each language
     rows = pick(docs, id=id_col, text=text_col, lang=lang_col).where("text IS NOT NULL").join(chosen, ["id", "lang"], "left_semi").select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
