@@ -26,15 +26,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Lowest bit in which two labels below 128 differ, twice that plus the bit of the second; equal ones do not meet.
+AGAIN = np.array([[2 * ((a ^ b) & -(a ^ b)).bit_length() - 2 + (b >> ((a ^ b) & -(a ^ b)).bit_length() - 1 & 1) if a != b else 0 for b in range(128)] for a in range(128)], dtype=np.uint8).ravel()
+
+
 def _toss(names: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """One round of coin tossing: twice the lowest bit in which a name differs from its left neighbour, plus that bit.
-    Neighbours that differ get labels that differ, of logarithmic size. ``first``: where a text begins."""
-    left = np.empty_like(names)
-    left[1:], left[0] = names[:-1], ~names[0]
-    left[first] = ~names[first]
-    d = names ^ left
+    """Coin tossing, twice: the label of a name is twice the lowest bit in which it differs from its left neighbour,
+    plus that bit; then the same of the labels. Neighbours that differ get labels that differ, below 14. ``first``:
+    where a text begins; its first name counts as different in bit 0."""
+    d = np.empty_like(names)
+    d[1:], d[0] = names[1:] ^ names[:-1], np.uint64(1)
+    d[first] = np.uint64(1)
     at = POSITION[((d & (~d + np.uint64(1))) * DEBRUIJN) >> np.uint64(58)]
-    return (at << np.uint64(1)) | ((names >> at) & np.uint64(1))
+    label = ((at << np.uint64(1)) | ((names >> at) & np.uint64(1))).astype(np.int16)
+    pair = np.empty_like(label)
+    pair[1:], pair[0] = (label[:-1] << 7) | label[1:], 0
+    out = AGAIN[pair]
+    out[first] = label[first] & 1
+    return out
 
 
 def _level(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +58,7 @@ def _level(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     length = np.diff(np.append(runs, n)).astype(np.uint64)
     names = _mix(names[runs] + length * A)
     first = np.searchsorted(runs, first)
-    label = _toss(_toss(names, first), first)
+    label = _toss(names, first)
     n = len(names)
     cut = np.zeros(n, dtype=bool)
     if n > 2:
@@ -83,11 +92,12 @@ def sketches(texts: list[str], size: int = 64, least_level: int = 2) -> list[np.
             ended = n == 1
             doc = np.repeat(owner, n)
             use = np.ones(len(names), dtype=bool) if level >= least_level else np.repeat(ended, n)
-            keys.append(np.unique((doc[use].astype(np.uint64) << np.uint64(32)) | (_mix(names[use] + np.uint64(level) * C) >> np.uint64(32))))
+            keys.append((doc[use].astype(np.uint64) << np.uint64(32)) | (_mix(names[use] + np.uint64(level) * C) >> np.uint64(32)))
             go = np.repeat(~ended, n)
             names, n, owner = names[go], n[~ended], owner[~ended]
             first = np.cumsum(n) - n
-    key = np.unique(np.concatenate(keys))
+    key = np.sort(np.concatenate(keys))
+    key = key[np.append(True, key[1:] != key[:-1])]
     doc = (key >> np.uint64(32)).astype(np.int64)
     starts = np.searchsorted(doc, np.arange(len(full) + 1))
     for k, i in enumerate(full):
@@ -98,10 +108,11 @@ def sketches(texts: list[str], size: int = 64, least_level: int = 2) -> list[np.
 def likeness(a: np.ndarray, b: np.ndarray, size: int = 64) -> float:
     """Share of common phrases, from 0 to 1: of the ``size`` smallest hashes of both together, those that both have.
     Two empty texts: 1."""
-    if not len(a) and not len(b):
+    one, two = set(a.tolist()), set(b.tolist())
+    if not one and not two:
         return 1.0
-    both = np.union1d(a, b)[:size]
-    return float((np.isin(both, a, assume_unique=True) & np.isin(both, b, assume_unique=True)).mean())
+    least = sorted(one | two)[:size]
+    return sum(x <= least[-1] for x in one & two) / len(least)
 
 
 def text_of(sketch: np.ndarray) -> str:
