@@ -178,9 +178,12 @@ def test_candidates_fall_back_and_report(spark):
     assert got == {"x": ("general", []), "y": ("slab", []), "z": ("needs_recapture", ["gate", "soft: thin"])}
 
 
-def test_cadence_rejects_a_rate_above_the_source(spark):
-    with pytest.raises(ValueError):
-        selection.sample_cadence(spark.range(1), ["id"], "id", ["id"], 60.0, 30.0, 10, F.lit(1.0))
+def test_cadence_takes_every_frame_at_a_rate_above_the_source(spark):
+    rows = [(c, i, i / fps, fps) for c, fps in ((0, 30.0), (1, 240.0)) for i in range(12)]
+    d = spark.createDataFrame(rows, "clip int, frame int, t double, fps double")
+    out = selection.sample_cadence(d, ["clip"], "t", ["frame"], 60.0, F.col("fps"), 100, F.lit(1.0)).collect()
+    assert sorted(r.frame for r in out if r.clip == 0) == list(range(12))  # half a frame spans the interval
+    assert sorted(r.frame for r in out if r.clip == 1) == [0, 4, 8]
 
 
 def test_boundary_cut_is_listed_but_not_a_cut(spark):
