@@ -133,7 +133,7 @@ def links(prints: DataFrame, bits: int = 2, limit: int = 4096) -> DataFrame:
     radius R is the sum of the codes' radii. Two fingerprints at distance ``bits`` or less have a point between them,
     at most ``reach`` = ceil(bits / 2) steps from either; the anchor within R of that point is within R plus ``reach``
     of both. So the threshold is shared by the two sides: each fingerprint is replicated to all anchors within R plus
-    ``reach`` (on average 16 of 2^36), and fingerprints are compared per anchor. Groups stay small because the number
+    ``reach`` (17 of 2^36 on average), and fingerprints are compared per anchor. Groups stay small because the number
     of anchors is far above that of documents, at any size.
 
     An anchor that more than ``limit`` fingerprints share is not gathered: its fingerprints are dealt anew with the
