@@ -30,19 +30,24 @@ class Encoder(dict):
     ``limit`` pieces are kept, they become the older generation, from which pieces in use come back, and the older ones
     before are dropped; so memory is bounded.
 
+    With ``literal``, the names of special tokens in a text are encoded as any other characters. Without it they become
+    those tokens, as in the library's own call; a text that holds one is then encoded whole.
+
     Two kinds of splitters are known: byte-level ones, which put a single blank before a word, and those that drop
     white space. Under any other, or where a text has white space beyond ASCII and the splitter keeps it, a text is one
     piece.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 400_000, literal: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
         self.limit, self.old, self.whole = limit, {}, Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = literal
+        added = [] if literal else list(self.whole.get_added_tokens_decoder().values())
+        self.special = re.compile("|".join(sorted(re.escape(t.content) for t in added)).encode()) if added else None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
@@ -53,6 +58,8 @@ class Encoder(dict):
             split = pre["pretokenizers"][0]
             if split["type"] == "Split" and split["behavior"] == "Removed" and split["invert"]:
                 self.kind = "word"
+        if any(t.normalized for t in added):  # found in other spellings too
+            self.kind = "whole"
         letters = [*map(chr, range(65, 91)), *map(chr, range(97, 123)), *(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))]
         shown = {c: ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0] for c in [" ", *letters]}
         self.shown, self.model = str.maketrans(shown), self.whole.model
@@ -103,6 +110,10 @@ class Encoder(dict):
             for d in np.unique(np.searchsorted(bounds, rare, side="right") - 1):
                 if ODD_SPACE.search(b[bounds[d] : bounds[d + 1]].tobytes().decode()):
                     cut[bounds[d] + 1 : bounds[d + 1]] = False
+        if self.special:
+            found = np.array([m.start() for m in self.special.finditer(b)], dtype=np.int64)
+            for d in np.unique(np.searchsorted(bounds, found, side="right") - 1):
+                cut[bounds[d] + 1 : bounds[d + 1]] = False
         return np.flatnonzero(cut)
 
     def _stretch(self, data: pa.Buffer, bounds: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -149,4 +160,5 @@ class Encoder(dict):
 
 
 def encoder(path: str) -> Encoder:
-    return per_worker(("encoder", path), lambda: Encoder(path))
+    """The encoder of the operators: ids are those of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``."""
+    return per_worker(("encoder", path), lambda: Encoder(path, literal=False))

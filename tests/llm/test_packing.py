@@ -97,3 +97,27 @@ def test_best_fit_then_fullest():
     assert sorted(x[0] for x in w.open) == [9]
     w.close()
     assert sum(x[2] for x in w.out) == 29 and MERGE_FLAG > 0
+
+
+SPECIAL = ["one<|endoftext|> two", "<|endoftext|>", "a  <|endoftext|>b, c. <|startoftext|>\n\nd", "<|EndOfText|> <|endoftext| >", "é́<|endoftext|>́ ", " <|endoftext|> <|endoftext|> \t"]
+
+
+@pytest.mark.parametrize("name", [WORDS, BYTES])
+def test_special_tokens_as_in_the_default_call(docs, name):
+    from clipledger.llm.tokens import encoder
+
+    enc, default = encoder(tokenizer_path(name)), Tokenizer.from_file(tokenizer_path(name))
+    texts = [*SPECIAL, *TRICKY, *[f"{r.text} <|endoftext|>{r.text}" for r in docs.limit(10).collect()]]
+    want = [default.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(enc.ids(t), "<u4").tolist() for t in texts] == want
+    import pyarrow as pa
+
+    (_, ids, cuts), = enc.encode(pa.array(texts), 0)
+    assert [ids[a : b - 1].tolist() for a, b in zip(cuts, cuts[1:])] == want
+
+
+def test_packed_special_tokens(spark):
+    df = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    default = Tokenizer.from_file(tokenizer_path(WORDS))
+    got = {r.id: np.frombuffer(r.ids, "<u4").tolist() for r in pack(df, tokenizer_path(WORDS)).collect()}
+    assert got == {i: default.encode(t, add_special_tokens=False).ids + [1] for i, t in enumerate(SPECIAL)}
