@@ -51,7 +51,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 @query("op4_token_files")
 def token_files(docs: DataFrame) -> DataFrame:
     folder = tokenfiles.token_folder(docs.sparkSession)
-    manifest = tokenfiles.write_tokens(docs, tokenizer_path("byte_bpe_50k.json"), folder, end_id=0)
+    manifest = tokenfiles.write_tokens(docs, tokenizer_path("byte_bpe_50k.json"), folder, end_id=0, null_ids=True)
     return tokenfiles.read_tokens(manifest, folder).select(F.col("id").alias("doc_id"), "start", "n_tokens", crc32_column("ids").alias("ids_crc32"))
 
 

@@ -4,8 +4,9 @@ A shard file, all numbers little-endian:
 
     ids      n_ids ids of ``width`` bytes each (2 if the vocabulary allows, else 4)
     bounds   Elias-Fano of the n_docs + 1 offsets 0 = b[0] <= ... <= b[n_docs] = n_ids
-    doc ids  Elias-Fano of the n_docs ids, less the first
-    footer   8 numbers of 8 bytes: magic, width, n_docs, n_ids, first id, where bounds begin, where doc ids begin, their end
+    doc ids  Elias-Fano of the ids that are not null, less the first of them; documents with a null id come first
+    footer   9 numbers of 8 bytes: magic, width, n_docs, n_ids, first id, where bounds begin, where doc ids begin, their
+             end, documents with a null id
 
 An Elias-Fano part: count, upper bound, low bits l (3 numbers of 8 bytes); the count's low bits of l bits each, packed;
 the high parts in unary (bit (value >> l) + i is set for value i); for select, the 4-byte position of every 512th set bit.
@@ -26,7 +27,7 @@ from clipledger.llm.common import dealt_in_order, pick
 from clipledger.llm.tokens import encoder
 from clipledger.session import checkpoint_folder, settle
 
-MAGIC, SAMPLE = 0x315344494B4F54, 512
+MAGIC, SAMPLE = 0x325344494B4F54, 512
 SHARD = "shard int, file string, n_docs long, n_ids long"
 #: Ids that a reader holds at once, about; a longer document is held whole.
 CHUNK = 1 << 21
@@ -101,7 +102,7 @@ def _open(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, null_ids: bool = False) -> DataFrame:
     """Encode whole texts and write their ids, each document followed by ``end_id``, in ascending id order, as shard
     files in ``folder``, which driver and executors share (any store that pyarrow reaches). Returns the manifest, also
     kept as Parquet in ``folder``: ``shard`` (ascending in id), ``file``, ``n_docs``, ``n_ids``.
@@ -109,8 +110,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
     Texts are range-partitioned by id in one shuffle; each task streams one shard to a file named anew in each attempt,
     and only files that the manifest names count, so retries and lost executors leave no wrong rows.
 
-    Null and empty texts: the end id alone. Equal ids stand in the order of their texts. A null id is refused, since
-    it has no place in the order. Empty table: a manifest without rows. Other columns of ``docs`` play no part.
+    Null and empty texts: the end id alone. Equal ids stand in the order of their texts. Null ids come first
+    with ``null_ids``, and are refused without. Empty table: a manifest without rows. Other columns of ``docs`` play no part.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +119,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
 
         enc = encoder(tokenizer)
         width = 2 if max(enc.whole.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        names, sizes, sink = [], [], None
+        names, sizes, nulls, sink = [], [], 0, None
         name = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
 
         for b in batches:
@@ -128,7 +129,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
                 store, path = _open(folder)
                 store.create_dir(path, recursive=True)
                 sink = store.open_output_stream(f"{path}/{name}")
-            names.append(b.column(0).to_numpy())
+            names.append(b.column(0).drop_null().to_numpy())
+            nulls += b.column(0).null_count
             for _, ids, cuts in enc.encode(b.column(1), end_id):
                 sink.write(ids.astype(f"<u{width}").tobytes())
                 sizes.append(np.diff(cuts))
@@ -137,15 +139,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
         keys, bounds = np.concatenate(names), np.append(0, np.cumsum(np.concatenate(sizes)))
         n = int(bounds[-1])
         coded = elias_fano(bounds, n)
-        base = int(keys[0])
-        named = elias_fano((keys.astype(np.uint64) - np.uint64(base % (1 << 64))), int(keys[-1]) - base)
+        base, last = (int(keys[0]), int(keys[-1])) if len(keys) else (0, 0)
+        named = elias_fano((keys.astype(np.uint64) - np.uint64(base % (1 << 64))), last - base)
         at = n * width
-        sink.write(coded + named + np.array([MAGIC, width, len(keys), n, base % (1 << 64), at, at + len(coded), at + len(coded) + len(named)], dtype="<u8").tobytes())
+        sink.write(coded + named + np.array([MAGIC, width, len(bounds) - 1, n, base % (1 << 64), at, at + len(coded), at + len(coded) + len(named), nulls], dtype="<u8").tobytes())
         sink.close()
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]), pa.array([len(keys)], pa.int64()), pa.array([n], pa.int64())], names=["shard", "file", "n_docs", "n_ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]), pa.array([len(bounds) - 1], pa.int64()), pa.array([n], pa.int64())], names=["shard", "file", "n_docs", "n_ids"])
 
     rows = pick(docs, id=id_col, text=text_col)
-    rows = rows.select(F.coalesce(F.col("id").cast("long"), F.raise_error(F.lit("a token file has no place for a null id"))).alias("id"), "text")
+    own = F.col("id").cast("long")
+    rows = rows.select((own if null_ids else F.coalesce(own, F.raise_error(F.lit("a null id is refused")))).alias("id"), "text")
     dealt_in_order(rows, "id", "text").mapInArrow(write, SHARD).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(SHARD).parquet(f"{folder}/manifest")
 
@@ -158,8 +161,8 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
         for row in (r for b in batches for r in b.to_pylist()):
             store, path = _open(folder)
             with store.open_input_file(f"{path}/{row['file']}") as f:
-                foot = np.frombuffer(f.read_at(64, f.size() - 64), "<u8")
-                magic, width, n_docs, _, base, at, named, end = (int(x) for x in foot)
+                foot = np.frombuffer(f.read_at(72, f.size() - 72), "<u8")
+                magic, width, n_docs, _, base, at, named, end, nulls = (int(x) for x in foot)
                 if magic != MAGIC:
                     raise ValueError(f"{row['file']} is no token file")
                 bounds, keys = EliasFano(f.read_at(named - at, at)), EliasFano(f.read_at(end - named, named))
@@ -173,9 +176,10 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                     offsets = offsets[: j - i + 1]
                     raw = np.frombuffer(f.read_at(int(offsets[-1] - lo) * width, lo * width), f"<u{width}").astype("<u4").tobytes()
                     cuts = ((offsets - lo) * 4).tolist()
-                    ids = (keys.values(i, j).astype(np.uint64) + np.uint64(base)).view(np.int64)
+                    ids = (keys.values(max(i - nulls, 0), max(j - nulls, 0)).astype(np.uint64) + np.uint64(base)).view(np.int64)
+                    ids = pa.concat_arrays([pa.nulls(j - i - len(ids), pa.int64()), pa.array(ids, pa.int64())])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids), pa.array(offsets[:-1] + row["base"]), pa.array(np.diff(offsets)), pa.array([raw[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())],
+                        [ids, pa.array(offsets[:-1] + row["base"]), pa.array(np.diff(offsets)), pa.array([raw[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())],
                         names=["id", "start", "n_tokens", "ids"],
                     )
                     i = j

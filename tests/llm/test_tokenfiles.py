@@ -49,3 +49,21 @@ def test_odd_tables(odd, odd_null, none):
     assert round_trip(none) == []
     with pytest.raises(Exception, match="null id"):
         round_trip(odd_null)
+
+
+@pytest.mark.parametrize("ids", ["some", "all"])
+def test_null_ids_in_the_query(spark, odd_null, tmp_path, ids):
+    """They come first, in the order of their texts, and the query does not fail."""
+    import zlib
+
+    from clipledger.llm.queries import QUERIES
+
+    df = odd_null if ids == "some" else odd_null.withColumn("doc_id", odd_null.doc_id * None)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = sorted(QUERIES["op4_token_files"](spark, str(tmp_path)).collect(), key=lambda r: r.start)
+    at = 0
+    docs = sorted(df.collect(), key=lambda d: (d.doc_id is not None, d.doc_id or 0, d.text is not None, d.text or ""))
+    for r, d in zip(rows, docs, strict=True):
+        want = plain(BYTES, d.text) + [0]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d.doc_id, at, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+        at += len(want)
