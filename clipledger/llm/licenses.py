@@ -68,9 +68,32 @@ def phrase_places(docs: DataFrame, phrases: Mapping[str, str] = PHRASES) -> Data
     )
 
 
-def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
+def _spanning(docs: DataFrame, templates, threshold: float) -> DataFrame:
+    """Notices that line breaks cut: for a template of m words (repeats counted), the run of m / ``threshold`` words of
+    the text, rounded up, that holds most of its distinct words; so as many words may stand in between as may be
+    missing. ``id``, ``h``, ``label``, ``containment`` (``threshold`` at least).
+
+    A text that lacks the needed words as a whole is ruled out first. The best run begins with a word of the template,
+    so only those are tried.
+    """
+    sets = [(label, sorted(set(text.split())), -int(-len(text.split()) / threshold // 1)) for label, text in templates]
+    known = F.array(*[F.lit(w) for w in sorted({w for _, ws, _ in sets for w in ws})])
+    each = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, ws)).alias("ws"), F.lit(-int(-(threshold * len(ws) - 1e-9) // 1)).alias("need"), F.lit(span).alias("span")) for label, ws, span in sets])
+    rows = docs.where(F.col("text").contains("\n")).select("id", "h", F.split(F.trim(_words(F.col("text"))), " ").alias("seq"))
+    rows = rows.withColumn("have", F.array_intersect(known, F.col("seq")))
+    rows = rows.select("id", "h", "seq", F.explode(F.filter(each, lambda t: F.size(F.array_intersect(F.col("have"), t.ws)) >= t.need)).alias("t"))
+    numbered = F.transform("seq", lambda w, i: F.struct(i.alias("i"), w.alias("w")))
+    rows = rows.select("id", "h", "t", F.filter(numbered, lambda x: F.array_contains(F.col("t.ws"), x.w)).alias("hits"))
+    within = lambda x, k: F.filter(F.slice("hits", k + 1, F.col("t.span")), lambda y: y.i < x.i + F.col("t.span"))
+    most = F.array_max(F.transform("hits", lambda x, k: F.size(F.array_distinct(F.transform(within(x, k), lambda y: y.w)))))
+    rows = rows.select("id", "h", "t", most.alias("most")).where("most >= t.need")
+    return rows.select("id", "h", "t.label", (F.col("most") / F.size("t.ws")).alias("containment"))
+
+
+def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, wrapped: bool = False) -> DataFrame:
     """Text blocks (lines) that hold at least ``threshold`` of a template's words: ``id``, ``h``, ``block`` (line number
-    from 0), ``label``, ``containment``. ``docs`` has id, h and text.
+    from 0), ``label``, ``containment``. ``docs`` has id, h and text. With ``wrapped``, runs of words across lines too
+    (see :func:`_spanning`), with a null block.
 
     Exact set-similarity join. Words are put in one global order, rarest in the documents first; only words of
     templates can meet, so a block is reduced to those. Of a template with n words and need = ceil(threshold * n), a
@@ -105,13 +128,18 @@ def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.
     met = tokens.join(F.broadcast(prefix), "r").where((F.size("have") >= F.col("need")) & (F.lit(1) + F.least(F.col("n") - 1 - F.col("i"), F.size("have") - 1 - F.col("j")) >= F.col("need")))
     common = F.size(F.array_intersect("have", "ranks"))
     met = met.select("id", "h", "block", "label", (common / F.col("n")).alias("containment"), common.alias("common"), "need").where("common >= need")
-    return met.groupBy("id", "h", "block", "label").agg(F.max("containment").alias("containment"))
+    found = met.groupBy("id", "h", "block", "label").agg(F.max("containment").alias("containment"))
+    if not wrapped:
+        return found
+    across = _spanning(held, templates, threshold).groupBy("id", "h", "label").agg(F.max("containment").alias("containment"))
+    return found.unionByName(across.withColumn("block", F.lit(None).cast("int")))
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = 0.8, wrapped: bool = False) -> DataFrame:
     """For each document: ``id``, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base`` (labels of phrases)
     (see :func:`phrase_places`), ``labels`` (with those of :func:`template_matches`; distinct, sorted), ``score``: 1
-    with a phrase, else the highest containment of a template, 0 without a match.
+    with a phrase, else the highest containment of a template, 0 without a match. Templates are looked for in lines, with ``wrapped``
+    also in words that go on over line breaks.
 
     Null text: empty. A text without a phrase has null places. Rows equal in id and text get the same labels. Empty
     table: no rows. Other columns of ``docs`` play no part.
@@ -119,7 +147,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = pick(docs, id=id_col, text=text_col).select("id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("h"), "text")
     own = phrase_places(rows.select("id", "h", _words(F.col("text")).alias("words")))
-    more = settle(template_matches(rows, templates, threshold).groupBy("id", "h").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best")))
+    more = settle(template_matches(rows, templates, threshold, wrapped).groupBy("id", "h").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best")))
     out = join_same(own, more, ["id", "h"], "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
     score = F.greatest(F.when(F.size("base") > 0, 1.0).otherwise(0.0), F.coalesce("best", F.lit(0.0)))

@@ -155,7 +155,7 @@ FROM d LEFT JOIN base b USING (doc_id) LEFT JOIN more USING (doc_id)
 
 @query("op9_license_scan", sql=_licenses_sql())
 def license_scan(docs: DataFrame) -> DataFrame:
-    out = licenses.scan_licenses(docs)
+    out = licenses.scan_licenses(docs, wrapped=True)
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
 
 

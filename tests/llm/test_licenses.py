@@ -49,3 +49,41 @@ def test_wording(spark):
         "the of and to is in a with or by", "no part of this publication may be reproduced distributed or transmitted in any form\nwithout the prior written permission",
     ]
     compare(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy{0}of this software and associated documentation files"
+BSD = "Redistribution and use in source and binary forms, with or without{0}modification, are permitted provided that the following conditions are met:"
+
+
+def brute_across(text, threshold=0.8):
+    """Best containment of each label, in lines and in runs of words."""
+    w, out = WORD.findall(lower(text)), {}
+    for label, t in TEMPLATES:
+        want, m = set(t.split()), len(t.split())
+        span = next(k for k in range(m, 2 * m) if k * threshold >= m - 1e-9)
+        blocks = [w[i : i + span] for i in range(len(w))] + [WORD.findall(lower(x)) for x in (text or "").split("\n")]
+        part = max((len(want & set(b)) / len(want) for b in blocks), default=0)
+        if part >= threshold - 1e-9:
+            out[label] = max(part, out.get(label, 0))
+    return out
+
+
+def test_wrapped_notices_in_the_query(spark, tmp_path):
+    import random
+
+    from clipledger.llm.queries import QUERIES
+
+    rng = random.Random(3)
+    texts = [MIT.format("\n"), BSD.format("\r\n * "), "/* " + MIT.format("\n\n") + "\n*/", MIT.format(" "), MIT.format("\n" + "other words " * 20), None, "", "\n"]
+    for _, t in TEMPLATES * 4:
+        words = [x for x in t.split() if rng.random() > 0.12]
+        text = "".join(x + rng.choice([" ", " ", "\n", "\n# ", " other\n"]) for x in words)
+        texts.append("Some lines ahead of\nthe notice " + text + " and the words behind it\nwith a last line")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in QUERIES["op9_license_scan"](spark, str(tmp_path)).collect()}
+    assert [rows[i].labels for i in range(5)] == ["mit", "bsd", "mit", "mit", ""] and rows[0].score == rows[1].score == 1
+    for i, text in enumerate(texts):
+        base, found = {x for x in rows[i].base_labels.split(",") if x}, brute_across(text)
+        assert rows[i].labels == ",".join(sorted(base | set(found))), text
+        assert rows[i].score == (1 if base else max(found.values(), default=0)), text
