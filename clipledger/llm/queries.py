@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipledger.llm import langid, licenses, linedup, mixing, packing, phrases, simhash, substrings, tokenfiles, topk
+from clipledger.llm import langid, licenses, linedup, mixing, packing, periodic, phrases, pieces, simhash, spelling, substrings, tokenfiles, topk
 from clipledger.llm.common import crc32_column
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,50 @@ def language_mixture(docs: DataFrame) -> DataFrame:
     model = langid.fit_languages(docs.where(~held_out("doc_id")))
     out = langid.identify(docs, model)
     return out.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score")
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``, where in a tenth of the documents the words from one place on repeat with a period:
+    h is the CRC-32 of the id, g = floor(h / 10), and if 10 divides h, each word i >= a = g % n becomes word
+    a + (i - a) % p, with p = 1 + floor((n - a) / (3 + g % 8))."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("w"), F.floor(h / 10).alias("g"))
+    n = F.size("w")
+    rows = rows.select("doc_id", "text", "w", "g", n.alias("n"), F.when(n > 0, F.col("g") % n).cast("int").alias("a"))
+    p = (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    rows = rows.select("*", p.alias("p"))
+    rest = F.col("n") - F.col("a")
+    again = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    new = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(again, F.lit(1), rest)), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, new).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def periodic_runs(docs: DataFrame) -> DataFrame:
+    out = periodic.find_runs(with_repeats(docs), least=6, exponent=4)
+
+    def order(x: F.Column, y: F.Column) -> F.Column:
+        one, two = x["length"] * y["period"], y["length"] * x["period"]
+        later = F.when(x["start"] != y["start"], F.signum(x["start"] - y["start"])).otherwise(F.signum(x["period"] - y["period"]))
+        return F.when(one == two, later).otherwise(F.signum(two - one)).cast("int")
+
+    best = F.get(F.array_sort("runs", order), F.lit(0))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    out = out.select("id", "runs", best.alias("best"), lines.alias("lines"), "collapsed")
+    return out.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op12_spelling_variants")
+def spelling_variants(docs: DataFrame) -> DataFrame:
+    return spelling.group_variants(docs, least=7, often=2, times=10, slips=31)
+
+
+@query("op13_sentence_pieces")
+def sentence_pieces(docs: DataFrame) -> DataFrame:
+    out = pieces.encode_decode(docs, tokenizer_path("piece_bpe_32k.model"), end_id=2)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

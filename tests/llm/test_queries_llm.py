@@ -29,7 +29,7 @@ def test_matches_sql(spark, con, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     from __spark_entry__ import queries
 
     assert {*QUERIES, "pipeline"} <= set(queries())
