@@ -104,13 +104,6 @@ def source_differences(depths: DataFrame, by: Sequence[str], cell: Sequence[str]
     return join_same(n, quantiles(j, by + ["a", "b"], median_difference=(F.col("_r"), 0.5)), by + ["a", "b"])
 
 
-def nearest_component(components: DataFrame, seeds: DataFrame, by: Sequence[str], component: str, size: str, distance: Column, seed: str) -> DataFrame:
-    """Component nearest to each seed of its group; of equally near ones the larger."""
-    j = join_same(components, seeds, list(by))
-    best = F.min_by(F.struct(component, size, F.col("_d").alias("distance")), F.struct("_d", -F.col(size), component))
-    return j.withColumn("_d", distance).groupBy(*by, seed).agg(best.alias("_b")).select(*by, seed, "_b.*")
-
-
 def pair_by_priority(frames: DataFrame, assets: DataFrame, frame: str, asset: str, keys: Sequence[Column], strict: bool = False) -> DataFrame:
     """Match frames with assets by the first naming rule that exists. Unmatched frames are left out, or, if
     ``strict``, kept with a null asset for the caller's gate."""

@@ -8,15 +8,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clipledger.operators.groups import by_group
-from clipledger.session import join_same, settle
+from clipledger.operators.segments import Segments, by_size
+from clipledger.session import hot_limit, join_same, settle
 
+#: Rows of a group whose pairs one task may measure.
+PAIRED = 2048
 BLOCK = 256  # rows whose distances to another such block a task holds at once
 WIDEST = 32_768  # rows of a packed range at most
 BIN_SHIFT = 44  # keeps sign, exponent and 8 mantissa bits: an order-preserving bin of doubles
@@ -95,10 +100,32 @@ def _per_pair(by: list[str], fn: Callable):
 
 
 def _pair_quantile(df: DataFrame, by: Sequence[str], vector: Column, order: Sequence, q: float, name: str, measure: Callable) -> DataFrame:
-    """Exact linear quantile of a measure over all pairs of a group. Pass one counts measures per bin; pass two returns
-    only the merged measures of the one or two bins that hold the wanted ranks. Groups without a pair are absent."""
+    """Exact linear quantile of a measure over all pairs of a group; groups without a pair are absent. Groups up to
+    PAIRED rows are paired inside a task. Larger ones are cut into ranges: pass one counts measures per bin, pass two
+    returns only the merged measures of the one or two bins that hold the wanted ranks."""
     by = list(by)
-    pairs = _grid(df, by, vector, order)
+    rows = df.select(*by, *[c for c in order if c not in by], vector.alias("_v"))
+
+    def inside(g: Segments) -> list[np.ndarray]:
+        lists = g.table.column("_v").combine_chunks()
+        flat, ends = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+        out = np.full(len(g.starts), np.nan)
+        for k, (a, n) in enumerate(zip(g.starts.tolist(), g.sizes.tolist())):
+            one = SimpleNamespace(a=flat[ends[a] : ends[a + n]], b=flat[ends[a] : ends[a + n]], ka=n, kb=n, bi=0, bj=0)
+            found = np.concatenate(list(_of_pairs(one, measure)) or [np.zeros(0)])
+            if len(found):
+                low, high = np.partition(found, sorted({int(np.floor(q * (len(found) - 1))), int(np.ceil(q * (len(found) - 1)))}))[[int(np.floor(q * (len(found) - 1))), int(np.ceil(q * (len(found) - 1)))]]
+                part = q * (len(found) - 1) - np.floor(q * (len(found) - 1))
+                out[k] = low * (1 - part) + high * part
+        return [out]
+
+    limit = min(PAIRED, hot_limit(df.sparkSession))
+    found = by_size(rows, by, limit, [T.StructField(name, T.DoubleType())], inside, lambda d: _across(d, by, order, q, name, measure))
+    return found.where(F.col(name).isNotNull())
+
+
+def _across(df: DataFrame, by: list[str], order: Sequence, q: float, name: str, measure: Callable) -> DataFrame:
+    pairs = _grid(df, by, F.col("_v"), order)
     keys = "".join(f"`{b}` {df.schema[b].dataType.simpleString()}, " for b in by)
 
     def bins(row):

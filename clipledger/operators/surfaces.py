@@ -1,7 +1,7 @@
 """Points, voxels, pixels and faces seen from views.
 
-Views of a clip are packed into bounded batches (pose, camera and mask in one struct). A point meets each batch once;
-the views of a batch are unrolled, tested and counted inside one generated stage, so no pair is shuffled or stored.
+Points and voxels meet their views in ``fold``. Faces meet batches of views, which are unrolled and tested inside one
+generated stage, so no pair is shuffled or stored.
 """
 
 from __future__ import annotations
@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from clipledger.functions import geometry as geo
 from clipledger.functions.rules import Rule, apply_gates
+from clipledger.operators.aggregates import quantiles
+from clipledger.operators.fold import CAMERA, dilate, fuse_views, support, votes
 from clipledger.operators.groups import by_group, top_k
 from clipledger.session import join_same, settle, spread_groups
 
 VIEW_BATCH = 16
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
-CAMERA = ["rotation", "translation", "focal", "cx", "cy", "k1", "width", "height"]
 
 
 def mask_bitmaps(pixels: DataFrame, by: Sequence[str], view: str) -> DataFrame:
@@ -43,8 +44,7 @@ def _meet(points: DataFrame, views: DataFrame, by: list[str], view: str, fields:
     larger ones are joined with points salted, so that a hot clip is spread over tasks.
     """
     v = by_group(views, by, lambda d, g: g.rank(d, [view], "_i")).withColumn("_b", F.expr(f"(_i - 1) div {VIEW_BATCH}"))
-    wide = [F.lit(256)] + [8 * F.size(c) for c in ("mask", "depth_map", "conf_map") if c in fields]
-    batches = settle(v.groupBy(*by, "_b").agg(F.collect_list(F.struct(view, *fields)).alias("_vs"), F.sum(sum(wide[1:], wide[0])).alias("_bytes")))
+    batches = settle(v.groupBy(*by, "_b").agg(F.collect_list(F.struct(view, *fields)).alias("_vs"), F.sum(F.lit(256)).alias("_bytes")))
     size = batches.agg(F.coalesce(F.sum("_bytes"), F.lit(0))).first()[0]
     batches = batches.drop("_b", "_bytes")
     if size <= BROADCAST_BYTES:
@@ -56,38 +56,20 @@ def _meet(points: DataFrame, views: DataFrame, by: list[str], view: str, fields:
     return met.withColumn("_v", F.explode("_vs")).drop("_vs")
 
 
-def _seen(d: DataFrame) -> DataFrame:
-    """Add rounded pixel ``_u``, ``_w``, depth ``_z`` and whether the point (x, y, z) lies in front and in the image."""
-    v = F.col("_v")
-    p = geo.project(F.col("x"), F.col("y"), F.col("z"), v["rotation"], v["translation"], v["focal"], v["cx"], v["cy"], v["k1"])
-    d = d.withColumn("_p", p).withColumns({"_u": F.rint("_p.u"), "_w": F.rint("_p.v"), "_z": F.col("_p.z")}).drop("_p")
-    inside = (F.col("_z") > 1e-9) & (F.col("_u") >= 0) & (F.col("_w") >= 0) & (F.col("_u") <= v["width"] - 1) & (F.col("_w") <= v["height"] - 1)
-    return d.withColumn("_in", inside).withColumn("_at", F.when(F.col("_in"), F.col("_w") * v["width"] + F.col("_u")).otherwise(0).cast("int"))
-
-
-def _masked() -> Column:
-    """Mask bit of the pixel ``_at``."""
-    word = F.get(F.col("_v.mask"), F.shiftright("_at", 6))
-    return F.call_function("shiftright", word, (F.col("_at") % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-
-
 def point_support(points: DataFrame, views: DataFrame, by: Sequence[str], point: str, view: str) -> DataFrame:
-    """Number of views whose mask contains the projection of each point (x, y, z)."""
-    by = list(by)
-    d = _seen(_meet(points.select(*by, point, "x", "y", "z"), views, by, view, [*CAMERA, "mask"]))
-    return d.groupBy(*by, point).agg(F.count(F.when(F.col("_in") & _masked(), 1)).alias("support"))
+    """Number of views whose mask contains the projection of each point (x, y, z). Points without views have none."""
+    return support(points, views, by, [point], view).select(*by, point, "support")
 
 
 def carve(voxels: DataFrame, views: DataFrame, by: Sequence[str], voxel: Sequence[str], view: str, limit: int | Column = 0, outside: str = "abstain") -> DataFrame:
     """Voxels rejected by at most ``limit`` views. A view rejects a voxel that falls off its mask; off the image it
-    abstains or rejects, as ``outside`` says. Adds ``rejections``."""
+    abstains or rejects, as ``outside`` says. Adds ``rejections``. Where views abstain, the image ends at its exact
+    border, and pixels are rounded within it; where they reject, positions are rounded first. For whole grids,
+    :func:`fold.carve_grid` gives the same rows without a row per voxel ahead of the result."""
     if outside not in ("abstain", "reject"):
         raise ValueError("outside must be abstain or reject")
-    by, voxel = list(by), list(voxel)
-    d = _seen(_meet(voxels, views, by, view, [*CAMERA, "mask"]))
-    miss = F.when(F.col("_in"), ~_masked()).otherwise(F.lit(outside == "reject"))
-    votes = d.groupBy(*by, *voxel).agg(F.count(F.when(miss, 1)).alias("rejections"), *[F.first(c).alias(c) for c in "xyz"])
-    return votes.where(F.col("rejections") <= limit)
+    known = limit if isinstance(limit, int) else None
+    return votes(voxels, views, by, [*voxel, "x", "y", "z"], view, known, outside == "reject").where(F.col("rejections") <= limit)
 
 
 def voxel_grid(clips: DataFrame, resolution: int, low: float = -1.0, high: float = 1.0) -> DataFrame:
@@ -108,13 +90,20 @@ def fuse_samples(samples: DataFrame, by: Sequence[str], measured: Column, depth:
         F.try_divide(F.sum(w * F.least(sdf, F.lit(1.0))), F.sum(w)).alias("tsdf"), F.coalesce(F.sum(w), F.lit(0.0)).alias("weight"))
 
 
-def fuse(voxels: DataFrame, views: DataFrame, by: Sequence[str], voxel: Sequence[str], view: str, mu: float) -> DataFrame:
-    """Truncated signed distance per voxel from depth views (flat ``depth_map`` and ``conf_map`` arrays, 0 = none)."""
-    by, voxel = list(by), list(voxel)
-    d = _seen(_meet(voxels, views, by, view, [*CAMERA, "depth_map", "conf_map"]))
-    measured, conf = F.get(F.col("_v.depth_map"), F.col("_at")).cast("double"), F.get(F.col("_v.conf_map"), F.col("_at")).cast("double")
-    d = d.select(*by, *voxel, F.when(F.col("_in"), measured).otherwise(0.0).alias("_m"), "_z", conf.alias("_c"))
-    return fuse_samples(d, [*by, *voxel], F.col("_m"), F.col("_z"), F.col("_c"), mu)
+def fuse(voxels: DataFrame, views: DataFrame, by: Sequence[str], voxel: Sequence[str], view: str, mu: float, extent: float | None = None, edge_limit: float = 0.03) -> DataFrame:
+    """Truncated signed distance per voxel from depth views, and its weight: flat ``depth_map`` (0 = none), and if there
+    are such columns, ``conf_map`` and ``depth_conf``, a view's own confidence. A sample weighs their product over its
+    depth. Samples behind the surface by more than ``mu`` do not count; with ``extent``, the object's size, neither do
+    those where the depth image jumps by more than ``edge_limit`` of it. Voxels never seen have a null distance and no
+    weight."""
+    return fuse_views(voxels, views, by, voxel, view, mu, extent, edge_limit)
+
+
+def fuse_grid(occupied: DataFrame, views: DataFrame, by: Sequence[str], view: str, resolution: int, low: float = -1.0, high: float = 1.0, trunc: float = 4.0, edge_limit: float = 0.03) -> DataFrame:
+    """:func:`fuse` over the band of a grid: all cells within two steps of an occupied one (iz, iy, ix)."""
+    by, step = list(by), (high - low) / (resolution - 1)
+    band = dilate(occupied, by, resolution, 2).withColumns({c: low + F.col(f"i{c}") * step for c in "xyz"})
+    return fuse(band, views, by, ["iz", "iy", "ix", "x", "y", "z"], view, trunc * step, 3**0.5 * (high - low), edge_limit)
 
 
 def blend_fields(fused: DataFrame, hull: Column) -> DataFrame:
@@ -166,11 +155,14 @@ def visible_faces(projected: DataFrame, nearest: DataFrame, by: Sequence[str], f
     return join_same(d, nearest.select(*by, "y", "x", F.col("depth").alias("_near")), by + ["y", "x"]).where(F.col("_z") <= F.col("_near") + tolerance).select(*by, face)
 
 
-def reproject_pairs(pairs: DataFrame, pixels: DataFrame, views: DataFrame, by: Sequence[str], tolerance: Column) -> DataFrame:
+def reproject_pairs(pairs: DataFrame, pixels: DataFrame, views: DataFrame, by: Sequence[str], tolerance: Column, scale: Column | None = None) -> DataFrame:
     """Both directions of every view pair: pixels of one view carried into the other and classified.
 
     ``pixels`` has view, y, x, depth (null or ≤ 0 = unavailable), stable and in_mask; ``pairs`` has view_a and view_b.
-    One row per pair with matches, contradictions, occluded, unavailable, outside, consistency and coverage.
+    The mask and stability of the nearest pixel decide, and the depth there is interpolated between the four pixels
+    around (missing ones are 0). One row per pair with the counts of both directions and of each (``forward_`` and
+    ``backward_``), ``consistency``, ``coverage`` and the median relative error of matches and near contradictions,
+    over both directions and for each; and if the object's ``scale`` is given, their median error in it.
     """
     by = list(by)
     ways = pairs.select(*by, "view_a", "view_b", F.explode(F.array(F.struct(F.col("view_a").alias("src"), F.col("view_b").alias("dst"), F.lit("forward").alias("way")), F.struct(F.col("view_b").alias("src"), F.col("view_a").alias("dst"), F.lit("backward").alias("way")))).alias("_w")).select(*by, "view_a", "view_b", "_w.*")
@@ -183,22 +175,40 @@ def reproject_pairs(pairs: DataFrame, pixels: DataFrame, views: DataFrame, by: S
     world = geo.backproject(F.col("_x"), F.col("_y"), F.col("_z"), s["rotation"], s["translation"], s["focal"], s["cx"], s["cy"], s["k1"])
     j = j.withColumn("_p", world)
     at = geo.project(F.col("_p.x"), F.col("_p.y"), F.col("_p.z"), t["rotation"], t["translation"], t["focal"], t["cx"], t["cy"], t["k1"])
-    j = j.withColumn("_q", at).withColumn("x", F.rint("_q.u").cast("int")).withColumn("y", F.rint("_q.v").cast("int"))
+    j = j.withColumn("_q", at)
     inside = (F.col("_q.z") > 1e-9) & (F.col("_q.u") >= 0) & (F.col("_q.v") >= 0) & (F.col("_q.u") < t["width"] - 1) & (F.col("_q.v") < t["height"] - 1)
-    j = j.withColumn("_in", inside).select(*by, "view_a", "view_b", "way", F.col("dst").alias("view"), "y", "x", "_in", F.col("_q.z").alias("_pz"))
-    j = join_same(j, pixels.select(*by, "view", "y", "x", F.col("depth").alias("_t"), "stable", "in_mask"), by + ["view", "y", "x"], "left")
+    whole = lambda c: F.when(inside, F.floor(c)).cast("int")
+    j = j.select(*by, "view_a", "view_b", "way", F.col("dst").alias("view"), whole(F.col("_q.v")).alias("y"), whole(F.col("_q.u")).alias("x"), inside.alias("_in"), F.col("_q.z").alias("_pz"), (F.col("_q.u") - F.floor("_q.u")).alias("_fu"), (F.col("_q.v") - F.floor("_q.v")).alias("_fv"), F.rint("_q.u").alias("_ru"), F.rint("_q.v").alias("_rv"))
+    # each pixel is a corner of four squares; a square has what its four corners hold
+    corner = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (0, 1) for dx in (0, 1)]))
+    px = pixels.select(*by, "view", "y", "x", F.struct(F.greatest(F.coalesce(F.col("depth").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("d"), F.coalesce("stable", F.lit(False)).alias("s"), F.coalesce("in_mask", F.lit(False)).alias("m")).alias("_c"), corner.alias("_k"))
+    px = px.select(*by, "view", (F.col("y") - F.col("_k.dy")).cast("int").alias("y"), (F.col("x") - F.col("_k.dx")).cast("int").alias("x"), (2 * F.col("_k.dy") + F.col("_k.dx")).alias("_n"), "_c")
+    square = px.groupBy(*by, "view", "y", "x").agg(*[F.max(F.when(F.col("_n") == n, F.col("_c"))).alias(f"_c{n}") for n in range(4)])
+    j = join_same(j, square, by + ["view", "y", "x"], "left")
+    d = [F.coalesce(F.col(f"_c{n}.d"), F.lit(0.0)) for n in range(4)]
+    top, bottom = (d[n] * (1 - F.col("_fu")) + d[n + 1] * F.col("_fu") for n in (0, 2))
+    near = 2 * (F.col("_rv") - F.col("y")) + (F.col("_ru") - F.col("x"))
+    flag = lambda f: F.coalesce(F.get(F.array(*[F.col(f"_c{n}.{f}") for n in range(4)]), near.cast("int")), F.lit(False))
+    j = j.withColumns({"_t": top * (1 - F.col("_fv")) + bottom * F.col("_fv"), "_stable": flag("s"), "_mask": flag("m")})
     free = F.col("_pz") < F.col("_t") - tolerance
     kind = (
-        F.when(~F.col("_in"), "outside").when(~F.coalesce("in_mask", F.lit(False)), "contradiction")
-        .when(~F.coalesce("stable", F.lit(False)) | (F.coalesce("_t", F.lit(0.0)) <= 1e-9), "unavailable")
+        F.when(~F.col("_in"), "outside").when(~F.col("_mask"), "contradiction").when(~F.col("_stable") | (F.col("_t") <= 1e-9), "unavailable")
         .when(free, "contradiction").when(F.col("_pz") > F.col("_t") + tolerance, "occluded").otherwise("match"))
-    j = j.withColumn("_kind", kind)
-    n = lambda k: F.count(F.when(F.col("_kind") == k, 1))
-    out = j.groupBy(*by, "view_a", "view_b").agg(
-        n("match").alias("matches"), n("contradiction").alias("contradictions"), n("occluded").alias("occluded"), n("unavailable").alias("unavailable"), n("outside").alias("outside"),
-        F.count(F.when((F.col("way") == "forward") & F.col("_kind").isin("match", "contradiction"), 1)).alias("forward"),
-        F.count(F.when((F.col("way") == "backward") & F.col("_kind").isin("match", "contradiction"), 1)).alias("backward"), F.count("*").alias("pixels"))
-    return out.withColumn("consistency", F.try_divide("matches", F.col("matches") + F.col("contradictions"))).withColumn("coverage", F.try_divide(F.col("matches") + F.col("contradictions"), F.col("pixels")))
+    off = F.abs(F.col("_pz") - F.col("_t"))
+    compared = (F.col("_kind") == "match") | ((F.col("_kind") == "contradiction") & F.col("_mask"))
+    j = j.withColumn("_kind", kind).withColumn("_error", F.when(compared, off / F.greatest("_t", F.lit(1e-9))))
+    if scale is not None:
+        j = j.withColumn("_off", F.when(compared, off / scale))
+    j = settle(j.select(*by, "view_a", "view_b", "way", "_kind", "_error", *(["_off"] if scale is not None else [])))
+    n = lambda *ks, way=None: F.count(F.when(F.col("_kind").isin(*ks) & (F.lit(True) if way is None else F.col("way") == way), 1))
+    kinds = {"matches": "match", "contradictions": "contradiction", "occluded": "occluded", "unavailable": "unavailable", "outside": "outside"}
+    key = [*by, "view_a", "view_b"]
+    out = j.groupBy(*key).agg(
+        *[n(k).alias(name) for name, k in kinds.items()], *[n("match", "contradiction", way=w).alias(w) for w in ("forward", "backward")],
+        *[n(k, way=w).alias(f"{w}_{name}") for w in ("forward", "backward") for name, k in kinds.items()], F.count("*").alias("pixels"))
+    out = out.withColumn("consistency", F.try_divide("matches", F.col("matches") + F.col("contradictions"))).withColumn("coverage", F.try_divide(F.col("matches") + F.col("contradictions"), F.col("pixels")))
+    medians = {"median_error": F.col("_error")} | {f"{w}_median_error": F.when(F.col("way") == w, F.col("_error")) for w in ("forward", "backward")} | ({} if scale is None else {"median_scaled_error": F.col("_off")})
+    return join_same(out, quantiles(j, key, **{k: (c, 0.5) for k, c in medians.items()}), key, "left")
 
 
 def bilinear(points: DataFrame, image: DataFrame, by: Sequence[str], point: str, width: int, height: int) -> DataFrame:

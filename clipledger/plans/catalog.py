@@ -84,6 +84,46 @@ def mesh_text(t):
     return f.select("mesh", "relative", "part", "v0", "v1", "v2", r6(col("x_v0") + col("x_v1") + col("x_v2")).alias("x_sum"))
 
 
+def text_files(rows, *parts: str) -> str:
+    """Write rows of one text column (and folders ``parts``) below the shared folder, and return where."""
+    path = f"{checkpoint_folder(rows.sparkSession).rstrip('/')}/text-{uuid.uuid4().hex}"
+    rows.write.partitionBy(*parts).text(path)
+    return path
+
+
+@query("mesh_files", f"""
+WITH l AS (SELECT l_orderkey AS m, l_quantity AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_extendedprice) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+SELECT m AS l_orderkey, max(n) - 2 AS triangles, {q6("sum(CASE WHEN i = 1 THEN (n - 2) * x WHEN i = 2 OR i = n THEN x ELSE 2 * x END)")} AS x_sum FROM l WHERE n >= 3 GROUP BY 1""")
+def mesh_files(t):
+    """Orders as vertices and a polygon with relative ids, many in a file; files are read by blocks."""
+    rows = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_quantity", "l_extendedprice"))).alias("ps"))
+    lines = F.array_join(F.transform("ps", lambda p: F.concat_ws(" ", F.lit("v"), p["l_quantity"].cast("string"), col("l_orderkey").cast("string"), F.lit("0"))), "\n")
+    face = F.concat(F.lit("f "), F.array_join(F.transform(F.sequence(-F.size("ps"), F.lit(-1)), lambda i: F.concat(i.cast("string"), F.lit("//1"))), " "))
+    folder = text_files(rows.repartitionByRange(4, "l_orderkey").sortWithinPartitions("l_orderkey").select(F.concat_ws("\n", lines, face).alias("value")))
+    vertices, faces = rd.read_mesh_text(t.spark, folder)
+    for c in ("v0", "v1", "v2"):
+        faces = faces.join(vertices.select("mesh", col("vid").alias(c), col("x").alias(f"x_{c}"), col("y").cast("long").alias(f"y_{c}")), ["mesh", c])
+    faces = faces.where("y_v0 = y_v1 AND y_v1 = y_v2")
+    return faces.groupBy(col("y_v0").alias("l_orderkey")).agg(F.count("*").alias("triangles"), r6(F.sum(col("x_v0") + col("x_v1") + col("x_v2"))).alias("x_sum"))
+
+
+@query("read_analysis", """
+SELECT conv_id % 8 AS doc, CAST(conv_id AS INTEGER) AS source_frame_index, CAST(turn AS INT) AS candidate_index, role AS path, CAST(length(text) AS DOUBLE) AS chars, '1' AS schema_version,
+  row_number() OVER (PARTITION BY conv_id % 8 ORDER BY conv_id, turn) - 1 AS position FROM conversations""")
+def read_analysis(t):
+    """Conversations as eight analysis files whose frames are their turns, read by blocks."""
+    c = t.conversations.select((col("conv_id") % 8).alias("doc"), "conv_id", "turn", "role", F.length("text").alias("n"))
+    frame = F.format_string('    {\n      "candidate_index": %d,\n      "metrics": {\n        "chars": %d\n      },\n      "path": "%s",\n      "source_frame_index": %d\n    },', "turn", "n", "role", "conv_id")
+    body = c.select("doc", F.struct(F.lit(1), "conv_id", "turn").alias("at"), frame.alias("value"))
+    edge = lambda k, text: c.select("doc").distinct().select("doc", F.struct(F.lit(k), F.lit(0).cast("long").alias("conv_id"), F.lit(0).cast(c.schema["turn"].dataType).alias("turn")).alias("at"), F.lit(text).alias("value"))
+    rows = edge(0, '{\n  "frames": [').unionByName(body).unionByName(edge(2, '    {\n      "candidate_index": -1\n    }\n  ],\n  "keyframes": [],\n  "schema_version": "1",\n  "warnings": []\n}'))
+    folder = text_files(rows.repartition(8, "doc").sortWithinPartitions("doc", "at").select("doc", "value"), "doc")
+    d = rd.read_analysis(t.spark, f"{folder}/*")
+    out = d.where("frame.candidate_index >= 0").select(
+        F.regexp_extract("clip", r"doc=(\d+)", 1).cast("long").alias("doc"), col("frame.source_frame_index").cast("int").alias("source_frame_index"), "frame.candidate_index", "frame.path", F.col("frame.metrics")["chars"].alias("chars"), "schema_version", big("position").alias("position"))
+    return out
+
+
 @query("fan_triples", """
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), w AS (SELECT doc_id, unnest(ls) AS s FROM l),
 n AS (SELECT doc_id, list_transform(list_filter(string_split(s, ' '), lambda x: x <> ''), lambda x: length(x)) AS a FROM w)

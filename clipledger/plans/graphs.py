@@ -68,21 +68,17 @@ def bfs(t):
 
 
 @query("adjacency", """
-WITH f AS (SELECT DISTINCT o_custkey AS e, l_partkey AS f FROM lineitem JOIN orders ON l_orderkey = o_orderkey), w AS (SELECT e, min(f) AS o FROM f GROUP BY 1),
-l AS (SELECT DISTINCT o AS src, f AS dst FROM f JOIN w USING (e) WHERE o <> f)
-SELECT src, dst FROM l UNION SELECT dst, src FROM l""")
+WITH f AS (SELECT DISTINCT l_orderkey AS e, l_partkey AS f FROM lineitem) SELECT DISTINCT a.f AS src, b.f AS dst FROM f a JOIN f b ON a.e = b.e AND a.f <> b.f""")
 def adjacency(t):
     return part_neighbours(t).select("src", "dst")
 
 
 def part_neighbours(t):
-    """Parts as faces that meet in the customers who ordered them."""
-    f = t.lineitem.select("l_orderkey", "l_partkey").join(t.orders.select(col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    return gr.face_neighbours(f, [], "l_partkey", ["o_custkey"])
+    """Parts as faces that meet in the orders that hold them."""
+    return gr.face_neighbours(t.lineitem, [], "l_partkey", ["l_orderkey"])
 
 
-_ADJ = """f AS (SELECT DISTINCT o_custkey AS e, l_partkey AS f FROM lineitem JOIN orders ON l_orderkey = o_orderkey), w AS (SELECT e, min(f) AS o FROM f GROUP BY 1),
-l AS (SELECT DISTINCT o AS src, f AS dst FROM f JOIN w USING (e) WHERE o <> f), nb AS MATERIALIZED (SELECT src, dst FROM l UNION SELECT dst, src FROM l)"""
+_ADJ = """f AS (SELECT DISTINCT l_orderkey AS e, l_partkey AS f FROM lineitem), nb AS MATERIALIZED (SELECT DISTINCT a.f AS src, b.f AS dst FROM f a JOIN f b ON a.e = b.e AND a.f <> b.f)"""
 
 
 def _smooth_round(i):
@@ -99,6 +95,26 @@ def smooth_labels(t):
     return gr.smooth_labels(s, settle(part_neighbours(t))).select("node", "label")
 
 
+@query("smooth_in_order", """
+WITH RECURSIVE sc AS (SELECT l_suppkey AS f, CAST(l_linenumber % 4 AS INTEGER) AS label, avg(CAST(l_quantity AS DOUBLE)) AS score FROM lineitem GROUP BY 1, 2),
+b0 AS (SELECT f, min(struct_pack(c := -score, l := label)) AS b FROM sc GROUP BY 1), lam AS (SELECT 0.15 * median(-(b.c)) AS w FROM b0),
+num AS (SELECT f, row_number() OVER (ORDER BY f) AS i FROM b0), n AS (SELECT count(*) AS n FROM num),
+e0 AS (SELECT DISTINCT a.s_suppkey AS u, b.s_suppkey AS v FROM supplier a JOIN supplier b ON b.s_suppkey IN (a.s_suppkey + 1, a.s_suppkey + 7, a.s_suppkey * 2)),
+nb AS (SELECT x.i, list(y.i) AS ns FROM (SELECT u, v FROM e0 WHERE u <> v UNION SELECT v, u FROM e0 WHERE u <> v) e JOIN num x ON x.f = e.u JOIN num y ON y.f = e.v GROUP BY 1),
+sn AS (SELECT i, label, score, coalesce(ns, []) AS ns FROM sc JOIN num USING (f) LEFT JOIN nb USING (i)),
+r AS (SELECT CAST(0 AS BIGINT) AS k, list(b.l ORDER BY f) AS ls FROM b0
+  UNION ALL SELECT r.k + 1, list_concat(list_concat(r.ls[1:r.k % n], [min(struct_pack(c := -score + w * CAST(len(list_filter(ns, lambda j: r.ls[j] <> label)) AS DOUBLE), l := label)).l]), r.ls[r.k % n + 2:n])
+  FROM r, n, lam, sn WHERE sn.i = r.k % n + 1 AND r.k < 3 * n GROUP BY r.k, r.ls, n, w)
+SELECT num.f AS node, ls[num.i] AS label FROM r, n, num WHERE r.k = 3 * n""")
+def smooth_in_order(t):
+    """Suppliers as faces, with a score for each of four labels, next to three others each."""
+    scores = t.lineitem.groupBy(col("l_suppkey").alias("node"), (col("l_linenumber") % 4).cast("int").alias("label")).agg(F.avg(col("l_quantity").cast("double")).alias("score"))
+    s = t.supplier.select(col("s_suppkey").alias("src"))
+    e = s.withColumn("dst", F.explode(F.array(col("src") + 1, col("src") + 7, col("src") * 2))).join(s.withColumnRenamed("src", "dst"), "dst", "left_semi").where("src != dst")
+    both = e.select("src", "dst").unionByName(e.select(col("dst").alias("src"), col("src").alias("dst")))
+    return gr.smooth_in_order(scores, both.join(scores.select(col("node").alias("dst")).distinct(), "dst", "left_semi"), sweeps=3).select("node", "label")
+
+
 def _taubin_step(i, k):
     return f"s{i + 1} AS MATERIALIZED (SELECT s{i}.node, v + ({k}) * coalesce(m - v, 0) AS v FROM s{i} LEFT JOIN (SELECT src AS node, avg(v) AS m FROM nb JOIN s{i} ON s{i}.node = dst GROUP BY 1) a ON a.node = s{i}.node)"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clipledger.operators import fits, joins as jn, selection as sel, splits as sp
+from clipledger.operators.regions import nearest_point
 from clipledger.plans.aggregates import LINE_ORDER, LINE_SQL
 from clipledger.plans.gates import _ROT, _arr
 from clipledger.plans.registry import big, codes_sql, joined, parts_sql, q6, query, r6, vector_parts
@@ -112,13 +113,12 @@ def arbitrate(t):
 
 @query("nearest_seed", f"""
 WITH v AS (SELECT label, vec_id * 100 + part AS piece, v1 AS x, v2 AS y, v3 AS z FROM {parts_sql(3)}), s AS (SELECT label, avg(x) AS sx, avg(y) AS sy FROM v GROUP BY 1),
-d AS (SELECT v.label, piece, round(sqrt((x-sx)*(x-sx) + (y-sy)*(y-sy)), 9) AS d, z FROM v JOIN s USING (label)), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, z DESC, piece) AS rn FROM d)
+d AS (SELECT v.label, piece, sqrt((x-sx)*(x-sx) + (y-sy)*(y-sy)) AS d, z FROM v JOIN s USING (label)), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, z DESC, piece) AS rn FROM d)
 SELECT label, piece, {q6("d")} AS distance FROM r WHERE rn = 1""")
 def nearest_seed(t):
     v = vector_parts(t, 3).select("label", (col("vec_id") * 100 + col("part")).alias("piece"), *[col("values")[i].alias(c) for i, c in enumerate("xyz")])
-    s = v.groupBy("label").agg(F.avg("x").alias("sx"), F.avg("y").alias("sy")).withColumn("seed", col("label"))
-    dist = F.round(F.sqrt((col("x") - col("sx")) ** 2 + (col("y") - col("sy")) ** 2), 9)
-    d = jn.nearest_component(v, s, ["label"], "piece", "z", dist, "seed")
+    s = v.groupBy("label").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).withColumn("seed", col("label"))
+    d = nearest_point(v.withColumn("back", -col("z")), s, ["label"], "seed", ["back", "piece"])
     return d.select("label", "piece", r6("distance").alias("distance"))
 
 

@@ -91,6 +91,34 @@ def stream_jobs(t):
     return d.select("user_id", "status", F.unix_micros("updated").alias("updated_us"), "events", "attempts")
 
 
+_JOB_EVENTS = """e AS (SELECT user_id, CAST(event_id AS VARCHAR) AS id, epoch_us(ts) AS us, CASE event_type WHEN 'signup' THEN 'started' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END AS kind,
+  CASE WHEN event_id % 2 = 0 THEN 'segmentation' ELSE 'reconstruction' END AS stage, event_id % 5 AS n FROM events WHERE event_type IN ('signup', 'purchase', 'error')),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, id) AS i FROM e)"""
+
+
+@query("stream_job_state", f"""
+WITH {_JOB_EVENTS},
+st AS (SELECT user_id, stage, max_by(kind, i) AS last_kind, count(*) FILTER (WHERE kind = 'started') AS attempts, coalesce(max(i) FILTER (WHERE kind = 'started'), 0) AS begun FROM o GROUP BY 1, 2),
+ar AS (SELECT o.user_id, o.stage || '/' || n AS key, max_by(id, i) AS digest FROM o JOIN st USING (user_id, stage) WHERE kind = 'completed' AND i > begun GROUP BY 1, 2),
+al AS (SELECT user_id, string_agg(key || '=' || digest, ',' ORDER BY key || '=' || digest) AS artifacts FROM ar GROUP BY 1),
+jb AS (SELECT user_id, max_by(kind, i) AS last_kind, max_by(stage, i) AS last_stage, max(us) AS updated_us, count(*) AS events FROM o GROUP BY 1),
+dn AS (SELECT user_id, count(*) FILTER (WHERE last_kind = 'completed') = 2 AS done, coalesce(max(attempts) FILTER (WHERE stage = 'segmentation'), 0) AS a, coalesce(max(attempts) FILTER (WHERE stage = 'reconstruction'), 0) AS b FROM st GROUP BY 1)
+SELECT user_id, CASE WHEN last_kind = 'failed' THEN 'failed' WHEN last_kind = 'completed' AND done THEN 'completed' ELSE 'running' END AS status, CASE WHEN last_kind = 'completed' THEN NULL ELSE last_stage END AS active_stage,
+  updated_us, events, a || '/' || b AS attempts, coalesce(artifacts, '') AS artifacts FROM jb JOIN dn USING (user_id) LEFT JOIN al USING (user_id)""")
+def stream_job_state(t):
+    """Users as jobs of two stages whose events carry artifacts; every event is delivered twice."""
+    out, state = folders(t.spark)
+    kind = F.when(col("event_type") == "signup", "started").when(col("event_type") == "purchase", "completed").when(col("event_type") == "error", "failed")
+    stage = F.when(col("event_id") % 2 == 0, "segmentation").otherwise("reconstruction")
+    made = F.array(F.struct(F.concat_ws("/", "stage", (col("event_id") % 5).cast("string")).alias("key"), col("event_id").cast("string").alias("digest")))
+    d = event_stream(t).withColumns({"kind": kind, "stage": stage}).where("kind IS NOT NULL").withColumn("made", F.when(col("kind") == "completed", made))
+    d = d.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    with st.rocksdb(t.spark):
+        d = st.stream_job_state(d, "user_id", "event_id", "at", "kind", "stage", "made", ["segmentation", "reconstruction"], "1 hour", 3_600_000)
+        d = st.latest_per_key(st.run_once(d, out, state, "update"), ["job"])
+    return d.select(col("job").alias("user_id"), "status", "active_stage", "updated_us", "events", F.concat_ws("/", col("attempts").cast("array<string>")).alias("attempts"), joined("artifacts").alias("artifacts"))
+
+
 @query("stream_cadence", f"""
 WITH RECURSIVE {FRAMES}, f AS (SELECT user_id, event_id, us / 1e6 - 1704067200 AS d, row_number() OVER (PARTITION BY user_id ORDER BY us / 1e6 - 1704067200, event_id) AS i FROM fr),
 x AS (SELECT user_id, event_id, i, CASE WHEN d >= (i - 1) / {1 / 40000!r} * 0.5 THEN d ELSE (i - 1) / {1 / 40000!r} END AS t FROM f),

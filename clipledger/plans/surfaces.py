@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from clipledger.operators import fold, regions
 from clipledger.operators import surfaces as sf
 from clipledger.plans.aggregates import LINE_ORDER, LINE_SQL
 from clipledger.plans.gates import _ROT, _arr
@@ -27,11 +28,14 @@ VIEWS_SQL = """mk AS (SELECT DISTINCT c_nationkey AS view, CAST(floor((c_acctbal
 
 
 def proj_sql(clip_join: str) -> str:
-    """Pixels u, v, depth z and inside flag of points pt(clip, id, x, y, z) in the nation views."""
+    """Pixels u, v, depth z and inside flags of points pt(clip, id, x, y, z) in the nation views: ``inside`` by the
+    exact position, ``rounded`` by the nearest pixel."""
+    pixel = lambda a: f"least(greatest(round_even({a}, 0), 0), 15)"
     return f"""pj AS (SELECT pt.*, n_nationkey AS view, pt.x + n_nationkey / 50 - 0.25 AS xc, pt.y + n_nationkey / -60 + 0.2 AS yc, pt.z + 4.0 AS zc FROM pt JOIN nation ON {clip_join}),
 pn AS (SELECT *, xc / CASE WHEN zc > 1e-9 THEN zc ELSE 1 END AS xn, yc / CASE WHEN zc > 1e-9 THEN zc ELSE 1 END AS yn FROM pj),
-pu AS (SELECT *, round_even(20 * xn * (1 + 0.05 * (xn*xn + yn*yn)) + 8, 0) AS u, round_even(20 * yn * (1 + 0.05 * (xn*xn + yn*yn)) + 8, 0) AS v FROM pn),
-pz AS (SELECT pu.*, zc > 1e-9 AND u BETWEEN 0 AND 15 AND v BETWEEN 0 AND 15 AS inside, mk.view IS NOT NULL AS hit FROM pu LEFT JOIN mk ON mk.view = pu.view AND mk.x = u AND mk.y = v)"""
+pu AS (SELECT *, 20 * xn * (1 + 0.05 * (xn*xn + yn*yn)) + 8 AS u, 20 * yn * (1 + 0.05 * (xn*xn + yn*yn)) + 8 AS v FROM pn),
+pz AS (SELECT pu.*, zc > 1e-9 AND u >= 0 AND u < 16 AND v >= 0 AND v < 16 AS inside, zc > 1e-9 AND round_even(u, 0) BETWEEN 0 AND 15 AND round_even(v, 0) BETWEEN 0 AND 15 AS rounded, mk.view IS NOT NULL AS hit
+  FROM pu LEFT JOIN mk ON mk.view = pu.view AND mk.x = {pixel("u")} AND mk.y = {pixel("v")})"""
 
 
 @query("point_support", f"""
@@ -39,8 +43,12 @@ WITH {VIEWS_SQL}, pt AS (SELECT n_regionkey AS clip, s_suppkey AS id, s_acctbal
 {proj_sql("n_regionkey = clip")} SELECT id AS s_suppkey, count(*) FILTER (WHERE inside AND hit) AS support FROM pz GROUP BY 1""")
 def point_support(t):
     p = t.supplier.join(t.nation, col("s_nationkey") == col("n_nationkey")).select(col("n_regionkey").alias("clip"), "s_suppkey", (col("s_acctbal") / 10000 - 0.5).alias("x"), (col("s_nationkey") / 25 - 0.5).alias("y"), (col("s_acctbal") / 5000 - 1).alias("z"))
-    views = nation_views(t, F.lit(None).cast("int")).drop("clip").join(t.nation.select(col("n_nationkey").alias("view"), col("n_regionkey").alias("clip")), "view")
-    return sf.point_support(p, views, ["clip"], "s_suppkey", "view").select("s_suppkey", "support")
+    return sf.point_support(p, region_views(t), ["clip"], "s_suppkey", "view").select("s_suppkey", "support")
+
+
+def region_views(t):
+    """Nations as views of their region."""
+    return nation_views(t, F.lit(None).cast("int")).drop("clip").join(t.nation.select(col("n_nationkey").alias("view"), col("n_regionkey").alias("clip")), "view")
 
 
 _PARTS = "pt AS (SELECT 0 AS clip, p_partkey AS id, p_size / 50 - 0.5 AS x, (p_retailprice - 900) / 1000 - 0.5 AS y, p_size / 100 - 0.25 AS z FROM part)"
@@ -51,7 +59,7 @@ def part_voxels(t):
 
 
 @query("vote_carve", f"""
-WITH {VIEWS_SQL}, {_PARTS}, {proj_sql("clip = 0")}, s AS (SELECT id, count(*) FILTER (WHERE inside AND NOT hit) AS abstain, count(*) FILTER (WHERE NOT inside OR NOT hit) AS reject FROM pz GROUP BY 1)
+WITH {VIEWS_SQL}, {_PARTS}, {proj_sql("clip = 0")}, s AS (SELECT id, count(*) FILTER (WHERE inside AND NOT hit) AS abstain, count(*) FILTER (WHERE NOT rounded OR NOT hit) AS reject FROM pz GROUP BY 1)
 SELECT 'abstain' AS policy, id AS p_partkey, abstain AS rejections FROM s WHERE abstain <= 14 UNION ALL SELECT 'reject', id, reject FROM s WHERE reject <= 14""")
 def vote_carve(t):
     views = nation_views(t, F.lit(0))
@@ -59,6 +67,18 @@ def vote_carve(t):
     return one("abstain").unionByName(one("reject"))
 
 
+@query("carve_grid", f"""
+WITH {VIEWS_SQL}, ax AS (SELECT CAST(i AS INT) AS i, -0.5 + i * CAST(1.0 / 27 AS DOUBLE) AS c FROM range(28) r(i)),
+pt AS (SELECT r_regionkey AS clip, z.i AS iz, y.i AS iy, x.i AS ix, x.c AS x, y.c AS y, z.c AS z FROM region, ax z, ax y, ax x), {proj_sql("n_regionkey = clip")},
+s AS (SELECT clip, iz, iy, ix, count(*) FILTER (WHERE inside AND NOT hit) AS abstain, count(*) FILTER (WHERE NOT rounded OR NOT hit) AS reject FROM pz GROUP BY ALL)
+SELECT 'abstain' AS policy, clip, iz, iy, ix, abstain AS rejections FROM s WHERE abstain <= 2 UNION ALL SELECT 'reject', clip, iz, iy, ix, reject FROM s WHERE reject <= 3""")
+def carve_grid(t):
+    """A grid of 28 cells an edge for each region, carved by its nations' views."""
+    clips, views = t.region.select(col("r_regionkey").alias("clip")), region_views(t)
+    one = lambda p, k: fold.carve_grid(clips, views, ["clip"], "view", 28, -0.5, 0.5, k, p).select(F.lit(p).alias("policy"), "clip", "iz", "iy", "ix", "rejections")
+    return one("abstain", 2).unionByName(one("reject", 3))
+
+
 @query("weighted_fuse", f"""
 WITH s AS (SELECT l_partkey, (l_extendedprice / 10000 - l_quantity / 10) / 4.0 AS sdf, l_extendedprice / 10000 AS m, l_quantity / 10 AS z, 1 - l_discount AS c FROM lineitem),
 u AS (SELECT l_partkey, least(sdf, 1) AS s, CASE WHEN m > 1e-6 AND z > 1e-9 AND sdf >= -1 THEN c / z END AS w FROM s)
@@ -68,6 +88,43 @@ def weighted_fuse(t):
     return d.select("l_partkey", r6("tsdf").alias("tsdf"), r6("weight").alias("weight"))
 
 
+def depth_pixels(t):
+    """Pixels of the nations' depth images: where their customers fall, at a depth of their balances."""
+    px = t.customer.groupBy(col("c_nationkey").alias("view"), F.floor((col("c_acctbal") + 1000) / 11001 * W).cast("int").alias("x"), ((col("c_custkey") * 7) % H).cast("int").alias("y"))
+    return px.agg((3.7 + F.avg("c_acctbal") / 30000).cast("float").cast("double").alias("depth"))
+
+
+_STEP = 1.0 / 19
+
+
+@query("fuse", f"""
+WITH oc AS (SELECT DISTINCT n_regionkey AS clip, CAST(s_suppkey % 20 AS INT) AS iz, CAST(s_suppkey * 7 % 20 AS INT) AS iy, CAST(floor((s_acctbal + 1000) / 11001 * 20) AS INT) AS ix FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+st AS (SELECT a.i AS a, b.i AS b, c.i AS c FROM range(-2, 3) a(i), range(-2, 3) b(i), range(-2, 3) c(i) WHERE abs(a.i) + abs(b.i) + abs(c.i) <= 2),
+bd AS (SELECT DISTINCT clip, CAST(iz + a AS INT) AS iz, CAST(iy + b AS INT) AS iy, CAST(ix + c AS INT) AS ix FROM oc, st WHERE iz + a BETWEEN 0 AND 19 AND iy + b BETWEEN 0 AND 19 AND ix + c BETWEEN 0 AND 19),
+pt AS (SELECT *, -0.5 + ix * {_STEP}::DOUBLE AS x, -0.5 + iy * {_STEP}::DOUBLE AS y, -0.5 + iz * {_STEP}::DOUBLE AS z FROM bd),
+dp AS (SELECT c_nationkey AS view, CAST(floor((c_acctbal + 1000) / 11001 * 16) AS INT) AS x, CAST((c_custkey * 7) % 16 AS INT) AS y, CAST(3.7 + avg(c_acctbal) / 30000 AS FLOAT)::DOUBLE AS d FROM customer GROUP BY ALL),
+im AS (SELECT n_nationkey AS view, CAST(y.i AS INT) AS y, CAST(x.i AS INT) AS x, coalesce(d, 0) AS d FROM nation CROSS JOIN range(16) y(i) CROSS JOIN range(16) x(i) LEFT JOIN dp ON dp.view = n_nationkey AND dp.y = y.i AND dp.x = x.i),
+nb AS (SELECT p.view, p.y, p.x, sum(q.d * sx) AS gx, sum(q.d * sy) AS gy FROM im p
+  JOIN (SELECT a.i AS dy, b.i AS dx, b.i * (2 - abs(a.i)) AS sx, a.i * (2 - abs(b.i)) AS sy FROM range(-1, 2) a(i), range(-1, 2) b(i)) k ON true
+  JOIN im q ON q.view = p.view AND q.y = 15 - abs(15 - abs(p.y + dy)) AND q.x = 15 - abs(15 - abs(p.x + dx)) GROUP BY ALL),
+mk AS (SELECT view, y, x, CASE WHEN sqrt(gx * gx + gy * gy) > 4.0 * sqrt(3) THEN 0 ELSE d END AS d FROM nb JOIN im USING (view, y, x)), {proj_sql("n_regionkey = clip").replace("mk.view IS NOT NULL AS hit", "mk.d")},
+sm AS (SELECT *, (d - zc) / {4 * _STEP}::DOUBLE AS sdf, (0.5 + view / 50) * (1 - view % 3 / 10) / greatest(zc, 1e-6) AS w FROM pz),
+fu AS (SELECT clip, iz, iy, ix, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z, sum(w * least(sdf, 1)) FILTER (WHERE inside AND d > 1e-6 AND sdf >= -1) AS s, coalesce(sum(w) FILTER (WHERE inside AND d > 1e-6 AND sdf >= -1), 0) AS weight FROM sm GROUP BY ALL)
+SELECT clip, iz, iy, ix, {q6("s / weight")} AS tsdf, {q6("weight")} AS weight, {q6("coalesce(least(weight / 1.5, 1) * s / weight, 0) + (1 - least(weight / 1.5, 1)) * (sqrt(x*x + y*y + z*z) - 0.4)")} AS field FROM fu""")
+def fuse(t):
+    """The band around cells that suppliers occupy, fused from the depth images of their region's nations and mixed
+    with the field of a ball."""
+    occupied = t.supplier.join(t.nation, col("s_nationkey") == col("n_nationkey")).select(
+        col("n_regionkey").alias("clip"), (col("s_suppkey") % 20).cast("int").alias("iz"), (col("s_suppkey") * 7 % 20).cast("int").alias("iy"), F.floor((col("s_acctbal") + 1000) / 11001 * 20).cast("int").alias("ix"))
+    at = F.map_from_entries(F.collect_list(F.struct((col("y") * W + col("x")).alias("at"), "depth")))
+    maps = depth_pixels(t).groupBy("view").agg(F.transform(F.sequence(F.lit(0), F.lit(W * H - 1)), lambda i: F.coalesce(F.try_element_at(at, i), F.lit(0.0))).alias("depth_map"))
+    views = region_views(t).drop("mask").join(maps, "view", "left").withColumn("depth_map", F.coalesce("depth_map", F.array_repeat(F.lit(0.0), W * H)))
+    views = views.withColumns({"depth_conf": 0.5 + col("view") / 50, "conf_map": F.array_repeat(1 - col("view") % 3 / 10, W * H)})
+    d = sf.fuse_grid(occupied, views, ["clip"], "view", 20, -0.5, 0.5, 4.0, 4.0)
+    d = sf.blend_fields(d, F.sqrt(col("x") * col("x") + col("y") * col("y") + col("z") * col("z")) - 0.4)
+    return d.select("clip", "iz", "iy", "ix", r6("tsdf").alias("tsdf"), r6("weight").alias("weight"), r6("field").alias("field"))
+
+
 _TRI = "tr AS (SELECT label, vec_id * 10 + part AS face, " + ", ".join(f"v{2 * i + 1} * 24 + 12 AS u{i}, v{2 * i + 2} * 24 + 12 AS v{i}, v{7 + i} + 2 AS z{i}" for i in range(3)) + f" FROM {parts_sql(9)})"
 
 
@@ -187,25 +244,31 @@ def profile_stats(t):
 
 @query("reproject_classify", f"""
 WITH px AS (SELECT c_nationkey AS view, CAST(floor((c_acctbal + 1000) / 11001 * 16) AS INT) AS x, CAST((c_custkey * 7) % 16 AS INT) AS y, 3 + avg(c_acctbal) / 30000 AS depth, count(*) > 1 OR max(c_acctbal) > 3000 AS stable FROM customer GROUP BY 1, 2, 3),
-pr AS (SELECT n_nationkey AS va, lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS vb FROM nation),
-wy AS (SELECT va, vb, va AS src, vb AS dst, 'forward' AS way FROM pr WHERE vb IS NOT NULL UNION ALL SELECT va, vb, vb, va, 'backward' FROM pr WHERE vb IS NOT NULL),
+pr AS (SELECT a.n_nationkey AS va, b.n_nationkey AS vb FROM nation a JOIN nation b ON b.n_nationkey - a.n_nationkey IN (1, 2, 5)),
+wy AS (SELECT va, vb, va AS src, vb AS dst, 'forward' AS way FROM pr UNION ALL SELECT va, vb, vb, va, 'backward' FROM pr),
 j AS (SELECT wy.*, x AS px, y AS py, depth AS z, (x - 8.0) / 20 AS xn, (y - 8.0) / 20 AS yn FROM px JOIN wy ON view = src WHERE depth > 1e-9 AND stable),
 c AS (SELECT *, xn * z - (src / 50 - 0.25) + (dst / 50 - 0.25) AS xc, yn * z - (src / -60 + 0.2) + (dst / -60 + 0.2) AS yc FROM j),
-q AS (SELECT *, CAST(round_even(20 * (xc / z) + 8, 0) AS INT) AS qu, CAST(round_even(20 * (yc / z) + 8, 0) AS INT) AS qv FROM c),
-k AS (SELECT q.*, CASE WHEN NOT (qu BETWEEN 0 AND 15 AND qv BETWEEN 0 AND 15) THEN 'outside' WHEN t.view IS NULL THEN 'contradiction' WHEN NOT t.stable OR t.depth <= 1e-9 THEN 'unavailable'
-  WHEN z < t.depth - 0.09 THEN 'contradiction' WHEN z > t.depth + 0.09 THEN 'occluded' ELSE 'match' END AS kind FROM q LEFT JOIN px t ON t.view = dst AND t.x = qu AND t.y = qv)
+q AS (SELECT *, 20 * (xc / z) + 8 AS u, 20 * (yc / z) + 8 AS v, u >= 0 AND u < 15 AND v >= 0 AND v < 15 AS ins FROM c),
+g AS (SELECT q.*, coalesce(d0.depth, 0) * (1 - (u - floor(u))) + coalesce(d1.depth, 0) * (u - floor(u)) AS tp, coalesce(d2.depth, 0) * (1 - (u - floor(u))) + coalesce(d3.depth, 0) * (u - floor(u)) AS bt, t.view IS NOT NULL AS msk, coalesce(t.stable, false) AS st
+  FROM q LEFT JOIN px d0 ON d0.view = dst AND d0.x = floor(u) AND d0.y = floor(v) LEFT JOIN px d1 ON d1.view = dst AND d1.x = floor(u) + 1 AND d1.y = floor(v) LEFT JOIN px d2 ON d2.view = dst AND d2.x = floor(u) AND d2.y = floor(v) + 1
+  LEFT JOIN px d3 ON d3.view = dst AND d3.x = floor(u) + 1 AND d3.y = floor(v) + 1 LEFT JOIN px t ON t.view = dst AND t.x = round_even(u, 0) AND t.y = round_even(v, 0)),
+h AS (SELECT *, tp * (1 - (v - floor(v))) + bt * (v - floor(v)) AS td FROM g),
+k AS (SELECT *, CASE WHEN NOT ins THEN 'outside' WHEN NOT msk THEN 'contradiction' WHEN NOT st OR td <= 1e-9 THEN 'unavailable' WHEN z < td - 0.09 THEN 'contradiction' WHEN z > td + 0.09 THEN 'occluded' ELSE 'match' END AS kind,
+  CASE WHEN kind = 'match' OR (kind = 'contradiction' AND ins AND msk) THEN abs(z - td) / greatest(td, 1e-9) END AS err FROM h)
 SELECT va AS view_a, vb AS view_b, count(*) FILTER (WHERE kind = 'match') AS matches, count(*) FILTER (WHERE kind = 'contradiction') AS contradictions, count(*) FILTER (WHERE kind = 'occluded') AS occluded,
-  count(*) FILTER (WHERE kind = 'unavailable') AS unavailable, count(*) FILTER (WHERE kind = 'outside') AS outside, count(*) FILTER (WHERE way = 'forward' AND kind IN ('match', 'contradiction')) AS forward,
-  {q6("count(*) FILTER (WHERE kind = 'match') / nullif(count(*) FILTER (WHERE kind IN ('match', 'contradiction')), 0)")} AS consistency, {q6("count(*) FILTER (WHERE kind IN ('match', 'contradiction')) / count(*)")} AS coverage FROM k GROUP BY 1, 2""")
+  count(*) FILTER (WHERE kind = 'unavailable') AS unavailable, count(*) FILTER (WHERE kind = 'outside') AS outside, count(*) FILTER (WHERE way = 'forward' AND kind IN ('match', 'contradiction')) AS forward, count(*) FILTER (WHERE way = 'backward' AND kind = 'occluded') AS backward_occluded,
+  {q6("count(*) FILTER (WHERE kind = 'match') / nullif(count(*) FILTER (WHERE kind IN ('match', 'contradiction')), 0)")} AS consistency, {q6("count(*) FILTER (WHERE kind IN ('match', 'contradiction')) / count(*)")} AS coverage,
+  {q6("median(err)")} AS median_error, {q6("median(err) FILTER (WHERE way = 'forward')")} AS forward_median_error FROM k GROUP BY 1, 2""")
 def reproject_classify(t):
+    """Nations one, two and five keys apart as view pairs."""
     px = t.customer.groupBy(F.lit(0).alias("clip"), col("c_nationkey").alias("view"), F.floor((col("c_acctbal") + 1000) / 11001 * W).cast("int").alias("x"), ((col("c_custkey") * 7) % H).cast("int").alias("y"))
     px = px.agg((3 + F.avg("c_acctbal") / 30000).alias("depth"), ((F.count("*") > 1) | (F.max("c_acctbal") > 3000)).alias("stable")).withColumn("in_mask", F.lit(True))
-    from pyspark.sql import Window
-
-    pairs = t.nation.select(F.lit(0).alias("clip"), col("n_nationkey").alias("view_a"), F.lead("n_nationkey").over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).alias("view_b")).where("view_b IS NOT NULL")
+    n = t.nation.select(F.lit(0).alias("clip"), col("n_nationkey").alias("view_a"))
+    pairs = n.withColumn("view_b", F.explode(F.array(*[col("view_a") + k for k in (1, 2, 5)]))).join(t.nation.select(col("n_nationkey").alias("view_b")), "view_b", "left_semi")
     views = nation_views(t, F.lit(0)).drop("mask").withColumn("k1", F.lit(0.0))
     d = sf.reproject_pairs(pairs, px, views, ["clip"], F.lit(0.09))
-    return d.select("view_a", "view_b", "matches", "contradictions", "occluded", "unavailable", "outside", "forward", r6("consistency").alias("consistency"), r6("coverage").alias("coverage"))
+    names = ["consistency", "coverage", "median_error", "forward_median_error"]
+    return d.select("view_a", "view_b", "matches", "contradictions", "occluded", "unavailable", "outside", "forward", "backward_occluded", *[r6(c).alias(c) for c in names])
 
 
 _M = {(i, j): f"sum({1 if i == j else 0} - d{i}*d{j})" for i in range(3) for j in range(i, 3)}
@@ -227,3 +290,39 @@ SELECT label, {", ".join(q6(_det(lambda i, j, k=k: f"b{i}" if j == k else _m(i,
 def look_at(t):
     e = vector_parts(t, 6).select("label", F.slice("values", 1, 3).alias("c"), F.slice("values", 4, 3).alias("d"))
     return sf.look_at(e, ["label"], "c", "d").select("label", *[r6(c).alias(c) for c in "xyz"])
+
+
+_REGIONS = f"""{VIEWS_SQL}, k AS (SELECT * FROM (VALUES (4), (8)) t(k)),
+reach AS (SELECT k, view, y, x, y AS ty, x AS tx FROM mk, k UNION SELECT r.k, r.view, r.y, r.x, p.y, p.x FROM reach r JOIN mk p ON p.view = r.view AND abs(p.y - r.ty) <= 1 AND abs(p.x - r.tx) <= 1 AND (r.k = 8 OR abs(p.y - r.ty) + abs(p.x - r.tx) <= 1)),
+lab AS (SELECT k, view, y, x, min(ty * 100 + tx) // 100 AS region_y, min(ty * 100 + tx) % 100 AS region_x FROM reach GROUP BY 1, 2, 3, 4)"""
+
+
+def mask_pixels(t):
+    """Pixels of the nations' masks, once for 4 and once for 8 neighbours."""
+    return t.customer.select(big("c_nationkey").alias("view"), ((col("c_custkey") * 7) % H).cast("int").alias("y"), F.floor((col("c_acctbal") + 1000) / 11001 * W).cast("int").alias("x"))
+
+
+def _mask_regions(t):
+    one = lambda k: regions.pixel_regions(mask_pixels(t), ["view"], k).withColumn("k", F.lit(k))
+    return one(4).unionByName(one(8))
+
+
+@query("pixel_regions", f"""
+WITH RECURSIVE {_REGIONS}, s AS (SELECT k, view, region_y, region_x, count(*) AS area, min(y) AS top, max(y) AS bottom, min(x) AS "left", max(x) AS "right" FROM lab GROUP BY 1, 2, 3, 4)
+SELECT CAST(k AS INT) AS k, CAST(view AS BIGINT) AS view, CAST(region_y AS INT) AS region_y, CAST(region_x AS INT) AS region_x, area, top, bottom, "left", "right", count(*) OVER w AS regions, {q6("max(area) OVER w / sum(area) OVER w")} AS dominance,
+  row_number() OVER (PARTITION BY k, view ORDER BY area DESC, region_y, region_x) = 1 AS largest FROM s WINDOW w AS (PARTITION BY k, view)""")
+def pixel_regions(t):
+    d = regions.region_stats(_mask_regions(t), ["k", "view"])
+    return d.select("k", "view", "region_y", "region_x", "area", "top", "bottom", "left", "right", "regions", r6("dominance").alias("dominance"), "largest")
+
+
+@query("region_seed", f"""
+WITH RECURSIVE {_REGIONS}, sd AS (SELECT DISTINCT s_nationkey AS view, s_suppkey AS seed, CAST(s_suppkey % 16 AS INT) AS sy, CAST(floor((s_acctbal + 1000) / 11001 * 16) AS INT) AS sx FROM supplier),
+c AS (SELECT l.*, seed, sqrt((y - sy) * (y - sy) + (x - sx) * (x - sx)) AS d FROM lab l JOIN sd ON sd.view = l.view), r AS (SELECT *, row_number() OVER (PARTITION BY k, seed ORDER BY d, y, x) AS rn FROM c)
+SELECT CAST(k AS INT) AS k, seed AS s_suppkey, CAST(region_y AS INT) AS region_y, CAST(region_x AS INT) AS region_x, {q6("d")} AS distance FROM r WHERE rn = 1""")
+def region_seed(t):
+    """Suppliers as seeds in the masks of their nations."""
+    seeds = t.supplier.select(big("s_nationkey").alias("view"), "s_suppkey", (col("s_suppkey") % 16).cast("int").alias("y"), F.floor((col("s_acctbal") + 1000) / 11001 * 16).cast("int").alias("x"))
+    seeds = seeds.withColumn("k", F.explode(F.array(F.lit(4), F.lit(8))))
+    d = regions.region_of_seed(_mask_regions(t), seeds, ["k", "view"], "s_suppkey")
+    return d.select("k", "s_suppkey", "region_y", "region_x", r6("distance").alias("distance"))

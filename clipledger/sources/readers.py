@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clipledger.functions.rules import Rule, apply_gates
 from clipledger.functions.text import rational, stem
 from clipledger.operators.groups import by_group
-from clipledger.session import join_same
+from clipledger.session import join_same, settle
 
 PROBE = (
     "struct<streams: array<struct<codec_type: string, codec_name: string, width: int, height: int, duration: string, avg_frame_rate: string, "
@@ -55,9 +55,66 @@ def parse_analysis(docs: DataFrame, clip: str, text: str, which: str = "frames")
 
 
 def read_analysis(spark: SparkSession, paths: str | Sequence[str], which: str = "frames") -> DataFrame:
-    """Frame rows of analysis files, keyed by file name."""
-    docs = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("clip"), "value")
-    return parse_analysis(docs, "clip", "value", which)
+    """Frame rows of analysis files, keyed by file path, in the form of :func:`parse_analysis`.
+
+    Files as the writer lays them out (two blanks a level, so that a line tells its depth) are read by blocks: a large
+    file goes to many tasks, and only the lines of one frame are gathered. Other files are parsed whole.
+    """
+    d = numbered_lines(spark, paths)
+    head = F.nullif(F.regexp_extract("value", r'^  "(\w+)":', 1), F.lit(""))
+    d = running_in_files(d.withColumn("_head", head), _frames=F.col("value").rlike(r"^    \{").cast("long"))
+    d = settle(carried_in_files(d, "_head"))
+    versions = d.where("_head = 'schema_version'").select("file", F.regexp_extract("value", r'^  "schema_version": "([^"]*)"', 1).alias("schema_version"))
+    lists = d.where(F.col("_head") == which)
+    opened = F.col("value").rlike(r"^    \{")
+    first = lists.where(opened).groupBy("file").agg(F.min("_frames").alias("_first"))
+    lines = lists.where(F.col("value").rlike(r"^     +\S") | F.col("value").rlike(r"^    [{}],?$"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), "\n")
+    one = join_same(lines.where("_frames > 0").groupBy("file", "_frames").agg(text.alias("_t")), first, ["file"])
+    laid = join_same(one, versions, ["file"], "left").select(
+        F.col("file").alias("clip"), "schema_version", (F.col("_frames") - F.col("_first")).cast("int").alias("position"), F.from_json(F.regexp_replace("_t", ",$", ""), FRAME).alias("frame"))
+    # files without that layout, or without the list
+    rest = join_same(d.select("file").distinct(), first.select("file"), ["file"], "left_anti")
+    whole = join_same(d.select("file", "line", "value"), rest, ["file"], "left_semi").groupBy("file").agg(text.alias("_t"))
+    return laid.unionByName(parse_analysis(whole.withColumnRenamed("file", "clip"), "clip", "_t", which))
+
+
+def numbered_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Lines of text files as the splittable reader gives them, with ``file``, ``block`` (where the reader's byte range
+    begins) and ``line``, their number in the file from 0: a task numbers its ranges, and the lines of earlier ranges
+    are added from one row per range."""
+    d = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_at"), "value")
+    own = Window.partitionBy("file", "block").orderBy("_at")
+    d = d.withColumn("_i", F.row_number().over(own) - 1)
+    return _after_blocks(d, {"line": (F.count("*"), F.col("_i"))}).drop("_at", "_i")
+
+
+def _after_blocks(d: DataFrame, sums: dict) -> DataFrame:
+    """Add columns: a running number within a block plus the total of the file's earlier blocks."""
+    blocks = d.groupBy("file", "block").agg(*[total.alias(n) for n, (total, _) in sums.items()])
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_{n}") for n in sums])
+    out = join_same(d, blocks, ["file", "block"])
+    return out.withColumns({n: F.col(f"_{n}") + own for n, (_, own) in sums.items()}).drop(*[f"_{n}" for n in sums])
+
+
+def running_in_files(d: DataFrame, **cols: Column) -> DataFrame:
+    """Add running sums over the lines of each file, up to and including a line. Windows hold one block."""
+    own = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.select("*", *[c.alias(f"__{n}") for n, c in cols.items()])
+    d = d.select("*", *[F.sum(f"__{n}").over(own).alias(f"_own_{n}") for n in cols])
+    out = _after_blocks(d, {n: (F.sum(f"__{n}"), F.col(f"_own_{n}")) for n in cols})
+    return out.drop(*[f"__{n}" for n in cols], *[f"_own_{n}" for n in cols])
+
+
+def carried_in_files(d: DataFrame, name: str) -> DataFrame:
+    """Fill nulls of a column from the last line of the file that has a value."""
+    own = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    last = d.groupBy("file", "block").agg(F.max_by(name, F.when(F.col(name).isNotNull(), F.col("line"))).alias("_l"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select("file", "block", F.last("_l", ignorenulls=True).over(earlier).alias("_before"))
+    out = join_same(d.withColumn("_own", F.last(name, ignorenulls=True).over(own)), last, ["file", "block"])
+    return out.withColumn(name, F.coalesce("_own", "_before")).drop("_own", "_before")
 
 
 def mask_sequence(manifest: DataFrame, analysis: DataFrame, path: str, confidence: str, placeholder: Column, frame_path: str, keep: Sequence[str]) -> DataFrame:
@@ -112,9 +169,17 @@ def parse_mesh_text(texts: DataFrame, by: Sequence[str], text: str) -> tuple[Dat
     fanned. Ids are zero-based. Line numbers keep the order, so relative ids need only a running count.
     """
     by = list(by)
-    lines = texts.select(*by, F.posexplode(F.split(text, r"\r?\n")).alias("line", "raw"))
-    d = lines.withColumn("_t", F.split(F.trim("raw"), r"\s+")).withColumn("_k", F.get("_t", F.lit(0))).where(F.col("_k").isin("v", "f")).drop("raw")
-    d = by_group(d, by, lambda d, g: g.running(d, ["line"], _seen=(F.col("_k") == "v").cast("long")))
+    lines = texts.select(*by, F.posexplode(F.split(text, r"\r?\n")).alias("line", "value"))
+    d = by_group(_mesh_lines(lines), by, lambda d, g: g.running(d, ["line"], _seen=(F.col("_k") == "v").cast("long")))
+    return _mesh_rows(d, by)
+
+
+def _mesh_lines(lines: DataFrame) -> DataFrame:
+    d = lines.withColumn("_t", F.split(F.trim("value"), r"\s+")).withColumn("_k", F.get("_t", F.lit(0)))
+    return d.where(F.col("_k").isin("v", "f")).drop("value")
+
+
+def _mesh_rows(d: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     at = lambda i: F.get("_t", F.lit(i)).try_cast("double")
     vertices = d.where("_k = 'v'").select(*by, (F.col("_seen") - 1).alias("vid"), at(1).alias("x"), at(2).alias("y"), at(3).alias("z"))
     raw = F.transform(F.slice("_t", F.lit(2), F.size("_t") - 1), lambda c: F.get(F.split(c, "/"), F.lit(0)).try_cast("long"))
@@ -123,10 +188,12 @@ def parse_mesh_text(texts: DataFrame, by: Sequence[str], text: str) -> tuple[Dat
     return vertices, faces.select(*by, "line", "part", "v0", "v1", "v2")
 
 
-def read_mesh_text(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Vertices and triangles of mesh text files, keyed by file path."""
-    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("mesh"), "value")
-    return parse_mesh_text(t, ["mesh"], "value")
+def read_mesh_text(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Vertices and triangles of mesh text files, keyed by file path, as :func:`parse_mesh_text` gives them. Files are
+    read by blocks; the vertices of earlier blocks are added to a block's own, so that relative ids hold across them."""
+    d = _mesh_lines(numbered_lines(spark, path))
+    d = settle(running_in_files(d, _seen=(F.col("_k") == "v").cast("long")).withColumnRenamed("file", "mesh"))
+    return _mesh_rows(d, ["mesh"])
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,114 @@ def stream_jobs(sdf: DataFrame, job: str, event: str, ts: str, status: str, dela
     return d.groupBy(job).agg(latest.alias("_l"), F.count("*").alias("events"), F.count(F.when(F.col(status) == "started", 1)).alias("attempts")).select(job, F.col("_l.status").alias("status"), F.col("_l.ts").alias("updated"), "events", "attempts")
 
 
+#: Kinds of job events; fixed values.
+STARTED, COMPLETED, FAILED = "started", "completed", "failed"
+
+
+def _job_state(stages: Sequence[str], patience_ms: int | None, memory_ms: int):
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class JobState(StatefulProcessor):
+        """What a job's manifest holds: its status and active stage, a record per stage, the artifacts of completed
+        stages, and for a while the ids of events, so that one delivered again counts once."""
+
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.job = handle.getValueState("job", "status string, stage string, updated long, events long, heard long")
+            self.stages = handle.getMapState("stages", "stage string", "status string, attempts long, outputs string")
+            self.artifacts = handle.getMapState("artifacts", "key string", "digest string, stage string")
+            self.seen = handle.getMapState("seen", "event string", "at long")
+
+        def _forget(self, stage: str) -> None:
+            """Take back what a stage has produced, before it runs anew."""
+            if self.stages.containsKey((stage,)):
+                for k in [k for k in (self.stages.getValue((stage,))[2] or "").split("\n") if k]:
+                    if self.artifacts.containsKey((k,)) and self.artifacts.getValue((k,))[1] == stage:
+                        self.artifacts.removeKey((k,))
+
+        def handleInputRows(self, key, rows, timerValues):
+            status, active, updated, events, heard = self.job.get() if self.job.exists() else (None, None, 0, 0, 0)
+            new = pd.concat(list(rows)).sort_values(["_us_", "_event_"], kind="stable").rename(columns=lambda c: c.strip("_"))
+            for r in new.itertuples(index=False):
+                if self.seen.containsKey((r.event,)):
+                    continue
+                self.seen.updateValue((r.event,), (int(r.us),))
+                events, updated, heard = events + 1, int(r.us), max(heard, int(r.us))
+                old = self.stages.getValue((r.stage,)) if self.stages.containsKey((r.stage,)) else ("pending", 0, "")
+                if r.kind == STARTED:
+                    self._forget(r.stage)
+                    self.stages.updateValue((r.stage,), ("running", int(old[1]) + 1, ""))
+                    status, active = "running", r.stage
+                elif r.kind == COMPLETED:
+                    made = dict(zip(r.keys, r.digests))
+                    for k, d in made.items():
+                        self.artifacts.updateValue((k,), (d, r.stage))
+                    outputs = sorted({*[x for x in (old[2] or "").split("\n") if x], *made})
+                    self.stages.updateValue((r.stage,), (COMPLETED, int(old[1]), "\n".join(outputs)))
+                    over = all(self.stages.containsKey((s,)) and self.stages.getValue((s,))[0] == COMPLETED for s in stages)
+                    status, active = COMPLETED if over else "running", None
+                elif r.kind == FAILED:
+                    self.stages.updateValue((r.stage,), (FAILED, int(old[1]), old[2] or ""))
+                    status, active = FAILED, r.stage
+            self.job.update((status, active, updated, events, heard))
+            # ids are forgotten once no copy can arrive in time, silent jobs when the caller says so
+            self.handle.registerTimer(heard // 1000 + memory_ms)
+            if patience_ms is not None:
+                self.handle.registerTimer(heard // 1000 + patience_ms)
+            found = {k[0]: v for k, v in self.artifacts.iterator()}
+            tries = {k[0]: int(v[1]) for k, v in self.stages.iterator()}
+            yield pd.DataFrame({
+                "job": [key[0]], "status": [status], "active_stage": [active], "updated_us": [updated], "events": [events], "attempts": [[tries.get(s, 0) for s in stages]],
+                "artifacts": [sorted(f"{k}={v[0]}" for k, v in found.items())]})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            if self.job.exists():
+                now, heard = expiredTimerInfo.getExpiryTimeInMs(), int(self.job.get()[4]) // 1000
+                for k in [k for k, v in self.seen.iterator() if int(v[0]) // 1000 + memory_ms <= now]:
+                    self.seen.removeKey(k)
+                if patience_ms is not None and heard + patience_ms <= now:
+                    for state in (self.job, self.stages, self.artifacts, self.seen):
+                        state.clear()
+            return iter([])
+
+        def close(self) -> None:
+            pass
+
+    return JobState()
+
+
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """The state store that streams with several states need, for streams started within."""
+    name, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, kind)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def stream_job_state(sdf: DataFrame, job: str, event: str, ts: str, kind: str, stage: str, artifacts: str, stages: Sequence[str], delay: str, memory_ms: int, patience_ms: int | None = None) -> DataFrame:
+    """The state of every job that an update-mode batch has events of: ``status`` (running, completed when all ``stages``
+    are, failed), ``active_stage``, ``updated_us``, ``events``, ``attempts`` per stage in the order of ``stages``, and
+    ``artifacts`` (``key=digest``, sorted). ``artifacts`` of an event is an array of structs (key, digest).
+
+    A started stage gives up what it produced before and counts an attempt; a completed one registers its artifacts
+    under their keys, the last digest stays. Events of a batch are applied by time, then id; later batches follow
+    earlier ones. An event id counts once within ``memory_ms`` of event time; later the id is forgotten. A job that is
+    silent for ``patience_ms`` is forgotten whole, so the state is bounded by the jobs of that time; without it,
+    jobs stay. The session needs the RocksDB state store.
+    """
+    name = sdf.schema[job].dataType.simpleString()
+    d = sdf.withWatermark(ts, delay).where(F.col(job).isNotNull() & F.col(ts).isNotNull())
+    own = F.coalesce(artifacts, F.array().cast(sdf.schema[artifacts].dataType))
+    d = d.select(F.col(job).alias("job"), ts, F.unix_micros(F.col(ts)).alias("_us_"), F.col(event).cast("string").alias("_event_"), F.col(kind).alias("_kind_"), F.coalesce(stage, F.lit("")).alias("_stage_"),
+                 F.transform(own, lambda a: a["key"]).alias("_keys_"), F.transform(own, lambda a: a["digest"]).alias("_digests_"))
+    return d.groupBy("job").transformWithStateInPandas(
+        _job_state(list(stages), patience_ms, memory_ms), f"job {name}, status string, active_stage string, updated_us long, events long, attempts array<long>, artifacts array<string>", "Update", "EventTime")
+
+
 def decide_hints(rows: DataFrame, by: Sequence[str], kind: str, frames: str = "frames", **limits) -> DataFrame:
     """Winner per group and window of closed hint rows (see :func:`stream_hints`): score, runner-up, margin and the
     reasons to abstain, as in the batch decision. All kinds of a window close in the same micro-batch, so this may be
