@@ -132,24 +132,27 @@ def smooth_in_order(scores: DataFrame, neighbours: DataFrame, weight: float | No
     base = settle(scores.join(degree, "node", "left").withColumn("_deg", F.coalesce("_deg", F.lit(0))))
     near = settle(near)
 
-    def decide(base: DataFrame, near: DataFrame, now: DataFrame, before: DataFrame) -> DataFrame:
-        seen = near.join(now.withColumnRenamed("node", "dst").withColumnRenamed("label", "_new"), "dst").join(before.withColumnRenamed("node", "dst").withColumnRenamed("label", "_old"), "dst")
-        votes = seen.groupBy("node", F.when(F.col("dst") < F.col("node"), F.col("_new")).otherwise(F.col("_old")).alias("label")).agg(F.count("*").alias("_k"))
+    def decide(now: DataFrame, due: DataFrame | None) -> DataFrame:
+        """Labels of all nodes, or of those due, by what their neighbours have (``label``) and had (``old``)."""
+        some = near if due is None else near.join(due, "node", "left_semi")
+        seen = some.join(now.select(F.col("node").alias("dst"), "label", "old"), "dst")
+        votes = seen.groupBy("node", F.when(F.col("dst") < F.col("node"), F.col("label")).otherwise(F.col("old")).alias("label")).agg(F.count("*").alias("_k"))
         cost = -F.col("score") + weight * (F.col("_deg") - F.coalesce("_k", F.lit(0))).cast("double")
-        return base.join(votes, ["node", "label"], "left").groupBy("node").agg(best(cost)).select("node", "_b.label")
+        own = base if due is None else base.join(due, "node", "left_semi")
+        return own.join(votes, ["node", "label"], "left").groupBy("node").agg(best(cost)).select("node", F.col("_b.label").alias("_new"))
 
     for _ in range(max(sweeps, 0)):
-        before, now = lab, settle(decide(base, near, lab, lab))
-        changed = now.join(before.withColumnRenamed("label", "_was"), "node").where("label != _was").select("node")
+        now, due = lab.withColumn("old", F.col("label")), None
         while True:
-            due = settle(near.join(changed.withColumnRenamed("node", "dst"), "dst", "left_semi").where("dst < node").select("node").distinct())
-            if due.isEmpty():
+            again = now.join(decide(now, due), "node", "left")
+            moved = F.coalesce(F.col("_new") != F.col("label"), F.lit(False))
+            now = settle(again.select("node", F.coalesce("_new", "label").alias("label"), "old", moved.alias("_moved")))
+            changed = now.where("_moved").select(F.col("node").alias("dst"))
+            if changed.isEmpty():
                 break
-            again = settle(decide(base.join(due, "node", "left_semi"), near.join(due, "node", "left_semi"), now, before))
-            both = settle(now.join(again.withColumnRenamed("label", "_again"), "node", "left"))
-            changed = both.where("_again IS NOT NULL AND _again != label").select("node")
-            now = both.select("node", F.coalesce("_again", "label").alias("label"))
-        lab = settle(now)
+            due = near.join(changed, "dst", "left_semi").where("dst < node").select("node").distinct()
+            now = now.drop("_moved")
+        lab = now.select("node", "label")
     return lab
 
 

@@ -99,7 +99,7 @@ def smooth_labels(t):
 WITH RECURSIVE sc AS (SELECT l_suppkey AS f, CAST(l_linenumber % 4 AS INTEGER) AS label, avg(CAST(l_quantity AS DOUBLE)) AS score FROM lineitem GROUP BY 1, 2),
 b0 AS (SELECT f, min(struct_pack(c := -score, l := label)) AS b FROM sc GROUP BY 1), lam AS (SELECT 0.15 * median(-(b.c)) AS w FROM b0),
 num AS (SELECT f, row_number() OVER (ORDER BY f) AS i FROM b0), n AS (SELECT count(*) AS n FROM num),
-e0 AS (SELECT DISTINCT a.s_suppkey AS u, b.s_suppkey AS v FROM supplier a JOIN supplier b ON b.s_suppkey IN (a.s_suppkey + 1, a.s_suppkey + 7, a.s_suppkey * 2)),
+e0 AS (SELECT DISTINCT a.s_suppkey AS u, b.s_suppkey AS v FROM supplier a JOIN supplier b ON b.s_suppkey IN (a.s_suppkey * 2, a.s_suppkey * 3)),
 nb AS (SELECT x.i, list(y.i) AS ns FROM (SELECT u, v FROM e0 WHERE u <> v UNION SELECT v, u FROM e0 WHERE u <> v) e JOIN num x ON x.f = e.u JOIN num y ON y.f = e.v GROUP BY 1),
 sn AS (SELECT i, label, score, coalesce(ns, []) AS ns FROM sc JOIN num USING (f) LEFT JOIN nb USING (i)),
 r AS (SELECT CAST(0 AS BIGINT) AS k, list(b.l ORDER BY f) AS ls FROM b0
@@ -107,10 +107,10 @@ r AS (SELECT CAST(0 AS BIGINT) AS k, list(b.l ORDER BY f) AS ls FROM b0
   FROM r, n, lam, sn WHERE sn.i = r.k % n + 1 AND r.k < 3 * n GROUP BY r.k, r.ls, n, w)
 SELECT num.f AS node, ls[num.i] AS label FROM r, n, num WHERE r.k = 3 * n""")
 def smooth_in_order(t):
-    """Suppliers as faces, with a score for each of four labels, next to three others each."""
+    """Suppliers as faces, with a score for each of four labels, next to four others at most."""
     scores = t.lineitem.groupBy(col("l_suppkey").alias("node"), (col("l_linenumber") % 4).cast("int").alias("label")).agg(F.avg(col("l_quantity").cast("double")).alias("score"))
     s = t.supplier.select(col("s_suppkey").alias("src"))
-    e = s.withColumn("dst", F.explode(F.array(col("src") + 1, col("src") + 7, col("src") * 2))).join(s.withColumnRenamed("src", "dst"), "dst", "left_semi").where("src != dst")
+    e = s.withColumn("dst", F.explode(F.array(col("src") * 2, col("src") * 3))).join(s.withColumnRenamed("src", "dst"), "dst", "left_semi").where("src != dst")
     both = e.select("src", "dst").unionByName(e.select(col("dst").alias("src"), col("src").alias("dst")))
     return gr.smooth_in_order(scores, both.join(scores.select(col("node").alias("dst")).distinct(), "dst", "left_semi"), sweeps=3).select("node", "label")
 

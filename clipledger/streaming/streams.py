@@ -65,7 +65,7 @@ def _job_state(stages: Sequence[str], patience_ms: int | None, memory_ms: int):
 
         def handleInputRows(self, key, rows, timerValues):
             status, active, updated, events, heard = self.job.get() if self.job.exists() else (None, None, 0, 0, 0)
-            new = pd.concat(list(rows)).sort_values(["_us_", "_event_"], kind="stable").rename(columns=lambda c: c.strip("_"))
+            new = pd.concat(list(rows)).sort_values(["us", "event"], kind="stable")
             for r in new.itertuples(index=False):
                 if self.seen.containsKey((r.event,)):
                     continue
@@ -140,8 +140,8 @@ def stream_job_state(sdf: DataFrame, job: str, event: str, ts: str, kind: str, s
     name = sdf.schema[job].dataType.simpleString()
     d = sdf.withWatermark(ts, delay).where(F.col(job).isNotNull() & F.col(ts).isNotNull())
     own = F.coalesce(artifacts, F.array().cast(sdf.schema[artifacts].dataType))
-    d = d.select(F.col(job).alias("job"), ts, F.unix_micros(F.col(ts)).alias("_us_"), F.col(event).cast("string").alias("_event_"), F.col(kind).alias("_kind_"), F.coalesce(stage, F.lit("")).alias("_stage_"),
-                 F.transform(own, lambda a: a["key"]).alias("_keys_"), F.transform(own, lambda a: a["digest"]).alias("_digests_"))
+    d = d.select(F.col(job).alias("job"), ts, F.unix_micros(F.col(ts)).alias("us"), F.col(event).cast("string").alias("event"), F.col(kind).alias("kind"), F.coalesce(stage, F.lit("")).alias("stage"),
+                 F.transform(own, lambda a: a["key"]).alias("keys"), F.transform(own, lambda a: a["digest"]).alias("digests"))
     return d.groupBy("job").transformWithStateInPandas(
         _job_state(list(stages), patience_ms, memory_ms), f"job {name}, status string, active_stage string, updated_us long, events long, attempts array<long>, artifacts array<string>", "Update", "EventTime")
 
