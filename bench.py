@@ -4,7 +4,7 @@ timed.
 
 Prints one JSON line. Each query is planned, run in full through the no-op sink and timed once, after a warm-up of
 the session. ``carve_96`` times the voxel carve of the baseline (96^3 voxels, 24 views) on generated captures, after one
-to warm up: one clip, and eight clips at once.
+to warm up: one clip, and 8 and 64 clips at once.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def carve_fixture(spark, clips: int, size: int = 96):
 
 
 def main() -> None:
-    from clipledger.operators.surfaces import carve, voxel_grid
+    from clipledger.operators.fold import carve_grid
     from clipledger.plans import QUERIES
     from clipledger.session import build_session
 
@@ -84,10 +84,10 @@ def main() -> None:
     total = round(sum(times.values()), 3)
     extra = {}
     if not only or "carve_96" in only or only == ["all"]:
-        for clips in (1, 1, 8):
+        for clips in (1, 1, 8, 64):
             ids, views, size = carve_fixture(spark, clips)
             start = time.time()
-            kept = carve(voxel_grid(ids, size), views, ["clip"], ["iz", "iy", "ix"], "view", 0, "reject").count()
+            kept = carve_grid(ids, views, ["clip"], "view", size, limit=0, outside="reject").count()
             extra[f"carve_96_24_views_{clips}_clips"] = round(time.time() - start, 3)
             extra[f"carve_voxels_{clips}"] = kept
     extra["headline_seconds"] = round(sum(times.get(n, 0) for n in HEADLINE), 3)

@@ -79,7 +79,7 @@ def nearest_point(points: DataFrame, seeds: DataFrame, by: Sequence[str], seed:
     by = list(by)
     inner = [*dict.fromkeys([*ties, *keep])]
     span = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).cast("double")
-    size = points.groupBy(*by).agg((F.greatest(span, F.lit(1e-9)) / F.sqrt(F.count("*")) / 2**FINER).alias("_size"))
+    size = points.groupBy(*by).agg((F.when(span > 0, span).otherwise(1.0) / F.sqrt(F.count("*")) / 2**FINER).alias("_size"))
     size = settle(size)
     p = settle(join_same(points.select(*by, *inner, *[F.col(c).cast("double").alias(f"_{c}") for c in "xy"]), size, by))
     left = settle(join_same(seeds.select(*by, seed, *[F.col(c).cast("double").alias(f"_s{c}") for c in "xy"]), size, by))

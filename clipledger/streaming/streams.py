@@ -63,10 +63,17 @@ def _job_state(stages: Sequence[str], patience_ms: int | None, memory_ms: int):
                     if self.artifacts.containsKey((k,)) and self.artifacts.getValue((k,))[1] == stage:
                         self.artifacts.removeKey((k,))
 
+        def _clear(self) -> None:
+            for state in (self.job, self.stages, self.artifacts, self.seen):
+                state.clear()
+
         def handleInputRows(self, key, rows, timerValues):
             status, active, updated, events, heard = self.job.get() if self.job.exists() else (None, None, 0, 0, 0)
             new = pd.concat(list(rows)).sort_values(["us", "event"], kind="stable")
             for r in new.itertuples(index=False):
+                if patience_ms is not None and heard and int(r.us) > heard + patience_ms * 1000:
+                    self._clear()
+                    status, active, events = None, None, 0
                 if self.seen.containsKey((r.event,)):
                     continue
                 self.seen.updateValue((r.event,), (int(r.us),))
@@ -104,8 +111,7 @@ def _job_state(stages: Sequence[str], patience_ms: int | None, memory_ms: int):
                 for k in [k for k, v in self.seen.iterator() if int(v[0]) // 1000 + memory_ms <= now]:
                     self.seen.removeKey(k)
                 if patience_ms is not None and heard + patience_ms <= now:
-                    for state in (self.job, self.stages, self.artifacts, self.seen):
-                        state.clear()
+                    self._clear()
             return iter([])
 
         def close(self) -> None:
@@ -134,7 +140,7 @@ def stream_job_state(sdf: DataFrame, job: str, event: str, ts: str, kind: str, s
     A started stage gives up what it produced before and counts an attempt; a completed one registers its artifacts
     under their keys, the last digest stays. Events of a batch are applied by time, then id; later batches follow
     earlier ones. An event id counts once within ``memory_ms`` of event time; later the id is forgotten. A job that is
-    silent for ``patience_ms`` is forgotten whole, so the state is bounded by the jobs of that time; without it,
+    silent for ``patience_ms`` is forgotten whole and starts anew when it resumes, so the state is bounded by the jobs of that time; without it,
     jobs stay. The session needs the RocksDB state store.
     """
     name = sdf.schema[job].dataType.simpleString()
