@@ -9,7 +9,8 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from check import compare, connect  # noqa: E402
-from test_simhash import brute_classes, brute_print  # noqa: E402
+from conftest import clashing  # noqa: E402
+from test_nearcopies import brute as brute_copies  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from clipledger.llm.queries import ORACLES, QUERIES  # noqa: E402
@@ -56,11 +57,34 @@ def test_stages_keep_columns_and_clean_documents(staged):
 
 def test_one_document_of_each_group_stays(staged):
     before, after = staged[2].toPandas(), staged[3].toPandas()
-    prints = {i: brute_print(t) for i, t in zip(before.doc_id, before.text)}
-    want = set()
-    for c in brute_classes(set(prints.values())):
-        want.add(min(i for i, p in prints.items() if p in c))
-    assert set(after.doc_id) == want and len(after) == len(want)
+    want = set(brute_copies(list(zip(before.doc_id, before.text))).values())
+    assert set(after.doc_id) == want and len(after) == len(want) < len(before)
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_rows_that_share_an_id(spark):
+    """Each is judged and taken by its own text."""
+    one = "the same long line of words that two documents share from its start to its end"
+    docs = spark.createDataFrame([(1, one, "en", "a", 1), (2, one, "en", "a", 1), (2, "quite another text about something else altogether", "en", "a", 1), (3, "twice here", "en", "a", 1), (3, "twice here", "en", "a", 1)], DOCS)
+    kept = sorted((r.doc_id, r.text) for r in corpus_pipeline.dedup_documents(spark, docs, "").collect())
+    assert kept == [(1, one), (2, "quite another text about something else altogether"), (3, "twice here")]
+    docs = spark.createDataFrame([(1, "a b c d e f g", "en", "a", 1), (1, "one", "en", "a", 1), (2, " ".join(["w"] * 40), "en", "b", 1)], DOCS)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.mix_sources(spark, clashing(docs), "").collect())
+    assert got[1, "one"] <= 3 and got[1, "a b c d e f g"] <= 3
+
+
+def test_without_labels_documents_with_letters_stay(spark):
+    docs = spark.createDataFrame([(1, "some words", None, "a", 1), (2, "12 34 !", None, "a", 1), (3, None, None, "a", 1), (4, "слова", None, "a", 1)], DOCS)
+    assert sorted(r.doc_id for r in corpus_pipeline.identify_languages(spark, docs, "").collect()) == [1, 4]
+
+
+def test_stages_take_odd_tables(spark, odd_null, none):
+    for name, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, clashing(odd_null), "").collect()
+        assert rows, name
+        assert stage(spark, none, "").collect() == [], name
 
 
 def test_mix_and_pack(spark, staged):
