@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from clipledger.functions import arrays, geometry as geo
 from clipledger.functions.rules import Rule, apply_gates
 from clipledger.operators.aggregates import quantiles
-from clipledger.operators.pairs import pair_quantile
+from clipledger.operators.pairs import aligned_quantile, pair_quantile
 from clipledger.operators.selection import best_by
 from clipledger.operators.windows import stable_run, unwrap
 from clipledger.session import join_same, settle
@@ -265,26 +265,48 @@ def accept_completed(rows: DataFrame, by: Sequence[str], iou: str, registered: C
     return join_same(rows, med, list(by)).withColumn("kept", registered | (F.col(iou) >= limit)).drop("_m")
 
 
+def best_turn(silhouette: str, other: str, appearance: str, other_appearance: str, side: int) -> Column:
+    """``struct(cost, silhouette, appearance, turn)``: the quarter turn of the other square mask, against the clock, in
+    which the two silhouettes are nearest, with the distances of silhouettes and appearances."""
+    looks = F.least(F.greatest(1 - arrays.dot(appearance, other_appearance), F.lit(0.0)), F.lit(2.0))
+    y, x = lambda i: F.floor(i / side).cast("int"), lambda i: i % side
+    source = [lambda i: i, lambda i: x(i) * side + (side - 1 - y(i)), lambda i: side * side - 1 - i, lambda i: (side - 1 - x(i)) * side + y(i)]
+    choices = []
+    for k, at in enumerate(source):
+        turned = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i, at=at: F.get(F.col(other), at(i)))
+        both = arrays.total(F.zip_with(F.col(silhouette), turned, lambda a, b: ((a > 0) & (b > 0)).cast("double")))
+        either = arrays.total(F.zip_with(F.col(silhouette), turned, lambda a, b: ((a > 0) | (b > 0)).cast("double")))
+        far = F.when(either > 0, 1 - both / either).otherwise(0.0)
+        choices.append(F.struct((far + 0.15 * looks).alias("cost"), far.alias("silhouette"), looks.alias("appearance"), F.lit(k).alias("turn")))
+    found = F.array_min(F.array(*choices))
+    return F.when(F.col(silhouette).isNotNull() & F.col(other).isNotNull(), found)
+
+
 def select_families(views: DataFrame, by: Sequence[str], time: str, order: Sequence[str], *, marking: str, aspect: Column, strict: Column, score: str, detail: str,
-                    secondary: str, silhouette: str, appearance: str, gap, limits: dict | None = None) -> DataFrame:
+                    secondary: str, silhouette: str, appearance: str, gap, limits: dict | None = None, side: int | None = None) -> DataFrame:
     """Two supported appearance families and one view of each: marked (primary) and plain (secondary).
 
     Each family is its best temporal run; its silhouettes must agree; the picked views must look different enough.
-    ``secondary`` is the plain view's score without its aspect penalty. One row per group, gated.
+    ``secondary`` is the plain view's score without its aspect penalty. One row per group, gated. With ``side``,
+    silhouettes are square masks of that many pixels an edge and appearances vectors of unit length; pairs are then
+    compared in the best of four quarter turns, and ``turn`` is the one of the plain view.
     """
     # Family limits.
-    lim = {"marked": 0.80, "plain": 0.55, "support": 3, "separation": 0.30, "consensus": 0.50, "detail": 2.5, "dissimilar": 0.10, "aspect": 0.28}
+    lim = {"views": 6, "marked": 0.80, "plain": 0.55, "support": 3, "separation": 0.30, "consensus": 0.50, "detail": 2.5, "dissimilar": 0.10, "aspect": 0.28}
     lim |= limits or {}
     by = list(by)
     v = views.withColumn("_asp0", aspect).withColumn("_str", strict)
     kinds = {"primary": F.col(marking) >= lim["marked"], "secondary": F.col(marking) <= lim["plain"]}
-    out = views.select(*by).distinct()
+    out = views.groupBy(*by).agg(F.count("*").alias("views"))
     for name, test in kinds.items():
         fam = settle(v.where(test))
         stats = join_same(fam.groupBy(*by).agg(F.count("*").alias(f"{name}_frames")), quantiles(fam, by, **{f"_{name}_mark": (F.col(marking).cast("double"), 0.5)}), by)
         best, members = stable_run(fam, by, time, order, gap, F.col("_asp0"), F.col("_str"), score, lim["support"], lim["aspect"])
         members = settle(members)
-        spread = pair_quantile(members, by, silhouette, [time, *order], 0.5, f"{name}_consensus")
+        if side is None:
+            spread = pair_quantile(members, by, silhouette, [time, *order], 0.5, f"{name}_consensus")
+        else:
+            spread = aligned_quantile(members, by, silhouette, appearance, side, [time, *order], 0.5, f"{name}_consensus")
         support = members.groupBy(*by).agg(F.count("*").alias(f"{name}_support"))
         a = F.greatest(F.greatest(F.col("_asp0"), F.lit(1e-6)), 1 / F.greatest(F.col("_asp0"), F.lit(1e-6)))
         penalty = F.least(F.abs(F.log(a / F.col("median_aspect"))) / lim["aspect"], F.lit(1.0))
@@ -301,9 +323,14 @@ def select_families(views: DataFrame, by: Sequence[str], time: str, order: Seque
     out = out.withColumns(gone)
     # a run of one pair or more has a spread; without pairs it counts as 1
     out = out.withColumns({f"{n}_consensus": F.coalesce(f"{n}_consensus", F.lit(1.0)) for n in kinds})
-    both = 0.74 * arrays.mean_abs_diff("_primary_a", "_secondary_a") + 0.26 * arrays.mean_abs_diff("_primary_s", "_secondary_s")
+    if side is None:
+        both = 0.74 * arrays.mean_abs_diff("_primary_a", "_secondary_a") + 0.26 * arrays.mean_abs_diff("_primary_s", "_secondary_s")
+    else:
+        out = out.withColumn("_best", best_turn("_primary_s", "_secondary_s", "_primary_a", "_secondary_a", side)).withColumn("turn", F.col("_best.turn"))
+        both = 0.74 * F.col("_best.appearance") + 0.26 * F.col("_best.silhouette")
     out = out.withColumn("separation", F.col("_primary_mark") - F.col("_secondary_mark")).withColumn("dissimilarity", both)
-    return apply_gates(out, [
+    return apply_gates(out.drop("_best"), [
+        Rule("too_few_views", F.col("views") < lim["views"]),
         Rule("unsupported_families", (F.col("primary_frames") < lim["support"]) | (F.col("secondary_frames") < lim["support"])),
         Rule("families_not_separated", F.col("separation") < lim["separation"]),
         Rule("no_stable_family_run", (F.col("primary_support") == 0) | (F.col("secondary_support") == 0)),

@@ -13,7 +13,8 @@ from clipledger.functions.rules import Rule, apply_gates
 from clipledger.operators.lineage import audit_sets
 from clipledger.session import join_same
 
-MERGE_SALTS = 64
+#: Rows of a task that become states at once.
+PARTIAL_ROWS = 1 << 18
 
 
 class Predictor(Protocol):
@@ -85,28 +86,33 @@ def merge_aggregate(df: DataFrame, by: Sequence[str], partial: Callable, merge:
     """User-defined aggregate with partial states.
 
     ``partial(group_pdf) -> dict`` gives a state, ``merge(states_pdf) -> dict`` joins states, ``finish(state_row) ->
-    dict`` gives the result. Rows are reduced per Arrow batch, states are merged under salts and then once more, so
-    that groups of any size take the same way and ship only states.
+    dict`` gives the result. A task reduces its rows in stretches of PARTIAL_ROWS; what is shuffled is a state per key
+    and stretch, so no group is held whole and groups of any size take the same way.
     """
     by = list(by)
     keys = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
 
     def start(batches):
-        for pdf in batches:
-            rows = [{**dict(zip(by, k)), **partial(g)} for k, g in pdf.groupby(by, dropna=False, sort=False)]
-            if rows:
-                yield pd.DataFrame(rows)
-
-    def join(salted):
-        def run(pdf):
-            head = [*by, "_salt"] if salted else by
-            return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in head}, **merge(pdf)}])
+        held, n = [], 0
 
-        return run
+        def give():
+            pdf = pd.concat(held) if len(held) > 1 else held[0]
+            return pd.DataFrame([{**dict(zip(by, k)), **partial(g)} for k, g in pdf.groupby(by, dropna=False, sort=False)])
 
-    parts = df.mapInPandas(start, f"{keys}, {state}").withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(MERGE_SALTS)))
-    parts = parts.groupBy(*by, "_salt").applyInPandas(join(True), f"{keys}, `_salt` int, {state}")
-    states = parts.drop("_salt").groupBy(*by).applyInPandas(join(False), f"{keys}, {state}")
+        for pdf in batches:
+            if len(pdf):
+                held.append(pdf)
+                n += len(pdf)
+            if n >= PARTIAL_ROWS:
+                yield give()
+                held, n = [], 0
+        if held:
+            yield give()
+
+    def join(pdf):
+        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by}, **merge(pdf)}])
+
+    states = df.mapInPandas(start, f"{keys}, {state}").groupBy(*by).applyInPandas(join, f"{keys}, {state}")
 
     def end(batches):
         for pdf in batches:

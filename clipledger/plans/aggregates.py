@@ -325,3 +325,33 @@ SELECT l_suppkey, {q6("quantile_cont(i, 0.5)")} AS median_iou, {q6("quantile_con
 def agreement(t):
     d = agg.agreement(t.lineitem, ["l_suppkey"], 1 - col("l_discount") * 5, col("l_linenumber") == 1)
     return d.select("l_suppkey", "held_out_views", *[r6(c).alias(c) for c in ("median_iou", "p10_iou", "min_iou", "good_fraction", "held_out_median")])
+
+
+_PIXELS = "px AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, v::DOUBLE AS v FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding) AS v FROM embeddings))"
+
+
+def embedding_pixels(t):
+    """Embeddings as images of 8 by 8."""
+    return t.embeddings.select("vec_id", F.posexplode("embedding").alias("i", "v")).select("vec_id", F.expr("i div 8").alias("y"), (col("i") % 8).alias("x"), col("v").cast("double").alias("v"))
+
+
+@query("mask_coverage", f"""
+WITH {_PIXELS}, m AS (SELECT *, (v > 0)::INT::DOUBLE AS h, x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6 AS central, (y = 0)::INT + (y = 7)::INT + (x = 0)::INT + (x = 7)::INT AS b FROM px)
+SELECT vec_id, {q6("avg(h)")} AS coverage, {q6("avg(h) FILTER (WHERE central)")} AS central_coverage, {q6("sum(h * b) / sum(b)")} AS border_touch FROM m GROUP BY 1""")
+def mask_coverage(t):
+    d = agg.mask_coverage(embedding_pixels(t).withColumn("hit", (col("v") > 0).cast("int")), ["vec_id"], F.lit(8), F.lit(8))
+    return d.select("vec_id", *[r6(c).alias(c) for c in ("coverage", "central_coverage", "border_touch")])
+
+
+@query("frame_metrics", f"""
+WITH {_PIXELS}, c AS (SELECT vec_id, y, x, least(greatest(floor((v + 0.5) * 300), 0), 255) AS b, least(greatest(floor((v + 0.4) * 300), 0), 255) AS g, least(greatest(floor((0.5 - v) * 300), 0), 255) AS r FROM px),
+k AS (SELECT *, round_even(0.114::DOUBLE * b + 0.587::DOUBLE * g + 0.299::DOUBLE * r, 0) AS k FROM c),
+n AS (SELECT *, coalesce(lag(k) OVER h, lead(k) OVER h) + coalesce(lead(k) OVER h, lag(k) OVER h) + coalesce(lag(k) OVER w, lead(k) OVER w) + coalesce(lead(k) OVER w, lag(k) OVER w) - 4 * k AS lap
+  FROM k WINDOW h AS (PARTITION BY vec_id, y ORDER BY x), w AS (PARTITION BY vec_id, x ORDER BY y)),
+e AS (SELECT vec_id, log2(64) - sum(c * log2(c)) / 64 AS en FROM (SELECT vec_id, k, count(*) AS c FROM k GROUP BY 1, 2) GROUP BY 1)
+SELECT n.vec_id, {q6("avg(k) / 255")} AS brightness_mean, {q6("stddev_pop(k) / 255")} AS contrast_stddev, {q6("var_pop(lap)")} AS sharpness_laplacian, {q6("any_value(greatest(en, 0))")} AS entropy_bits FROM n JOIN e USING (vec_id) GROUP BY 1""")
+def frame_metrics(t):
+    part = lambda c: F.least(F.greatest(F.floor(c * 300), F.lit(0)), F.lit(255)).cast("double")
+    px = embedding_pixels(t).select("vec_id", "y", "x", part(col("v") + 0.5).alias("b"), part(col("v") + 0.4).alias("g"), part(0.5 - col("v")).alias("r"))
+    d = agg.frame_metrics(px, ["vec_id"])
+    return d.select("vec_id", *[r6(c).alias(c) for c in ("brightness_mean", "contrast_stddev", "sharpness_laplacian", "entropy_bits")])

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from clipledger.functions import tables
 from clipledger.operators import predict as pr
 from clipledger.operators.lineage import array_hash
 from clipledger.operators.surfaces import voxel_grid
@@ -243,3 +244,26 @@ def publish(t):
     sinks.publish(d, path)
     back = t.spark.read.schema("l_suppkey long, rows long, metrics map<string,double>").json(path)
     return back.select("l_suppkey", "rows", r6(col("metrics")["highest"]).alias("highest"), r6(col("metrics")["returned"]).alias("returned"))
+
+
+@query("predict_missing", f"""
+SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN -1.0 ELSE {q6('sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))')} END AS norm, CASE WHEN vec_id % 3 = 0 THEN -2.0 ELSE {q6('list_max(embedding)')} END AS top FROM embeddings""")
+def predict_missing(t):
+    """A third is stored with the inputs it was made from, a third with others, a third not at all."""
+    e = t.embeddings.withColumn("version", big("label"))
+    stored = e.where("vec_id % 3 < 2").select("vec_id", (col("version") + col("vec_id") % 3).alias("version"), F.lit(-1.0).alias("norm"), F.lit(-2.0).alias("top"))
+    d = pr.predict_missing(e, stored, LengthPredictor(), ["vec_id"], ["embedding"], ["version"], "norm double, top double")
+    return d.select("vec_id", r6("norm").alias("norm"), r6("top").alias("top"))
+
+
+@query("table_functions", """
+SELECT p_partkey, 'box' AS kind, count(*) AS cells, CAST(sum(y * 100 + x) AS BIGINT) AS checksum FROM (SELECT p_partkey, p_size % 4 + a.i AS y, b.i AS x FROM part, range(3) a(i), range(3) b(i) WHERE b.i <= p_partkey % 3) GROUP BY 1
+UNION ALL SELECT p_partkey, 'fan', count(*), CAST(sum(1 + 10 * (k + 1) + 100 * (k + 2)) AS BIGINT) FROM (SELECT p_partkey, i.i AS k FROM part, range(1, 6) i(i) WHERE i.i <= p_size % 6 - 1) GROUP BY 1
+UNION ALL SELECT p_partkey, 'grid', count(*), CAST(sum(z * 9 + y * 3 + x) AS BIGINT) FROM (SELECT p_partkey, a.i AS z, b.i AS y, c.i AS x FROM part, range(3) a(i), range(3) b(i), range(3) c(i) WHERE greatest(a.i, b.i, c.i) < 2 + p_size % 2) GROUP BY 1""")
+def table_functions(t):
+    """Generators called from SQL with LATERAL."""
+    tables.register(t.spark)
+    return t.spark.sql("""
+SELECT p_partkey, 'box' AS kind, count(*) AS cells, sum(y * 100 + x) AS checksum FROM {part}, LATERAL box_pixels(CAST(p_size % 4 AS INT), CAST(p_size % 4 + 2 AS INT), 0, CAST(p_partkey % 3 AS INT)) GROUP BY p_partkey
+UNION ALL SELECT p_partkey, 'fan', count(*), sum(v0 + 10 * v1 + 100 * v2) FROM {part}, LATERAL fan_triangles(sequence(1L, CAST(p_size % 6 + 1 AS BIGINT))) GROUP BY p_partkey
+UNION ALL SELECT p_partkey, 'grid', count(*), sum(iz * 9 + iy * 3 + ix) FROM {part}, LATERAL grid_cells(CAST(2 + p_size % 2 AS INT), -1.0D, 1.0D) GROUP BY p_partkey""", part=t.part)

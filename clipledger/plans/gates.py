@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clipledger.functions import arrays, geometry as geo, scoring, text
 from clipledger.functions.rules import Rule, apply_gates, bounds, one_of
 from clipledger.operators import aggregates as agg
-from clipledger.operators.quality import capture_warnings, coverage_preflight, frame_flags, score_frames, source_guard
+from clipledger.operators.quality import capture_warnings, coverage_preflight, excluded_by_reason, frame_flags, score_frames, source_guard
 from clipledger.operators.selection import best_evidence
 from clipledger.plans.registry import big, codes_sql, joined, parts_sql, q6, query, r6, vector_parts
 
@@ -44,6 +44,14 @@ def flags(t):
     return d.select("l_suppkey", F.explode("flags").alias("flag"), "l_extendedprice").groupBy("l_suppkey", "flag").agg(F.count("*").alias("frames"), r6(F.max("l_extendedprice")).alias("worst"))
 
 
+@query("excluded_by_reason", """
+WITH f AS (SELECT l_suppkey, unnest(list_filter([CASE WHEN l_quantity < 3 THEN 'too_small' END, CASE WHEN l_tax > 0.07 THEN 'touches_border' END], lambda x: x IS NOT NULL)) AS reason FROM lineitem)
+SELECT l_suppkey, reason, count(*) AS frames FROM f GROUP BY 1, 2""")
+def excluded(t):
+    d = frame_flags(t.lineitem, {"too_small": col("l_quantity") < 3, "touches_border": col("l_tax") > 0.07})
+    return excluded_by_reason(d, ["l_suppkey"]).select("l_suppkey", "reason", "frames")
+
+
 @query("preflight", f"""
 WITH v AS (SELECT user_id, (epoch_us(ts) % 86400000000) / 240000000.0 AS a, {K_SQL} >= 30 AS sel FROM events),
 u AS (SELECT user_id, 'all' AS s, a FROM v UNION ALL SELECT user_id, 'selected', a FROM v WHERE sel),

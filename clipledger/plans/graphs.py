@@ -213,15 +213,37 @@ def _family(name, test, score, extra):
 @query("families", f"""
 WITH {FRAMES}, fv AS MATERIALIZED (SELECT user_id, event_id, us, k / 100.0 AS mk, greatest(greatest(k / 50.0, 1e-6), 1 / greatest(k / 50.0, 1e-6)) AS ap, value > 5 AS st, value / 100 AS sc, value / 10 AS dt, 0.3 + k / 200.0 AS s2c, value / 300 AS s1, kind / 5 AS s2 FROM fr),
 {_family("primary", "mk >= 0.6", "sc", "AND dt >= 1")}, {_family("secondary", "mk <= 0.4", "s2c", "")},
-u AS (SELECT DISTINCT user_id FROM fv),
-z AS (SELECT u.user_id, coalesce(pst.n, 0) AS pf, coalesce(sst.n, 0) AS sf, pst.m - sst.m AS sep, coalesce(pn.sup, 0) AS ps, coalesce(sn.sup, 0) AS ss, coalesce(pc.con, 1) AS pcon, coalesce(scn.con, 1) AS scon, pp.event_id AS pe, sp.event_id AS se,
+u AS (SELECT user_id, count(*) AS nv FROM fv GROUP BY 1),
+z AS (SELECT u.user_id, nv, coalesce(pst.n, 0) AS pf, coalesce(sst.n, 0) AS sf, pst.m - sst.m AS sep, coalesce(pn.sup, 0) AS ps, coalesce(sn.sup, 0) AS ss, coalesce(pc.con, 1) AS pcon, coalesce(scn.con, 1) AS scon, pp.event_id AS pe, sp.event_id AS se,
   (abs(pp.s1 - sp.s1) + abs(pp.s2 - sp.s2)) / 2 AS dis FROM u LEFT JOIN pst USING (user_id) LEFT JOIN sst USING (user_id) LEFT JOIN pn USING (user_id) LEFT JOIN sn USING (user_id) LEFT JOIN pc USING (user_id) LEFT JOIN sc scn USING (user_id)
   LEFT JOIN (SELECT * FROM pp WHERE rn = 1) pp USING (user_id) LEFT JOIN (SELECT * FROM sp WHERE rn = 1) sp USING (user_id))
 SELECT user_id, pe AS "primary", se AS secondary, ps AS primary_support, {q6("pcon")} AS primary_consensus, {q6("dis")} AS dissimilarity,
-  {codes_sql(("unsupported_families", "pf < 3 OR sf < 3"), ("families_not_separated", "sep < 0.3"), ("no_stable_family_run", "ps = 0 OR ss = 0"), ("primary_consensus_too_low", "pcon > 0.25"), ("secondary_consensus_too_low", "scon > 0.25"), ("no_primary_view", "pe IS NULL"), ("no_secondary_view", "se IS NULL"), ("views_not_distinct", "dis < 0.1"))} AS reasons FROM z""")
+  {codes_sql(("too_few_views", "nv < 6"), ("unsupported_families", "pf < 3 OR sf < 3"), ("families_not_separated", "sep < 0.3"), ("no_stable_family_run", "ps = 0 OR ss = 0"), ("primary_consensus_too_low", "pcon > 0.25"), ("secondary_consensus_too_low", "scon > 0.25"), ("no_primary_view", "pe IS NULL"), ("no_secondary_view", "se IS NULL"), ("views_not_distinct", "dis < 0.1"))} AS reasons FROM z""")
 def families(t):
     f = frames(t).select("user_id", "event_id", "us", (col("k") / 100.0).alias("mk"), (col("k") / 50.0).alias("asp"), "value", (col("value") / 100).alias("sc"), (col("value") / 10).alias("dt"), (0.3 + col("k") / 200.0).alias("s2c"), F.array(col("value") / 300, col("kind") / 5).alias("sil"))
     f = f.withColumn("app", col("sil"))
     d = gr.select_families(f, ["user_id"], "us", ["event_id"], marking="mk", aspect=col("asp"), strict=col("value") > 5, score="sc", detail="dt", secondary="s2c", silhouette="sil", appearance="app", gap=30 * HOURS,
                            limits={"marked": 0.6, "plain": 0.4, "consensus": 0.25, "detail": 1.0, "aspect": 0.6})
     return d.select("user_id", "primary", "secondary", "primary_support", r6("primary_consensus").alias("primary_consensus"), r6("dissimilarity").alias("dissimilarity"), joined("reasons").alias("reasons"))
+
+
+@query("accept_completed", f"""
+WITH {FRAMES}, v AS (SELECT user_id, event_id, k / 100.0 AS iou, value > 40 AS reg FROM fr), m AS (SELECT user_id, median(iou) FILTER (WHERE reg) AS m FROM v GROUP BY 1)
+SELECT event_id, reg OR iou >= greatest(0.5, coalesce(0.7 * m, 0)) AS kept FROM v JOIN m USING (user_id)""")
+def accept_completed(t):
+    f = frames(t).select("user_id", "event_id", (col("k") / 100.0).alias("iou"), (col("value") > 40).alias("reg"))
+    return gr.accept_completed(f, ["user_id"], "iou", col("reg")).select("event_id", "kept")
+
+
+_TURN = lambda a: f"list_transform(range(16), lambda i: {a}[(i % 4) * 4 + (3 - i // 4) + 1])"
+_FAR = lambda a: f"coalesce(1 - list_sum(list_transform(range(1, 17), lambda i: s1[i] & {a}[i]))::DOUBLE / nullif(list_sum(list_transform(range(1, 17), lambda i: s1[i] | {a}[i])), 0), 0)"
+
+
+@query("aligned_consensus", f"""
+WITH e AS (SELECT vec_id, label, list_transform(embedding[1:16], lambda x: (x > 0)::INT) AS s FROM embeddings),
+p AS (SELECT x.label, x.vec_id AS a, x.s AS s1, y.s AS r0, {_TURN("y.s")} AS r1 FROM e x JOIN e y ON x.label = y.label AND x.vec_id < y.vec_id), q AS (SELECT *, {_TURN("r1")} AS r2 FROM p), t AS (SELECT *, {_TURN("r2")} AS r3 FROM q)
+SELECT label, {q6("median(least(" + ", ".join(_FAR(f"r{k}") for k in range(4)) + "))")} AS distance FROM t GROUP BY 1""")
+def aligned_consensus(t):
+    """Signs of 16 components as silhouettes of 4 by 4, compared in their best quarter turn within a label."""
+    e = t.embeddings.select("vec_id", "label", F.transform(F.slice("embedding", 1, 16), lambda x: (x > 0).cast("double")).alias("s"), F.array(F.lit(1.0)).alias("a"))
+    return gr.aligned_quantile(e, ["label"], "s", "a", 4, ["vec_id"], 0.5, "distance").select("label", r6("distance").alias("distance"))

@@ -229,17 +229,18 @@ b AS (SELECT vec_id, count(*) AS n, sum((x=0)::INT + (x=7)::INT + (y=0)::INT + (
 rim AS (SELECT p.vec_id, sqrt((x-mx)*(x-mx) + (y-my)*(y-my)) AS r FROM px p JOIN b USING (vec_id) WHERE (SELECT count(*) FROM px q WHERE q.vec_id = p.vec_id AND abs(q.x - p.x) + abs(q.y - p.y) = 1) < 4),
 rd AS (SELECT vec_id, stddev_pop(r) / greatest(avg(r), 1e-9) AS rcv FROM rim GROUP BY 1),
 s1 AS (SELECT p.vec_id, count(*) AS i FROM px p JOIN b USING (vec_id) JOIN px q ON q.vec_id = p.vec_id AND q.x = x0 + x1 - p.x AND q.y = p.y GROUP BY 1),
+s2 AS (SELECT p.vec_id, count(*) AS i FROM px p JOIN b USING (vec_id) JOIN px q ON q.vec_id = p.vec_id AND q.x = p.x AND q.y = y0 + y1 - p.y GROUP BY 1),
 s3 AS (SELECT p.vec_id, count(*) AS i FROM px p JOIN b USING (vec_id) JOIN px q ON q.vec_id = p.vec_id AND q.x = x0 + x1 - p.x AND q.y = y0 + y1 - p.y GROUP BY 1),
 w AS (SELECT b.vec_id, yy - y0 AS p, y1 - y0 + 1 AS k, (SELECT count(*) FROM px WHERE px.vec_id = b.vec_id AND px.y = yy)::DOUBLE AS c FROM b, range(8) r(yy) WHERE yy BETWEEN y0 AND y1),
 pf AS (SELECT vec_id, avg(c) FILTER (WHERE p < greatest(1, round_even(k * 0.2, 0))) AS tp, avg(c) FILTER (WHERE p >= k - greatest(1, round_even(k * 0.2, 0))) AS bt,
   avg(c) FILTER (WHERE p >= round_even(k * 0.4, 0) AND p < greatest(round_even(k * 0.4, 0) + 1, round_even(k * 0.6, 0))) AS md, stddev_pop(c) / greatest(avg(c), 1) AS pcv FROM w GROUP BY 1)
 SELECT vec_id, {q6("n / 64")} AS area_fraction, {q6("ed / 32")} AS border_touch, {q6("least(least(tp, bt) / greatest(md, 1), 1.5)")} AS end_ratio, {q6("least(abs(tp - bt) / greatest(tp, bt, 1), 1)")} AS end_asymmetry,
-  {q6("least(pcv, 2)")} AS profile_cv, {q6("least(rcv, 2)")} AS radial_cv, {q6("coalesce(s1.i, 0) / (2 * n - coalesce(s1.i, 0))")} AS symmetry_lr, {q6("coalesce(s3.i, 0) / (2 * n - coalesce(s3.i, 0))")} AS symmetry_180
-FROM b JOIN rd USING (vec_id) JOIN pf USING (vec_id) LEFT JOIN s1 USING (vec_id) LEFT JOIN s3 USING (vec_id)""")
+  {q6("least(pcv, 2)")} AS profile_cv, {q6("least(rcv, 2)")} AS radial_cv, {q6("coalesce(s1.i, 0) / (2 * n - coalesce(s1.i, 0))")} AS symmetry_lr, {q6("coalesce(s2.i, 0) / (2 * n - coalesce(s2.i, 0))")} AS symmetry_tb, {q6("coalesce(s3.i, 0) / (2 * n - coalesce(s3.i, 0))")} AS symmetry_180
+FROM b JOIN rd USING (vec_id) JOIN pf USING (vec_id) LEFT JOIN s1 USING (vec_id) LEFT JOIN s2 USING (vec_id) LEFT JOIN s3 USING (vec_id)""")
 def profile_stats(t):
     px = t.embeddings.select("vec_id", F.posexplode("embedding").alias("i", "v")).where("v > 0").select("vec_id", F.expr("i div 8").alias("y"), (col("i") % 8).alias("x"))
     d = sf.silhouette_stats(px, ["vec_id"], F.lit(8), F.lit(8))
-    return d.select("vec_id", *[r6(c).alias(c) for c in ("area_fraction", "border_touch", "end_ratio", "end_asymmetry", "profile_cv", "radial_cv", "symmetry_lr", "symmetry_180")])
+    return d.select("vec_id", *[r6(c).alias(c) for c in ("area_fraction", "border_touch", "end_ratio", "end_asymmetry", "profile_cv", "radial_cv", "symmetry_lr", "symmetry_tb", "symmetry_180")])
 
 
 @query("reproject_classify", f"""

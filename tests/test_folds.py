@@ -240,3 +240,30 @@ def test_job_state_over_batches_is_bounded(spark, tmp_path):
         assert got["b"].status == "failed" and got["c"].status == "failed" and got["c"].attempts == [1, 0]  # its first start was long forgotten
         kept = spark.read.format("statestore").option("stateVarName", "job").load(str(tmp_path / "state")).select("key.job").collect()
         assert {r.job for r in kept} == {"c"}
+
+
+def test_quarter_turns(spark):
+    from clipledger.operators.pairs import aligned_quantile
+
+    r, side = np.random.default_rng(12), 3
+    masks = [(r.random((side, side)) > p).astype(float) for p in (0.3, 0.5, 0.5, 0.7, 0.4, 1.0, 1.0)] + [np.rot90(np.arange(9).reshape(3, 3) > 4).astype(float)]
+    looks = [v / np.linalg.norm(v) for v in r.normal(size=(len(masks), 4))]
+
+    def far(i, j):
+        out = []
+        for k in range(4):
+            b = np.rot90(masks[j], k)
+            either = ((masks[i] > 0) | (b > 0)).sum()
+            s = 1 - ((masks[i] > 0) & (b > 0)).sum() / either if either else 0.0
+            a = min(max(1 - float(looks[i] @ looks[j]), 0), 2)
+            out.append((s + 0.15 * a, s, a, k))
+        return min(out)
+
+    d = spark.createDataFrame([(0, i, m.ravel().tolist(), a.tolist()) for i, (m, a) in enumerate(zip(masks, looks))], "g int, i int, s array<double>, a array<double>")
+    got = aligned_quantile(d, ["g"], "s", "a", side, ["i"], 0.5, "m").first().m
+    assert got == pytest.approx(float(np.median([far(i, j)[1] for i in range(len(masks)) for j in range(i + 1, len(masks))])))
+    p = d.alias("p").crossJoin(d.alias("q")).select(F.col("p.i").alias("i"), F.col("q.i").alias("j"), F.col("p.s").alias("s"), F.col("q.s").alias("t"), F.col("p.a").alias("a"), F.col("q.a").alias("b"))
+    for x in p.select("i", "j", gr.best_turn("s", "t", "a", "b", side).alias("best")).collect():
+        want = far(x.i, x.j)
+        assert x.best.silhouette == pytest.approx(want[1]) and x.best.appearance == pytest.approx(want[2]) and x.best.cost == pytest.approx(want[0])
+        assert x.best.turn == want[3] or far(x.i, x.j)[0] == pytest.approx(x.best.cost)
