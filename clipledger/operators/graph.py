@@ -271,9 +271,10 @@ def best_turn(silhouette: str, other: str, appearance: str, other_appearance: st
     looks = F.least(F.greatest(1 - arrays.dot(appearance, other_appearance), F.lit(0.0)), F.lit(2.0))
     y, x = lambda i: F.floor(i / side).cast("int"), lambda i: i % side
     source = [lambda i: i, lambda i: x(i) * side + (side - 1 - y(i)), lambda i: side * side - 1 - i, lambda i: (side - 1 - x(i)) * side + y(i)]
+    turn = lambda at: F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.get(F.col(other), at(i)))
     choices = []
     for k, at in enumerate(source):
-        turned = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i, at=at: F.get(F.col(other), at(i)))
+        turned = turn(at)
         both = arrays.total(F.zip_with(F.col(silhouette), turned, lambda a, b: ((a > 0) & (b > 0)).cast("double")))
         either = arrays.total(F.zip_with(F.col(silhouette), turned, lambda a, b: ((a > 0) | (b > 0)).cast("double")))
         far = F.when(either > 0, 1 - both / either).otherwise(0.0)
