@@ -59,11 +59,12 @@ LINES_SQL = """
 WITH lines AS (
   SELECT doc_id, i - 1 AS pos, lower(trim(regexp_replace(l, '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ')) AS line
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)
-), judged AS (SELECT * FROM lines WHERE length(line) >= 20),
+), judged AS (SELECT * FROM lines WHERE line <> ''),
 one AS (SELECT line, length(line) AS n, min((doc_id, pos)) AS place, count(*) AS c FROM judged GROUP BY line),
+long AS (SELECT * FROM one WHERE n >= 20),
 keys AS (
-  SELECT line, n, place, 'h' || substr(line, 1, n // 2) AS half FROM one UNION SELECT line, n, place, 'h' || substr(line, 1, (n - 1) // 2) FROM one
-  UNION SELECT line, n, place, 't' || substr(line, n // 2 + 1) FROM one UNION SELECT line, n, place, 't' || substr(line, (n - 1) // 2 + 2) FROM one
+  SELECT line, n, place, 'h' || substr(line, 1, n // 2) AS half FROM long UNION SELECT line, n, place, 'h' || substr(line, 1, (n - 1) // 2) FROM long
+  UNION SELECT line, n, place, 't' || substr(line, n // 2 + 1) FROM long UNION SELECT line, n, place, 't' || substr(line, (n - 1) // 2 + 2) FROM long
 ),
 near AS (
   SELECT DISTINCT x.line FROM keys x JOIN keys y ON x.half = y.half AND x.line <> y.line AND abs(x.n - y.n) <= 1 AND y.place < x.place

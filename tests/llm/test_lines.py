@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from conftest import clashing
 
@@ -26,11 +27,11 @@ def brute_lines(rows, min_chars=20):
         keep, gone = [], []
         for at, line in enumerate((text or "").split("\n") if text is not None else []):
             x = norm(line)
-            if len(x) < min_chars or not any(within_one(x, y) for y in seen):
-                keep.append(line)
-            else:
+            if x and any(x == y or (min(len(x), len(y)) >= min_chars and within_one(x, y)) for y in seen):
                 gone.append(at)
-            if len(x) >= min_chars:
+            else:
+                keep.append(line)
+            if x:
                 seen.append(x)
         out[i] = (None if text is None else "\n".join(keep), gone)
     return out
@@ -57,6 +58,24 @@ def test_variants_against_brute_force(spark):
     assert lines_of(df) == brute_lines(rows)
 
 
+def test_copies_of_any_length(spark):
+    rows = [(1, "ok\nAll rights reserved\n\nx"), (2, "all rights  reserved\n\nOK\nAll rights reservee"), (3, "x\ny\n \n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert lines_of(df) == brute_lines(rows)
+    assert lines_of(df)[2] == ("\nAll rights reservee", [0, 2]) and lines_of(df)[3][1] == [0]
+
+
+def test_long_lines_cost_their_length(spark):
+    rng = random.Random(9)
+    line = "".join(rng.choice("abcdefgh ij\u00e9\U0001f600") for _ in range(200_000)).strip()
+    other = line[:120_000] + "#" + line[120_001:]
+    shorter = line[:77] + line[78:]
+    df = spark.createDataFrame([(1, line), (2, other), (3, shorter), (4, line[1000:] + line[:1000])], "doc_id long, text string")
+    begun = time.monotonic()
+    assert {i: gone for i, (_, gone) in lines_of(df).items()} == {1: [], 2: [0], 3: [0], 4: []}
+    assert time.monotonic() - begun < 60
+
+
 def test_odd_tables(odd_null, none, spark):
     out = linedup.drop_repeated_lines(clashing(odd_null)).collect()
     assert len(out) == 14 and linedup.drop_repeated_lines(none).collect() == []
