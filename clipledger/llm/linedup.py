@@ -93,10 +93,10 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = _lines(pick(docs, id=id_col, text=text_col)).where("line != ''")
     size = F.length("line")
     # all lines, without their texts
-    slim = staged(lines.select("id", "h", "pos", *_digest(F.col("line")), F.when(size >= min_chars, _halves(F.col("line"), size)).alias("halves")))
-    distinct = slim.groupBy("a", "b").agg(F.min(_rank()).alias("rank"), F.count("*").alias("copies"), F.first("halves").alias("halves"))
-    distinct = staged(distinct.select("a", "b", "rank", "copies", "halves"))
-    halves = distinct.select("a", "b", "rank", F.explode("halves").alias("half"))
+    slim = staged(lines.select("id", "h", "pos", *_digest(F.col("line")), (size >= min_chars).alias("long"), _halves(F.col("line"), size).alias("halves")))
+    distinct = slim.groupBy("a", "b").agg(F.min(_rank()).alias("rank"), F.count("*").alias("copies"), F.first("long").alias("long"), F.first("halves").alias("halves"))
+    distinct = staged(distinct.select("a", "b", "rank", "copies", "long", "halves"))
+    halves = distinct.where("long").select("a", "b", "rank", F.explode("halves").alias("half"))
     shared = small_side(halves.groupBy("half").agg(F.count("*").alias("k")).where("k > 1").select("half"), 16)
     firsts = small_side(halves.join(shared, "half").select("a", "b", "rank").distinct(), 64)
     # texts of those lines, from their earliest place
