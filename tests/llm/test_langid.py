@@ -58,3 +58,45 @@ def test_fit_is_bounded(spark):
     assert small.languages == ["de", "en", "es", "fr"]
     again = langid.fit_languages(docs.repartition(9), per_language=3)
     assert np.array_equal(small.logp, again.logp)
+
+
+def plain_buckets(text):
+    """Trigrams of letters and single blanks, hashed, one by one."""
+    letters = [ord(c.lower()[0]) if c.isalpha() else 0 for c in f" {text} "]
+    kept = [c for at, c in enumerate(letters) if at == 0 or c or letters[at - 1]]
+    out = []
+    for x, y, z in zip(kept, kept[1:], kept[2:]):
+        h = (x * 0x9E3779B1 ^ y * 0x85EBCA77 ^ z * 0xC2B2AE3D) & 0xFFFFFFFF
+        out.append((((h ^ h >> 15) * 0x2C1B3C6D) & 0xFFFFFFFF) >> (32 - langid.BUCKET_BITS))
+    return out
+
+
+def plain_mixture(model, text, most=3, rounds=8, cost=4.0, least=0.02):
+    """Proportions by language: expectation-maximisation of one text in double precision."""
+    p = np.exp(np.array([model.logp[g] for g in plain_buckets(text)], dtype=np.float64))
+    total = lambda mix: sum(np.log(p @ mix))
+    mix = np.eye(p.shape[1])[np.log(p).sum(axis=0).argmax()]
+    score = total(mix)
+    while np.count_nonzero(mix) < most:
+        rise = np.where(mix > 0, 0, (p / (p @ mix)[:, None]).mean(axis=0))
+        new = rise.argmax()
+        if rise[new] <= 1:
+            break
+        trial = 0.8 * mix + 0.2 * np.eye(len(mix))[new]
+        for _ in range(rounds):
+            parts = p * trial
+            trial = (parts / parts.sum(axis=1, keepdims=True)).mean(axis=0)
+        if total(trial) - score <= cost / 2 * np.log(len(p)) or trial[new] < least:
+            break
+        mix, score = trial, total(trial)
+    return {lang: share for lang, share in zip(model.languages, mix) if share > 0}
+
+
+def test_mixtures_against_a_plain_computation(spark):
+    m = model(spark)
+    rows = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(40).collect() if r.text]
+    texts = [t[:1500] for t in rows] + [a[:700] + " " + b[:400] for a, b in zip(rows, rows[7:])] + ["é", "A b. C", "Straße über 12 naïve ÉCOLE"]
+    for text, (lang, score, langs, shares) in zip(texts, langid.infer(m, texts)):
+        want = plain_mixture(m, text)
+        assert set(langs) == set(want) and lang == max(want, key=want.get), text[:80]
+        assert abs(score - want[lang]) < 1e-3 and all(abs(s - want[x]) < 1e-3 for x, s in zip(langs, shares))
