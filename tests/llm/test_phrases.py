@@ -57,3 +57,55 @@ def test_odd_tables(odd_null, none, spark):
     one = phrases.compare_with_next(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).collect()
     assert [(r.edited_text, r.near_next) for r in one] == [("abab", 1.0)]
     assert {r.fingerprint for r in phrases.document_fingerprints(odd_null).collect() if r.id in (3, 4)} == {""}
+
+
+FULL = 2**64 - 1
+
+
+def plain_mix(x):
+    x = (x ^ x >> 30) * int(phrases.B) & FULL
+    x = (x ^ x >> 27) * int(phrases.C) & FULL
+    return x ^ x >> 31
+
+
+def plain_toss(names):
+    """Of each name: lowest bit that differs from the left neighbour's, twice, plus that bit (the first: bit 0)."""
+    out = [names[0] & 1]
+    for left, own in zip(names, names[1:]):
+        at = ((left ^ own) & -(left ^ own)).bit_length() - 1
+        out.append(2 * at + (own >> at & 1) if left != own else 0)
+    return out
+
+
+def plain_level(names):
+    runs = []
+    for x in names:
+        if runs and runs[-1][0] == x:
+            runs[-1][1] += 1
+        else:
+            runs.append([x, 1])
+    names = [plain_mix(x + k * int(phrases.A) & FULL) for x, k in runs]
+    label = plain_toss(plain_toss(names))
+    blocks = []
+    for i, x in enumerate(names):
+        if i == 0 or (i < len(names) - 1 and label[i - 1] < label[i] >= label[i + 1]):
+            blocks.append([])
+        blocks[-1].append(x)
+    return [plain_mix(sum(plain_mix(x + (at + 1) * int(phrases.A) & FULL) for at, x in enumerate(b)) & FULL) for b in blocks]
+
+
+def plain_sketch(text, size=64):
+    names, level, found = [plain_mix(ord(c) + int(phrases.A) & FULL) for c in text], 0, set()
+    while names:
+        names, level = plain_level(names), level + 1
+        if level >= 2 or len(names) == 1:
+            found |= {plain_mix(x + level * int(phrases.C) & FULL) >> 32 for x in names}
+        if len(names) == 1:
+            break
+    return sorted(found)[:size]
+
+
+def test_parse_against_a_plain_one(docs):
+    texts = [r.text for r in docs.limit(60).collect() if r.text]
+    texts += ["", "a", "ab", "aaaa", "aab", "ab" * 300, "x" * 5000, "aaabbbaaabbb" * 40, "\U00010400\U0001F600 éàü ß 中文"]
+    assert [s.tolist() for s in phrases.sketches(texts)] == [plain_sketch(t) for t in texts]
