@@ -91,9 +91,10 @@ def unchanged(t):
 
 
 @query("freeze", f"""
-WITH h AS (SELECT o_orderpriority AS g, sha256(o_orderkey || '|' || o_orderstatus || ':' || o_custkey) AS h, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS i FROM orders),
-b AS (SELECT g, i // {ln.DIGEST_BLOCK} AS b, sha256(string_agg(h, chr(10) ORDER BY i)) AS h, count(*) AS n FROM h GROUP BY 1, 2)
-SELECT g AS o_orderpriority, CAST(sum(n) AS BIGINT) AS "rows", CASE WHEN count(*) = 1 THEN max(h) ELSE sha256(string_agg(h, chr(10) ORDER BY b)) END AS digest FROM b GROUP BY 1""")
+WITH RECURSIVE h AS (SELECT o_orderpriority AS g, sha256(o_orderkey || '|' || o_orderstatus || ':' || o_custkey) AS h, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders),
+b AS (SELECT 0 AS turn, g, i, h, n, n AS "rows" FROM h
+  UNION ALL SELECT turn + 1, g, i // {ln.DIGEST_BLOCK}, sha256(string_agg(h, chr(10) ORDER BY i)), count(*) OVER (PARTITION BY g), "rows" FROM b WHERE turn = 0 OR n > 1 GROUP BY turn, g, i // {ln.DIGEST_BLOCK}, "rows")
+SELECT g AS o_orderpriority, CAST("rows" AS BIGINT) AS "rows", h AS digest FROM b WHERE turn > 0 AND n = 1""")
 def freeze(t):
     return ln.freeze(t.orders, ["o_orderpriority"], "o_orderkey", F.concat("o_orderstatus", F.lit(":"), col("o_custkey").cast("string")))
 

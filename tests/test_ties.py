@@ -38,3 +38,13 @@ def test_backend_rollup_mean_at_the_limit_is_not_below_it(spark, tmp_path):
     ok, note = compare(spark, connect(path), "backend_rollup", path, QUERIES, ORACLES)
     assert ok, note
     assert QUERIES["backend_rollup"](spark, path).first().aligned_views == 1
+
+
+def test_freeze_of_groups_that_need_three_turns(spark, monkeypatch):
+    from clipledger.operators import lineage
+
+    monkeypatch.setattr(lineage, "DIGEST_BLOCK", 7)  # some 300 rows a group: 43 blocks, 7, 1
+    sql = {"freeze": ORACLES["freeze"].replace("// 1000", "// 7")}
+    assert sql["freeze"] != ORACLES["freeze"]
+    ok, note = compare(spark, connect(str(SMALL)), "freeze", str(SMALL), QUERIES, sql)
+    assert ok, note
