@@ -283,7 +283,8 @@ def decide(per: DataFrame, by: Sequence[str], kind: str, frames: DataFrame, min_
     """Winner per group from rows per kind (``support_frames``, ``_mean`` confidence); ``frames`` has ``n_frames``."""
     by = list(by)
     per = join_same(per, frames, by).withColumn("support_fraction", F.col("support_frames") / F.col("n_frames"))
-    per = per.withColumn("score", F.col("_mean") * F.sqrt("support_fraction"))
+    # 12 places: the mean's last digits depend on the order of rows, and equal scores go by kind
+    per = per.withColumn("score", F.round(F.col("_mean") * F.sqrt("support_fraction"), 12))
     best = top_k(per, by, [F.col("score").desc(), F.col(kind)], 2, "_rn")
     first = F.col("_rn") == 1
     out = best.groupBy(*by).agg(
@@ -294,7 +295,7 @@ def decide(per: DataFrame, by: Sequence[str], kind: str, frames: DataFrame, min_
         F.max(F.when(~first, F.col(kind))).alias("runner_up"),
         F.coalesce(F.max(F.when(~first, F.col("score"))), F.lit(0.0)).alias("_second"),
     )
-    out = join_same(frames.select(*by), out, by, "left").withColumn("margin", F.col("score") - F.col("_second"))
+    out = join_same(frames.select(*by), out, by, "left").withColumn("margin", F.round(F.col("score") - F.col("_second"), 12))
     return apply_gates(out, [
         Rule("no_mapped_evidence", F.col("hint").isNull()),
         Rule("score_too_low", F.col("score") < min_score),

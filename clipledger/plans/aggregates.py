@@ -189,12 +189,12 @@ def error_summary(t):
 @query("hints", f"""
 WITH f AS (SELECT user_id, count(DISTINCT CAST(ts AS DATE)) AS nf FROM events GROUP BY 1),
 e AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, max({K_SQL} / 100.0) AS c FROM events WHERE {K_SQL} / 100.0 >= 0.2 GROUP BY 1, 2, 3),
-s AS (SELECT user_id, event_type, count(*) AS sf, count(*) / max(nf) AS frac, avg(c) * sqrt(count(*) / max(nf)) AS score FROM e JOIN f USING (user_id) GROUP BY 1, 2),
+s AS (SELECT user_id, event_type, count(*) AS sf, count(*) / max(nf) AS frac, round(avg(c) * sqrt(count(*) / max(nf)), 12) AS score FROM e JOIN f USING (user_id) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_type) AS rn FROM s),
 w AS (SELECT user_id, max(event_type) FILTER (WHERE rn = 1) AS hint, max(score) FILTER (WHERE rn = 1) AS score, max(sf) FILTER (WHERE rn = 1) AS sf,
-  max(frac) FILTER (WHERE rn = 1) AS frac, max(event_type) FILTER (WHERE rn = 2) AS runner_up, coalesce(max(score) FILTER (WHERE rn = 2), 0) AS s2 FROM r WHERE rn <= 2 GROUP BY 1)
-SELECT user_id, hint, {q6("score")} AS score, sf AS support_frames, runner_up, {q6("score - s2")} AS margin,
-  {codes_sql(("no_mapped_evidence", "hint IS NULL"), ("score_too_low", "score < 0.3"), ("too_few_support_frames", "sf < 2"), ("support_fraction_too_low", "frac < 0.15"), ("margin_too_small", "score - s2 < 0.08"))} AS reasons FROM f LEFT JOIN w USING (user_id)""")
+  max(frac) FILTER (WHERE rn = 1) AS frac, max(event_type) FILTER (WHERE rn = 2) AS runner_up, round(max(score) FILTER (WHERE rn = 1) - coalesce(max(score) FILTER (WHERE rn = 2), 0), 12) AS margin FROM r WHERE rn <= 2 GROUP BY 1)
+SELECT user_id, hint, {q6("score")} AS score, sf AS support_frames, runner_up, {q6("margin")} AS margin,
+  {codes_sql(("no_mapped_evidence", "hint IS NULL"), ("score_too_low", "score < 0.3"), ("too_few_support_frames", "sf < 2"), ("support_fraction_too_low", "frac < 0.15"), ("margin_too_small", "margin < 0.08"))} AS reasons FROM f LEFT JOIN w USING (user_id)""")
 def hints(t):
     e = t.events.select("user_id", F.to_date("ts").alias("day"), "event_type", (k_of() / 100.0).alias("c"))
     frames = e.groupBy("user_id").agg(F.count_distinct("day").alias("n_frames"))

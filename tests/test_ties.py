@@ -48,3 +48,28 @@ def test_freeze_of_groups_that_need_three_turns(spark, monkeypatch):
     assert sql["freeze"] != ORACLES["freeze"]
     ok, note = compare(spark, connect(str(SMALL)), "freeze", str(SMALL), QUERIES, sql)
     assert ok, note
+
+
+def events(rows) -> pd.DataFrame:
+    """Events of (user, hours from the start, kind, k)."""
+    d = pd.DataFrame(rows, columns=["user_id", "hour", "event_type", "k"])
+    ts = (pd.Timestamp("2024-01-01") + pd.to_timedelta(d.hour, "h")).astype("datetime64[us]")
+    d = pd.DataFrame({"event_id": np.arange(len(d)), "ts": ts, "user_id": d.user_id, "event_type": d.event_type, "value": 1.0, "props": [f'{{"k": {k}}}' for k in d.k]})
+    return d.astype({"event_id": "int64", "user_id": "int64"})
+
+
+def tied_kinds(step: float) -> pd.DataFrame:
+    """Users whose errors have the values of their clicks in another order."""
+    rng, rows = np.random.default_rng(2), []
+    for u in range(300):
+        k = rng.integers(20, 100, 7)
+        for kind in ("error", "click"):
+            rows += [(u, i * step, kind, int(x)) for i, x in enumerate(rng.permutation(k))]
+    return events(rows)
+
+
+def test_hints_of_equal_scores_go_by_kind(spark, tmp_path):
+    path = changed(tmp_path, events=tied_kinds(24))
+    ok, note = compare(spark, connect(path), "hints", path, QUERIES, ORACLES)
+    assert ok, note
+    assert {(r.hint, r.margin) for r in QUERIES["hints"](spark, path).collect()} == {("click", 0.0)}
