@@ -65,10 +65,10 @@ def stream_hints(t):
 @query("stream_hint_winner", f"""
 WITH {FRAMES}, e AS (SELECT user_id, event_type, us, k / 100.0 AS c FROM fr WHERE k / 100.0 >= 0.2), w AS (SELECT *, us // {24 * HOUR} * {24 * HOUR} AS b FROM e),
 g AS (SELECT user_id, b, event_type, count(*) AS sf, avg(c) AS m FROM w GROUP BY 1, 2, 3), n AS (SELECT user_id, b, max(sf) AS nf FROM g GROUP BY 1, 2),
-s AS (SELECT g.*, sf / nf AS frac, m * sqrt(sf / nf) AS score, row_number() OVER (PARTITION BY user_id, b ORDER BY m * sqrt(sf / nf) DESC, event_type) AS rn FROM g JOIN n USING (user_id, b)),
-d AS (SELECT user_id, b, max(event_type) FILTER (WHERE rn = 1) AS hint, max(score) FILTER (WHERE rn = 1) AS score, max(sf) FILTER (WHERE rn = 1) AS sf, max(frac) FILTER (WHERE rn = 1) AS frac, coalesce(max(score) FILTER (WHERE rn = 2), 0) AS s2 FROM s GROUP BY 1, 2)
-SELECT user_id, b AS start_us, hint, {q6("score")} AS score, {q6("score - s2")} AS margin,
-  {codes_sql(("no_mapped_evidence", "hint IS NULL"), ("score_too_low", "score < 0.3"), ("too_few_support_frames", "sf < 2"), ("support_fraction_too_low", "frac < 0.15"), ("margin_too_small", "score - s2 < 0.08"))} AS reasons FROM d""")
+s AS (SELECT g.*, sf / nf AS frac, round(m * sqrt(sf / nf), 12) AS score, row_number() OVER (PARTITION BY user_id, b ORDER BY round(m * sqrt(sf / nf), 12) DESC, event_type) AS rn FROM g JOIN n USING (user_id, b)),
+d AS (SELECT user_id, b, max(event_type) FILTER (WHERE rn = 1) AS hint, max(score) FILTER (WHERE rn = 1) AS score, max(sf) FILTER (WHERE rn = 1) AS sf, max(frac) FILTER (WHERE rn = 1) AS frac, round(max(score) FILTER (WHERE rn = 1) - coalesce(max(score) FILTER (WHERE rn = 2), 0), 12) AS margin FROM s GROUP BY 1, 2)
+SELECT user_id, b AS start_us, hint, {q6("score")} AS score, {q6("margin")} AS margin,
+  {codes_sql(("no_mapped_evidence", "hint IS NULL"), ("score_too_low", "score < 0.3"), ("too_few_support_frames", "sf < 2"), ("support_fraction_too_low", "frac < 0.15"), ("margin_too_small", "margin < 0.08"))} AS reasons FROM d""")
 def stream_hint_winner(t):
     """The hint of each day, decided when the day's window closes; the busiest kind's rows stand for the frames."""
     out, state = folders(t.spark)

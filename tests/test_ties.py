@@ -73,3 +73,10 @@ def test_hints_of_equal_scores_go_by_kind(spark, tmp_path):
     ok, note = compare(spark, connect(path), "hints", path, QUERIES, ORACLES)
     assert ok, note
     assert {(r.hint, r.margin) for r in QUERIES["hints"](spark, path).collect()} == {("click", 0.0)}
+
+
+def test_stream_hint_winner_of_equal_scores_goes_by_kind(spark, tmp_path):
+    path = changed(tmp_path, events=tied_kinds(1))
+    ok, note = compare(spark, connect(path), "stream_hint_winner", path, QUERIES, ORACLES)
+    assert ok, note
+    assert {(r.hint, r.margin) for r in QUERIES["stream_hint_winner"](spark, path).collect()} == {("click", 0.0)}
