@@ -135,13 +135,14 @@ def loop_closure(df: DataFrame, by: Sequence[str], order: Sequence, similarity:
         return (back2 + back1 + F.col(similarity) + ahead1 + ahead2) / 5
 
     def step(d, g):
-        return g.attach(g.rank(g.slide(d, order, 2, 2, _s=smooth), order, "_i"), _n=F.count("*"))
+        d = g.rank(g.slide(d, order, 2, 2, _s=smooth), order, "_i")
+        return g.attach(d.withColumn("_s", F.round("_s", 12)), _n=F.count("*"))  # equal sums are equal numbers
 
     d = by_group(df, by, step)
     first = F.least(F.greatest(F.rint(start * (F.col("_n") - 1)), F.lit(1)), F.col("_n") - 1)
     tail = d.where(F.col("_i") - 1 >= first)
     peak = tail.groupBy(*by).agg(
-        F.max_by(F.col("_i") - 1, F.struct(F.round("_s", 12), -F.col("_i"))).alias("closure_frame"), F.max("_s").alias("peak"), F.max("_n").alias("frames"))
+        F.max_by(F.col("_i") - 1, F.struct("_s", -F.col("_i"))).alias("closure_frame"), F.max("_s").alias("peak"), F.max("_n").alias("frames"))
     closed = F.col("peak") > closure
     sweep = F.when(closed, 360.0 * (F.col("frames") - 1) / F.col("closure_frame")).otherwise(240.0)
     return peak.withColumn("closed", closed).withColumn("sweep_degrees", clip(sweep, 90.0, 400.0))

@@ -116,8 +116,8 @@ def unwrap(t):
 
 @query("loop_closure", f"""
 WITH {FRAMES}, f AS (SELECT user_id, us, event_id, 1 - abs(k - first_value(k) OVER w) / 100.0 AS s, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM fr WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
-m AS (SELECT *, (coalesce(lag(s, 2) OVER w, lag(s, 1) OVER w, s) + coalesce(lag(s, 1) OVER w, s) + s + coalesce(lead(s, 1) OVER w, s) + coalesce(lead(s, 2) OVER w, lead(s, 1) OVER w, s)) / 5 AS z FROM f WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
-t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(z, 12) DESC, i) AS rn FROM m WHERE i >= least(greatest(round_even(0.6 * (n - 1), 0), 1), n - 1))
+m AS (SELECT *, round((coalesce(lag(s, 2) OVER w, lag(s, 1) OVER w, s) + coalesce(lag(s, 1) OVER w, s) + s + coalesce(lead(s, 1) OVER w, s) + coalesce(lead(s, 2) OVER w, lead(s, 1) OVER w, s)) / 5, 12) AS z FROM f WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY z DESC, i) AS rn FROM m WHERE i >= least(greatest(round_even(0.6 * (n - 1), 0), 1), n - 1))
 SELECT user_id, i AS closure_frame, {q6("z")} AS peak, z > 0.8 AS closed, {q6("least(greatest(CASE WHEN z > 0.8 THEN 360.0 * (n - 1) / i ELSE 240 END, 90), 400)")} AS sweep_degrees FROM t WHERE rn = 1""")
 def loop_closure(t):
     f = frames(t)

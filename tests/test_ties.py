@@ -80,3 +80,19 @@ def test_stream_hint_winner_of_equal_scores_goes_by_kind(spark, tmp_path):
     ok, note = compare(spark, connect(path), "stream_hint_winner", path, QUERIES, ORACLES)
     assert ok, note
     assert {(r.hint, r.margin) for r in QUERIES["stream_hint_winner"](spark, path).collect()} == {("click", 0.0)}
+
+
+def test_loop_closure_peak_at_the_limit_is_not_closed(spark, tmp_path):
+    rng, rows, want = np.random.default_rng(4), [], {}
+    for u in range(200):
+        five = rng.multinomial(100, [0.2] * 5)  # any five in a row: 1 - 100 / 500, in another order each
+        away = np.concatenate([[0], np.resize(five, 20), [90] * 4])
+        rows += [(u, i, "click", int(x)) for i, x in enumerate(away)]
+        pad = np.pad(away, 2, mode="edge")
+        sums = np.array([pad[i : i + 5].sum() for i in range(25)])[14:]
+        assert sums.min() == 100
+        want[u] = (14 + int(sums.argmin()), False)
+    path = changed(tmp_path, events=events(rows))
+    ok, note = compare(spark, connect(path), "loop_closure", path, QUERIES, ORACLES)
+    assert ok, note
+    assert {r.user_id: (r.closure_frame, r.closed) for r in QUERIES["loop_closure"](spark, path).collect()} == want
