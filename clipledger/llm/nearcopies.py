@@ -1,4 +1,5 @@
-"""Near copies of documents by the Jaccard similarity of their word shingles: an exact set-similarity self-join."""
+"""Near copies of documents: SimHash links, checked by the Jaccard similarity of word shingles, and an exact
+set-similarity self-join for the copies whose fingerprints lie further apart."""
 
 from __future__ import annotations
 
@@ -11,13 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipledger.llm.common import partitions, pick, small_side, staged
-from clipledger.llm.simhash import classes
+from clipledger.llm.simhash import classes, fingerprints, links
 from clipledger.session import settle
 
 #: Share of all shingles, by their hash, that is counted over all documents, and a count at which counting ends.
 LOW, CROWD = 0.28, 1000
-#: Rounds in which the nodes of a key meet one of them, before those still apart meet each other.
-ROUNDS = 2
+#: Differing bits of fingerprints that are linked.
+BITS = 2
 
 
 def shingles(text: str | None, words: int, seed: int) -> np.ndarray:
@@ -106,8 +107,8 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 
 def _members(own: DataFrame, rows: DataFrame, words: int, share: float, seed: int) -> tuple[DataFrame, DataFrame]:
-    """The prefixes of sets in one global order, rare shingles first: ``key``, ``node``, ``n``, ``at``; and the texts
-    of their nodes. Sets with a Jaccard similarity of ``share`` share a key.
+    """The prefixes of sets in one global order, rare shingles first: ``key``, ``node``, ``n``, ``at``,
+    ``common`` (mean count of its keys, zero for those that no other has); and the texts of their nodes. Sets with a Jaccard similarity of ``share`` share a key.
 
     Shingles with a low hash are counted over all documents. A set of which more low shingles stand in no other set
     than a similar one may lack has no partner and is done. The others bring all their shingles, and the rest of these
@@ -127,8 +128,8 @@ def _members(own: DataFrame, rows: DataFrame, words: int, share: float, seed: in
     keyed = low.join(sizes, "node").withColumn("r", F.lit(0)).unionByName(high.join(sizes, "node").withColumn("r", F.lit(1)))
     own_keys = Window.partitionBy("node")  # no more rows than a text has shingles
     keyed = keyed.withColumn("_i", F.row_number().over(own_keys.orderBy("df", "r", "key"))).withColumn("_all", F.count("*").over(own_keys))
-    keyed = keyed.withColumn("at", F.col("n") - F.col("_all") + F.col("_i") - 1).where("at < p")
-    return staged(keyed.select("key", "node", "n", F.col("at").cast("int").alias("at"))), texts
+    keyed = keyed.withColumn("at", F.col("n") - F.col("_all") + F.col("_i") - 1).where("at < p").withColumn("common", F.sum("df").over(own_keys) / F.col("p"))
+    return staged(keyed.select("key", "node", "n", F.col("at").cast("int").alias("at"), F.col("common").cast("float").alias("common"))), texts
 
 
 def _is_small(df: DataFrame) -> bool:
@@ -155,6 +156,17 @@ def _similar(pairs: DataFrame, texts: DataFrame, words: int, share: float, seed:
     return settle(pairs.join(one, "src").join(two, "dst").select("src", "dst", "x", "y").mapInArrow(run, "src long, dst long"))
 
 
+def _linked(texts: DataFrame, seed: int) -> DataFrame:
+    """Pairs (src, dst) of nodes by their SimHash: each node with the smallest of its fingerprint, and those of
+    fingerprints that chains of up to BITS differing bits join with one of them."""
+    prints = settle(fingerprints(texts, "node", "text", seed=seed))
+    lead = settle(prints.groupBy("fingerprint").agg(F.min("id").alias("lead")))
+    same = prints.join(lead, "fingerprint").where("id != lead").select("lead", F.col("id").alias("other"))
+    one, two = lead.select(F.col("fingerprint").alias("src"), "lead"), lead.select(F.col("fingerprint").alias("dst"), F.col("lead").alias("other"))
+    near = links(prints, BITS).join(one, "src").join(two, "dst").select("lead", "other")
+    return same.unionByName(near).select(F.least("lead", "other").alias("src"), F.greatest("lead", "other").alias("dst")).distinct()
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: float = 0.8, seed: int = 42) -> DataFrame:
     """``id``, ``h`` (xxhash64 of the text), ``component_id``: the smallest id that a chain of documents can reach, each
     of which has a Jaccard similarity of at least ``share`` with the next, taken on the sets of shingles of ``words``
@@ -164,9 +176,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Exact: of a set of n shingles in a global order, the first n - ceil(share * n) + 1 are its keys; two similar sets
     share one (prefix filter), are about as large (length filter, by bands that a key is joined with) and have room for
     enough common shingles from the first common one on (positional filter). The order puts rare shingles first
-    (:func:`_members`). Pairs that pass are compared by their whole sets. Equal sets are one node. For some rounds, each
-    key's nodes are compared with one of them only, another in each round, which joins large groups; then all nodes of
-    a key that are still in different classes are compared with each other.
+    (:func:`_members`). Pairs that pass are compared by their whole sets. Equal sets are one node. First, nodes that
+    SimHash links (two of 64 bits, :func:`simhash.links`) are compared; then each key's nodes of other classes with
+    that of them whose keys are most common; both join large groups. Last, all nodes of a key that are still in different classes are compared with
+    each other, so copies beyond SimHash's reach are found too.
 
     Texts without words and null texts are copies of each other. Null ids keep their row, are never first, and do not
     count as the smallest. Repeated rows each give a row, all of them first or none. Other columns of ``docs`` play no
@@ -177,21 +190,23 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members, texts = _members(own, rows, words, share, seed)
     fits = lambda a, b: F.least(a, b) >= F.ceil(share * F.greatest(a, b) - 1e-9)
 
-    edges, tried, sides = None, None, members.select("*", F.col("node").alias("root"))
-    for turn in range(ROUNDS):
-        # each key's members of other classes meet one of them, first in an order that changes from round to round
-        order = F.xxhash64(F.lit(turn), "node")
-        hubs = sides.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "n", "root")).alias("hub"), F.min("root").alias("a"), F.max("root").alias("b"))
-        hubs = small_side(hubs.where("a != b").select("key", "hub"), 40)
-        if turn and hubs.isEmpty():
-            break
-        stars = sides.join(hubs, "key").where((F.col("root") != F.col("hub.root")) & fits(F.col("n"), F.col("hub.n")))
-        stars = stars.select(F.least("node", "hub.node").alias("src"), F.greatest("node", "hub.node").alias("dst")).distinct()
-        stars = settle(stars if tried is None else stars.join(tried, ["src", "dst"], "left_anti"))
-        found = _similar(stars, texts, words, share, seed)
-        edges, tried = (found, stars) if edges is None else (edges.unionByName(found), tried.unionByName(stars))
+    def met(edges: DataFrame) -> DataFrame:
+        """The keys' members with their classes by the links found so far."""
         roots = small_side(classes(edges), 16)
-        sides = settle(members.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node", "n", "at"))
+        return settle(members.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node", "n", "at", "common"))
+
+    tried = settle(_linked(texts, seed))
+    edges = _similar(tried, texts, words, share, seed)
+    sides = met(edges)
+    # each key's members of other classes meet the one with the most common keys: copies of one text have fewer words of
+    # their own, the nearer they are to it
+    hubs = sides.groupBy("key").agg(F.max(F.struct("common", "node", "n", "root")).alias("hub"), F.min("root").alias("a"), F.max("root").alias("b"))
+    hubs = small_side(hubs.where("a != b").select("key", "hub"), 40)
+    stars = sides.join(hubs, "key").where((F.col("root") != F.col("hub.root")) & fits(F.col("n"), F.col("hub.n")))
+    stars = stars.select(F.least("node", "hub.node").alias("src"), F.greatest("node", "hub.node").alias("dst")).distinct()
+    stars = settle(stars.join(tried, ["src", "dst"], "left_anti"))
+    edges, tried = edges.unionByName(_similar(stars, texts, words, share, seed)), tried.unionByName(stars)
+    sides = met(edges)
     busy = small_side(sides.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key"), 8)
     band = F.floor(F.log(F.col("n")) / math.log(1 / share) * (1 - 1e-9)).cast("int")
     sides = sides.join(busy, "key").withColumn("band", band)

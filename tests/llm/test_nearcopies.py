@@ -60,6 +60,24 @@ def test_equals_brute_force(spark):
     assert got == brute(rows) and len(set(got.values())) < len(rows) - 20
 
 
+def test_simhash_links_join_near_fingerprints(spark):
+    from pyspark.sql import functions as F
+
+    from clipledger.llm import nearcopies, simhash
+
+    rng, words = random.Random(7), [f"w{i}" for i in range(900)]
+    texts = [" ".join("x" if i == at else w for i, w in enumerate(words)) for at in rng.sample(range(900), 40)]
+    texts += [" ".join(rng.choice(words) for _ in range(60)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(3)
+    prints = {r.id: r.fingerprint for r in simhash.fingerprints(df, "node", "text").collect()}
+    up = {i: i for i in prints}
+    for _ in prints:
+        up = {i: min(up[j] for j in prints if (prints[i] ^ prints[j]).bit_count() <= nearcopies.BITS) for i in prints}
+    edges = nearcopies._linked(df, 42)
+    got = {i: i for i in prints} | {r.node: r.root for r in simhash.classes(edges).collect()}
+    assert got == up and edges.where(F.col("src") >= F.col("dst")).isEmpty() and len(set(up.values())) < 60
+
+
 def test_given_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
@@ -80,3 +98,21 @@ def test_odd_tables(odd_null, none):
     rows = near_copies(odd_null).collect()
     assert len(rows) == 14 and near_copies(none).collect() == []
     assert all(r.component_id == 3 for r in rows if r.id in (3, 4, 5))
+
+
+def test_large_group_around_one_text_meets_it(spark, monkeypatch):
+    """Copies with changed words of their own are alike to the text in the middle, seldom to each other."""
+    from clipledger.llm import nearcopies
+
+    rng, base = random.Random(11), [f"w{i}" for i in range(140)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 300):
+        x = list(base)
+        for at in rng.sample(range(140), 3):
+            x[at] = f"own{i}-{at}"
+        rows.append((i, " ".join(x)))
+    met, similar = [], nearcopies._similar
+    monkeypatch.setattr(nearcopies, "_similar", lambda pairs, *rest: met.append(pairs.count()) or similar(pairs, *rest))
+    got = {r.id: r.component_id for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert sum(met) < 4 * len(rows)  # not in proportion to all pairs
