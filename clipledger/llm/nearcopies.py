@@ -177,8 +177,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     share one (prefix filter), are about as large (length filter, by bands that a key is joined with) and have room for
     enough common shingles from the first common one on (positional filter). The order puts rare shingles first
     (:func:`_members`). Pairs that pass are compared by their whole sets. Equal sets are one node. First, nodes that
-    SimHash links (two of 64 bits, :func:`simhash.links`) are compared; then each key's nodes of other classes with
-    that of them whose keys are most common; both join large groups. Last, all nodes of a key that are still in different classes are compared with
+    SimHash links (two of 64 bits, :func:`simhash.links`) are compared, and each key's nodes with that of them whose
+    keys are most common; both join large groups. Last, all nodes of a key that are still in different classes are compared with
     each other, so copies beyond SimHash's reach are found too.
 
     Texts without words and null texts are copies of each other. Null ids keep their row, are never first, and do not
@@ -190,23 +190,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members, texts = _members(own, rows, words, share, seed)
     fits = lambda a, b: F.least(a, b) >= F.ceil(share * F.greatest(a, b) - 1e-9)
 
-    def met(edges: DataFrame) -> DataFrame:
-        """The keys' members with their classes by the links found so far."""
-        roots = small_side(classes(edges), 16)
-        return settle(members.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node", "n", "at", "common"))
-
-    tried = settle(_linked(texts, seed))
+    # each key's members meet the one with the most common keys: copies of one text have fewer words of their own, the
+    # nearer they are to it
+    hubs = small_side(members.groupBy("key").agg(F.max(F.struct("common", "node", "n")).alias("hub")), 32)
+    stars = members.join(hubs, "key").where((F.col("node") != F.col("hub.node")) & fits(F.col("n"), F.col("hub.n")))
+    stars = stars.select(F.least("node", "hub.node").alias("src"), F.greatest("node", "hub.node").alias("dst"))
+    tried = settle(_linked(texts, seed).unionByName(stars).distinct())
     edges = _similar(tried, texts, words, share, seed)
-    sides = met(edges)
-    # each key's members of other classes meet the one with the most common keys: copies of one text have fewer words of
-    # their own, the nearer they are to it
-    hubs = sides.groupBy("key").agg(F.max(F.struct("common", "node", "n", "root")).alias("hub"), F.min("root").alias("a"), F.max("root").alias("b"))
-    hubs = small_side(hubs.where("a != b").select("key", "hub"), 40)
-    stars = sides.join(hubs, "key").where((F.col("root") != F.col("hub.root")) & fits(F.col("n"), F.col("hub.n")))
-    stars = stars.select(F.least("node", "hub.node").alias("src"), F.greatest("node", "hub.node").alias("dst")).distinct()
-    stars = settle(stars.join(tried, ["src", "dst"], "left_anti"))
-    edges, tried = edges.unionByName(_similar(stars, texts, words, share, seed)), tried.unionByName(stars)
-    sides = met(edges)
+    roots = small_side(classes(edges), 16)
+    sides = settle(members.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node", "n", "at"))
     busy = small_side(sides.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key"), 8)
     band = F.floor(F.log(F.col("n")) / math.log(1 / share) * (1 - 1e-9)).cast("int")
     sides = sides.join(busy, "key").withColumn("band", band)
