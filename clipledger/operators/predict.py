@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from clipledger.functions.rules import Rule, apply_gates
 from clipledger.operators.lineage import audit_sets
-from clipledger.session import join_same
+from clipledger.session import join_same, spread_groups
 
 #: Rows of a task that become states at once.
 PARTIAL_ROWS = 1 << 18
@@ -85,37 +85,41 @@ def predict_missing(df: DataFrame, cache: DataFrame, predictor: Predictor, ids:
 def merge_aggregate(df: DataFrame, by: Sequence[str], partial: Callable, merge: Callable, finish: Callable, state: str, result: str) -> DataFrame:
     """User-defined aggregate with partial states.
 
-    ``partial(group_pdf) -> dict`` gives a state, ``merge(states_pdf) -> dict`` joins states, ``finish(state_row) ->
-    dict`` gives the result. A task reduces its rows in stretches of PARTIAL_ROWS; what is shuffled is a state per key
-    and stretch, so no group is held whole and groups of any size take the same way.
+    ``partial(groups) -> frame`` turns rows into states, ``merge(groups) -> frame`` joins states: both get a
+    ``DataFrameGroupBy`` and give a row for each group, so that all groups at hand are worked on at once.
+    ``finish(states) -> frame`` gives the results of a frame of states. A task reduces its rows in stretches of
+    PARTIAL_ROWS; what is shuffled is a state per key and stretch, and a key's states are joined as they come, so no group
+    is held whole and groups of any size take the same way.
     """
     by = list(by)
     keys = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    grouped = lambda pdf: pdf.groupby(by, dropna=False, sort=False)
 
     def start(batches):
         held, n = [], 0
-
-        def give():
-            pdf = pd.concat(held) if len(held) > 1 else held[0]
-            return pd.DataFrame([{**dict(zip(by, k)), **partial(g)} for k, g in pdf.groupby(by, dropna=False, sort=False)])
-
         for pdf in batches:
-            if len(pdf):
-                held.append(pdf)
-                n += len(pdf)
+            held.append(pdf)
+            n += len(pdf)
             if n >= PARTIAL_ROWS:
-                yield give()
+                yield partial(grouped(pd.concat(held))).reset_index()
                 held, n = [], 0
-        if held:
-            yield give()
-
-    def join(pdf):
-        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by}, **merge(pdf)}])
+        if n:
+            yield partial(grouped(pd.concat(held))).reset_index()
 
-    states = df.mapInPandas(start, f"{keys}, {state}").groupBy(*by).applyInPandas(join, f"{keys}, {state}")
-
-    def end(batches):
+    def join(batches):
+        """States sorted by key: the last key of a batch may go on in the next one."""
+        last = None
         for pdf in batches:
-            yield pd.DataFrame([{**{c: r[c] for c in by}, **finish(r)} for r in pdf.to_dict("records")])
-
-    return states.mapInPandas(end, f"{keys}, {result}")
+            if len(pdf):
+                now = merge(grouped(pdf if last is None else pd.concat([last, pdf]))).reset_index()
+                last = now[-1:]
+                if len(now) > 1:
+                    yield end(now[:-1])
+        if last is not None:
+            yield end(last)
+
+    def end(states):
+        return pd.concat([states[by], finish(states)], axis=1)
+
+    states = spread_groups(df.mapInPandas(start, f"{keys}, {state}"), by).sortWithinPartitions(*by)
+    return states.mapInPandas(join, f"{keys}, {result}")

@@ -183,15 +183,16 @@ def reuse_plan(t):
 @query("agg_udf", f"SELECT l_suppkey, {q6('sum(l_quantity * l_tax) / sum(l_quantity)')} AS weighted_mean, {q6('max(l_extendedprice) - min(l_extendedprice)')} AS spread FROM lineitem GROUP BY 1")
 def agg_udf(t):
     def partial(g):
-        return {"w": float(g["l_quantity"].sum()), "s": float((g["l_quantity"] * g["l_tax"]).sum()), "lo": float(g["l_extendedprice"].min()), "hi": float(g["l_extendedprice"].max())}
+        return g.agg(w=("l_quantity", "sum"), s=("taxed", "sum"), lo=("l_extendedprice", "min"), hi=("l_extendedprice", "max"))
 
-    def merge(s):
-        return {"w": s["w"].sum(), "s": s["s"].sum(), "lo": s["lo"].min(), "hi": s["hi"].max()}
+    def merge(g):
+        return g.agg({"w": "sum", "s": "sum", "lo": "min", "hi": "max"})
 
-    def finish(r):
-        return {"weighted_mean": r["s"] / r["w"], "spread": r["hi"] - r["lo"]}
+    def finish(d):
+        return pd.DataFrame({"weighted_mean": d["s"] / d["w"], "spread": d["hi"] - d["lo"]})
 
-    d = pr.merge_aggregate(t.lineitem.select("l_suppkey", "l_quantity", "l_tax", "l_extendedprice"), ["l_suppkey"], partial, merge, finish, "w double, s double, lo double, hi double", "weighted_mean double, spread double")
+    rows = t.lineitem.select("l_suppkey", "l_quantity", (col("l_quantity") * col("l_tax")).alias("taxed"), "l_extendedprice")
+    d = pr.merge_aggregate(rows, ["l_suppkey"], partial, merge, finish, "w double, s double, lo double, hi double", "weighted_mean double, spread double")
     return d.select("l_suppkey", r6("weighted_mean").alias("weighted_mean"), r6("spread").alias("spread"))
 
 
