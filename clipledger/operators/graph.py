@@ -24,20 +24,43 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected edge table (src, dst): node → smallest node of its component.
 
-    Each node takes the smallest label of its neighbours, then the label of its label, until nothing changes; the
-    second step halves the remaining distance, so rounds grow with the logarithm of the diameter.
+    Each node with a smaller neighbour goes into the smallest one; such steps are followed to their end, and the edges
+    between what is left are the next round's. A node that stays either takes up a neighbour or gets a smaller one, so
+    two rounds halve the nodes at least, and every round works on the edges that are left, not on all of them.
     """
-    e = settle(_both_ways(edges))
-    lab = settle(e.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("_m")).select("node", F.least("node", "_m").alias("component")))
+    a, b = F.least("src", "dst"), F.greatest("src", "dst")
+    e = settle(edges.select(a.alias("a"), b.alias("b")))
+    loops = e.where("a = b").select(F.col("a").alias("node"))
+    e, taken = e.where("a < b"), []
+    while True:
+        up = settle(e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")))
+        if up.isEmpty():
+            break
+        up = _to_the_end(up)
+        taken.append(up)
+        low = e.join(up.select(F.col("node").alias("b"), F.col("up").alias("_b")), "b")
+        low = low.join(up.select(F.col("node").alias("a"), F.col("up").alias("_a")), "a", "left").withColumn("_a", F.coalesce("_a", "a")).where("_a != _b")
+        e = settle(low.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+    if not taken:
+        return loops.distinct().select("node", F.col("node").alias("component"))
+    lab = taken.pop()
+    while taken:  # a node of an earlier round has the label of the one that took it up
+        of = lab.select(F.col("node").alias("up"), F.col("up").alias("_up"))
+        lab = taken.pop().join(of, "up", "left").select("node", F.coalesce("_up", "up").alias("up")).unionByName(lab)
+    lab = settle(lab)
+    own = lab.select("up").distinct().select(F.col("up").alias("node"), F.col("up").alias("component"))
+    lab = lab.withColumnRenamed("up", "component").unionByName(own)
+    alone = loops.distinct().join(lab, "node", "left_anti")
+    return lab.unionByName(alone.select("node", F.col("node").alias("component")))
+
+
+def _to_the_end(up: DataFrame) -> DataFrame:
+    """Steps to a smaller node (node, up), followed to their end: each round doubles their reach."""
     while True:
-        msg = e.join(lab, e.dst == lab.node).groupBy("src").agg(F.min("component").alias("_m"))
-        near = lab.join(msg, lab.node == msg.src, "left").select("node", F.col("component").alias("_old"), F.least("component", F.coalesce("_m", "component")).alias("component"))
-        jump = lab.select(F.col("node").alias("component"), F.col("component").alias("_up"))
-        new = settle(near.join(jump, "component", "left").select("node", "_old", F.least("component", F.coalesce("_up", "component")).alias("component")))
-        changed = new.where("_old != component")
-        lab = new.drop("_old")
-        if changed.isEmpty():
-            return lab
+        on = up.join(up.select(F.col("node").alias("up"), F.col("up").alias("_on")), "up", "left")
+        if on.where("_on IS NOT NULL").isEmpty():
+            return up
+        up = settle(on.select("node", F.coalesce("_on", "up").alias("up")))
 
 
 def component_stats(labels: DataFrame) -> DataFrame:

@@ -16,11 +16,19 @@ from clipledger.session import join_same, settle
 col = F.col
 
 
+PARTS = 10**9  # parts as nodes count from here: the order of numbers is that of the names, which have nine digits
+
+
 def customer_part(t):
-    """Edges between customers (c…) and the parts (p…) they ordered."""
+    """Edges between customers and the parts they ordered, as numbers (see :func:`node_name`)."""
     li = t.lineitem.select("l_orderkey", "l_partkey")
     o = t.orders.select(col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    return li.join(o, "l_orderkey").select(F.concat(F.lit("c"), F.lpad(col("o_custkey").cast("string"), 9, "0")).alias("src"), F.concat(F.lit("p"), F.lpad(col("l_partkey").cast("string"), 9, "0")).alias("dst")).distinct()
+    return li.join(o, "l_orderkey").select(big("o_custkey").alias("src"), (big("l_partkey") + PARTS).alias("dst")).distinct()
+
+
+def node_name(c):
+    """c… for customers, p… for parts."""
+    return F.concat(F.when(c < PARTS, "c").otherwise("p"), F.lpad((c % PARTS).cast("string"), 9, "0"))
 
 
 _GRAPH = """ed AS MATERIALIZED (SELECT DISTINCT 'c' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS src, 'p' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -33,15 +41,15 @@ cc(node, comp) USING KEY (node) AS (SELECT src, min(least(src, dst)) FROM bi GRO
 SELECT comp AS component, count(*) AS size, {q6("count(*) / (SELECT count(*) FROM cc)")} AS dominance, comp = (SELECT comp FROM cc GROUP BY 1 ORDER BY count(*) DESC, comp LIMIT 1) AS largest FROM cc GROUP BY 1""")
 def components(t):
     d = gr.component_stats(gr.components(customer_part(t)))
-    return d.select("component", "size", r6("dominance").alias("dominance"), "largest")
+    return d.select(node_name(col("component")).alias("component"), "size", r6("dominance").alias("dominance"), "largest")
 
 
 _LAB = """lb AS MATERIALIZED (SELECT 'c' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS node, CAST(c_nationkey % 5 AS INT) AS label FROM customer UNION ALL SELECT 'p' || lpad(CAST(p_partkey AS VARCHAR), 9, '0'), CAST(p_size % 5 AS INT) FROM part)"""
 
 
 def node_labels(t):
-    c = t.customer.select(F.concat(F.lit("c"), F.lpad(col("c_custkey").cast("string"), 9, "0")).alias("node"), (col("c_nationkey") % 5).cast("int").alias("label"))
-    return c.unionByName(t.part.select(F.concat(F.lit("p"), F.lpad(col("p_partkey").cast("string"), 9, "0")).alias("node"), (col("p_size") % 5).cast("int").alias("label")))
+    c = t.customer.select(big("c_custkey").alias("node"), (col("c_nationkey") % 5).cast("int").alias("label"))
+    return c.unionByName(t.part.select((big("p_partkey") + PARTS).alias("node"), (col("p_size") % 5).cast("int").alias("label")))
 
 
 @query("charts", f"""
@@ -62,9 +70,9 @@ w(node, level) USING KEY (node) AS (SELECT src, 0 FROM (SELECT DISTINCT src FROM
 SELECT w.node, CAST(level AS INT) AS level FROM w JOIN lb ON lb.node = w.node WHERE lb.label = 2 AND level > 0 AND level = (SELECT min(level) FROM w JOIN lb ON lb.node = w.node WHERE lb.label = 2 AND level > 0)""")
 def bfs(t):
     e = customer_part(t)
-    rich = t.customer.where("c_acctbal > 9800").select(F.concat(F.lit("c"), F.lpad(col("c_custkey").cast("string"), 9, "0")).alias("node"))
+    rich = t.customer.where("c_acctbal > 9800").select(big("c_custkey").alias("node"))
     seeds = e.select(col("src").alias("node")).distinct().join(rich, "node", "left_semi")
-    return gr.nearest_labelled(e, seeds, node_labels(t).where("label = 2")).select("node", "level")
+    return gr.nearest_labelled(e, seeds, node_labels(t).where("label = 2")).select(node_name(col("node")).alias("node"), "level")
 
 
 @query("adjacency", """

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from clipledger.operators import graph as gr
 from clipledger.operators import predict as pr
 
 
@@ -28,3 +30,31 @@ def test_aggregate_works_on_all_groups_at_once(spark):
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_components_work_on_the_edges_that_are_left(spark, monkeypatch):
+    """Random graphs, a path, a star and loops as by union-find; the table of edges shrinks from round to round."""
+    rng = np.random.default_rng(5)
+    pairs = rng.integers(0, 400, (330, 2)).tolist() + [[1000 + i, 1001 + i] for i in range(70)] + [[2000 + i, 2099] for i in range(40)] + [[3000, 3000], [3001, 3001], [3001, 3002]]
+    settled, settle = [], gr.settle
+
+    def noted(df):
+        out = settle(df)
+        if set(out.columns) == {"a", "b"}:
+            settled.append(out.count())
+        return out
+
+    monkeypatch.setattr(gr, "settle", noted)
+    root = {n: n for p in pairs for n in p}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for x, y in pairs:
+        x, y = sorted((find(x), find(y)))
+        root[y] = x
+    got = gr.components(spark.createDataFrame(pairs, "src long, dst long")).collect()
+    assert sorted((r.node, r.component) for r in got) == sorted((n, find(n)) for n in root)
+    assert len(settled) > 1 and settled[1] < settled[0] / 2 and settled[-1] == 0
