@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipledger.functions import arrays, geometry as geo
@@ -14,7 +15,7 @@ from clipledger.operators.aggregates import quantiles
 from clipledger.operators.pairs import aligned_quantile, pair_quantile
 from clipledger.operators.selection import best_by
 from clipledger.operators.windows import stable_run, unwrap
-from clipledger.session import join_same, settle
+from clipledger.session import join_same, settle, spread_groups
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -105,12 +106,13 @@ def face_neighbours(faces: DataFrame, by: Sequence[str], face: str, edge: Sequen
     error, since its pairs would grow with their square; none is left out in silence.
     """
     by, edge = list(by), list(edge)
-    f = faces.select(*by, *edge, face).distinct()
-    n = f.groupBy(*by, *edge).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*by, *edge).orderBy(face)
+    f = faces.select(*by, *edge, face).where(F.col(face).isNotNull()).withColumn("_r", F.dense_rank().over(w)).where(F.col("_r") <= most + 1)
+    f = f.groupBy(*by, *edge).agg(F.sort_array(F.collect_set(face)).alias("_f"))
     said = F.concat(F.lit(f"more than {most} faces on the edge "), F.to_json(F.struct(*by, *edge)))
-    few = join_same(f, n, by + edge).where(F.when(F.col("_n") <= most, F.col("_n") > 1).otherwise(F.raise_error(said).cast("boolean")))
-    one, two = few.drop("_n").withColumnRenamed(face, "src"), few.drop("_n").withColumnRenamed(face, "dst")
-    return join_same(one, two, by + edge).where("src != dst").select(*by, "src", "dst").distinct()
+    few = f.where(F.when(F.size("_f") <= most, F.size("_f") > 1).otherwise(F.raise_error(said).cast("boolean")))
+    pairs = few.withColumn("src", F.explode("_f")).select(*by, "src", F.explode("_f").alias("dst")).where("src != dst")
+    return spread_groups(pairs, [*by, "dst"]).distinct()  # rows of a dst stay together: joins on it need no shuffle
 
 
 def smooth_labels(scores: DataFrame, neighbours: DataFrame, weight: float = 0.12, rounds: int = 2) -> DataFrame:
@@ -120,14 +122,17 @@ def smooth_labels(scores: DataFrame, neighbours: DataFrame, weight: float = 0.12
     lowest label.
     """
     lab = scores.groupBy("node").agg(F.min(F.struct(-F.col("score"), "label")).alias("_b")).select("node", "_b.label")
-    degree = neighbours.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("_deg"))
+    neighbours = neighbours.select("src", "dst").persist(StorageLevel.DISK_ONLY)
+    degree = neighbours.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("_deg"))
     base = settle(scores.join(degree, "node", "left"))
     for _ in range(max(rounds, 0)):
         lab = settle(lab)
-        votes = neighbours.join(lab.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "label").agg(F.count("*").alias("_k"))
+        votes = neighbours.join(lab.withColumnRenamed("node", "dst").hint("shuffle_hash"), "dst").groupBy(F.col("src").alias("node"), "label").agg(F.count("*").alias("_k"))
         s = base.join(votes, ["node", "label"], "left")
         total = F.round(F.col("score") + F.coalesce(weight * F.col("_k") / F.col("_deg"), F.lit(0.0)), 9)
         lab = s.groupBy("node").agg(F.min(F.struct(-total, "label")).alias("_b")).select("node", "_b.label")
+    lab = settle(lab)
+    neighbours.unpersist()
     return lab
 
 
@@ -182,12 +187,14 @@ def smooth_in_order(scores: DataFrame, neighbours: DataFrame, weight: float | No
 def taubin(values: DataFrame, neighbours: DataFrame, coords: Sequence[str], lam: float = 0.45, mu: float = -0.47, rounds: int = 8) -> DataFrame:
     """Shrink-free smoothing: each round moves nodes towards their neighbours' mean by ``lam``, then by ``mu``."""
     coords = list(coords)
-    nb = settle(neighbours.select("src", "dst"))
+    nb = neighbours.select("src", "dst").persist(StorageLevel.DISK_ONLY)
     v = values.select("node", *coords)
     for step in [lam, mu] * rounds:
         v = settle(v)
-        mean = nb.join(v.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(*[F.avg(c).alias(f"_m_{c}") for c in coords])
+        mean = nb.join(v.withColumnRenamed("node", "dst").hint("shuffle_hash"), "dst").groupBy(F.col("src").alias("node")).agg(*[F.avg(c).alias(f"_m_{c}") for c in coords])
         v = v.join(mean, "node", "left").select("node", *[(F.col(c) + step * F.coalesce(F.col(f"_m_{c}") - F.col(c), F.lit(0.0))).alias(c) for c in coords])
+    v = settle(v)
+    nb.unpersist()
     return v
 
 

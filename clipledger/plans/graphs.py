@@ -100,7 +100,7 @@ l0 AS MATERIALIZED (SELECT node, label FROM (SELECT *, row_number() OVER (PARTIT
 SELECT node, label FROM l2""")
 def smooth_labels(t):
     s = t.lineitem.groupBy(col("l_partkey").alias("node"), col("l_returnflag").alias("label")).agg(F.round(F.avg("l_quantity") / 500, 9).alias("score"))
-    return gr.smooth_labels(s, settle(part_neighbours(t))).select("node", "label")
+    return gr.smooth_labels(s, part_neighbours(t)).select("node", "label")
 
 
 @query("smooth_in_order", """

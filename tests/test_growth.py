@@ -58,3 +58,12 @@ def test_components_work_on_the_edges_that_are_left(spark, monkeypatch):
     got = gr.components(spark.createDataFrame(pairs, "src long, dst long")).collect()
     assert sorted((r.node, r.component) for r in got) == sorted((n, find(n)) for n in root)
     assert len(settled) > 1 and settled[1] < settled[0] / 2 and settled[-1] == 0
+
+
+def test_neighbours_stay_with_their_destination(spark):
+    """Faces and then pairs are shuffled once each; the smoothing rounds shuffle nodes, not pairs."""
+    d = spark.createDataFrame([(1, 7), (1, 7), (1, 8), (2, 8), (2, 9), (3, 9), (4, None), (4, 7), (5, 7), (5, 8)], "e long, f long")
+    n = gr.face_neighbours(d, [], "f", ["e"])
+    plan = n.sparkSession._jvm.PythonSQLUtils.explainString(n._jdf.queryExecution(), "simple")
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert sorted(map(tuple, n.collect())) == [(7, 8), (8, 7), (8, 9), (9, 8)]
