@@ -72,14 +72,14 @@ SELECT mesh, way AS relative, part, v0, v1, v2, {q6("s")} AS x_sum FROM v""")
 def mesh_text(t):
     """Orders as meshes: a vertex line per order line, one polygon with plain ids and one with relative ids."""
     v = t.lineitem.select("l_orderkey", F.struct("l_quantity", "l_extendedprice", "l_discount").alias("p"))
-    m = v.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    m = v.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("p")).alias("ps"))
     lines = F.array_join(F.transform("ps", lambda p: F.concat_ws(" ", F.lit("v"), p["l_quantity"].cast("string"), p["l_extendedprice"].cast("string"), p["l_discount"].cast("string"))), "\n")
     n = F.size("ps")
     plain = F.concat(F.lit("f "), F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(i.cast("string"), F.lit("/1/1"))), " "))
     back = F.concat(F.lit("f "), F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: (i - n - 1).cast("string")), " "))
     texts = m.select(col("l_orderkey").alias("mesh"), F.concat_ws("\n", F.lit("# mesh"), lines, plain, back).alias("text"), n.alias("n"))
-    vertices, faces = rd.parse_mesh_text(texts, ["mesh"], "text")
-    f = faces.join(texts.select("mesh", "n"), "mesh").withColumn("relative", (col("line") == col("n") + 2).cast("int"))
+    vertices, faces = rd.parse_mesh_text(texts, ["mesh", "n"], "text")
+    f = faces.withColumn("relative", (col("line") == col("n") + 2).cast("int"))
     for c in ("v0", "v1", "v2"):
         f = f.join(vertices.select("mesh", col("vid").alias(c), col("x").alias(f"x_{c}")), ["mesh", c])
     return f.select("mesh", "relative", "part", "v0", "v1", "v2", r6(col("x_v0") + col("x_v1") + col("x_v2")).alias("x_sum"))
@@ -97,7 +97,7 @@ WITH l AS (SELECT l_orderkey AS m, l_quantity AS x, row_number() OVER (PARTITION
 SELECT m AS l_orderkey, max(n) - 2 AS triangles, {q6("sum(CASE WHEN i = 1 THEN (n - 2) * x WHEN i = 2 OR i = n THEN x ELSE 2 * x END)")} AS x_sum FROM l WHERE n >= 3 GROUP BY 1""")
 def mesh_files(t):
     """Orders as vertices and a polygon with relative ids, many in a file; files are read by blocks."""
-    rows = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_quantity", "l_extendedprice"))).alias("ps"))
+    rows = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_quantity", "l_extendedprice"))).alias("ps"))
     lines = F.array_join(F.transform("ps", lambda p: F.concat_ws(" ", F.lit("v"), p["l_quantity"].cast("string"), col("l_orderkey").cast("string"), F.lit("0"))), "\n")
     face = F.concat(F.lit("f "), F.array_join(F.transform(F.sequence(-F.size("ps"), F.lit(-1)), lambda i: F.concat(i.cast("string"), F.lit("//1"))), " "))
     folder = text_files(rows.repartitionByRange(4, "l_orderkey").sortWithinPartitions("l_orderkey").select(F.concat_ws("\n", lines, face).alias("value")))

@@ -157,9 +157,11 @@ def read_sfm(spark: SparkSession, path: str, clip: str = "clip_id") -> tuple[Dat
 def fan(polygons: DataFrame, ids: str) -> DataFrame:
     """Triangles (first, k, k+1) of each row's polygon as rows with their ``part`` number; fewer than three corners
     give none."""
-    d = polygons.where(F.size(ids) >= 3).withColumn("_k", F.explode(F.sequence(F.lit(1), F.size(ids) - 2)))
     corner = lambda k: F.get(F.col(ids), k).cast("long")
-    return d.withColumns({"part": F.col("_k") - 1, "v0": corner(F.lit(0)), "v1": corner(F.col("_k")), "v2": corner(F.col("_k") + 1)}).drop("_k")
+    first = F.when(F.size(ids) >= 3, F.sequence(F.lit(1), F.size(ids) - 2))
+    # all corners come from the generator: no filter on them then moves to the polygons, to read the ids of every line
+    d = polygons.withColumn("_k", F.explode(F.transform(first, lambda k: F.struct((k - 1).alias("part"), corner(F.lit(0)).alias("v0"), corner(k).alias("v1"), corner(k + 1).alias("v2")))))
+    return d.select("*", "_k.*").drop("_k")
 
 
 def parse_mesh_text(texts: DataFrame, by: Sequence[str], text: str) -> tuple[DataFrame, DataFrame]:
@@ -171,7 +173,7 @@ def parse_mesh_text(texts: DataFrame, by: Sequence[str], text: str) -> tuple[Dat
     by = list(by)
     lines = texts.select(*by, F.posexplode(F.split(text, r"\r?\n")).alias("line", "value"))
     d = by_group(_mesh_lines(lines), by, lambda d, g: g.running(d, ["line"], _seen=(F.col("_k") == "v").cast("long")))
-    return _mesh_rows(d, by)
+    return _mesh_rows(settle(d), by)  # read once, for vertices and faces and however often they are joined
 
 
 def _mesh_lines(lines: DataFrame) -> DataFrame:
@@ -182,7 +184,7 @@ def _mesh_lines(lines: DataFrame) -> DataFrame:
 def _mesh_rows(d: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     at = lambda i: F.get("_t", F.lit(i)).try_cast("double")
     vertices = d.where("_k = 'v'").select(*by, (F.col("_seen") - 1).alias("vid"), at(1).alias("x"), at(2).alias("y"), at(3).alias("z"))
-    raw = F.transform(F.slice("_t", F.lit(2), F.size("_t") - 1), lambda c: F.get(F.split(c, "/"), F.lit(0)).try_cast("long"))
+    raw = F.transform(F.slice("_t", F.lit(2), F.size("_t") - 1), lambda c: F.substring_index(c, "/", 1).try_cast("long"))
     ids = F.transform(raw, lambda i: F.when(i < 0, F.col("_seen") + i).otherwise(i - 1))
     faces = fan(d.where("_k = 'f'").select(*by, "line", ids.alias("_ids")), "_ids")
     return vertices, faces.select(*by, "line", "part", "v0", "v1", "v2")

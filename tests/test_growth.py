@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from clipledger.operators import graph as gr
 from clipledger.operators import predict as pr
+from clipledger.sources import readers as rd
 
 
 def test_aggregate_works_on_all_groups_at_once(spark):
@@ -67,3 +68,12 @@ def test_neighbours_stay_with_their_destination(spark):
     plan = n.sparkSession._jvm.PythonSQLUtils.explainString(n._jdf.queryExecution(), "simple")
     assert plan.count("Exchange hashpartitioning") == 2
     assert sorted(map(tuple, n.collect())) == [(7, 8), (8, 7), (8, 9), (9, 8)]
+
+
+def test_ids_of_faces_are_not_read_from_other_lines(spark):
+    """A join on corners must not read every vertex line as ids, whose failing casts cost most of the time."""
+    d = spark.createDataFrame([(1, "v 1.5 2 3\nv 2 2 3\nv 3 2 3\nf 1/1 2/1 -1/1\nf 1 2\nv 4 0 0\nf -4 -3 -2 -1")], "mesh long, text string")
+    f = rd.parse_mesh_text(d, ["mesh"], "text")[1].where("v0 IS NOT NULL AND v1 IS NOT NULL")
+    plan = f.sparkSession._jvm.PythonSQLUtils.explainString(f._jdf.queryExecution(), "simple")
+    assert not [x for x in plan.splitlines() if "Filter" in x and "transform(" in x]
+    assert sorted((r.line, r.part, r.v0, r.v1, r.v2) for r in f.collect()) == [(3, 0, 0, 1, 2), (6, 0, 0, 1, 2), (6, 1, 0, 2, 3)]
