@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from clipledger.operators import graph as gr
+from clipledger.operators import graph as gr, joins as jn, models as md
 from clipledger.operators import predict as pr
 from clipledger.sources import readers as rd
 
@@ -77,3 +77,28 @@ def test_ids_of_faces_are_not_read_from_other_lines(spark):
     plan = f.sparkSession._jvm.PythonSQLUtils.explainString(f._jdf.queryExecution(), "simple")
     assert not [x for x in plan.splitlines() if "Filter" in x and "transform(" in x]
     assert sorted((r.line, r.part, r.v0, r.v1, r.v2) for r in f.collect()) == [(3, 0, 0, 1, 2), (6, 0, 0, 1, 2), (6, 1, 0, 2, 3)]
+
+
+def test_pairs_are_compared_where_they_meet(spark):
+    """Pairs of views with short and with long lists of tokens as by brute force; short lists are compared in the join."""
+    rng = np.random.default_rng(3)
+    size = [2, 3, 5, jn.SHORT, jn.SHORT + 1, 40]
+    sets = {v: set(rng.choice(90, size[v % len(size)], replace=False).tolist()) for v in range(90)}
+    turn = {v: float(rng.uniform(0, np.pi)) for v in sets}
+    views = spark.createDataFrame([("a", v, [float(np.cos(x)), float(np.sin(x)), 0.0]) for v, x in turn.items()], "k string, v long, d array<double>")
+    tokens = spark.createDataFrame([("a", v, int(x)) for v, s in sets.items() for x in s], "k string, v long, t long")
+    out = jn.view_pairs(views, tokens, ["k"], "v", "d", "t", 8.0, 2)
+    plan = out.sparkSession._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+    assert [x for x in plan.splitlines() if "Join" in x and "array_intersect" in x]
+    want = {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 2 and abs(turn[a] - turn[b]) * 180 / np.pi >= 8}
+    assert {(r.view_a, r.view_b, r.shared) for r in out.collect()} == want
+
+
+def test_draws_are_kept_without_their_keys(spark, monkeypatch):
+    """What is settled of the draws holds no hash of each, and is read once."""
+    kept, settle = [], md.settle
+    monkeypatch.setattr(md, "settle", lambda df: kept.append(df.columns) or settle(df))
+    d = spark.range(60).select((F.col("id") % 3).alias("k"), "id", F.lit(0.5).alias("q"), (F.col("id") / 60).alias("a"), (F.col("id") % 7 / 7).alias("d"), F.lit(False).alias("r"))
+    out = md.subset_agreement(d, ["k"], "id", "q", "a", ["d"], "r", lambda c: c.withColumn("predicted", F.lit("one"))).collect()
+    assert {(r.k, r.predicted, r.agreement) for r in out} == {(k, "one", 1.0) for k in range(3)}
+    assert any("_trial" in c for c in kept) and not any("_key" in c for c in kept)
