@@ -120,14 +120,14 @@ def subset_agreement(frames: DataFrame, by: Sequence[str], frame: str, quality:
     reps = best_per_bin(valid, by, F.rint(F.col(aspect) / 0.05), [F.col(quality).desc(), *order]).drop("view_bin")
     n = join_same(valid.groupBy(*by).agg(F.count("*").alias("_valid")), reps.groupBy(*by).agg(F.count("*").alias("_reps")), by)
     use = F.col("_reps") >= 4
-    pop = join_same(reps, n.where(use), by).unionByName(join_same(valid, n.where(~use), by))
+    pop = settle(join_same(reps, n.where(use), by).unionByName(join_same(valid, n.where(~use), by)))
     size = F.when(use, F.col("_reps")).otherwise(F.col("_valid"))
     take = F.greatest(F.lit(3), F.ceil(SHARE * size))
     take = F.when(size >= 4, F.least(take, size - 1)).otherwise(take)
     draws = pop.where(F.col("_valid") >= MIN_VALID).withColumn("_take", take).withColumn("_trial", F.explode(F.sequence(F.lit(0), F.lit(TRIALS - 1))))
-    draws = draws.withColumn("_key", F.sha2(F.concat_ws("|", F.lit(seed), F.col("_trial").cast("string"), F.col(frame).cast("string")), 256))
-    draws = by_group(settle(draws), [*by, "_trial"], lambda d, g: g.rank(d, ["_key", frame], "_i")).where("_i <= _take")
-    each = make(draws.drop("_valid", "_reps", "_take", "_key", "_i"), [*by, "_trial"])
+    draws = draws.withColumn("_key", F.unhex(F.sha2(F.concat_ws("|", F.lit(seed), F.col("_trial").cast("string"), F.col(frame).cast("string")), 256)))
+    drawn = by_group(draws, [*by, "_trial"], lambda d, g: g.rank(d, ["_key", frame], "_i")).where("_i <= _take")
+    each = make(settle(drawn.drop("_valid", "_reps", "_take", "_key", "_i")), [*by, "_trial"])  # without keys, and drawn once
     match = join_same(each.select(*by, "predicted"), whole, by).groupBy(*by).agg(F.avg(F.col("predicted").eqNullSafe(F.col("_whole")).cast("double")).alias("agreement"))
     return join_same(whole, match, by, "left").select(*by, F.col("_whole").alias("predicted"), F.coalesce("agreement", F.lit(0.0)).alias("agreement"))
 
