@@ -56,60 +56,71 @@ def _job_state(stages: Sequence[str], patience_ms: int | None, memory_ms: int):
             self.artifacts = handle.getMapState("artifacts", "key string", "digest string, stage string")
             self.seen = handle.getMapState("seen", "event string", "at long")
 
-        def _forget(self, stage: str) -> None:
-            """Take back what a stage has produced, before it runs anew."""
-            if self.stages.containsKey((stage,)):
-                for k in [k for k in (self.stages.getValue((stage,))[2] or "").split("\n") if k]:
-                    if self.artifacts.containsKey((k,)) and self.artifacts.getValue((k,))[1] == stage:
-                        self.artifacts.removeKey((k,))
-
         def _clear(self) -> None:
             for state in (self.job, self.stages, self.artifacts, self.seen):
                 state.clear()
 
         def handleInputRows(self, key, rows, timerValues):
-            status, active, updated, events, heard = self.job.get() if self.job.exists() else (None, None, 0, 0, 0)
+            known = self.job.exists()
+            status, active, updated, events, heard = self.job.get() if known else (None, None, 0, 0, 0)
+            # a call of the state store costs more than an event: small states are read and written once a batch, and
+            # ids are looked up only where the store may hold them
+            ran = {k[0]: (v[0], int(v[1]), v[2] or "") for k, v in self.stages.iterator()} if known else {}
+            held = {k[0]: (v[0], v[1]) for k, v in self.artifacts.iterator()} if known else {}
+            ran_before, held_before, ids = dict(ran), dict(held), {}
             new = pd.concat(list(rows)).sort_values(["us", "event"], kind="stable")
             for r in new.itertuples(index=False):
                 if patience_ms is not None and heard and int(r.us) > heard + patience_ms * 1000:
                     self._clear()
-                    status, active, events = None, None, 0
-                if self.seen.containsKey((r.event,)):
+                    status, active, events, known = None, None, 0, False
+                    ran, held, ran_before, held_before, ids = {}, {}, {}, {}, {}
+                if r.event in ids or known and self.seen.containsKey((r.event,)):
                     continue
-                self.seen.updateValue((r.event,), (int(r.us),))
+                ids[r.event] = int(r.us)
                 events, updated, heard = events + 1, int(r.us), max(heard, int(r.us))
-                old = self.stages.getValue((r.stage,)) if self.stages.containsKey((r.stage,)) else ("pending", 0, "")
-                if r.kind == STARTED:
-                    self._forget(r.stage)
-                    self.stages.updateValue((r.stage,), ("running", int(old[1]) + 1, ""))
+                old = ran.get(r.stage, ("pending", 0, ""))
+                if r.kind == STARTED:  # take back what the stage has produced, before it runs anew
+                    for k in old[2].split("\n"):
+                        if k in held and held[k][1] == r.stage:
+                            del held[k]
+                    ran[r.stage] = ("running", old[1] + 1, "")
                     status, active = "running", r.stage
                 elif r.kind == COMPLETED:
                     made = dict(zip(r.keys, r.digests))
-                    for k, d in made.items():
-                        self.artifacts.updateValue((k,), (d, r.stage))
-                    outputs = sorted({*[x for x in (old[2] or "").split("\n") if x], *made})
-                    self.stages.updateValue((r.stage,), (COMPLETED, int(old[1]), "\n".join(outputs)))
-                    over = all(self.stages.containsKey((s,)) and self.stages.getValue((s,))[0] == COMPLETED for s in stages)
+                    held.update({k: (d, r.stage) for k, d in made.items()})
+                    outputs = sorted({*[x for x in old[2].split("\n") if x], *made})
+                    ran[r.stage] = (COMPLETED, old[1], "\n".join(outputs))
+                    over = all(s in ran and ran[s][0] == COMPLETED for s in stages)
                     status, active = COMPLETED if over else "running", None
                 elif r.kind == FAILED:
-                    self.stages.updateValue((r.stage,), (FAILED, int(old[1]), old[2] or ""))
+                    ran[r.stage] = (FAILED, old[1], old[2])
                     status, active = FAILED, r.stage
+            for k, us in ids.items():
+                self.seen.updateValue((k,), (us,))
+            for state, now, before in ((self.stages, ran, ran_before), (self.artifacts, held, held_before)):
+                for k in before.keys() - now.keys():
+                    state.removeKey((k,))
+                for k, v in now.items():
+                    if before.get(k) != v:
+                        state.updateValue((k,), v)
             self.job.update((status, active, updated, events, heard))
             # ids are forgotten once no copy can arrive in time, silent jobs when the caller says so
             self.handle.registerTimer(heard // 1000 + memory_ms)
             if patience_ms is not None:
                 self.handle.registerTimer(heard // 1000 + patience_ms)
-            found = {k[0]: v for k, v in self.artifacts.iterator()}
-            tries = {k[0]: int(v[1]) for k, v in self.stages.iterator()}
             yield pd.DataFrame({
-                "job": [key[0]], "status": [status], "active_stage": [active], "updated_us": [updated], "events": [events], "attempts": [[tries.get(s, 0) for s in stages]],
-                "artifacts": [sorted(f"{k}={v[0]}" for k, v in found.items())]})
+                "job": [key[0]], "status": [status], "active_stage": [active], "updated_us": [updated], "events": [events], "attempts": [[ran.get(s, ("", 0))[1] for s in stages]],
+                "artifacts": [sorted(f"{k}={v[0]}" for k, v in held.items())]})
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             if self.job.exists():
                 now, heard = expiredTimerInfo.getExpiryTimeInMs(), int(self.job.get()[4]) // 1000
-                for k in [k for k, v in self.seen.iterator() if int(v[0]) // 1000 + memory_ms <= now]:
-                    self.seen.removeKey(k)
+                due = {k: int(v[0]) // 1000 + memory_ms <= now for k, v in self.seen.iterator()}
+                if all(due.values()):
+                    self.seen.clear()
+                else:
+                    for k in [k for k, over in due.items() if over]:
+                        self.seen.removeKey(k)
                 if patience_ms is not None and heard + patience_ms <= now:
                     self._clear()
             return iter([])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from clipledger.operators import graph as gr, joins as jn, models as md
 from clipledger.operators import predict as pr
 from clipledger.sources import readers as rd
+from clipledger.streaming import streams as st
 
 
 def test_aggregate_works_on_all_groups_at_once(spark):
@@ -102,3 +103,35 @@ def test_draws_are_kept_without_their_keys(spark, monkeypatch):
     out = md.subset_agreement(d, ["k"], "id", "q", "a", ["d"], "r", lambda c: c.withColumn("predicted", F.lit("one"))).collect()
     assert {(r.k, r.predicted, r.agreement) for r in out} == {(k, "one", 1.0) for k in range(3)}
     assert any("_trial" in c for c in kept) and not any("_key" in c for c in kept)
+
+
+def test_job_state_asks_the_store_once_a_batch():
+    """A new job's events need no look-ups, copies in a batch none either; a later batch finds ids and stages again."""
+    calls = []
+
+    class Values(dict):
+        def exists(self): return "v" in self  # noqa: E704
+        def get(self): return self["v"]  # noqa: E704
+        def update(self, v): self["v"] = v  # noqa: E704
+
+    class Map(Values):
+        def containsKey(self, k): calls.append(("has", k)); return k in self  # noqa: E702, E704
+        def getValue(self, k): calls.append(("get", k)); return self[k]  # noqa: E702, E704
+        def updateValue(self, k, v): calls.append(("put", k)); self[k] = v  # noqa: E702, E704
+        def removeKey(self, k): del self[k]  # noqa: E704
+        def iterator(self): return iter(list(self.items()))  # noqa: E704
+
+    class Handle:
+        def getValueState(self, *a): return Values()  # noqa: E704
+        def getMapState(self, *a): return Map()  # noqa: E704
+        def registerTimer(self, at): pass  # noqa: E704
+
+    p = st._job_state(["s"], None, 1000)
+    p.init(Handle())
+    frame = lambda *rows: pd.DataFrame(rows, columns=["us", "event", "kind", "stage", "keys", "digests"])
+    rows = [(i, f"e{i}", "started" if i == 0 else "completed", "s", [f"k{i % 2}"], [str(i)]) for i in range(10)]
+    out = next(iter(p.handleInputRows(("j",), [frame(*rows, *rows)], None)))
+    assert (out["events"][0], out["attempts"][0], out["artifacts"][0]) == (10, [1], ["k0=8", "k1=9"])
+    assert sorted(c[0] for c in calls) == ["put"] * (10 + 1 + 2)
+    out = next(iter(p.handleInputRows(("j",), [frame(rows[3], (20, "e20", "started", "s", [], []))], None)))
+    assert (out["events"][0], out["attempts"][0], out["artifacts"][0], out["status"][0]) == (11, [2], [], "running")
