@@ -69,7 +69,8 @@ class Whole:
 
 class Split:
     """Groups too large for one task: global ranks and block-wise windows. Helper columns start with two underscores,
-    so that they cannot meet an operator's own."""
+    so that they cannot meet an operator's own. What holds a row per group, block or partition is small, as each such
+    group has many rows; it is broadcast, since a join shuffled by group would bring a whole group into one task."""
 
     def __init__(self, by: Sequence[str], block: int):
         self.by, self.block = list(by), max(int(block), 1)
@@ -87,14 +88,14 @@ class Split:
         starts = placed.groupBy(*self.by, "__part").agg(F.min("__at").alias("__start"), F.count("*").alias("__n"))
         upto = Window.partitionBy(*self.by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
         starts = starts.withColumn("__before", F.coalesce(F.sum("__n").over(upto), F.lit(0)))
-        out = join_same(placed, starts, self.by + ["__part"])
+        out = join_same(placed, F.broadcast(starts), self.by + ["__part"])
         return out.withColumn(name, F.col("__at") - F.col("__start") + F.col("__before") + 1).drop(
             "__at", "__part", "__start", "__n", "__before"
         )
 
     def attach(self, df: DataFrame, **aggs: Column) -> DataFrame:
         df = settle(df)
-        return join_same(df, df.groupBy(*self.by).agg(*[a.alias(n) for n, a in aggs.items()]), self.by)
+        return join_same(df, F.broadcast(df.groupBy(*self.by).agg(*[a.alias(n) for n, a in aggs.items()])), self.by)
 
     def slide(self, df: DataFrame, order: Sequence, before: int, after: int, **cols: Callable) -> DataFrame:
         size = max(self.block, before + after + 1)
@@ -126,7 +127,7 @@ class Split:
             *self.by, "__blk", *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(f"__p_{n}") for n in cols]
         )
         d = d.select("*", *[F.sum(c).over(inside).alias(f"__i_{n}") for n, c in cols.items()])
-        d = join_same(d, sums, self.by + ["__blk"])
+        d = join_same(d, F.broadcast(sums), self.by + ["__blk"])
         d = d.select("*", *[(F.coalesce(f"__i_{n}", F.lit(0)) + F.col(f"__p_{n}")).alias(n) for n in cols])
         return d.drop("__rn", "__blk", *[f"__i_{n}" for n in cols], *[f"__p_{n}" for n in cols])
 
@@ -141,7 +142,7 @@ class Split:
             *self.by, "__blk", *[F.last(f"__s_{n}", ignorenulls=True).over(earlier).alias(f"__p_{n}") for n in cols]
         )
         d = d.select("*", *[F.last(c, ignorenulls=True).over(inside).alias(f"__i_{n}") for n, c in cols.items()])
-        d = join_same(d, tails, self.by + ["__blk"])
+        d = join_same(d, F.broadcast(tails), self.by + ["__blk"])
         d = d.select("*", *[F.coalesce(f"__i_{n}", f"__p_{n}").alias(n) for n in cols])
         return d.drop("__rn", "__blk", *[f"__i_{n}" for n in cols], *[f"__p_{n}" for n in cols])
 
@@ -157,7 +158,7 @@ class Split:
             lo, hi = F.floor(at), F.ceil(at)
             inside = lambda p: (p >= F.col("_hi") - F.col("_c")) & (p < F.col("_hi"))
             picked = (
-                join_same(cum, total, self.by)
+                join_same(cum, F.broadcast(total), self.by)
                 .groupBy(*self.by)
                 .agg(
                     F.max(F.when(inside(lo), F.col("_v"))).alias("_a"),
@@ -168,12 +169,12 @@ class Split:
             picked = picked.select(
                 *self.by, (F.col("_a") * (1 - F.col("_f")) + F.col("_b") * F.col("_f")).alias(n)
             )
-            out = join_same(out, picked, self.by, "left")
+            out = join_same(out, F.broadcast(picked), self.by, "left")
         return out
 
     def attach_quantiles(self, df: DataFrame, **cols: tuple[Column, float]) -> DataFrame:
         df = settle(df)
-        return join_same(df, self.quantiles(df, **cols), self.by)
+        return join_same(df, F.broadcast(self.quantiles(df, **cols)), self.by)
 
     def fix(self, df: DataFrame) -> DataFrame:
         return settle(df)

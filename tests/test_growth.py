@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from clipledger.operators import graph as gr, joins as jn, models as md
+from clipledger.operators import aggregates as ag, graph as gr, groups as gp, joins as jn, models as md
 from clipledger.operators import predict as pr
 from clipledger.sources import readers as rd
 from clipledger.streaming import streams as st
@@ -135,3 +135,26 @@ def test_job_state_asks_the_store_once_a_batch():
     assert sorted(c[0] for c in calls) == ["put"] * (10 + 1 + 2)
     out = next(iter(p.handleInputRows(("j",), [frame(rows[3], (20, "e20", "started", "s", [], []))], None)))
     assert (out["events"][0], out["attempts"][0], out["artifacts"][0], out["status"][0]) == (11, [2], [], "running")
+
+
+def _joins(df, *kinds):
+    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+    return [x.strip() for x in plan.splitlines() if any(k in x for k in kinds)]
+
+
+def test_a_hot_group_is_never_shuffled_by_its_key_alone(spark):
+    """Joins of a hot group's rows with its own few sums do not bring the group into one task, however small the tables
+    that are broadcast unasked."""
+    d = spark.range(0, 6000, 1, 4).select(F.lit("a").alias("k"), F.col("id"), F.pmod(F.hash("id"), F.lit(5000)).cast("double").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        split = gp.Split(["k"], 500)
+        made = [split.rank(d, ["id"]), split.attach(d, n=F.count("*")), split.running(d, ["id"], s=F.col("v")), split.carry(d, ["id"], c=F.col("v")), split.attach_quantiles(d, m=(F.col("v"), 0.5))]
+        assert not [x for m in made for x in _joins(m, "SortMergeJoin", "ShuffledHashJoin")]
+        spark.conf.set("spark.clipledger.hotGroupRows", "500")
+        got = ag.robust_scale(d, ["k"], F.col("v"))
+        spark.conf.unset("spark.clipledger.hotGroupRows")
+        assert [tuple(r) for r in got.collect()] == [tuple(r) for r in ag.robust_scale(d, ["k"], F.col("v")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.clipledger.hotGroupRows")
