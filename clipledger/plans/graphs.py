@@ -11,7 +11,7 @@ from clipledger.operators.groups import by_group
 from clipledger.operators.selection import best_by
 from clipledger.plans.registry import big, codes_sql, joined, q6, query, r6
 from clipledger.plans.windows import FRAMES, HOURS, frames
-from clipledger.session import join_same, settle
+from clipledger.session import join_same, settle, spread_groups
 
 col = F.col
 
@@ -20,10 +20,12 @@ PARTS = 10**9  # parts as nodes count from here: the order of numbers is that of
 
 
 def customer_part(t):
-    """Edges between customers and the parts they ordered, as numbers (see :func:`node_name`)."""
-    li = t.lineitem.select("l_orderkey", "l_partkey")
+    """Edges between customers and the parts they ordered, as numbers (see :func:`node_name`); an edge for each line, as
+    repeated ones change nothing in what components and levels are, and few lines repeat one."""
+    # packed small, lines need much memory when sorted: tasks are as many as the session names, whatever their bytes
+    li = spread_groups(t.lineitem.select("l_orderkey", "l_partkey"), ["l_orderkey"])
     o = t.orders.select(col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    return li.join(o, "l_orderkey").select(big("o_custkey").alias("src"), (big("l_partkey") + PARTS).alias("dst")).distinct()
+    return li.join(o, "l_orderkey").select(big("o_custkey").alias("src"), (big("l_partkey") + PARTS).alias("dst"))
 
 
 def node_name(c):

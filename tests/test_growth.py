@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from clipledger.operators import aggregates as ag, graph as gr, groups as gp, joins as jn, models as md
 from clipledger.operators import predict as pr
+from clipledger.plans import graphs as pg
 from clipledger.sources import readers as rd
 from clipledger.streaming import streams as st
 
@@ -158,3 +159,14 @@ def test_a_hot_group_is_never_shuffled_by_its_key_alone(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.clipledger.hotGroupRows")
+
+
+def test_edges_of_the_graph_are_shuffled_once_for_the_tasks_named(spark):
+    """No hash table of all edges, and no few tasks that take what is packed small."""
+    class t:
+        lineitem = spark.createDataFrame([(1, 5), (1, 6), (2, 5), (2, 5), (3, 7)], "l_orderkey long, l_partkey long")
+        orders = spark.createDataFrame([(1, 10), (2, 11), (3, 12)], "o_orderkey long, o_custkey long")
+
+    edges = pg.customer_part(t)
+    assert not _joins(edges, "HashAggregate") and _joins(edges, "REPARTITION_BY_NUM")
+    assert {tuple(r) for r in edges.collect()} == {(c, p + pg.PARTS) for c, p in ((10, 5), (10, 6), (11, 5), (12, 7))}
