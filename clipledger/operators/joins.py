@@ -14,7 +14,7 @@ from clipledger.session import join_same, settle
 
 # Edges of the view-pair angle bins in degrees.
 ANGLE_EDGES = [0.0, 15.0, 35.0, 65.0, 100.0, 140.0, 180.000001]
-SPREAD = 4  # parts of one side of the token join
+SPREAD, HOT = 4, 1024  # parts of one side of the token join, for tokens that more views than this hold
 SHORT = 16  # tokens of a list that goes along with each of them
 
 
@@ -35,23 +35,26 @@ def view_pairs(views: DataFrame, tokens: DataFrame, by: Sequence[str], view: str
     shares one of its first n - min_shared + 1, so only those are joined (prefix filter), and from a common token on
     both sides must have enough left (positional filter); the commonest tokens never meet. Lists of up to ``SHORT``
     tokens go along and are compared where they meet, so that only pairs that share enough are passed on; pairs with a
-    longer list travel as view ids alone. Directions and token lists join them once per pair, not once per token. A token that many views hold
-    among their rare ones is spread by splitting one side of the join into ``SPREAD`` parts and copying the other.
+    longer list travel as view ids alone. Directions and token lists join them once per pair, not once per token. A token that more than ``HOT``
+    views hold is spread by splitting one side of the join into ``SPREAD`` parts and copying the other; all others, nearly all, go once.
     """
     by = list(by)
     tk = settle(tokens.select(*by, F.col(view).alias("_v"), F.col(token).alias("_t")).distinct())
     freq = tk.groupBy(*by, "_t").agg(F.count("*").alias("_f"))
     lists = join_same(tk, freq, by + ["_t"]).groupBy(*by, "_v").agg(F.array_sort(F.collect_list(F.struct("_f", "_t"))).alias("_l"))
-    lists = settle(lists.select(*by, "_v", F.transform("_l", lambda s: s["_t"]).alias("_ts")).where(F.size("_ts") >= min_shared))
-    head = lists.select(*by, "_v", F.size("_ts").alias("_n"), F.when(F.size("_ts") <= SHORT, F.col("_ts")).alias("_ts"), F.posexplode(F.slice("_ts", 1, F.size("_ts") - min_shared + 1)).alias("_i", "_t"))
-    one = head.withColumn("_s", F.pmod(F.xxhash64("_v"), F.lit(SPREAD)))
-    two = head.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    # rarest first: from some place on all are held by many
+    lists = lists.select(*by, "_v", F.transform("_l", lambda s: s["_t"]).alias("_ts"), F.size(F.filter("_l", lambda s: s["_f"] <= HOT)).alias("_rare"))
+    lists = settle(lists.where(F.size("_ts") >= min_shared))
+    head = lists.select(*by, "_v", "_rare", F.size("_ts").alias("_n"), F.when(F.size("_ts") <= SHORT, F.col("_ts")).alias("_ts"), F.posexplode(F.slice("_ts", 1, F.size("_ts") - min_shared + 1)).alias("_i", "_t"))
+    rare = F.col("_i") < F.col("_rare")
+    one = head.withColumn("_s", F.when(rare, F.lit(0)).otherwise(F.pmod(F.xxhash64("_v"), F.lit(SPREAD))).cast("int"))
+    two = head.withColumn("_s", F.explode(F.when(rare, F.array(F.lit(0))).otherwise(F.array(*[F.lit(i) for i in range(SPREAD)]))))
     one = one.select(*by, "_t", "_s", F.col("_v").alias("view_a"), (F.col("_n") - F.col("_i")).alias("_ra"), F.col("_ts").alias("_sa"))
     two = two.select(*by, "_t", "_s", F.col("_v").alias("view_b"), (F.col("_n") - F.col("_i")).alias("_rb"), F.col("_ts").alias("_sb"))
     unknown = F.col("_sa").isNull() | F.col("_sb").isNull()
     near = (F.col("view_a") < F.col("view_b")) & (F.least("_ra", "_rb") >= min_shared) & (unknown | (F.size(F.array_intersect("_sa", "_sb")) >= min_shared))
     cand = join_same(one, two, by + ["_t", "_s"]).where(near).select(*by, "view_a", "view_b").distinct()
-    info = join_same(views.select(*by, F.col(view).alias("_v"), F.col(direction).alias("_d")), lists, by + ["_v"])
+    info = join_same(views.select(*by, F.col(view).alias("_v"), F.col(direction).alias("_d")), lists.drop("_rare"), by + ["_v"])
     for v, d, ts in (("view_a", "_da", "_ta"), ("view_b", "_db", "_tb")):
         cand = join_same(cand, info.withColumnsRenamed({"_v": v, "_d": d, "_ts": ts}), by + [v])
     out = cand.withColumn("angle", arrays.unit_angle3("_da", "_db")).withColumn("shared", F.size(F.array_intersect("_ta", "_tb")).cast("long"))

@@ -170,3 +170,25 @@ def test_edges_of_the_graph_are_shuffled_once_for_the_tasks_named(spark):
     edges = pg.customer_part(t)
     assert not _joins(edges, "HashAggregate") and _joins(edges, "REPARTITION_BY_NUM")
     assert {tuple(r) for r in edges.collect()} == {(c, p + pg.PARTS) for c, p in ((10, 5), (10, 6), (11, 5), (12, 7))}
+
+
+def test_only_tokens_of_many_views_are_copied(spark, monkeypatch):
+    """Rows of a join are copied for tokens that many views hold, not for all; pairs as by brute force."""
+    rng = np.random.default_rng(3)
+    rows = sorted({(v, int(t)) for v in range(120) for t in rng.choice(60, 5, p=np.arange(60, 0, -1) / 1830)})
+    tokens = spark.createDataFrame([("g", v, t) for v, t in rows], "g string, v long, t long")
+    views = spark.createDataFrame([("g", v, [float(np.cos(v)), float(np.sin(v)), 0.0]) for v in range(120)], "g string, v long, d array<double>")
+    of = {v: {t for x, t in rows if x == v} for v in range(120)}
+    made, join = [], jn.join_same
+
+    def noted(left, right, by, how="inner"):
+        if "_s" in by:
+            made.append(right.count() / left.count())
+        return join(left, right, by, how)
+
+    monkeypatch.setattr(jn, "join_same", noted)
+    for hot, low, high in ((1024, 1, 1), (12, 1.01, 3.99), (0, 4, 4)):
+        monkeypatch.setattr(jn, "HOT", hot)
+        got = jn.view_pairs(views, tokens, ["g"], "v", "d", "t", 0.0, 2).collect()
+        assert {(r.view_a, r.view_b): r.shared for r in got} == {(a, b): len(of[a] & of[b]) for a in of for b in of if a < b and len(of[a] & of[b]) >= 2}
+        assert low <= made.pop() <= high
