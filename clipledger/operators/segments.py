@@ -27,6 +27,10 @@ class Segments:
     def column(self, name: str) -> np.ndarray:
         return self.table.column(name).to_numpy()
 
+    def renamed(self, **names: str) -> Segments:
+        """With columns under other names: ``old="new"``."""
+        return Segments(self.table.rename_columns([names.get(c, c) for c in self.table.column_names]), self.starts)
+
     def spread(self, values: np.ndarray) -> np.ndarray:
         """A value of each group for each of its rows."""
         return np.repeat(values, self.sizes)
@@ -37,6 +41,26 @@ class Segments:
     def most(self, values: np.ndarray) -> np.ndarray:
         return np.maximum.reduceat(values, self.starts)
 
+    def among(self, keep: np.ndarray) -> tuple[Segments, np.ndarray]:
+        """The rows marked, and the groups that have some, by their number here."""
+        at = self.group[keep]
+        starts = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+        return Segments(self.table.filter(pa.array(keep)), starts), at[starts]
+
+    def quantile(self, values: np.ndarray, keep: np.ndarray, q: float) -> pa.Array:
+        """The linear quantile of the values marked, as Spark's ``percentile`` computes it; null where a group has none."""
+        at = self.group[keep]
+        v = values[keep][np.lexsort((values[keep], at))]
+        n = np.bincount(at, minlength=len(self.starts))
+        some = n > 0
+        place = np.where(some, n - 1, 0) * q
+        low, high = np.floor(place), np.ceil(place)
+        first = (np.cumsum(n) - n)[some]
+        a, b = (v[first + t[some].astype(np.int64)] for t in (low, high))
+        out = np.zeros(len(n))
+        out[some] = np.where((a == b) | (low == high)[some], a, (high - place)[some] * a + (place - low)[some] * b)
+        return pa.array(out, mask=~some)
+
     def median(self, values: np.ndarray) -> np.ndarray:
         """The linear median."""
         v = values[np.lexsort((values, self.group))]
@@ -56,7 +80,7 @@ class Segments:
 
 def by_size(rows: DataFrame, by: Sequence[str], limit: int, fields: Sequence[T.StructField], inside: Callable, across: Callable) -> DataFrame:
     """One row per group: ``by`` and ``fields``. Groups of up to ``limit`` rows are shuffled whole and go through
-    ``inside(segments)``, which gives an array for each field (not a number: null), many groups at once. Larger ones go
+    ``inside(segments)``, which gives an array for each field (of numpy, not a number: null; or of Arrow), many groups at once. Larger ones go
     through ``across(rows)``, where no task holds a group."""
     by = list(by)
     if not by:
@@ -88,7 +112,8 @@ def by_size(rows: DataFrame, by: Sequence[str], limit: int, fields: Sequence[T.S
             keys = [g.table.column(c).combine_chunks().take(pa.array(starts)) for c in by]
             with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
                 found = inside(g)
-            yield pa.RecordBatch.from_arrays(keys + [pa.array(a, mask=np.isnan(a) if a.dtype.kind == "f" else None) for a in found], names=schema.names)
+            found = [a if isinstance(a, pa.Array) else pa.array(a, mask=np.isnan(a) if a.dtype.kind == "f" else None) for a in found]
+            yield pa.RecordBatch.from_arrays(keys + found, names=schema.names)
 
         n, due = 0, ROWS
         for b in batches:

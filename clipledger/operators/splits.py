@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clipledger.functions.scoring import track_weight
 from clipledger.operators.groups import by_group
-from clipledger.session import join_same
+from clipledger.session import join_same, settle
 
 SEED = "calibration-split-1"
 
@@ -20,7 +20,7 @@ def hash_split(df: DataFrame, by: Sequence[str], token: Column, fraction: float
     if not 0 < fraction < 1:
         raise ValueError("fraction must lie strictly between 0 and 1")
     d = df.select(*by, token.alias("token")).distinct()
-    d = d.withColumn("digest", F.sha2(F.concat(F.lit(seed), F.char(F.lit(0)), F.col("token")), 256))
+    d = settle(d.withColumn("digest", F.sha2(F.concat(F.lit(seed), F.char(F.lit(0)), F.col("token")), 256)))  # counted, then ranked
 
     def step(d, g):
         d = g.attach(g.rank(d, ["digest", "token"], "rank"), _n=F.count("*"))

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from clipledger.operators import aggregates as ag, graph as gr, groups as gp, joins as jn, models as md
+from clipledger.operators import aggregates as ag, fits, graph as gr, groups as gp, joins as jn, models as md
 from clipledger.operators import predict as pr
 from clipledger.plans import graphs as pg
 from clipledger.sources import readers as rd
@@ -192,3 +192,28 @@ def test_only_tokens_of_many_views_are_copied(spark, monkeypatch):
         got = jn.view_pairs(views, tokens, ["g"], "v", "d", "t", 0.0, 2).collect()
         assert {(r.view_a, r.view_b): r.shared for r in got} == {(a, b): len(of[a] & of[b]) for a in of for b in of if a < b and len(of[a] & of[b]) >= 2}
         assert low <= made.pop() <= high
+
+
+def test_a_view_is_fitted_and_measured_where_it_meets(spark):
+    """One shuffle of the rows, no join and no aggregate of values; results as by a pass for each measure, also with
+    nulls and values that are no numbers, and with a group beyond the limit for hot ones."""
+    rng, odd, rows = np.random.default_rng(8), [None, float("nan"), 0.0, -1.0, float("inf")], []
+    for v in range(60):
+        for _ in range(int(rng.integers(1, 40)) if v else 400):
+            p, z, w = float(rng.random()), float(rng.random() * 4), float(rng.integers(1, 6))
+            p, z, w = (odd[int(rng.integers(5))] if v % 3 == 2 and rng.random() < 0.08 else x for x in (0.5 if v % 7 == 6 else p, 1 / (0.4 * p + 0.3) + z / 50 if v % 5 else z, w))
+            rows.append((None if v == 59 else v % 30, f"s{v}", p, z, w, [None, "evaluation", "calibration", "calibration"][int(rng.integers(1 if v % 4 else 0, 4))], None if v == 57 else 8.0))
+    o = spark.createDataFrame(rows, "a long, b string, p double, z double, w double, r string, s double")
+    names = dict(prediction="p", z="z", weight="w", role="r", scale="s", rounds=2, limits={"calibration": 5, "held_out": 2})
+
+    def of(d):
+        return {(r.a, r.b): [round(x, 8) if isinstance(x, float) and x == x else str(x) for x in r] for r in d.select("a", "b", *sorted(c for c in d.columns if c not in "ab")).collect()}
+
+    want = of(fits.evaluate_alignment(o, ["a", "b"], dense=o.select("*"), **names))
+    whole = fits.evaluate_alignment(o, ["a", "b"], dense=o, **names)
+    assert len(want) == 60 and of(whole) == want and not _joins(whole, "Join") and not _joins(whole, "ObjectHashAggregate") and _joins(whole, "MapInArrow")
+    spark.conf.set("spark.clipledger.hotGroupRows", "300")
+    try:
+        assert of(fits.evaluate_alignment(o, ["a", "b"], dense=o, **names)) == want
+    finally:
+        spark.conf.unset("spark.clipledger.hotGroupRows")
