@@ -96,14 +96,16 @@ def text_files(rows, *parts: str) -> str:
 WITH l AS (SELECT l_orderkey AS m, l_quantity AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_extendedprice) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
 SELECT m AS l_orderkey, max(n) - 2 AS triangles, {q6("sum(CASE WHEN i = 1 THEN (n - 2) * x WHEN i = 2 OR i = n THEN x ELSE 2 * x END)")} AS x_sum FROM l WHERE n >= 3 GROUP BY 1""")
 def mesh_files(t):
-    """Orders as vertices and a polygon with relative ids, many in a file; files are read by blocks."""
+    """Orders as vertices and a polygon with relative ids, many in a file; files are read by blocks. A task that gathers
+    orders writes them as they come."""
     rows = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_quantity", "l_extendedprice"))).alias("ps"))
     lines = F.array_join(F.transform("ps", lambda p: F.concat_ws(" ", F.lit("v"), p["l_quantity"].cast("string"), col("l_orderkey").cast("string"), F.lit("0"))), "\n")
     face = F.concat(F.lit("f "), F.array_join(F.transform(F.sequence(-F.size("ps"), F.lit(-1)), lambda i: F.concat(i.cast("string"), F.lit("//1"))), " "))
-    folder = text_files(rows.repartitionByRange(4, "l_orderkey").sortWithinPartitions("l_orderkey").select(F.concat_ws("\n", lines, face).alias("value")))
+    folder = text_files(rows.select(F.concat_ws("\n", lines, face).alias("value")))
     vertices, faces = rd.read_mesh_text(t.spark, folder)
-    for c in ("v0", "v1", "v2"):
-        faces = faces.join(vertices.select("mesh", col("vid").alias(c), col("x").alias(f"x_{c}"), col("y").cast("long").alias(f"y_{c}")), ["mesh", c])
+    vertices = vertices.select("mesh", "vid", "x", col("y").cast("long").alias("y"))
+    for c in ("v0", "v1", "v2"):  # renamed behind the joins, so that vertices are shuffled once for all three
+        faces = faces.withColumnRenamed(c, "vid").join(vertices, ["mesh", "vid"]).withColumnsRenamed({"vid": c, "x": f"x_{c}", "y": f"y_{c}"})
     faces = faces.where("y_v0 = y_v1 AND y_v1 = y_v2")
     return faces.groupBy(col("y_v0").alias("l_orderkey")).agg(F.count("*").alias("triangles"), r6(F.sum(col("x_v0") + col("x_v1") + col("x_v2"))).alias("x_sum"))
 

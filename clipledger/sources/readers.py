@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clipledger.functions.rules import Rule, apply_gates
 from clipledger.functions.text import rational, stem
-from clipledger.operators.groups import by_group
+from clipledger.operators.groups import PART_BITS, by_group
 from clipledger.session import join_same, settle
 
 PROBE = (
@@ -172,30 +172,52 @@ def parse_mesh_text(texts: DataFrame, by: Sequence[str], text: str) -> tuple[Dat
     """
     by = list(by)
     lines = texts.select(*by, F.posexplode(F.split(text, r"\r?\n")).alias("line", "value"))
-    d = by_group(_mesh_lines(lines), by, lambda d, g: g.running(d, ["line"], _seen=(F.col("_k") == "v").cast("long")))
-    return _mesh_rows(settle(d), by)  # read once, for vertices and faces and however often they are joined
+    d = by_group(_mesh_lines(lines).where("_k IS NOT NULL"), by, lambda d, g: g.running(d, ["line"], _seen=(F.col("_k") == "v").cast("long")))
+    d = settle(d)  # read once, for vertices and faces and however often they are joined
+    return _vertices(d, by), _faces(d, by)
 
 
 def _mesh_lines(lines: DataFrame) -> DataFrame:
+    """Of vertex lines (``_k``: v) the numbers ``_x``, ``_y`` and ``_z``, of face lines (f) the ids of the corners as they stand."""
     d = lines.withColumn("_t", F.split(F.trim("value"), r"\s+")).withColumn("_k", F.get("_t", F.lit(0)))
-    return d.where(F.col("_k").isin("v", "f")).drop("value")
+    at = lambda i: F.when(F.col("_k") == "v", F.get("_t", F.lit(i)).try_cast("double"))
+    raw = F.transform(F.slice("_t", F.lit(2), F.size("_t") - 1), lambda c: F.substring_index(c, "/", 1).try_cast("long"))
+    kind = F.when(F.col("_k").isin("v", "f"), F.col("_k"))
+    return d.withColumns({"_x": at(1), "_y": at(2), "_z": at(3), "_raw": F.when(F.col("_k") == "f", raw), "_k": kind}).drop("value", "_t")
 
 
-def _mesh_rows(d: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    at = lambda i: F.get("_t", F.lit(i)).try_cast("double")
-    vertices = d.where("_k = 'v'").select(*by, (F.col("_seen") - 1).alias("vid"), at(1).alias("x"), at(2).alias("y"), at(3).alias("z"))
-    raw = F.transform(F.slice("_t", F.lit(2), F.size("_t") - 1), lambda c: F.substring_index(c, "/", 1).try_cast("long"))
-    ids = F.transform(raw, lambda i: F.when(i < 0, F.col("_seen") + i).otherwise(i - 1))
-    faces = fan(d.where("_k = 'f'").select(*by, "line", ids.alias("_ids")), "_ids")
-    return vertices, faces.select(*by, "line", "part", "v0", "v1", "v2")
+def _vertices(d: DataFrame, by: list[str]) -> DataFrame:
+    return d.where("_k = 'v'").select(*by, (F.col("_seen") - 1).alias("vid"), F.col("_x").alias("x"), F.col("_y").alias("y"), F.col("_z").alias("z"))
+
+
+def _faces(d: DataFrame, by: list[str]) -> DataFrame:
+    ids = F.transform("_raw", lambda i: F.when(i < 0, F.col("_seen") + i).otherwise(i - 1))
+    return fan(d.where("_k = 'f'").select(*by, "line", ids.alias("_ids")), "_ids").select(*by, "line", "part", "v0", "v1", "v2")
 
 
 def read_mesh_text(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Vertices and triangles of mesh text files, keyed by file path, as :func:`parse_mesh_text` gives them. Files are
-    read by blocks; the vertices of earlier blocks are added to a block's own, so that relative ids hold across them."""
-    d = _mesh_lines(numbered_lines(spark, path))
-    d = settle(running_in_files(d, _seen=(F.col("_k") == "v").cast("long")).withColumnRenamed("file", "mesh"))
-    return _mesh_rows(d, ["mesh"])
+    read by blocks; the vertices of earlier blocks are added to a block's own, so that relative ids hold across them.
+
+    A task has the lines of its blocks in their order, so it counts them as they pass, and no line is shuffled or sorted:
+    of its lines that are vertices or faces, those before a face that are no faces are the vertices it has seen. What its
+    earlier blocks and the files' earlier blocks hold comes from one row per block.
+    """
+    d = spark.read.text(path).select(F.col("_metadata.file_path").alias("mesh"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_at"), "value")
+    d = settle(_mesh_lines(d))  # all that follows counts the same lines in the same tasks
+    blocks = d.groupBy("mesh", "block").agg(F.min("_at").alias("_first"), F.count("*").alias("_lines"), F.count_if(F.col("_k") == "v").alias("_own"))
+    earlier = lambda c, *w: F.coalesce(F.sum(c).over(Window.partitionBy(w[0]).orderBy(w[1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.withColumn("_task", F.shiftright("_first", PART_BITS))
+    blocks = blocks.select("mesh", "block", (earlier("_lines", "mesh", "block") - F.col("_first")).alias("_to_line"), (earlier("_own", "mesh", "block") - earlier("_own", "_task", "_first")).alias("_to_seen"))
+
+    def placed(rows: DataFrame, seen: Column) -> DataFrame:
+        out = join_same(rows.withColumn("_s", seen), F.broadcast(blocks), ["mesh", "block"])
+        return out.withColumns({"line": F.col("_at") + F.col("_to_line"), "_seen": F.col("_s") + F.col("_to_seen")})
+
+    passed = F.monotonically_increasing_id()
+    v = placed(d.where("_k = 'v'").withColumn("_i", passed), F.col("_i").bitwiseAND((1 << PART_BITS) - 1) + 1)
+    f = placed(d.where("_k IS NOT NULL").withColumn("_i", passed).where("_k = 'f'").withColumn("_j", passed), F.col("_i") - F.col("_j"))
+    return _vertices(v, ["mesh"]), _faces(f, ["mesh"])
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:

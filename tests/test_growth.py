@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clipledger.operators import aggregates as ag, fits, graph as gr, groups as gp, joins as jn, models as md
 from clipledger.operators import predict as pr
-from clipledger.plans import graphs as pg
+from clipledger.plans import QUERIES, catalog, graphs as pg
 from clipledger.sources import readers as rd
 from clipledger.streaming import streams as st
 
@@ -217,3 +217,45 @@ def test_a_view_is_fitted_and_measured_where_it_meets(spark):
         assert of(fits.evaluate_alignment(o, ["a", "b"], dense=o, **names)) == want
     finally:
         spark.conf.unset("spark.clipledger.hotGroupRows")
+
+
+def test_lines_of_meshes_are_counted_as_they_pass(spark, tmp_path):
+    """Blocks of several files, some without a vertex, packed into few tasks: ids as by one pass over each file, without
+    a window over lines."""
+    rng, want = np.random.default_rng(2), {}
+    for k in range(7):
+        lines, n = [], 0
+        for at in range(int(rng.integers(1, 900))):
+            kind = "# x" if (at // 150) % 2 and k % 2 else ["v", "v", "v", "f", "", "# y"][int(rng.integers(6))]
+            if kind == "v":
+                lines.append(f"v {n} {k} 0")
+                n += 1
+            elif kind == "f" and n > 4:
+                lines.append("f -1 -2 -3" if rng.random() < 0.5 else f"f {n}/1 {n - 1} {n - 2}//7")
+                want.setdefault(k, [[], 0])[0].append((len(lines) - 1, n - 1, n - 2, n - 3))
+            else:
+                lines.append(kind if kind != "f" else "")
+        want.setdefault(k, [[], 0])[1] = n
+        (tmp_path / f"m{k}.obj").write_text("\n".join(lines) + "\n")
+    for most in ("700", "1500"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        spark.conf.set("spark.sql.files.openCostInBytes", "10")
+        try:
+            vertices, faces = rd.read_mesh_text(spark, str(tmp_path))
+            assert not [x for d in (vertices, faces) for x in _joins(d, "Window ") if "_lines" not in x and "_own" not in x]
+            for k, (triangles, n) in want.items():
+                name = f"/m{k}.obj"
+                assert sorted((v.vid, v.x, v.y) for v in vertices.where(F.col("mesh").endswith(name)).collect()) == [(i, float(i), float(k)) for i in range(n)]
+                assert sorted((f.line, f.v0, f.v1, f.v2) for f in faces.where(F.col("mesh").endswith(name)).collect()) == triangles
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_orders_are_written_as_meshes_by_the_tasks_that_gather_them(spark, tmp_path, monkeypatch):
+    """No second shuffle into a fixed number of files."""
+    plans, write = [], catalog.text_files
+    monkeypatch.setattr(catalog, "text_files", lambda rows, *parts: plans.append(_joins(rows, "REPARTITION", "rangepartitioning")) or write(rows, *parts))
+    spark.createDataFrame([(o, float(q), 10.0 * q) for o in range(1, 30) for q in range(o % 6 + 1)], "l_orderkey long, l_quantity double, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.l_orderkey: r.triangles for r in QUERIES["mesh_files"](spark, str(tmp_path)).collect()}
+    assert plans == [[]] and got == {o: o % 6 - 1 for o in range(1, 30) if o % 6 >= 2}
