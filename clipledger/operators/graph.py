@@ -106,12 +106,12 @@ def face_neighbours(faces: DataFrame, by: Sequence[str], face: str, edge: Sequen
     error, since its pairs would grow with their square; none is left out in silence.
     """
     by, edge = list(by), list(edge)
-    w = Window.partitionBy(*by, *edge).orderBy(face)
-    f = faces.select(*by, *edge, face).where(F.col(face).isNotNull()).withColumn("_r", F.dense_rank().over(w)).where(F.col("_r") <= most + 1)
-    f = f.groupBy(*by, *edge).agg(F.sort_array(F.collect_set(face)).alias("_f"))
+    all_ = Window.partitionBy(*by, *edge)  # one shuffle and one sort of the rows, for both windows
+    f = faces.select(*by, *edge, face).where(F.col(face).isNotNull()).withColumn("_r", F.dense_rank().over(all_.orderBy(face)))
+    f = f.withColumn("_f", F.collect_set(F.when(F.col("_r") <= most + 1, F.col(face))).over(all_))
     said = F.concat(F.lit(f"more than {most} faces on the edge "), F.to_json(F.struct(*by, *edge)))
     few = f.where(F.when(F.size("_f") <= most, F.size("_f") > 1).otherwise(F.raise_error(said).cast("boolean")))
-    pairs = few.withColumn("src", F.explode("_f")).select(*by, "src", F.explode("_f").alias("dst")).where("src != dst")
+    pairs = few.select(*by, F.col(face).alias("src"), F.explode("_f").alias("dst")).where("src != dst")
     return spread_groups(pairs, [*by, "dst"]).distinct()  # rows of a dst stay together: joins on it need no shuffle
 
 

@@ -259,3 +259,13 @@ def test_orders_are_written_as_meshes_by_the_tasks_that_gather_them(spark, tmp_p
     spark.createDataFrame([(o, float(q), 10.0 * q) for o in range(1, 30) for q in range(o % 6 + 1)], "l_orderkey long, l_quantity double, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
     got = {r.l_orderkey: r.triangles for r in QUERIES["mesh_files"](spark, str(tmp_path)).collect()}
     assert plans == [[]] and got == {o: o % 6 - 1 for o in range(1, 30) if o % 6 >= 2}
+
+
+def test_neighbours_need_one_sort_and_no_aggregate_of_faces(spark):
+    """Sets of faces come from the sorted rows; repeated rows, null faces and null edges as by brute force."""
+    rng = np.random.default_rng(9)
+    rows = [(None if e == 49 else int(e), None if f == 39 else int(f)) for e, f in rng.integers(0, [50, 40], (300, 2))]
+    found = gr.face_neighbours(spark.createDataFrame(rows * 2, "e long, f long"), [], "f", ["e"])
+    assert not _joins(found, "ObjectHashAggregate", "SortAggregate", "WindowGroupLimit") and len(_joins(found, "Exchange")) == 2
+    of = {e: {f for x, f in rows if x == e and f is not None} for e, _ in rows}
+    assert sorted((r.src, r.dst) for r in found.collect()) == sorted({(a, b) for s in of.values() for a in s for b in s if a != b})
